@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import language_id, oracles, quality, token_rollup, url_filter
+from desense.llm import bpe, jaccard_join, language_id, oracles, quality, token_rollup, url_filter
 from desense.llm.common import scratch, table
 
 #: Rules and the host labels whose urls are listed.
@@ -36,6 +39,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts under v1, then v2 counts where they differ, then deletes of exact copies;
     the first two batches are delivered twice."""
@@ -60,6 +72,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op3_quality_rules": op3_quality_rules,
+    "op5_bpe": op5_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
 }
 ORACLE = {
