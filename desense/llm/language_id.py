@@ -52,16 +52,19 @@ def fit_language_model(labelled: DataFrame, sample_texts: int = 128, sample_char
 
 
 def predict_language(
-    docs: DataFrame, model: LanguageModel, keep: list[str], margin: float = 0.005, block: int = 8192, level: int = 3
+    docs: DataFrame, model: LanguageModel, keep: list[str], margin: float = 0.005, block: int = 8192, level: int = 3,
+    accepted_only: bool = False,
 ) -> DataFrame:
-    """Rows of ``docs`` as ``keep`` columns plus lang_pred, score, rejected.
+    """Rows of ``docs`` as ``keep`` columns plus lang_pred, score, rejected; or, with
+    ``accepted_only``, the ``keep`` columns of the rows that are not rejected.
 
     ``score`` is 1 - smallest / second-smallest compressed size; below ``margin`` the
     prediction is rejected (it is still named).
     """
     names, contents = list(model.dictionaries), list(model.dictionaries.values())
-    carried = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = ", ".join(f"`{c}` {carried.schema[c].dataType.simpleString()}" for c in keep)
+    carried = docs.select(F.col("text").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep) if c != "text"])
+    inner = {c: "_text" if c == "text" else f"_{i}" for i, c in enumerate(keep)}
+    schema = ", ".join(f"`{i}` {carried.schema[i].dataType.simpleString()}" for i in inner.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -82,15 +85,17 @@ def predict_language(
             score = 1.0 - sizes[best] / min(others) if others else 1.0
             return names[best], score, score < margin
 
-        for batch in text_slices(batches):
-            judged = [judge(t) for t in batch.column("text").to_pylist()]
+        for batch in text_slices(batches, "_text"):
+            judged = [judge(t) for t in batch.column("_text").to_pylist()]
             lang, score, rejected = zip(*judged, strict=True) if judged else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=[*keep, "lang_pred", "score", "rejected"],
+                [batch.column(i) for i in inner.values()] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=[*inner.values(), "lang_pred", "score", "rejected"],
             )
 
-    return carried.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    found = carried.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    own = [F.col(i).alias(c) for c, i in inner.items()]
+    return found.where("not rejected").select(*own) if accepted_only else found.select(*own, "lang_pred", "score", "rejected")
 
 
 def in_holdout(doc_id: Column, folds: int = 5) -> Column:

@@ -176,22 +176,33 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return params
 
 
-def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """``keep`` columns, the counts, base_failed, kept and d2, the squared distance."""
+def judged(docs: DataFrame, keep: list[str], min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+    """_row (a struct of the ``keep`` columns), the counts, base_failed, kept and d2, the
+    squared distance."""
     keys = {"_lang": "lang", "_source": "source"}
-    named = docs.select("*", *[F.col(c).alias(k) for k, c in keys.items()])
-    stats = written(text_stats(named, [*keep, *keys]))
-    out = [*keep, *STATS, "base_failed"]
+    named = docs.select(F.struct(*keep).alias("_row"), "text", *[F.col(c).alias(k) for k, c in keys.items()])
+    stats = written(text_stats(named, ["_row", *keys]))
+    out = ["_row", *STATS, "base_failed"]
     passed = stats.where("not base_failed").select(*out, *features(), *keys)
-    sizes = passed.groupBy(*keys).agg((F.count(F.lit(1)) >= min_group).alias("own"))
-    sizes = sizes.withColumnsRenamed({k: f"of{k}" for k in keys})
+    sizes = written(passed.groupBy(*keys).agg((F.count(F.lit(1)) >= min_group).alias("own")).withColumnsRenamed({k: f"of{k}" for k in keys}))
     same = [F.col(k).eqNullSafe(F.col(f"of{k}")) for k in keys]
     lang = F.struct(F.col("_lang").alias("l"))
     both = F.struct(F.col("_lang").alias("l"), F.struct(F.col("_source").alias("s")).alias("of"))
-    grouped = passed.join(sizes, same).select(*out, *X, *keys, "own")
-    grouped = written(grouped.select(*out, *X, F.when(F.col("own"), F.to_json(both)).otherwise(F.to_json(lang)).alias("grp")))
-    params = written(mcd_estimates(grouped.select("grp", *X), steps).where(F.col("n") >= min_group))
-    judged = _with_distance(grouped, params, "left").select(*out, "d2")  # no estimate: null
-    kept = judged.select(*out, F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"), "d2")
+    group = F.when(F.col("own"), F.to_json(both)).otherwise(F.to_json(lang)).alias("grp")
+    grouped = passed.join(sizes, same).select(*out, *X, group)
+    vectors = written(grouped.select("grp", *X))
+    params = written(mcd_estimates(vectors, steps).where(F.col("n") >= min_group))
+    rows = _with_distance(grouped, params, "left").select(*out, "d2")  # no estimate: null
+    kept = rows.select(*out, F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"), "d2")
     failed = stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))
     return kept.unionByName(failed)
+
+
+def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+    """``keep`` columns, the counts, base_failed, kept and d2."""
+    return judged(docs, list(keep), min_group, steps).select("_row.*", *STATS, "base_failed", "kept", "d2")
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they are."""
+    return judged(docs, docs.columns).where("kept").select("_row.*")

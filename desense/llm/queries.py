@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import bpe, jaccard_join, language_id, oracles, quality, token_rollup, url_filter
-from desense.llm.common import scratch, table
+from desense.llm import bpe, jaccard_join, language_id, oracles, packing, quality, token_files, token_rollup, url_filter
+from desense.llm.common import scratch, table, words
 
 #: Rules and the host labels whose urls are listed.
 URL_RULES = [
@@ -39,6 +39,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", F.size(words(F.col("text"))).alias("n_tokens")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
@@ -48,6 +53,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    path = scratch(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary, path)
+    return token_files.read_token_files(spark, path)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts under v1, then v2 counts where they differ, then deletes of exact copies;
     the first two batches are delivered twice."""
@@ -72,9 +84,11 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op3_quality_rules": op3_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe": op5_bpe,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
+    "op10_token_files": op10_token_files,
 }
 ORACLE = {
     "op2_url_filters": oracles.OP2,
