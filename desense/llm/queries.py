@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import bpe, jaccard_join, language_id, oracles, packing, quality, token_files, token_rollup, url_filter
+from desense.llm import ann, bpe, jaccard_join, language_id, oracles, packing, quality, token_files, token_rollup, url_filter
 from desense.llm.common import scratch, table, words
 
 #: Rules and the host labels whose urls are listed.
@@ -49,6 +49,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe": op5_bpe,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
