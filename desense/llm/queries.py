@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import ann, bpe, jaccard_join, language_id, oracles, packing, quality, token_files, token_rollup, url_filter
+from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, oracles, packing, quality, token_files, token_rollup, url_filter
 from desense.llm.common import scratch, table, words
 
 #: Rules and the host labels whose urls are listed.
@@ -53,6 +53,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe": op5_bpe,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_licence_scan": op7_licence_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
