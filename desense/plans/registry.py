@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from desense.plans import masking
+
+QUERIES: dict = {**masking.QUERIES}
+ORACLE: dict = {**masking.ORACLE}
