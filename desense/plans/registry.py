@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from desense.plans import masking
+from desense.plans import masking, safekeeping, workflow
 
-QUERIES: dict = {**masking.QUERIES}
-ORACLE: dict = {**masking.ORACLE}
+QUERIES: dict = {**masking.QUERIES, **workflow.QUERIES, **safekeeping.QUERIES}
+ORACLE: dict = {**masking.ORACLE, **workflow.ORACLE, **safekeeping.ORACLE}

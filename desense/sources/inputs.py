@@ -24,7 +24,7 @@ FROM {customer}""",
     "texts": "SELECT doc_id, text FROM {documents}",
     "spans": """
 SELECT l_orderkey AS doc_id,
-  CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS entity_id,
+  CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_quantity AS INT) AS STRING) AS entity_id,
   CASE l_linenumber % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'PHONE' WHEN 2 THEN 'EMAIL' WHEN 3 THEN 'ORGANIZATION' ELSE 'PROJECT' END AS entity_type,
   CAST(round(1.05 - 11 * l_discount, 2) AS DOUBLE) AS score,
   CASE WHEN l_returnflag = 'N' THEN 'model' ELSE 'rule' END AS source,
