@@ -1,8 +1,8 @@
 """Language ID by compression: the language whose dictionary compresses a text best.
 
 Learning takes, per language, a bounded sample of labelled texts as a raw-content
-zstandard dictionary. A prediction compresses the whole text, in blocks of fixed size,
-once with each dictionary, and chooses the smallest total; it is rejected where the
+zstandard dictionary. A prediction compresses the letters of the whole text, in blocks of fixed
+size, once with each dictionary, and chooses the smallest total; it is rejected where the
 margin to the second is narrow. Languages, sources and ids are never inputs of it.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and are
@@ -13,6 +13,7 @@ stay repeated. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,13 @@ from pyspark.sql import functions as F
 from desense.llm.common import text_slices
 
 UNKNOWN = "und"
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters_only(text: str) -> str:
+    """Lower case, with one blank for each run of anything but letters: shouting, symbols
+    and layout say nothing of a language."""
+    return _NO_LETTERS.sub(" ", text.lower())
 
 
 @dataclass(frozen=True)
@@ -32,7 +40,7 @@ class LanguageModel:
     dictionaries: dict[str, bytes] = field(default_factory=dict)
 
 
-def fit_language_model(labelled: DataFrame, sample_texts: int = 128, sample_chars: int = 1024) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, sample_texts: int = 128, sample_chars: int = 2048) -> LanguageModel:
     """Learn from rows (text, lang).
 
     The bound of the sample is ``sample_texts`` different texts a language, their first
@@ -48,11 +56,11 @@ def fit_language_model(labelled: DataFrame, sample_texts: int = 128, sample_char
     texts: dict[str, list] = {}
     for lang, h, text in sample.collect():
         texts.setdefault(lang, []).append((h, text))
-    return LanguageModel({lang: "\n".join(t for _, t in sorted(found)).encode() for lang, found in sorted(texts.items())})
+    return LanguageModel({lang: " ".join(letters_only(t) for _, t in sorted(found)).encode() for lang, found in sorted(texts.items())})
 
 
 def predict_language(
-    docs: DataFrame, model: LanguageModel, keep: list[str], margin: float = 0.005, block: int = 8192, level: int = 3,
+    docs: DataFrame, model: LanguageModel, keep: list[str], margin: float = 0.005, block: int = 2048, level: int = 6,
     accepted_only: bool = False,
 ) -> DataFrame:
     """Rows of ``docs`` as ``keep`` columns plus lang_pred, score, rejected; or, with
@@ -78,7 +86,7 @@ def predict_language(
         def judge(text: str | None) -> tuple[str, float, bool]:
             if not coders or text is None or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0, True
-            raw = text.encode("utf-8", "surrogatepass")
+            raw = letters_only(text).encode("utf-8", "surrogatepass")
             sizes = [sum(len(c(raw[i : i + block])) for i in range(0, len(raw), block)) for c in coders]
             best = min(range(len(sizes)), key=sizes.__getitem__)
             others = sizes[:best] + sizes[best + 1 :]
