@@ -15,9 +15,10 @@ one of the first n - ceil(t n) + 1. So no pair is lost.
 
 Equal sets are one node, known by a hash of the whole set. Nodes that share a signature
 are candidates. They are not all paired: each is first paired with the smallest of its
-bucket; then, after components of the links found, only buckets that still span several
-components pair their members, across components. Every candidate pair is verified on
-whole sets; hence components are exact, and a group of many copies costs one pair each.
+bucket. Buckets that then still span several components join their sets to families, and
+a family is compared block by block inside tasks, which give out only a spanning forest
+of the links found. Every link is verified on whole sets and no candidate pair is left
+out, so components are exact; a group of near copies that link costs one pair each.
 
 Defined cases: texts that are null or without words have an empty set, link with nothing
 and are their own component; repeated rows and equal texts are linked; null ids keep
@@ -33,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,10 @@ SHINGLE = 4
 OVER, UNDER = 85, 100
 #: Bands with at most this many differences enumerate pairs out of three smaller parts.
 ENUMERATED = 12
-#: Buckets are split once more by components this many times before what is left is paired.
-STAR_ROUNDS = 2
+#: A block of a family has about so many sets and elements at most.
+BLOCK_SETS, BLOCK_ELEMENTS = 2000, 1_500_000
+#: Elements of at most so many sets of a group are counted pair by pair.
+COMMON_HOLDERS = 32
 #: Ids of texts to fetch for verification are broadcast up to this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -235,24 +239,104 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = members.select("set_id").distinct().join(nodes, "set_id").select(F.col("first_id").alias("doc_id"))
     sets = written(whole_sets(_texts_of(docs, written(wanted.distinct()))).groupBy("set_id").agg(F.first("elements").alias("elements")))
     links = written(_verified(pairs, sets))
-    tried = pairs
-    for rounds in range(STAR_ROUNDS + 1):
+    labels = connected_components(links)
+    state = _open_buckets(members, labels)
+    if not state.isEmpty():
+        links = written(links.unionByName(_family_links(state, sets)))
         labels = connected_components(links)
-        labelled = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("root", "set_id").alias("root"))
-        spans = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        open_buckets = written(labelled.join(spans, "sig"))
-        if rounds < STAR_ROUNDS:  # the rest with one member of the largest component
-            centre = open_buckets.where("root = high").groupBy("sig").agg(F.max("set_id").alias("c"))
-            more = open_buckets.where("root <> high").join(centre, "sig").select(F.least("c", "set_id").alias("a"), F.greatest("c", "set_id").alias("b"))
-        else:
-            one, two = open_buckets.select("sig", F.col("set_id").alias("a"), F.col("root").alias("ra")), open_buckets.select("sig", F.col("set_id").alias("b"), F.col("root").alias("rb"))
-            more = one.join(two, "sig").where("a < b and ra <> rb").select("a", "b")
-        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+    return _with_components(rows, nodes, labels)
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (sig, set_id) of the buckets that span several components."""
+    labelled = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    labelled = labelled.select("sig", "set_id", F.coalesce("root", "set_id").alias("root"))
+    spans = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
+    return written(labelled.join(spans, "sig").select("sig", "set_id"))
+
+
+def _family_links(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among sets that share an open bucket, directly or over others.
+
+    Sets joined by open buckets are a family; every candidate pair lies in one. A family
+    is dealt to blocks of bounded sets and elements, each pair of blocks is one task's
+    group, and a group gives a spanning forest of its links. So each set is compared
+    once with its family, in whole blocks, however many buckets they share.
+    """
+    low = state.groupBy("sig").agg(F.min("set_id").alias("a"))
+    edges = state.join(low, "sig").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
+    family = connected_components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
+    placed = written(family.join(sets.select("set_id", F.size("elements").alias("n")), "set_id"))
+    sizes = placed.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    placed = placed.join(sizes, "family").select("set_id", "family", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.select("set_id", "family", "own", other)
+    dealt = dealt.select("set_id", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(sets, "set_id")
+
+    def forest(group: pa.Table) -> pa.Table:
+        elements = group.column("elements").combine_chunks()
+        own, ids = group.column("own").to_numpy(), group.column("set_id").to_numpy()
+        values, ends = np.asarray(elements.flatten()), np.cumsum(np.asarray(pc.list_value_length(elements)))
+        a, b = linked_forest(values, ends, own)
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(forest, "a long, b long")
+
+
+def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is linked among the sets whose elements end at ``ends``; if
+    ``own`` has two values, only pairs of different values are compared.
+
+    Elements that many sets hold are counted by matrix products, rare ones pair by pair;
+    elements of one set alone can't be shared.
+    """
+    n = len(ends)
+    sizes = np.diff(np.concatenate([[0], ends]))
+    of = np.repeat(np.arange(n), sizes)
+    _, element = np.unique(values, return_inverse=True)
+    order = np.lexsort((of, element))
+    of, element = of[order], element[order]
+    starts = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
+    holders = np.diff(np.concatenate([starts, [len(of)]]))
+    shared = np.zeros((n, n), np.float32)
+    common = np.flatnonzero(holders > COMMON_HOLDERS)
+    for lo in range(0, len(common), 1024):
+        part = common[lo : lo + 1024]
+        rows = np.concatenate([of[starts[k] : starts[k] + holders[k]] for k in part])
+        held = np.zeros((n, len(part)), np.float32)
+        held[rows, np.repeat(np.arange(len(part)), holders[part])] = 1
+        shared += held @ held.T
+    flat = shared.reshape(-1)
+    for size in np.unique(holders[(holders > 1) & (holders <= COMMON_HOLDERS)]).tolist():
+        at = starts[holders == size]
+        for lo in range(0, len(at), 4096):
+            who = of[at[lo : lo + 4096, None] + np.arange(size)]
+            pairs = (who[:, :, None] * n + who[:, None, :]).reshape(-1)
+            where, count = np.unique(pairs, return_counts=True)
+            flat[where] += count
+    both = sizes[:, None] + sizes[None, :]
+    linked = UNDER * shared >= OVER * (both - shared)
+    np.fill_diagonal(linked, False)
+    if own.min() != own.max():
+        linked &= own[:, None] != own[None, :]
+    # breadth first from each set not yet reached
+    left, a, b = np.ones(n, bool), [], []
+    for root in range(n):
+        if not left[root]:
             continue
-        links = written(links.unionByName(_verified(more, sets)))
-        tried = written(tried.unionByName(more))
-    return _with_components(rows, nodes, connected_components(links))
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            reached = np.flatnonzero(linked[front].any(0) & left)
+            if len(reached):
+                parent = front[linked[front][:, reached].argmax(0)]
+                a.append(parent)
+                b.append(reached)
+                left[reached] = False
+            front = reached
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _with_components(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
