@@ -39,7 +39,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact texts in the five encodings by id, some with a NUL, some invalid."""
     c, k = load(spark, sf_dir, "contacts"), F.col("doc_id") % 5
     code = F.when(k == 0, "utf-16le").when(k == 1, "utf-16be").when(k == 2, "utf-8-bom").when(k == 3, "utf-8").otherwise("gbk")
-    plain = F.when(F.col("doc_id") % 31 == 0, F.concat("text", F.lit("\0"))).when(k == 4, F.replace("text", F.lit("😀"), F.lit(""))).otherwise(F.col("text"))
+    base = F.when(k == 4, F.replace("text", F.lit("😀"), F.lit(""))).otherwise(F.col("text"))  # GBK has no emoji
+    plain = F.when(F.col("doc_id") % 31 == 0, F.concat(base, F.lit("\0"))).otherwise(base)
     good, _ = encodings.encode_corpus(c.select("doc_id", plain.alias("text"), code.alias("encoding")))
     broken = F.when(F.col("doc_id") % 37 == 0, F.lit(bytes([0x80, 0xFF]))).otherwise(F.col("content"))
     path = workspace(spark)
