@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from desense.llm.common import written
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 FIXED, QUADRATIC = 128, 32_768
 SHARD_PIECES = 20_000
@@ -71,7 +73,7 @@ def pack(runs: DataFrame, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[in
     lengths = tuple(sorted(lengths))
     most = lengths[-1]
     n = F.col("n_tokens")
-    rows = runs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n_tokens"))
+    rows = written(runs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n_tokens")))
     has = (n > 0) & F.col("doc_id").isNotNull()
     last = F.ceil(n / most).cast("int") - 1
     pieces = rows.where(has).select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"), last.alias("_last"))
