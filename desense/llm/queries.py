@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, oracles, packing, quality, token_files, token_rollup, url_filter
-from desense.llm.common import scratch, table, words
+from desense.llm.common import scratch, table, words, written
 
 #: Rules and the host labels whose urls are listed.
 URL_RULES = [
@@ -71,10 +71,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts under v1, then v2 counts where they differ, then deletes of exact copies;
     the first two batches are delivered twice."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = written(table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", F.xxhash64("text", F.length("text")).alias("h"),
         F.regexp_count("text", F.lit(oracles.V1)).alias("v1"), F.regexp_count("text", F.lit(oracles.V2)).alias("v2"),
-    )
+    ))
     count = lambda df, v: df.select("source", "lang", F.lit(f"words-{v}").alias("tokenizer_version"), F.col(v).alias("n_tokens"))
     changed = docs.where("v1 <> v2")
     first = docs.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first_id"))
