@@ -42,6 +42,8 @@ P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 BINS, BIN_SCALE = 4096, 32
+#: Estimates of at most so many groups (about 10 MB) are broadcast, of more are shuffled.
+BROADCAST_GROUPS = 50_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -168,11 +170,16 @@ def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
     return _factored(moments, cov)
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """A written table of one short row a group, broadcast if it has few rows."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Estimates for rows (grp, x0..x3): grp, n, means m and Cholesky factor l."""
-    params = _start(rows)
+    params = _few(written(_start(rows)))
     for _ in range(steps):
-        params = _concentrated(rows, params)
+        params = _few(written(_concentrated(rows, params)))
     return params
 
 
@@ -184,14 +191,14 @@ def judged(docs: DataFrame, keep: list[str], min_group: int = MIN_GROUP, steps:
     stats = written(text_stats(named, ["_row", *keys]))
     out = ["_row", *STATS, "base_failed"]
     passed = stats.where("not base_failed").select(*out, *features(), *keys)
-    sizes = written(passed.groupBy(*keys).agg((F.count(F.lit(1)) >= min_group).alias("own")).withColumnsRenamed({k: f"of{k}" for k in keys}))
+    sizes = _few(written(passed.groupBy(*keys).agg((F.count(F.lit(1)) >= min_group).alias("own")).withColumnsRenamed({k: f"of{k}" for k in keys})))
     same = [F.col(k).eqNullSafe(F.col(f"of{k}")) for k in keys]
     lang = F.struct(F.col("_lang").alias("l"))
     both = F.struct(F.col("_lang").alias("l"), F.struct(F.col("_source").alias("s")).alias("of"))
     group = F.when(F.col("own"), F.to_json(both)).otherwise(F.to_json(lang)).alias("grp")
     grouped = passed.join(sizes, same).select(*out, *X, group)
     vectors = written(grouped.select("grp", *X))
-    params = written(mcd_estimates(vectors, steps).where(F.col("n") >= min_group))
+    params = _few(written(mcd_estimates(vectors, steps).where(F.col("n") >= min_group)))
     rows = _with_distance(grouped, params, "left").select(*out, "d2")  # no estimate: null
     kept = rows.select(*out, F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"), "d2")
     failed = stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))
