@@ -16,6 +16,14 @@ ESCAPE = 15
 _COUNT_OF = np.array([*COUNTS, 0, 1])
 
 
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value, over 53 bits one too many at most; small values by a table."""
+    most = int(values.max()) if len(values) else 0
+    if most < 1 << 20:
+        return np.frexp(np.arange(most + 1, dtype=np.float64))[1].astype(np.int8)[values.astype(np.int64)]
+    return np.frexp(values.astype(np.float64))[1].astype(np.int8)
+
+
 def encode(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Words of all runs, and where each run begins (one more at the end). Each word takes
     as many of its run's next values as any selector can."""
@@ -28,21 +36,20 @@ def encode(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values[inside] = np.concatenate(runs)
     real = np.zeros(len(values), bool)
     real[inside] = True
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # one too many at most, over 53 bits
+    bits = _bit_lengths(values)
     widest, span = bits, 1
     selector = np.where(bits > WIDTHS[0], np.int8(ESCAPE), np.int8(0))
     for s in range(1, len(COUNTS)):
         more = COUNTS[s] - span
         widest, span = np.maximum(widest[:-more], widest[more:]), COUNTS[s]
-        fits = np.flatnonzero(widest <= WIDTHS[s])
-        fits = fits[real[fits]]
-        if not len(fits):
+        fits = (widest <= WIDTHS[s]) & real[: len(widest)]
+        if not fits.any():
             break
-        selector[fits] = s
+        selector[: len(fits)][fits] = s
+    # from a word's first value to the next word's; past the end, to the next run
     after = np.arange(len(values)) + _COUNT_OF[selector]
-    ends = np.repeat(begins[:-1] + sizes, sizes)
-    follow = np.where(after[inside] >= ends, np.repeat(begins[1:], sizes), after[inside])
-    after[inside] = follow
+    over = np.flatnonzero(~real[np.minimum(after, len(values) - 1)] & real) if len(values) else after
+    after[over] = begins[np.searchsorted(begins, over, side="right")]
     # empty runs have no word: skip from their begin to the next one that has
     filled = begins[:-1][sizes > 0]
     skip = np.concatenate([filled, begins[-1:]])

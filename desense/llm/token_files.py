@@ -38,7 +38,7 @@ KNOWN_WORDS = 400_000
 #: does; all others go to the library whole.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xFFŒœ–—‘’“”…]")
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ", "0-9²³¹¼½¾"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
+_SPLIT = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
 
 BLOCKS = (
     "part int, block int, before long, doc_ids array<long>, counts array<int>, offsets array<int>, words binary"
