@@ -33,7 +33,7 @@ KNOWN_WORDS = 600_000
 #: cases are the same in every Unicode version.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xFFŒœ–—‘’“”…]")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿœ", "0-9²³¹¼½¾"
-LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
+LATIN_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 
 
 class WordCodec:
