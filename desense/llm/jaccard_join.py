@@ -198,33 +198,34 @@ def signed_sets(docs: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """(set_id, elements) of each text."""
+    """(set_id, n, elements) of each text; n is the number of elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = shingle_sets(batch.column("text"))
             ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "elements"])
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "n", "elements"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, elements array<long>").where("set_id is not null")
+    return docs.select("text").mapInArrow(run, "set_id long, n int, elements array<long>").where("set_id is not null")
+
+
+def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows with the given ids, which are broadcast if they are few; so what is
+    shuffled later is only what will find a partner."""
+    ids = written(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() * 8 <= BROADCAST_BYTES else ids, column, "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets at the threshold."""
-    size = F.size("elements")
-    left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("ea"), size.alias("na"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("eb"), size.alias("nb"))
+    """The pairs (a, b) of sets at the threshold; sizes are compared before elements."""
+    size = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"))
     near = UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb")
+    pairs = written(pairs.join(size("a"), "a").join(size("b"), "b").where(near))
+    side = lambda c: _among(sets, pairs.select(F.col(c).alias("set_id")), "set_id").select(F.col("set_id").alias(c), F.col("elements").alias(f"e{c}"))
     both = F.size(F.array_intersect("ea", "eb"))
-    found = pairs.join(left, "a").join(right, "b").where(near)
-    return found.where(UNDER * both >= OVER * (F.col("na") + F.col("nb") - both)).select("a", "b")
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with the given doc_ids, which are broadcast if they are few."""
-    if ids.count() * 8 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    return found.where(UNDER * both >= OVER * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -237,7 +238,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = written(members.where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b")).distinct())
     # sets of all candidates, from one text each
     wanted = members.select("set_id").distinct().join(nodes, "set_id").select(F.col("first_id").alias("doc_id"))
-    sets = written(whole_sets(_texts_of(docs, written(wanted.distinct()))).groupBy("set_id").agg(F.first("elements").alias("elements")))
+    texts = _among(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id")
+    sets = written(whole_sets(texts))
     links = written(_verified(pairs, sets))
     labels = connected_components(links)
     state = _open_buckets(members, labels)
@@ -266,13 +268,13 @@ def _family_links(state: DataFrame, sets: DataFrame) -> DataFrame:
     low = state.groupBy("sig").agg(F.min("set_id").alias("a"))
     edges = state.join(low, "sig").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
     family = connected_components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
-    placed = written(family.join(sets.select("set_id", F.size("elements").alias("n")), "set_id"))
+    placed = written(family.join(sets.select("set_id", "n").distinct(), "set_id"))
     sizes = placed.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     placed = placed.join(sizes, "family").select("set_id", "family", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("set_id", "family", "own", other)
     dealt = dealt.select("set_id", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(sets, "set_id")
+    rows = dealt.join(_among(sets, placed.select("set_id"), "set_id"), "set_id")
 
     def forest(group: pa.Table) -> pa.Table:
         elements = group.column("elements").combine_chunks()
