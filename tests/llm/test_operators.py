@@ -280,6 +280,23 @@ def test_connected_components(spark):
     assert {r.node: r.root for r in got.collect()} == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
+def test_components_of_a_path_with_two_roots(spark):
+    ids = [0, 2, 3, 5, 4, 1]
+    got = components.connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == dict.fromkeys(range(6), 0)
+
+
+@pytest.mark.parametrize("path", [True, False])
+def test_components_of_random_paths_and_trees(spark, path):
+    rnd = np.random.default_rng(5)
+    for _ in range(8):
+        n = int(rnd.integers(6, 9))
+        ids = rnd.permutation(n).tolist()
+        edges = [(ids[i], ids[i - 1 if path else int(rnd.integers(0, i))]) for i in range(1, n)]
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.root for r in got.collect()} == dict.fromkeys(range(n), 0), edges
+
+
 # --- token counts, token files ---------------------------------------------------------
 
 
