@@ -1,12 +1,13 @@
 """License scans: phrases at their places, and templates by a positional rare-token index.
 
 Base labels come from fixed phrases whose words stand consecutively. Further labels
-come from licence templates: the words of all templates are the licence words; for a
-file, those of its licence words that are rarest in the corpus (highest IDF, words of
-more than a share ``COMMON`` of all documents excepted) are looked up in the index word -> (template, position). A posting and an occurrence agree on where
-the template would begin; beginnings on which enough of the looked-up weight agrees are
-candidates, and one counts if a mandatory key phrase of its template stands at the place
-the alignment gives it, within ``SLACK`` words.
+come from licence templates, whose words (but those of more than a share ``COMMON`` of
+all documents) are the licence words. Phrases are looked up by their rarest word (highest
+IDF). A mandatory key phrase of a template that stands in a file tells where the template
+would begin, give or take ``SLACK`` words. Of the template's words in the stretch from
+there the ``RAREST`` rarest are looked at, and the label counts if enough of their weight
+stands where the template has it. Each beginning is judged by its own stretch, so what
+else a file holds does not change it.
 
 Words are found by vectorised steps over the bytes of many texts; only words that are
 licence words by their first eight bytes and length become Python objects.
@@ -180,8 +181,8 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, d
 
 def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list = TEMPLATES, rarest: int = RAREST, share: float = SHARE, common: float = COMMON) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score (the greatest share of looked-up weight that agrees, 1
-    with a base label)."""
+    base_labels, labels, score (the greatest share of a template's weight that agrees,
+    1 with a base label)."""
     index = LicenceIndex(dict(phrases), list(templates))
     vocabulary = index.vocabulary()
     total, frequency = document_frequencies(docs, vocabulary)
@@ -191,34 +192,50 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, postings, keys = _Finder(vocabulary), index.postings(), index.keys()
-        base = [(p.split(), label) for p, label in index.phrases.items()]
-        rank = {w: (-idf[w], w) for w in postings}
-        template_words = [text.split() for _, text, _ in index.templates]
-
-        rarest_of = [max(ws, key=lambda w: (idf[w], w)) for ws, _ in base]
-        needles = {i for i, w in enumerate(vocabulary) if w in rarest_of or w in postings and idf[w] >= least_idf}
-
-        def judge(found: dict[int, int]) -> tuple:
-            word_at = {at: vocabulary[w] for at, w in found.items()}
-            stands = lambda at, ws: all(word_at.get(at + i) == w for i, w in enumerate(ws))
-            places, labels, own = [], set(), set()
-            for ws, label in base:
-                mine = [at for at, w in word_at.items() if w == ws[0] and stands(at, ws)]
-                places += mine
-                labels |= {label} if mine else set()
-            looked_up = sorted({w for w in word_at.values() if w in rank and idf[w] >= least_idf}, key=rank.__getitem__)[:rarest]
-            agree: dict[tuple[int, int], float] = defaultdict(float)
-            for at, w in word_at.items():
+        finder, postings, number = _Finder(vocabulary), index.postings(), {w: i for i, w in enumerate(vocabulary)}
+        rank = {w: (-idf[w], w) for w in vocabulary}
+        template_words = [[number[w] for w in text.split()] for _, text, _ in index.templates]
+        weights = [idf[w] for w in vocabulary]
+        by_rank = [sorted({w for w in ws if weights[w] >= least_idf}, key=lambda w: rank[vocabulary[w]]) for ws in template_words]
+        # each phrase under its rarest word: where that stands in it, its words, and its
+        # label or its template and where it stands there
+        anchored: dict[int, list[tuple]] = defaultdict(list)
+        key_phrases = [(ws, None, t, at) for t, own in enumerate(index.keys()) for at, ws in own]
+        for ws, label, t, at in [*((p.split(), label, None, 0) for p, label in index.phrases.items()), *key_phrases]:
+            rarest_word = min(ws, key=rank.__getitem__)
+            anchored[number[rarest_word]].append((ws.index(rarest_word), [number[w] for w in ws], label, t, at))
+        base_anchors = {w for w, own in anchored.items() if any(t is None for _, _, _, t, _ in own)}
+        needles = base_anchors | {number[w] for w in postings if idf[w] >= least_idf}
+
+        def share_of(word_at: dict[int, int], t: int, begin: int) -> float:
+            """Share of the weight of the template's rarest words near ``begin`` that stands
+            where the template has it."""
+            ws = template_words[t]
+            near = {w for at in range(begin - SLACK, begin + len(ws) + SLACK) if (w := word_at.get(at)) is not None}
+            looked_up = set([w for w in by_rank[t] if w in near][:rarest])
+            whole = agrees = 0.0
+            for at, w in enumerate(ws):
                 if w in looked_up:
-                    for t, place in postings[w]:
-                        agree[t, at - place] += idf[w]
+                    whole += weights[w]
+                    agrees += weights[w] if word_at.get(begin + at) == w else 0.0
+            return agrees / whole if whole else 0.0
+
+        def judge(word_at: dict[int, int]) -> tuple:
+            places, labels, own, begins = [], set(), set(), set()
+            for anchor, w in word_at.items():
+                for shift, ws, label, t, at in anchored.get(w, ()):
+                    start = anchor - shift
+                    if all(word_at.get(start + i) == w for i, w in enumerate(ws)):
+                        if t is None:
+                            places.append(start)
+                            labels.add(label)
+                        else:
+                            begins |= {(t, start - at - slip) for slip in range(-SLACK, SLACK + 1)}
             best = 0.0
-            for (t, begin), weight in agree.items():
-                whole = sum(idf[w] for w in template_words[t] if w in looked_up) or 1.0
-                if weight >= share * whole and any(stands(begin + at + slip, ws) for at, ws in keys[t] for slip in range(-SLACK, SLACK + 1)):
+            for t, begin in begins:
+                if (agrees := share_of(word_at, t, begin)) >= share:
                     own.add(index.templates[t][0])
-                    best = max(best, weight / whole)
+                    best = max(best, agrees)
             score = 1.0 if labels else min(1.0, best)
             return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own)), score
 

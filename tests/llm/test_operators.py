@@ -207,6 +207,22 @@ def test_licence_places(spark):
     assert got[0].n_words == 0 and got[2].base_labels == "mit" and all(0 <= r.score <= 1 for r in got.values())
 
 
+MIT_TEXT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+
+
+def licence_labels(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in sorted(licence_scan.scan_licences(docs).collect())]
+
+
+def test_licences_of_one_file_do_not_crowd_out_each_other(spark):
+    notices = {label: text for label, text, _ in licence_scan.TEMPLATES}
+    others = [n for n in notices if n != "mit"]
+    got = licence_labels(spark, [f"{MIT_TEXT} {filler} {notices[n]}" for n in others for filler in ("", "word " * 40)] + [" word word word ".join(notices.values())] + ["nothing"] * 400)[:-400]
+    assert got[:-1] == [",".join(sorted(["mit", n])) for n in others for _ in range(2)]
+    assert got[-1] == ",".join(sorted(notices))
+
+
 # --- near duplicates -------------------------------------------------------------------
 
 
