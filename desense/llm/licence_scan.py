@@ -1,13 +1,13 @@
 """License scans: phrases at their places, and templates by a positional rare-token index.
 
 Base labels come from fixed phrases whose words stand consecutively. Further labels
-come from licence templates, whose words (but those of more than a share ``COMMON`` of
-all documents) are the licence words. Phrases are looked up by their rarest word (highest
-IDF). A mandatory key phrase of a template that stands in a file tells where the template
-would begin, give or take ``SLACK`` words. Of the template's words in the stretch from
-there the ``RAREST`` rarest are looked at, and the label counts if enough of their weight
-stands where the template has it. Each beginning is judged by its own stretch, so what
-else a file holds does not change it.
+come from licence templates; the words of all are the licence words. Phrases are looked
+up by their rarest word (highest IDF), however common that is. A mandatory key phrase of
+a template that stands in a file tells where the template would begin, give or take
+``SLACK`` words. Of the template's words in the stretch from there the ``RAREST`` rarest
+are looked at, and the label counts if enough of their weight stands where the template
+has it. Each beginning is judged by its own stretch, so what else a file holds does not
+change it.
 
 Words are found by vectorised steps over the bytes of many texts; only words that are
 licence words by their first eight bytes and length become Python objects.
@@ -58,8 +58,6 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
 RAREST = 8
-#: Words that stand in more than this share of all documents are not looked up.
-COMMON = 0.2
 SHARE = 0.5
 SLACK = 2
 
@@ -72,7 +70,7 @@ _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype
 
 @dataclass(frozen=True)
 class LicenceIndex:
-    """Templates as words, and the postings of their words."""
+    """Templates as words, and the places of their key phrases."""
 
     phrases: dict[str, str]
     templates: list[tuple[str, str, list[str]]]
@@ -81,13 +79,6 @@ class LicenceIndex:
         texts = [*self.phrases, *(t for _, t, _ in self.templates), *(p for _, _, ps in self.templates for p in ps)]
         return sorted({w for t in texts for w in t.split()})
 
-    def postings(self) -> dict[str, list[tuple[int, int]]]:
-        found = defaultdict(list)
-        for i, (_, text, _) in enumerate(self.templates):
-            for at, w in enumerate(text.split()):
-                found[w].append((i, at))
-        return dict(found)
-
     def keys(self) -> list[list[tuple[int, list[str]]]]:
         """For each template its key phrases with where they stand in it."""
         out = []
@@ -179,24 +170,23 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, d
     return found.pop(-1, 0), {vocabulary[w]: n for w, n in found.items()}
 
 
-def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list = TEMPLATES, rarest: int = RAREST, share: float = SHARE, common: float = COMMON) -> DataFrame:
+def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list = TEMPLATES, rarest: int = RAREST, share: float = SHARE) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score (the greatest share of a template's weight that agrees,
     1 with a base label)."""
     index = LicenceIndex(dict(phrases), list(templates))
     vocabulary = index.vocabulary()
     total, frequency = document_frequencies(docs, vocabulary)
-    # a word without documents is the rarest; small tables have no common words
+    # a word without documents is the rarest
     idf = {w: math.log((10 + total) / (1 + frequency.get(w, 0))) for w in vocabulary}
-    least_idf = -math.log(common)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, postings, number = _Finder(vocabulary), index.postings(), {w: i for i, w in enumerate(vocabulary)}
+        finder, number = _Finder(vocabulary), {w: i for i, w in enumerate(vocabulary)}
         rank = {w: (-idf[w], w) for w in vocabulary}
         template_words = [[number[w] for w in text.split()] for _, text, _ in index.templates]
         weights = [idf[w] for w in vocabulary]
-        by_rank = [sorted({w for w in ws if weights[w] >= least_idf}, key=lambda w: rank[vocabulary[w]]) for ws in template_words]
+        by_rank = [sorted(set(ws), key=lambda w: rank[vocabulary[w]]) for ws in template_words]
         # each phrase under its rarest word: where that stands in it, its words, and its
         # label or its template and where it stands there
         anchored: dict[int, list[tuple]] = defaultdict(list)
@@ -204,8 +194,6 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
         for ws, label, t, at in [*((p.split(), label, None, 0) for p, label in index.phrases.items()), *key_phrases]:
             rarest_word = min(ws, key=rank.__getitem__)
             anchored[number[rarest_word]].append((ws.index(rarest_word), [number[w] for w in ws], label, t, at))
-        base_anchors = {w for w, own in anchored.items() if any(t is None for _, _, _, t, _ in own)}
-        needles = base_anchors | {number[w] for w in postings if idf[w] >= least_idf}
 
         def share_of(word_at: dict[int, int], t: int, begin: int) -> float:
             """Share of the weight of the template's rarest words near ``begin`` that stands
@@ -218,7 +206,7 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 if w in looked_up:
                     whole += weights[w]
                     agrees += weights[w] if word_at.get(begin + at) == w else 0.0
-            return agrees / whole if whole else 0.0
+            return agrees / whole
 
         def judge(word_at: dict[int, int]) -> tuple:
             places, labels, own, begins = [], set(), set(), set()
@@ -240,7 +228,7 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own)), score
 
         for batch in text_slices(batches):
-            n_words, found = finder.find(batch.column("text"), needles)
+            n_words, found = finder.find(batch.column("text"), set(anchored))
             judged = [judge(found[i]) if i in found else (0, None, None, "", "", 0.0) for i in range(batch.num_rows)]
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
             rest = [pa.array(c, t) for c, t in zip(zip(*judged, strict=True), types, strict=True)]

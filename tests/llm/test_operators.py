@@ -223,6 +223,12 @@ def test_licences_of_one_file_do_not_crowd_out_each_other(spark):
     assert got[-1] == ",".join(sorted(notices))
 
 
+@pytest.mark.parametrize("notice", ["All rights reserved.", "Licensed under CC BY SA 4.0.", licence_scan.TEMPLATES[9][1]])
+def test_licence_of_a_hot_source_keeps_its_label(spark, notice):
+    alone = licence_labels(spark, [notice])
+    assert alone[0] and licence_labels(spark, [notice] * 60 + ["nothing"] * 90)[:60] == alone * 60
+
+
 # --- near duplicates -------------------------------------------------------------------
 
 
