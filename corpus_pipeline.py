@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from desense.llm import jaccard_join, language_id, packing, quality
 from desense.llm.common import table, words, written
 
+#: Near duplicates: words in a shingle, and the similarity as a ratio of whole numbers.
+SHINGLE, OVER, UNDER = 5, 80, 100
 #: Packing is greedy, which SQL cannot express; tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
@@ -31,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once; rows
     without an id, which can't be told apart, all stay."""
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_components(docs, SHINGLE, OVER, UNDER)
     stay = written(found.where("doc_id = component_id").select("doc_id").distinct())
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from desense.llm.common import text_bytes, text_slices, word_spans, written
 from desense.llm.components import connected_components
 
+#: Defaults, of ``op8_jaccard_join``: words in a shingle, and the threshold as a ratio of
+#: whole numbers. Bands and signatures are derived from the threshold.
 SHINGLE = 4
-#: The threshold as a ratio of whole numbers.
 OVER, UNDER = 85, 100
 #: Bands with at most this many differences enumerate pairs out of three smaller parts.
 ENUMERATED = 12
@@ -112,22 +113,22 @@ def set_id(elements: np.ndarray) -> int:
     return int(_mix(total * _ODD[1] + np.uint64(len(elements))).view(np.int64)[0])
 
 
-@lru_cache(maxsize=1)
-def _bands() -> tuple[list[int], list[int]]:
+@lru_cache(maxsize=None)
+def _bands(over: int = OVER, under: int = UNDER) -> tuple[list[int], list[int]]:
     """Smallest and largest set size of each band."""
     low, high = [1], [1]
     while high[-1] < 1 << 40:
         low.append(high[-1] + 1)
-        high.append(max(low[-1], low[-1] * UNDER // OVER))
+        high.append(max(low[-1], low[-1] * under // over))
     return low, high
 
 
 @lru_cache(maxsize=None)
-def plan(band: int) -> tuple[int, int, int, int]:
+def plan(band: int, over: int = OVER, under: int = UNDER) -> tuple[int, int, int, int]:
     """n1, n2, k2 and how many of the n1 parts are sure to agree in a subset, for pairs
     whose larger set is in this band."""
-    low, high = _bands()
-    k = 2 * high[band] * (UNDER - OVER) // (UNDER + OVER)
+    low, high = _bands(over, under)
+    k = 2 * high[band] * (under - over) // (under + over)
     if k == 0:
         return 1, 1, 0, 1
     n2, k2 = (3, 1) if k <= ENUMERATED else (1, 0)
@@ -143,15 +144,15 @@ def plan(band: int) -> tuple[int, int, int, int]:
     return n1, n2, k2, n1 - sure
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
+def signatures(elements: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
     """All signatures of a sorted set, in its own band and the next."""
     n = len(elements)
-    low, high = _bands()
+    low, high = _bands(over, under)
     own = int(np.searchsorted(high, n))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(elements + _ODD[2]), dtype=np.uint64)])
     found = []
     for band in (own, own + 1):
-        n1, n2, k2, agree = plan(band)
+        n1, n2, k2, agree = plan(band, over, under)
         parts = n1 * n2
         step = ((1 << 64) - 1) // parts + 1
         cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64(step) if parts > 1 else np.zeros(0, np.uint64)
@@ -163,46 +164,46 @@ def signatures(elements: np.ndarray) -> np.ndarray:
         filled = count > 0
         found.append(_mix(total * _ODD[0] + salt)[filled])
         if (~filled).any(1).sum() >= agree:
-            prefix = n - -(-OVER * n // UNDER) + 1
+            prefix = n - -(-over * n // under) + 1
             found.append(_mix(elements[:prefix] * _ODD[3] + np.uint64((band << 32) + (1 << 31))))
     return np.concatenate(found).view(np.int64)
 
 
-def shingled(docs: DataFrame) -> DataFrame:
+def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_id): set_id is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = shingle_sets(batch.column("text"))
+            sets = shingle_sets(batch.column("text"), shingle)
             ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), ids], names=["doc_id", "n_shingles", "set_id"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
 
-def signed_sets(docs: DataFrame) -> DataFrame:
+def signed_sets(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
     """(sig, set_id), each set once a partition: copies read by one task add nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in text_slices(batches):
             sigs, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s in shingle_sets(batch.column("text")):
+            for s in shingle_sets(batch.column("text"), shingle):
                 if len(s) and (i := set_id(s)) not in seen:
                     seen.add(i)
-                    sigs.append(signatures(s))
+                    sigs.append(signatures(s, over, under))
                     ids.append(np.full(len(sigs[-1]), i))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "set_id"])
 
     return docs.select("text").mapInArrow(run, "sig long, set_id long")
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(set_id, n, elements) of each text; n is the number of elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = shingle_sets(batch.column("text"))
+            sets = shingle_sets(batch.column("text"), shingle)
             ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "n", "elements"])
@@ -217,34 +218,35 @@ def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() * 8 <= BROADCAST_BYTES else ids, column, "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
     """The pairs (a, b) of sets at the threshold; sizes are compared before elements."""
     size = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"))
-    near = UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb")
+    near = under * F.least("na", "nb") >= over * F.greatest("na", "nb")
     pairs = written(pairs.join(size("a"), "a").join(size("b"), "b").where(near))
     side = lambda c: _among(sets, pairs.select(F.col(c).alias("set_id")), "set_id").select(F.col("set_id").alias(c), F.col("elements").alias(f"e{c}"))
     both = F.size(F.array_intersect("ea", "eb"))
     found = pairs.join(side("a"), "a").join(side("b"), "b")
-    return found.where(UNDER * both >= OVER * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
+    return found.where(under * both >= over * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    rows = written(shingled(docs))
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); sets of
+    ``shingle`` words link at a similarity of ``over / under``."""
+    rows = written(shingled(docs, shingle))
     nodes = written(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id")))
-    sigs = signed_sets(docs).repartition("sig")
+    sigs = signed_sets(docs, shingle, over, under).repartition("sig")
     shared = sigs.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
     members = written(sigs.join(shared.select("sig", "low"), "sig").distinct())
     pairs = written(members.where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b")).distinct())
     # sets of all candidates, from one text each
     wanted = members.select("set_id").distinct().join(nodes, "set_id").select(F.col("first_id").alias("doc_id"))
     texts = _among(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id")
-    sets = written(whole_sets(texts))
-    links = written(_verified(pairs, sets))
+    sets = written(whole_sets(texts, shingle))
+    links = written(_verified(pairs, sets, over, under))
     labels = connected_components(links)
     state = _open_buckets(members, labels)
     if not state.isEmpty():
-        links = written(links.unionByName(_family_links(state, sets)))
+        links = written(links.unionByName(_family_links(state, sets, over, under)))
         labels = connected_components(links)
     return _with_components(rows, nodes, labels)
 
@@ -257,7 +259,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(labelled.join(spans, "sig").select("sig", "set_id"))
 
 
-def _family_links(state: DataFrame, sets: DataFrame) -> DataFrame:
+def _family_links(state: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
     """Links (a, b) among sets that share an open bucket, directly or over others.
 
     Sets joined by open buckets are a family; every candidate pair lies in one. A family
@@ -280,13 +282,13 @@ def _family_links(state: DataFrame, sets: DataFrame) -> DataFrame:
         elements = group.column("elements").combine_chunks()
         own, ids = group.column("own").to_numpy(), group.column("set_id").to_numpy()
         values, ends = np.asarray(elements.flatten()), np.cumsum(np.asarray(pc.list_value_length(elements)))
-        a, b = linked_forest(values, ends, own)
+        a, b = linked_forest(values, ends, own, over, under)
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
     return rows.groupBy("family", "i", "j").applyInArrow(forest, "a long, b long")
 
 
-def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray, over: int = OVER, under: int = UNDER) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what is linked among the sets whose elements end at ``ends``; if
     ``own`` has two values, only pairs of different values are compared.
 
@@ -318,7 +320,7 @@ def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tupl
             where, count = np.unique(pairs, return_counts=True)
             flat[where] += count
     both = sizes[:, None] + sizes[None, :]
-    linked = UNDER * shared >= OVER * (both - shared)
+    linked = under * shared >= over * (both - shared)
     np.fill_diagonal(linked, False)
     if own.min() != own.max():
         linked &= own[:, None] != own[None, :]

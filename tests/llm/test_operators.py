@@ -378,6 +378,26 @@ def test_pipeline_brute_force(spark):
     assert (held.t <= held.c).all()
 
 
+def test_near_duplicates_of_five_words_and_four_fifths(spark):
+    whole = lambda k: " ".join(f"{k}{i}" for i in range(104))
+    # 100 shingles of 5 words; an appended passage leaves 100 of 125, or 100 of 126
+    texts = [whole("a"), whole("a") + " " + " ".join(f"b{i}" for i in range(25)), whole("c"), whole("c") + " " + " ".join(f"d{i}" for i in range(26))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1.0) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 2, 3]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 10**6), st.floats(0, 1))
+def test_a_pair_at_four_fifths_shares_a_signature(n, seed, share):
+    rnd = np.random.default_rng(seed)
+    pool = np.unique(rnd.integers(0, 2**64, 2 * n + 2, dtype=np.uint64))
+    gone = int(share * n * 20 / 100)
+    a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[: n - gone], pool[n : n + int((1 - share) * n * 20 / 100)]]))
+    both = len(np.intersect1d(a, b))
+    if 100 * both >= 80 * (len(a) + len(b) - both):
+        assert set(jaccard_join.signatures(a, 80, 100)) & set(jaccard_join.signatures(b, 80, 100))
+
+
 def test_pipeline_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd(spark), "").columns == odd(spark).columns
