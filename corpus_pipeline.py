@@ -31,11 +31,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once; rows
-    without an id, which can't be told apart, all stay."""
-    found = jaccard_join.jaccard_components(docs, SHINGLE, OVER, UNDER)
-    stay = written(found.where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near duplicates, once, whatever
+    else has that id; rows without an id, which can't be told apart, all stay."""
+    found = jaccard_join.component_rows(docs, SHINGLE, OVER, UNDER)
+    first = found.where("doc_id = component_id")
+    # of several sets of a group with the smallest id one stays
+    stay = written(first.groupBy("doc_id", "root").agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias("_id"), "_set"))
+    rows = jaccard_join.with_set_id(docs.where("doc_id is not null"), SHINGLE)
+    kept = rows.join(stay, (F.col("doc_id") == F.col("_id")) & F.col("set_id").eqNullSafe(F.col("_set")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "set_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

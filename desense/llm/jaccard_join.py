@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from desense.llm.common import text_bytes, text_slices, word_spans, written
 from desense.llm.components import connected_components
@@ -232,6 +233,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataF
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); sets of
     ``shingle`` words link at a similarity of ``over / under``."""
+    return component_rows(docs, shingle, over, under).select("doc_id", "n_shingles", "component_id")
+
+
+def with_set_id(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, with set_id as a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            ids = pa.array([set_id(s) if len(s) else None for s in shingle_sets(batch.column("text"), shingle)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "set_id"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("set_id", LongType())]))
+
+
+def component_rows(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """As ``jaccard_components``, with set_id and root, a set_id that a component's rows
+    have in common; both are null for empty sets."""
     rows = written(shingled(docs, shingle))
     nodes = written(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id")))
     sigs = signed_sets(docs, shingle, over, under).repartition("sig")
@@ -240,8 +258,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER
     pairs = written(members.where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b")).distinct())
     # sets of all candidates, from one text each
     wanted = members.select("set_id").distinct().join(nodes, "set_id").select(F.col("first_id").alias("doc_id"))
-    texts = _among(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id")
-    sets = written(whole_sets(texts, shingle))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    sets = whole_sets(_among(texts, wanted.where("doc_id is not null"), "doc_id"), shingle)
+    # sets that only rows without an id have
+    unnamed = written(members.select("set_id").distinct().join(nodes.where("first_id is null"), "set_id").select("set_id"))
+    if not unnamed.isEmpty():
+        sets = sets.unionByName(_among(whole_sets(texts.where("doc_id is null"), shingle), unnamed, "set_id").dropDuplicates(["set_id"]))
+    sets = written(sets)
     links = written(_verified(pairs, sets, over, under))
     labels = connected_components(links)
     state = _open_buckets(members, labels)
@@ -346,6 +369,6 @@ def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray, over: i
 def _with_components(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_set = written(rooted.join(firsts, "root").select("set_id", "component_id"))
-    out = rows.where("set_id is not null").join(of_set, "set_id").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    of_set = written(rooted.join(firsts, "root").select("set_id", "root", "component_id"))
+    out = rows.where("set_id is not null").join(of_set, "set_id").select("doc_id", "n_shingles", "component_id", "set_id", "root")
+    return out.unionByName(rows.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_id", F.lit(None).cast("long").alias("root")))

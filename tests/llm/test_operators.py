@@ -398,6 +398,21 @@ def test_a_pair_at_four_fifths_shares_a_signature(n, seed, share):
         assert set(jaccard_join.signatures(a, 80, 100)) & set(jaccard_join.signatures(b, 80, 100))
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    whole = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, whole("a")), (2, whole("a", 59)), (2, whole("b")), (2, whole("b")), (3, whole("c")), (3, whole("d")), (4, whole("e")), (4, whole("e", 59)), (None, whole("f")), (None, whole("f", 59))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1.0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == {(1, "a"): 1, (2, "b"): 1, (3, "c"): 1, (3, "d"): 1, (4, "e"): 1, (None, "f"): 2}
+
+
+def test_components_of_sets_without_an_id(spark):
+    text = [" ".join(f"w{i}" for i in range(lo, lo + 100)) for lo in (0, 5, 10)]
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (7, text[2])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == [(97, 7)] * 4
+
+
 def test_pipeline_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd(spark), "").columns == odd(spark).columns
