@@ -1,4 +1,4 @@
-"""Regex matches with their places, as array expressions on a text column."""
+"""Regex matches in a text column, as expressions."""
 
 from __future__ import annotations
 
@@ -6,30 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def find_all(text: Column, pattern: Column) -> Column:
-    """Array of (value, start_at, end_at) in code points, half open, left to right.
-
-    What stands between matches comes from ``split``, the matches from
-    ``regexp_extract_all``; one fold over both gives the places. Empty matches are
-    left out. The work stays in the row, so nothing is shuffled.
-    """
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    values = F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    empty = F.array().cast("array<struct<value:string,start_at:int,end_at:int>>")
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.length(x["v"])
-        hit = F.struct(x["v"].alias("value"), start.alias("start_at"), end.alias("end_at"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(hit)).alias("found"))
-
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    hit = F.filter(folded, lambda m: m["end_at"] > m["start_at"])
-    return F.when(F.coalesce(F.rlike(text, pattern), F.lit(False)), hit).otherwise(empty)
-
-
-def without_digit_neighbours(text: Column, matches: Column) -> Column:
-    """Matches with no ASCII digit directly before or after them."""
-    digit = lambda at: F.substring(text, at, F.lit(1)).rlike("^[0-9]$")
-    return F.filter(matches, lambda m: ~((m["start_at"] > 0) & digit(m["start_at"])) & ~digit(m["end_at"] + 1))
+def pieces(text: Column, pattern: str) -> Column:
+    """The matches of a pattern (values) and how many code points stand before each of them
+    and after the last (gaps); null without a match. The work stays in the row, and the
+    pattern is compiled once."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(F.rlike(text, F.lit(pattern)), F.struct(gaps.alias("gaps"), values.alias("values")))

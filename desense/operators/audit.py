@@ -14,6 +14,17 @@ def leak_audit(redacted: DataFrame, selected: DataFrame) -> DataFrame:
     return values.join(redacted.select("doc_id", "redacted"), "doc_id").where(F.contains("redacted", F.col("value"))).select("doc_id", "entity_type", "value")
 
 
+def block_leaks(redacted: DataFrame, selected: DataFrame) -> DataFrame:
+    """The redacted documents; one in which a selected value is still found fails, and no
+    text of it comes out."""
+    leaks = leak_audit(redacted, selected).select("doc_id").distinct().withColumn("_leak", F.lit(True))
+    rows = redacted.join(leaks, "doc_id", "left")
+    return rows.select(
+        "doc_id", F.when(F.col("_leak").isNull(), F.col("redacted")).alias("redacted"), F.when(F.col("_leak").isNull(), F.col("n_spans")).otherwise(0).alias("n_spans"),
+        F.when(F.col("_leak"), "LEAK").otherwise(F.col("error")).alias("error"),
+    )
+
+
 def residual_rescan(redacted: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """What detectors still find in redacted texts: (entity_type, n)."""
     docs = redacted.select("doc_id", F.col("redacted").alias("text"))

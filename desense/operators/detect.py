@@ -1,19 +1,22 @@
 """Detectors: one document row gives many span rows.
 
 Spans are half open, in code points: (doc_id, entity_type, value, start_at, end_at,
-score, source, detector_order). Built-in patterns run as array expressions in the row;
-rules are a small table that the caller has validated (``validate_rules``).
+score, source, detector_order). Built-in patterns and regex rules run as expressions in
+the row, terms in one walk over the text; both in one pass (``onepass``). Rules are a
+small table that the caller has validated (``validate_rules``).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from desense.functions.matching import find_all, without_digit_neighbours
+from desense.operators import onepass
+from desense.operators.onepass import MOST_SPANS, Pattern, Term
 
 #: Type, pattern, score, whether a digit may stand next to it.
 PATTERNS = [
@@ -22,81 +25,82 @@ PATTERNS = [
     ("ID_CARD", r"[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]", 0.9, False),
 ]
 BUILT_IN, CUSTOM = "built-in", "custom rule"
-MOST_RULE_BYTES, MOST_TERMS, MOST_SPANS = 64 * 1024, 2000, 100_000
+MOST_RULE_BYTES, MOST_TERMS = 64 * 1024, 2000
+#: Rules of a job, and the bytes of a dictionary's terms that one scan looks for.
+MOST_RULES, MOST_DICTIONARY_BYTES = 1000, 32 << 20
 #: Java matches these, the rule language does not allow them.
-REFUSED = re.compile(r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9k]")
-SPAN = ["entity_type", "value", "start_at", "end_at", "score", "source", "detector_order"]
-
-
-def _exploded(docs: DataFrame, found: Column, entity_type: Column, score: Column, source: str, order: Column) -> DataFrame:
-    rows = docs.select("doc_id", F.explode(found).alias("m"), entity_type.alias("entity_type"), score.alias("score"), order.alias("detector_order"))
-    return rows.select("doc_id", "entity_type", "m.value", "m.start_at", "m.end_at", "score", F.lit(source).alias("source"), F.col("detector_order").cast("int"))
-
-
-def built_in_matches(text: Column, name: str) -> Column:
-    """Array of matches of one built-in pattern."""
-    _, pattern, _, beside_digits = next(p for p in PATTERNS if p[0] == name)
-    found = find_all(text, F.lit(pattern))
-    return found if beside_digits else without_digit_neighbours(text, found)
+REFUSED = r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9k]"
+SPAN = onepass.FIELDS
+BUILT_INS = [Pattern(t, p, score, BUILT_IN, i + 1, beside) for i, (t, p, score, beside) in enumerate(PATTERNS)]
+_LINES = re.compile(r"\r?\n")
+
+
+def dictionary_terms(pattern: str) -> list[str]:
+    """One term a line, without white space around it; blank lines are no terms, and a term
+    that comes again is one."""
+    return list(dict.fromkeys(t for t in map(str.strip, _LINES.split(pattern)) if t))
+
+
+def compiled_rules(rules: DataFrame | None, kind: str | None = None) -> tuple[list[Pattern], list[Term]]:
+    """Patterns and terms of the enabled rules. They become part of the plan, so the table
+    must be small: more than ``MOST_RULES`` rules are refused."""
+    if rules is None:
+        return [], []
+    on = rules.where("enabled") if kind is None else rules.where(F.col("enabled") & (F.col("kind") == kind))
+    rows = on.select("rule_id", "entity_type", "kind", "pattern").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules; a large dictionary is one table of terms (detect_terms)")
+    patterns, terms = [], []
+    for r in sorted(rows):
+        if r["kind"] == "regex":
+            patterns.append(Pattern(r["entity_type"], "(?Ud)" + r["pattern"], 1.0, CUSTOM, 100 + r["rule_id"]))
+        else:
+            own = dictionary_terms(r["pattern"]) if r["kind"] == "dictionary" else [r["pattern"]]
+            terms += [Term(r["entity_type"], t, CUSTOM, 100 + r["rule_id"]) for t in own]
+    return patterns, terms
 
 
 def detect_pattern(docs: DataFrame, name: str) -> DataFrame:
     """Spans of one built-in pattern."""
-    order = [p[0] for p in PATTERNS].index(name)
-    score = PATTERNS[order][2]
-    return _exploded(docs, built_in_matches(F.col("text"), name), F.lit(name), F.lit(score), BUILT_IN, F.lit(order + 1))
-
-
-def rule_patterns(rules: DataFrame) -> DataFrame:
-    """(rule_id, entity_type, kind, pattern): one row for each pattern of the enabled
-    rules. Dictionary terms are separate patterns, one a line (``|`` or newline)."""
-    on = rules.where("enabled")
-    quoted = lambda c: F.concat(F.lit(r"\Q"), F.regexp_replace(c, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E"))
-    terms = F.filter(F.transform(F.split("pattern", r"[\n|]"), F.trim), lambda t: t != "")
-    parts = F.when(F.col("kind") == "dictionary", terms).otherwise(F.array("pattern"))
-    rows = on.select("rule_id", "entity_type", "kind", F.explode(parts).alias("term"))
-    return rows.select("rule_id", "entity_type", "kind", F.when(F.col("kind") == "regex", F.concat(F.lit("(?Ud)"), "term")).otherwise(quoted(F.col("term"))).alias("pattern"))
+    return onepass.all_spans(docs, [p for p in BUILT_INS if p.entity_type == name], [])
 
 
 def detect_rules(docs: DataFrame, rules: DataFrame, kind: str | None = None) -> DataFrame:
-    """Spans of the enabled rules; each dictionary term is matched on its own. At most
-    2000 terms a rule, so the patterns are small and broadcast."""
-    patterns = rule_patterns(rules if kind is None else rules.where(F.col("kind") == kind))
-    joined = docs.select("doc_id", "text").join(F.broadcast(patterns), F.rlike("text", F.col("pattern")))
-    return _exploded(joined, find_all(F.col("text"), F.col("pattern")), F.col("entity_type"), F.lit(1.0), CUSTOM, 100 + F.col("rule_id"))
+    """Spans of the enabled rules; each dictionary term is matched on its own."""
+    return onepass.all_spans(docs, *compiled_rules(rules, kind))
 
 
 def detect_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans of a large dictionary (entity_type, term) by equi-join: every text window of
-    a length that occurs among the terms is looked up; of overlapping hits of one term the
-    leftmost stay."""
-    terms = terms.where("term <> ''").select("entity_type", "term", F.length("term").alias("n")).distinct()
-    lengths = terms.select("n").distinct()
-    at = F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("at")
-    windows = docs.select("doc_id", "text").join(F.broadcast(lengths), F.length("text") >= F.col("n")).select("doc_id", "text", "n", at)
-    windows = windows.select("doc_id", "at", F.substring("text", F.col("at"), F.col("n")).alias("term"))
-    hits = windows.join(terms, "term").groupBy("doc_id", "entity_type", "term", "n").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    pick = F.aggregate(
-        "ats", F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("kept")),
-        lambda s, a: F.when(a >= s["end"], F.struct((a + F.col("n")).alias("end"), F.concat(s["kept"], F.array(a)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    rows = hits.select("doc_id", "entity_type", "term", "n", F.explode(pick).alias("at"))
-    return rows.select("doc_id", "entity_type", F.col("term").alias("value"), (F.col("at") - 1).alias("start_at"), (F.col("at") - 1 + F.col("n")).alias("end_at"), F.lit(1.0).alias("score"), F.lit(CUSTOM).alias("source"), F.lit(100).alias("detector_order"))
+    """Spans of a large dictionary (entity_type, term): all its terms are looked for in one
+    walk over each text; of overlapping hits of one term the leftmost stay. Terms of over
+    ``MOST_DICTIONARY_BYTES`` are dealt to several scans by a hash, each for a bounded part."""
+    terms = terms.where("term <> ''").select("entity_type", "term").distinct()
+    size = terms.agg(F.sum(F.octet_length("term") + 64).alias("n")).first()["n"] or 0
+    scans, found = max(1, -(-int(size) // MOST_DICTIONARY_BYTES)), None
+    for i in range(scans):
+        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(scans)) == i)
+        hits = onepass.all_spans(docs, [], [Term(t, x, CUSTOM, 100) for t, x in sorted(map(tuple, part.collect()))])
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def detect_all(docs: DataFrame, rules: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
-    """All detectors, and spans from outside (detector order 0) where given."""
-    spans = detect_pattern(docs, PATTERNS[0][0])
-    for name, *_ in PATTERNS[1:]:
-        spans = spans.unionByName(detect_pattern(docs, name))
-    if rules is not None:
-        spans = spans.unionByName(detect_rules(docs, rules))
+    """All detectors in one scan, and spans from outside (detector order 0) where given."""
+    patterns, terms = compiled_rules(rules)
+    spans = onepass.all_spans(docs, BUILT_INS + patterns, terms)
     if annotations is not None:
         spans = spans.unionByName(annotations.withColumn("detector_order", F.lit(0)).select("doc_id", *SPAN))
     return spans
 
 
+def with_annotations(docs: DataFrame, status: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with what an annotation says of them, for ``onepass``: ok from
+    ``status`` (doc_id, ok), null where it is missing, and its spans as an array."""
+    ok = status.groupBy("doc_id").agg(F.bool_or("ok").alias("ok"))
+    found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "start_at", "end_at", F.col("score").cast("double").alias("score"), "source")).alias("spans"))
+    return docs.select("doc_id", "text").join(ok, "doc_id", "left").join(found, "doc_id", "left")
+
+
 def require_annotations(docs: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents whose annotation is done, and those that must fail: annotation missing or
     failed. ``status`` is (doc_id, ok)."""
@@ -106,39 +110,38 @@ def require_annotations(docs: DataFrame, status: DataFrame) -> tuple[DataFrame,
 
 def register_detector(docs: DataFrame, detector: Callable, order: int = 0) -> DataFrame:
     """Spans of a user's detector, a function on iterators of pandas frames: (doc_id, text)
-    in, (doc_id, entity_type, start_at, end_at, score) out. If it raises, the job fails."""
-    found = docs.select("doc_id", "text").mapInPandas(detector, "doc_id long, entity_type string, start_at int, end_at int, score double")
-    rows = found.join(docs.select("doc_id", "text"), "doc_id")
-    value = F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at"))
-    return rows.select("doc_id", "entity_type", value.alias("value"), "start_at", "end_at", "score", F.lit("model").alias("source"), F.lit(order).alias("detector_order"))
+    in, (doc_id, entity_type, start_at, end_at, score) out, for the rows of one frame in
+    one. If it raises, the job fails."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = dict(zip(frame["doc_id"], frame["text"], strict=True))
+            for hits in detector(iter([frame])):
+                value = [texts[d][a:b] for d, a, b in zip(hits["doc_id"], hits["start_at"], hits["end_at"], strict=True)]
+                yield hits.assign(value=value)[["doc_id", "entity_type", "value", "start_at", "end_at", "score"]]
+
+    found = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, entity_type string, value string, start_at int, end_at int, score double")
+    return found.select("*", F.lit("model").alias("source"), F.lit(order).alias("detector_order"))
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
-    """(rule_id, error): null where a rule is valid. Rules are few; each pattern is compiled
-    once on the driver, so the table is collected."""
-    spark = rules.sparkSession
-    rows = rules.select("rule_id", "name", "entity_type", "kind", "pattern").collect()
-    compile_java = spark._jvm.java.util.regex.Pattern.compile
-    out = []
-    for r in rows:
-        terms = [t for t in (x.strip() for x in re.split(r"[\n|]", r["pattern"] or "")) if t]
-        error = None
-        if not (r["name"] or "").strip() or not (r["entity_type"] or "").strip() or not r["pattern"]:
-            error = "BLANK"
-        elif len(r["pattern"].encode()) > MOST_RULE_BYTES:
-            error = "TOO_LONG"
-        elif r["kind"] == "dictionary" and not 1 <= len(terms) <= MOST_TERMS:
-            error = "TERMS"
-        elif r["kind"] == "regex" and REFUSED.search(r["pattern"]):
-            error = "REFUSED_CONSTRUCT"
-        elif r["kind"] == "regex":
-            try:
-                if compile_java("(?Ud)" + r["pattern"]).matcher("").find():
-                    error = "MATCHES_EMPTY"
-            except Exception:
-                error = "DOES_NOT_COMPILE"
-        out.append((r["rule_id"], error))
-    return spark.createDataFrame(out, "rule_id long, error string")
+    """(rule_id, error): null where a rule is valid. Expressions alone, in the table's own
+    partitions; a pattern is compiled where its row is."""
+    pattern, regex = F.col("pattern"), F.col("kind") == "regex"
+    blank = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit("")) == ""
+    lines = F.filter(F.transform(F.split(pattern, r"\r?\n"), lambda t: F.trim(F.regexp_replace(t, r"(?U)\s+", " "))), lambda t: t != "")
+    # whether the pattern matches the empty text, as text; null where it does not compile
+    matched = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), F.concat(F.lit("(?Ud)"), pattern), F.lit(""))
+    error = (
+        F.when(blank(F.col("name")) | blank(F.col("entity_type")) | (F.coalesce(F.length(pattern), F.lit(0)) == 0), "BLANK")
+        .when(F.octet_length(pattern) > MOST_RULE_BYTES, "TOO_LONG")
+        .when((F.col("kind") == "dictionary") & ~F.size(lines).between(1, MOST_TERMS), "TERMS")
+        .when(regex & pattern.rlike(REFUSED), "REFUSED_CONSTRUCT")
+        .when(regex & matched.isNull(), "DOES_NOT_COMPILE")
+        .when(regex & (matched == "true"), "MATCHES_EMPTY")
+    )
+    return rules.select("rule_id", error.alias("error"))
 
 
 def chunk_text(docs: DataFrame, stride: int = 400, width: int = 450) -> DataFrame:

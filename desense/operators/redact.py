@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from desense.functions.replacement import default_replacement
+from desense.operators import onepass
+from desense.operators.detect import BUILT_INS, MOST_SPANS, compiled_rules, with_annotations
+
+MOST_POLICIES = 1000
+#: Code points of a text that one bucket of offsets holds, for overlaps.
+OFFSET_BUCKET = 4096
 
 
 def resolve_replacement(spans: DataFrame, policies: DataFrame) -> DataFrame:
     """The replacement of each span: its own, else its type's first policy, else default.
-    Policies are one row a type, few, and broadcast."""
-    first = policies.groupBy("entity_type").agg(F.first("replacement").alias("_policy"))
+    Policies are one row a type, few, and broadcast; of several for a type the one with
+    the smallest policy_id counts (where there are none, the smallest replacement)."""
+    order = "policy_id" if "policy_id" in policies.columns else "replacement"
+    first = policies.groupBy("entity_type").agg(F.min_by("replacement", order).alias("_policy"))
     own = F.col("replacement") if "replacement" in spans.columns else F.lit(None).cast("string")
     text = F.coalesce(own, "_policy", default_replacement(F.col("entity_type"), F.col("value")))
     return spans.join(F.broadcast(first), "entity_type", "left").withColumn("replacement", text).drop("_policy")
 
 
-def fold_redaction(text: Column, edits: Column) -> Column:
-    """``text`` with sorted, disjoint edits (start_at, end_at, replacement) applied."""
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def policy_map(policies: DataFrame) -> dict[str, str]:
+    """The first policy of each type. Policies become part of the plan, so more than
+    ``MOST_POLICIES`` types are refused."""
+    order = "policy_id" if "policy_id" in policies.columns else "replacement"
+    rows = policies.groupBy("entity_type").agg(F.min_by("replacement", order).alias("replacement")).limit(MOST_POLICIES + 1).collect()
+    if len(rows) > MOST_POLICIES:
+        raise ValueError(f"policies for more than {MOST_POLICIES} types")
+    return {r["entity_type"]: r["replacement"] for r in rows if r["replacement"] is not None}
 
-    def step(s: Column, e: Column) -> Column:
-        plain = F.substring(text, s["at"] + 1, e["start_at"] - s["at"])
-        return F.struct(e["end_at"].alias("at"), F.concat(s["out"], F.array(plain, e["replacement"])).alias("out"))
 
-    return F.aggregate(edits, init, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+def redact_texts(docs: DataFrame, rules: DataFrame | None, policies: DataFrame, most_spans: int = MOST_SPANS, status: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
+    """(doc_id, redacted, n_spans, error): detection, conflicts and redaction of whole
+    documents in one scan without a shuffle. Given ``status`` (doc_id, ok) of an annotation
+    and its spans, documents whose annotation is missing or failed fail, and no text of
+    theirs comes out; that takes a join by id."""
+    patterns, terms = compiled_rules(rules)
+    rows = docs.select("doc_id", "text") if status is None else with_annotations(docs, status, annotations)
+    return onepass.redacted(rows, BUILT_INS + patterns, terms, policy_map(policies), most_spans, status is not None)
 
 
 def redact_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -39,7 +56,7 @@ def redact_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
     starts, ends = F.slice(F.transform("edits", lambda e: e["start_at"]), 2, 1 << 30), F.transform("edits", lambda e: e["end_at"])
     clash = F.exists(F.zip_with(starts, ends, lambda s, e: F.coalesce(s < e, F.lit(False))), lambda x: x)
     error = F.when(clash, "OVERLAP")
-    redacted = F.when(~clash, fold_redaction(F.col("text"), F.col("edits")))
+    redacted = F.when(~clash, onepass.edited(F.col("text"), F.col("edits")))
     return rows.select("doc_id", redacted.alias("redacted"), F.size("edits").alias("n_spans"), error.alias("error"))
 
 
@@ -70,9 +87,15 @@ def joined_text(fragments: DataFrame, separator: str = "") -> DataFrame:
 
 
 def piece_overlap(spans: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Spans x fragments of one document that overlap: an equi-join with a range residual."""
+    """Spans x fragments of one document that overlap: an equi-join on document and bucket
+    of offsets, with a range residual. A pair meets in several buckets if both reach into
+    them, and counts in the first."""
+    bucket = lambda at: F.floor(at / OFFSET_BUCKET).cast("int")
+    spread = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(a)), bucket(F.greatest(F.col(a), F.col(b) - 1)))))
     p = pieces.select("doc_id", "frag_no", F.col("start_at").alias("p_start"), F.col("end_at").alias("p_end"))
-    return spans.join(p, "doc_id").where((F.col("start_at") < F.col("p_end")) & (F.col("p_start") < F.col("end_at")))
+    met = spread(spans, "start_at", "end_at").join(spread(p, "p_start", "p_end"), ["doc_id", "_bucket"])
+    first = F.col("_bucket") == bucket(F.greatest("start_at", "p_start"))
+    return met.where((F.col("start_at") < F.col("p_end")) & (F.col("p_start") < F.col("end_at")) & first).drop("_bucket")
 
 
 def redact_fragments(fragments: DataFrame, spans: DataFrame, separator: str = "") -> DataFrame:
@@ -87,4 +110,4 @@ def redact_fragments(fragments: DataFrame, spans: DataFrame, separator: str = ""
     )
     edits = local.groupBy("doc_id", "frag_no").agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "replacement"))).alias("edits"))
     rows = fragments.select("doc_id", "frag_no", "text").join(edits, ["doc_id", "frag_no"], "left")
-    return rows.select("doc_id", "frag_no", F.when(F.col("edits").isNull(), F.col("text")).otherwise(fold_redaction(F.col("text"), F.col("edits"))).alias("redacted"))
+    return rows.select("doc_id", "frag_no", F.when(F.col("edits").isNull(), F.col("text")).otherwise(onepass.edited(F.col("text"), F.col("edits"))).alias("redacted"))

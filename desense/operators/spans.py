@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from desense.functions.replacement import type_label
 
-LARGE_ISLAND = 2000
-
 
 def valid_entities(spans: DataFrame) -> DataFrame:
     """Finite scores from 0 to 1 and start before end."""
@@ -33,67 +36,65 @@ def entity_cap(spans: DataFrame, most: int) -> DataFrame:
     return n.select("doc_id", "n", F.when(F.col("n") > most, "TOO_MANY_ENTITIES").alias("error"))
 
 
-def priority_struct(byte_length: Column) -> Column:
-    """Sort key: score and bytes descending, then start, type, detector, id ascending."""
-    return F.struct((-F.col("score")).alias("a"), (-byte_length).alias("b"), "start_at", "entity_type", "detector_order", "entity_id", "end_at")
-
-
-def _greedy(sorted_spans: Column) -> Column:
-    """Fold over spans in priority order: take each that overlaps none taken."""
-    kind = "array<struct<start_at:int,end_at:int,entity_id:string>>"
-    empty = F.array().cast(kind)
-
-    def step(taken: Column, s: Column) -> Column:
-        clash = F.exists(taken, lambda t: (t["start_at"] < s["end_at"]) & (s["start_at"] < t["end_at"]))
-        one = F.array(F.struct(s["start_at"].alias("start_at"), s["end_at"].alias("end_at"), s["entity_id"].alias("entity_id")))
-        return F.when(clash, taken).otherwise(F.concat(taken, one))
-
-    return F.aggregate(sorted_spans, empty, step)
-
-
-def _greedy_frame(island: pd.DataFrame) -> pd.DataFrame:
-    """The same for one very large island, with the taken spans kept sorted."""
-    from bisect import bisect_right
-
+def _kept_of_island(island: pa.Table) -> list[int]:
+    """Rows of one overlap island by priority, each if it overlaps none taken."""
+    keys = [("score", "descending"), ("_bytes", "descending"), ("start_at", "ascending"), ("entity_type", "ascending"), ("detector_order", "ascending"), ("entity_id", "ascending")]
+    start, end = (island.column(c).to_pylist() for c in ("start_at", "end_at"))
     starts, ends, kept = [], [], []
-    for i, (s, e) in enumerate(zip(island["start_at"], island["end_at"], strict=True)):
-        at = bisect_right(starts, s)
-        if (at and ends[at - 1] > s) or (at < len(starts) and starts[at] < e):
+    for i in pc.sort_indices(island, sort_keys=keys).to_pylist():
+        at = bisect_right(starts, start[i])
+        if not (at and ends[at - 1] > start[i]) and not (at < len(starts) and starts[at] < end[i]):
+            starts.insert(at, start[i])
+            ends.insert(at, end[i])
+            kept.append(i)
+    return kept
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by document and place, those that stay. An island is a run of spans
+    that touch by overlap; a batch's last island may go on in the next."""
+    held: pa.Table | None = None
+
+    def islands(rows: pa.Table) -> np.ndarray:
+        """Where an island begins, after the first."""
+        doc, start, end = (rows.column(c).to_numpy() for c in ("doc_id", "start_at", "end_at"))
+        number = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])]).astype(np.int64) << 32
+        reach = np.maximum.accumulate(number + end)
+        return np.flatnonzero((number + start)[1:] >= reach[:-1]) + 1
+
+    def chosen(rows: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.concatenate([[0], begins])
+        size = np.diff(np.append(first, len(rows)))
+        kept = [first[size == 1]]
+        for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            kept.append(np.array(_kept_of_island(rows.slice(at, n)), dtype=np.int64) + at)
+        yield from rows.take(np.sort(np.concatenate(kept))).drop_columns(["_bytes"]).to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not len(rows):
             continue
-        starts.insert(at, s)
-        ends.insert(at, e)
-        kept.append(i)
-    return island.iloc[kept][["doc_id", "entity_id"]]
+        begins = islands(rows)
+        cut = int(begins[-1]) if len(begins) else 0
+        if cut:
+            yield from chosen(rows.slice(0, cut), begins[:-1])
+        held = rows.slice(cut)
+    if held is not None and len(held):
+        yield from chosen(held, islands(held))
 
 
-def resolve_conflicts(spans: DataFrame, byte_length: Column | None = None, large: int = LARGE_ISLAND) -> DataFrame:
+def resolve_conflicts(spans: DataFrame, byte_length: Column | None = None) -> DataFrame:
     """A non-overlapping set of valid spans by priority: score, length in bytes, start,
-    type, detector order (then id).
+    type, detector order (then id). Rows that are one span twice overlap, so one stays.
 
-    Overlap islands (runs of spans that touch by overlap) are independent. Single spans
-    pass; small islands are folded as sorted arrays; only islands over ``large`` spans
-    go to a pandas group each.
+    Spans are brought together and sorted once, by document and place; each task then walks
+    over overlap islands, which are independent, and holds one at a time.
     """
     size = byte_length if byte_length is not None else F.octet_length("value")
     rows = valid_entities(spans).withColumn("_bytes", size)
-    order = Window.partitionBy("doc_id").orderBy("start_at", "end_at", "entity_id")
-    reach = F.max("end_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(F.col("start_at") < reach, 0).otherwise(1))
-    rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "_island")))
-    single = sized.where("_n = 1").select("doc_id", "entity_id")
-    some = sized.where((F.col("_n") > 1) & (F.col("_n") <= large)).groupBy("doc_id", "_island").agg(F.array_sort(F.collect_list(priority_struct(F.col("_bytes")))).alias("s"))
-    folded = some.select("doc_id", F.explode(_greedy(F.col("s"))).alias("k")).select("doc_id", "k.entity_id")
-    ranked = sized.where(F.col("_n") > large).select("doc_id", "_island", "start_at", "end_at", "entity_id", "score", "_bytes", "entity_type", "detector_order")
-
-    def big(island: pd.DataFrame) -> pd.DataFrame:
-        keys = ["score", "_bytes", "start_at", "entity_type", "detector_order", "entity_id"]
-        return _greedy_frame(island.sort_values(keys, ascending=[False, False, True, True, True, True], kind="stable"))
-
-    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
-    huge = ranked.groupBy("doc_id", "_island").applyInPandas(big, f"doc_id {kinds['doc_id']}, entity_id string")
-    kept = single.unionByName(folded).unionByName(huge)
-    return spans.join(kept, ["doc_id", "entity_id"], "left_semi")
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "start_at", "end_at", "entity_id")
+    return ordered.mapInArrow(_kept, spans.schema)
 
 
 def with_entity_id(spans: DataFrame) -> DataFrame:

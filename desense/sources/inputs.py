@@ -47,7 +47,7 @@ SELECT * FROM (VALUES
   (1, 'card', 'BANK_CARD', 'regex', '[0-9]{16}', true),
   (2, 'address', 'IPV4', 'regex', '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', true),
   (3, 'product', 'PRODUCT', 'literal', 'MIT License.', true),
-  (4, 'terms', 'TERM', 'dictionary', 'tion|tionti|anan|license', true),
+  (4, 'terms', 'TERM', 'dictionary', 'tion' || chr(13) || chr(10) || 'tionti' || chr(10) || ' anan ' || chr(9) || chr(10) || chr(10) || 'license' || chr(10) || 'e | t' || chr(13) || chr(10) || 'license', true),
   (5, 'off', 'OFF', 'literal', 'the', false)) AS t(rule_id, name, entity_type, kind, pattern, enabled)""",
     "fragments": """
 SELECT conv_id AS doc_id, CAST(turn AS INT) AS frag_no, coalesce(text, '') AS text FROM {conversations}""",

@@ -2,50 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from desense.functions.matching import find_all
-from desense.functions.replacement import default_replacement
-from desense.operators.detect import PATTERNS, built_in_matches
-from desense.operators.redact import fold_redaction
+from desense.operators import onepass
+from desense.operators.detect import BUILT_INS, CUSTOM
 
 #: Percent done at each stage of a job.
 STAGE_PERCENT = {"analyzing": 10, "awaiting_review": 55, "processing": 90, "completed": 100}
-_SPAN = "array<struct<a:double,b:int,start_at:int,entity_type:string,o:int,end_at:int,value:string>>"
 
-
-def row_spans(text: Column, rules: list[tuple[str, str]] = ()) -> Column:
-    """All matches in the row in order of priority; ``rules`` are (type, pattern)."""
-
-    def keyed(found: Column, name: str, score: float, order: int) -> Column:
-        return F.transform(found, lambda m: F.struct(
-            F.lit(-score).alias("a"), (-F.octet_length(m["value"])).alias("b"), m["start_at"].alias("start_at"), F.lit(name).alias("entity_type"),
-            F.lit(order).alias("o"), m["end_at"].alias("end_at"), m["value"].alias("value"),
-        ))
-
-    parts = [keyed(built_in_matches(text, n), n, s, i + 1) for i, (n, _, s, _) in enumerate(PATTERNS)]
-    parts += [keyed(find_all(text, F.lit(p)), n, 1.0, 101 + i) for i, (n, p) in enumerate(rules)]
-    return F.array_sort(F.concat(*[p.cast(_SPAN) for p in parts]))
-
-
-def redact_in_row(text: Column, rules: list[tuple[str, str]] = (), policies: dict[str, str] | None = None) -> Column:
-    """A text redacted by array expressions alone: detection, conflict resolution and
-    replacement without any shuffle, so it works on a stream as on a table."""
-
-    def take(taken: Column, s: Column) -> Column:
-        clash = F.exists(taken, lambda t: (t["start_at"] < s["end_at"]) & (s["start_at"] < t["end_at"]))
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(s)))
-
-    kept = F.aggregate(row_spans(text, rules), F.array().cast(_SPAN), take)
-    policy = F.create_map(*[F.lit(x) for kv in (policies or {"": ""}).items() for x in kv])
-    edit = lambda s: F.struct(s["start_at"].alias("start_at"), s["end_at"].alias("end_at"), F.coalesce(policy[s["entity_type"]], default_replacement(s["entity_type"], s["value"])).alias("replacement"))
-    return fold_redaction(text, F.array_sort(F.transform(kept, edit)))
+def row_patterns(rules: list[tuple[str, str]]) -> list[onepass.Pattern]:
+    """The built-in patterns and those of ``rules``, which are (type, pattern)."""
+    return BUILT_INS + [onepass.Pattern(t, p, 1.0, CUSTOM, 101 + i) for i, (t, p) in enumerate(rules)]
 
 
 def stream_redact(docs: DataFrame, rules: list[tuple[str, str]] = (), policies: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, redacted) of a stream (or table) of documents; stateless."""
-    return docs.select("doc_id", redact_in_row(F.col("text"), rules, policies).alias("redacted"))
+    """(doc_id, redacted) of a stream (or table) of documents; stateless. What fails has no
+    redacted text; empty texts stay empty."""
+    found = onepass.kept_spans(docs.select("doc_id", "text"), row_patterns(rules), [])
+    text = onepass.edited(F.col("text"), onepass.replacements(F.col("found.spans"), policies or {}))
+    return found.select("doc_id", F.when(F.col("found.error").isNull(), text).alias("redacted"))
 
 
 def stream_job_status(updates: DataFrame) -> DataFrame:
@@ -61,4 +37,4 @@ def stream_progress(items: DataFrame) -> DataFrame:
 
 def stream_entity_counts(docs: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:
     """Running counts of matches by type."""
-    return docs.select(F.explode(row_spans(F.col("text"), rules)).alias("s")).groupBy("s.entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return onepass.all_spans(docs, row_patterns(rules), []).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))

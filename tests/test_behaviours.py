@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
+from compare import SF_DIR
 from pyspark.sql import functions as F
 
 from desense.operators import detect, redact, sequence, spans, tasks, vault
@@ -23,11 +25,13 @@ def test_conflicts_keep_the_best(spark):
     assert sorted((r.start_at, r.end_at) for r in kept.collect()) == [(0, 4), (4, 9), (9, 13)]
 
 
-@pytest.mark.parametrize("large", [2000, 3])
-def test_conflicts_invariants(spark, large):
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_conflicts_invariants(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rnd = random.Random(5)
     rows = [(s := rnd.randrange(60), s + 1 + rnd.randrange(8), round(rnd.random(), 2)) for _ in range(80)]
-    kept = sorted((r.start_at, r.end_at, -r.score) for r in spans.resolve_conflicts(span_rows(spark, rows), large=large).collect())
+    kept = sorted((r.start_at, r.end_at, -r.score) for r in spans.resolve_conflicts(span_rows(spark, rows)).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(a[1] <= b[0] for a, b in zip(kept, kept[1:], strict=False))
     chosen = {(s, e, -sc) for s, e, sc in kept}
     for s, e, sc in set(rows) - chosen:
@@ -133,3 +137,77 @@ def test_row_redaction_equals_batch(spark):
     docs = spark.createDataFrame([(1, "电话13812345678 a@b.cc"), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.redacted for r in jobs.stream_redact(docs).collect()}
     assert got == {1: "电话138****5678 ***@***", 2: None, 3: ""}
+
+
+def rule_rows(spark, *rows):
+    return spark.createDataFrame([(i + 1, "n", "T", k, p, True) for i, (k, p) in enumerate(rows)], "rule_id long, name string, entity_type string, kind string, pattern string, enabled boolean")
+
+
+def policy_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "policy_id long, entity_type string, replacement string")
+
+
+def test_dictionary_terms_are_lines(spark):
+    docs = spark.createDataFrame([(1, "x A|B y"), (2, "A B license"), (3, "spam eggs")], "doc_id long, text string")
+    rules = rule_rows(spark, ("dictionary", "A|B\r\nlicense\nlicense\r\n\r\n spam \t\r\n"))
+    found = detect.detect_rules(docs, rules).collect()
+    assert sorted((r.doc_id, r.value, r.start_at) for r in found) == [(1, "A|B", 2), (2, "license", 4), (3, "spam", 0)]
+    assert detect.validate_rules(rules).first().error is None
+    out = redact.redact_texts(docs, rules, policy_rows(spark, (1, "T", "#"))).collect()
+    assert {r.doc_id: (r.redacted, r.n_spans, r.error) for r in out} == {1: ("x # y", 1, None), 2: ("A B #", 1, None), 3: ("# eggs", 1, None)}
+
+
+def test_a_span_that_comes_twice_is_one(spark):
+    twice = span_rows(spark, [(0, 3, 1.0)]).unionByName(span_rows(spark, [(0, 3, 1.0)]))
+    assert spans.resolve_conflicts(twice).count() == 1
+
+
+def test_first_policy_of_a_type_counts(spark):
+    found = span_rows(spark, [(0, 3, 1.0)])
+    for rows in ([(1, "T", "z"), (2, "T", "a")], [(2, "T", "a"), (1, "T", "z")]):
+        assert redact.resolve_replacement(found, policy_rows(spark, *rows).repartition(3)).first().replacement == "z"
+
+
+def test_what_must_not_come_out(spark):
+    texts = [(1, "a@b.cc x"), (2, "a@b.cc x"), (3, "a@b.cc x"), (4, "x " * 9), (5, None), (6, ""), (7, "x" * (8 * 1024 * 1024 + 1)), (8, "a@b.cc x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    status = spark.createDataFrame([(i, i != 2) for i in range(1, 8) if i != 3] + [(8, True)], "doc_id long, ok boolean")
+    named = spark.createDataFrame([(1, "PERSON", 7, 8, 0.9, "model"), (8, "PERSON", 7, 99, 0.9, "model")], "doc_id long, entity_type string, start_at int, end_at int, score double, source string")
+    out = redact.redact_texts(docs, rule_rows(spark, ("literal", "x")), policy_rows(spark, (1, "PERSON", "P"), (2, "T", "-")), 8, status, named).collect()
+    assert {r.doc_id: (r.redacted, r.error) for r in out} == {
+        1: ("***@*** -", None), 2: (None, "MODELS_NOT_READY"), 3: (None, "MODELS_NOT_READY"), 4: (None, "TOO_MANY_ENTITIES"),
+        5: (None, "EMPTY_TEXT"), 6: (None, "EMPTY_TEXT"), 7: (None, "TEXT_TOO_LARGE"), 8: (None, "SPAN_OUTSIDE"),
+    }
+
+
+def test_many_matches_take_linear_time(spark):
+    began = time.time()
+    docs = spark.createDataFrame([(1, "aa@bb.cc " * 100_000)], "doc_id long, text string")
+    assert redact.redact_texts(docs, None, policy_rows(spark, (1, "T", ""))).first().redacted == "***@*** " * 100_000
+    assert jobs.stream_redact(docs).first().redacted == "***@*** " * 100_000
+    assert time.time() - began < 60
+
+
+def test_one_scan_of_the_texts_and_no_nested_loop(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plan = redact.redact_texts(docs, rule_rows(spark, ("regex", "[0-9]{16}"), ("dictionary", "a\nb")), policy_rows(spark, (1, "T", "")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "NestedLoop" not in plan
+
+
+def test_a_hundred_thousand_terms(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    words = docs.select(F.explode(F.split("text", " ")).alias("term")).where("length(term) > 5").distinct()
+    terms = words.unionByName(spark.range(100_000).select(F.concat(F.lit("term number "), "id").alias("term"))).withColumn("entity_type", F.lit("T"))
+    assert detect.detect_terms(docs, terms).count() > 1000
+
+
+def test_rules_that_do_not_compile(spark):
+    rules = rule_rows(spark, ("regex", "("), ("regex", "a{2,1}"), ("regex", "a|"), ("regex", "[a-z]+"), ("dictionary", "\r\n \n"), ("literal", ""))
+    assert {r.rule_id: r.error for r in detect.validate_rules(rules).collect()} == {1: "DOES_NOT_COMPILE", 2: "DOES_NOT_COMPILE", 3: "MATCHES_EMPTY", 4: None, 5: "TERMS", 6: "BLANK"}
+
+
+def test_overlaps_across_buckets_count_once(spark, monkeypatch):
+    monkeypatch.setattr(redact, "OFFSET_BUCKET", 4)
+    found = spark.createDataFrame([(1, 2, 15), (1, 20, 21)], "doc_id long, start_at int, end_at int")
+    parts = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 10, 12), (1, 2, 12, 40)], "doc_id long, frag_no int, start_at int, end_at int")
+    assert sorted((r.start_at, r.frag_no) for r in redact.piece_overlap(found, parts).collect()) == [(2, 0), (2, 1), (2, 2), (20, 2)]
