@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_scratch: dict[str, str] = {}
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, the folder that driver and
-    executors share. Only where that is unset (tests in one JVM) a local one is made."""
+    executors share, or where that is unset below the warehouse, which they share too.
+    In a single JVM without either, any folder of the machine is shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         app = spark.sparkContext.applicationId
-        base = _own_scratch.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-scratch-")
-        _own_scratch[app] = base
+        base = _own_scratch[app] = _own_scratch.get(app) or tempfile.mkdtemp(prefix="spark-scratch-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/desense-{uuid.uuid4().hex}"
 
 
@@ -41,7 +44,25 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _path_of[back] = path
+    return back
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave out, once no plan that is still to run reads
+    them. Everything else stays as it is."""
+    for df in tables:
+        if path := _path_of.pop(df, None):
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def refuse_clashes(keep: Iterable[str], made: Iterable[str]) -> None:
+    """Columns to keep may not have the names of columns that an operator makes."""
+    if both := sorted(set(keep) & set(made)):
+        raise ValueError(f"columns to keep have names of results: {both}")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -14,11 +14,15 @@ elements of a prefix of the sorted set as signatures: two sets at the threshold
 one of the first n - ceil(t n) + 1. So no pair is lost.
 
 Equal sets are one node, known by a hash of the whole set. Nodes that share a signature
-are candidates. They are not all paired: each is first paired with the smallest of its
-bucket. Buckets that then still span several components join their sets to families, and
-a family is compared block by block inside tasks, which give out only a spanning forest
-of the links found. Every link is verified on whole sets and no candidate pair is left
-out, so components are exact; a group of near copies that link costs one pair each.
+are candidates. Each set is first paired with one other only: of the sets that are the
+smallest of a bucket, the one it shares most such buckets with. What then hangs together
+need not be compared. In buckets that still span several components, sets of different components
+are compared by sketches: how many elements fall in each of ``PARTS`` classes of hashes.
+Sums of the differences bound from below how many elements differ, so pairs they rule out
+are no links. What the others hold together are families, and a family is compared as
+whole sets, block by block inside tasks. Both comparisons give out spanning forests alone,
+so a group of near copies costs a few rows a set. Every candidate pair is thus compared,
+ruled out or connected already, so components are exact; and whole sets move for few.
 
 Defined cases: texts that are null or without words have an empty set, link with nothing
 and are their own component; repeated rows and equal texts are linked; null ids keep
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from desense.llm.common import text_bytes, text_slices, word_spans, written
+from desense.llm.common import released, text_bytes, text_slices, word_spans, written
 from desense.llm.components import connected_components
 
 #: Defaults, of ``op8_jaccard_join``: words in a shingle, and the threshold as a ratio of
@@ -48,11 +52,15 @@ SHINGLE = 4
 OVER, UNDER = 85, 100
 #: Bands with at most this many differences enumerate pairs out of three smaller parts.
 ENUMERATED = 12
+#: Classes of a sketch, one byte each.
+PARTS = 64
+#: A block of a bucket has about so many sets at most; so many pairs are compared at a time.
+BUCKET_SETS, PAIRS_AT_ONCE = 4000, 1 << 18
 #: A block of a family has about so many sets and elements at most.
 BLOCK_SETS, BLOCK_ELEMENTS = 2000, 1_500_000
 #: Elements of at most so many sets of a group are counted pair by pair.
 COMMON_HOLDERS = 32
-#: Ids of texts to fetch for verification are broadcast up to this many bytes.
+#: Tables of ids are broadcast up to this many bytes, and shuffled beyond.
 BROADCAST_BYTES = 8 << 20
 
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -199,35 +207,55 @@ def signed_sets(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under
     return docs.select("text").mapInArrow(run, "sig long, set_id long")
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall in each class, 255 for more."""
+    return np.minimum(np.bincount((elements & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, over: int, under: int) -> np.ndarray:
+    """Whether sets of sizes ``nx`` and ``ny`` with these sketches (one a row) may be at
+    the threshold."""
+    shared = (nx + ny - (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)) // 2
+    return under * shared >= over * (nx + ny - shared)
+
+
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARTS)
+
+
 def whole_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(set_id, n, elements) of each text; n is the number of elements."""
+    """(set_id, n, sketch, elements) of each text; n is the number of elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = shingle_sets(batch.column("text"), shingle)
-            ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "n", "elements"])
+            sets = [s for s in shingle_sets(batch.column("text"), shingle) if len(s)]
+            columns = [
+                pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "sketch", "elements"])
+
+    return docs.select("text").mapInArrow(run, "set_id long, n int, sketch binary, elements array<long>")
 
-    return docs.select("text").mapInArrow(run, "set_id long, n int, elements array<long>").where("set_id is not null")
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids (8 bytes a column), to be broadcast if it is small."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() * 8 * len(ids.columns) <= BROADCAST_BYTES else ids
 
 
 def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows with the given ids, which are broadcast if they are few; so what is
+    """The rows with the given ids; where ids are few, so that they are broadcast, what is
     shuffled later is only what will find a partner."""
-    ids = written(ids.distinct())
-    return rows.join(F.broadcast(ids) if ids.count() * 8 <= BROADCAST_BYTES else ids, column, "left_semi")
+    return rows.join(_small(ids.distinct()), column, "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) of sets at the threshold; sizes are compared before elements."""
-    size = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"))
-    near = under * F.least("na", "nb") >= over * F.greatest("na", "nb")
-    pairs = written(pairs.join(size("a"), "a").join(size("b"), "b").where(near))
-    side = lambda c: _among(sets, pairs.select(F.col(c).alias("set_id")), "set_id").select(F.col("set_id").alias(c), F.col("elements").alias(f"e{c}"))
+    """Those of the written pairs (a, b) of sets that are at the threshold."""
+    side = lambda c: _among(sets, pairs.select(F.col(c).alias("set_id")), "set_id").select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("elements").alias(f"e{c}"))
     both = F.size(F.array_intersect("ea", "eb"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b")
-    return found.where(under * both >= over * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
+    found = pairs.join(side("b"), "b").join(side("a"), "a")
+    return found.where(under * both >= over * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
@@ -254,71 +282,131 @@ def component_rows(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, un
     nodes = written(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id")))
     sigs = signed_sets(docs, shingle, over, under).repartition("sig")
     shared = sigs.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
-    members = written(sigs.join(shared.select("sig", "low"), "sig").distinct())
-    pairs = written(members.where("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b")).distinct())
-    # sets of all candidates, from one text each
-    wanted = members.select("set_id").distinct().join(nodes, "set_id").select(F.col("first_id").alias("doc_id"))
+    members = written(sigs.join(shared.select("sig"), "sig").distinct())
+    sets = _candidate_sets(docs, members, nodes, shingle)
+    labels = _linked(members, sets, over, under)
+    return _with_components(rows, nodes, labels)
+
+
+def _candidate_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(set_id, n, elements) of every set of ``members``, from one text each; written."""
+    wanted = written(members.select("set_id").distinct().join(nodes, "set_id"))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = whole_sets(_among(texts, wanted.where("doc_id is not null"), "doc_id"), shingle)
-    # sets that only rows without an id have
-    unnamed = written(members.select("set_id").distinct().join(nodes.where("first_id is null"), "set_id").select("set_id"))
+    named = wanted.where("first_id is not null").select(F.col("first_id").alias("doc_id"))
+    # an id that several texts have brings sets that are no candidates, or that come twice
+    sets = whole_sets(_among(texts, named, "doc_id"), shingle)
+    unnamed = wanted.where("first_id is null").select("set_id")  # only rows without an id have these
     if not unnamed.isEmpty():
-        sets = sets.unionByName(_among(whole_sets(texts.where("doc_id is null"), shingle), unnamed, "set_id").dropDuplicates(["set_id"]))
+        sets = sets.unionByName(_among(whole_sets(texts.where("doc_id is null"), shingle), unnamed, "set_id"))
     sets = written(sets)
-    links = written(_verified(pairs, sets, over, under))
+    twice = sets.groupBy("set_id").count().where("count > 1").select("set_id")
+    if not twice.isEmpty():
+        sets = written(sets.dropDuplicates(["set_id"]))
+    return sets
+
+
+def _linked(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """(node, root) of all sets that link with another."""
+    likely = written(_sketched(_likely_pairs(members, sets, over, under), sets, over, under))
+    links = written(_verified(likely, sets, over, under))
     labels = connected_components(links)
     state = _open_buckets(members, labels)
     if not state.isEmpty():
-        links = written(links.unionByName(_family_links(state, sets, over, under)))
+        families = connected_components(_possible_links(state, sets, over, under)).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
+        families = families.join(state.select("set_id", "root").distinct(), "set_id")
+        links = written(links.unionByName(_family_links(families, sets, over, under)))
         labels = connected_components(links)
-    return _with_components(rows, nodes, labels)
+    return labels
+
+
+def _likely_pairs(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """One pair (a, b) at most for each set b: a is the smallest set of a bucket, of like
+    size, and shares most such buckets with b."""
+    low = members.groupBy("sig").agg(F.min("set_id").alias("a"))
+    shared = members.withColumnRenamed("set_id", "b").join(low, "sig").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("buckets"))
+    size = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"))
+    near = under * F.least("na", "nb") >= over * F.greatest("na", "nb")
+    pairs = shared.join(size("a"), "a").join(size("b"), "b").where(near)
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")).select("a", "b")
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """The pairs (a, b) that sketches allow to link."""
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = may_link(_sketches(batch.column("sa")), _sketches(batch.column("sb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), over, under)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (sig, set_id) of the buckets that span several components."""
+    """Members (sig, set_id, root) of the buckets that span several components; a written
+    table."""
     labelled = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     labelled = labelled.select("sig", "set_id", F.coalesce("root", "set_id").alias("root"))
     spans = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    return written(labelled.join(spans, "sig").select("sig", "set_id"))
+    return written(labelled.join(spans, "sig"))
+
+
+def _possible_links(state: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Pairs (a, b) that connect, directly or over others, all sets of different components
+    that share an open bucket and that sizes and sketches allow to link.
+
+    A bucket is dealt to blocks of bounded size, and each two blocks are compared where
+    the shuffle brings them, so no task needs a bucket as a whole.
+    """
+    blocks = state.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BUCKET_SETS).cast("int").alias("blocks"))
+    dealt = state.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "set_id")
+    rows = dealt.join(sets.select("set_id", "n", "sketch"), "set_id").repartition("sig", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches):
+            a, b = possible_forest(part, over, under)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    return rows.sortWithinPartitions("sig", "i", "j", "own", "root").mapInArrow(run, "a long, b long").distinct()
 
-def _family_links(state: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """Links (a, b) among sets that share an open bucket, directly or over others.
 
-    Sets joined by open buckets are a family; every candidate pair lies in one. A family
-    is dealt to blocks of bounded sets and elements, each pair of blocks is one task's
-    group, and a group gives a spanning forest of its links. So each set is compared
-    once with its family, in whole blocks, however many buckets they share.
+def _family_links(families: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Links (a, b) between the components (root) of each family, for rows (set_id, family,
+    root).
+
+    A family is dealt to blocks of bounded sets and elements, each pair of blocks is one
+    task's group, and a group gives a spanning forest of its links.
     """
-    low = state.groupBy("sig").agg(F.min("set_id").alias("a"))
-    edges = state.join(low, "sig").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
-    family = connected_components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
-    placed = written(family.join(sets.select("set_id", "n").distinct(), "set_id"))
+    placed = families.select("set_id", "family", "root")
+    placed = written(placed.join(sets.select("set_id", "n"), "set_id"))
     sizes = placed.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "family").select("set_id", "family", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("set_id", "family", "own", other)
-    dealt = dealt.select("set_id", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(_among(sets, placed.select("set_id"), "set_id"), "set_id")
+    dealt = placed.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("set_id", "family", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(_among(sets.select("set_id", "elements"), placed.select("set_id"), "set_id"), "set_id")
 
     def forest(group: pa.Table) -> pa.Table:
         elements = group.column("elements").combine_chunks()
-        own, ids = group.column("own").to_numpy(), group.column("set_id").to_numpy()
+        own, root, ids = (group.column(c).to_numpy() for c in ("own", "root", "set_id"))
         values, ends = np.asarray(elements.flatten()), np.cumsum(np.asarray(pc.list_value_length(elements)))
-        a, b = linked_forest(values, ends, own, over, under)
+        a, b = linked_forest(values, ends, own, root, over, under)
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
     return rows.groupBy("family", "i", "j").applyInArrow(forest, "a long, b long")
 
 
-def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray, over: int = OVER, under: int = UNDER) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is linked among the sets whose elements end at ``ends``; if
-    ``own`` has two values, only pairs of different values are compared.
+def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray, root: np.ndarray, over: int = OVER, under: int = UNDER) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is linked among the sets whose elements end at ``ends``: of
+    different ``root``, and if ``own`` has two values, of different values of it.
 
     Elements that many sets hold are counted by matrix products, rare ones pair by pair;
     elements of one set alone can't be shared.
     """
-    n = len(ends)
+    n, none = len(ends), np.zeros(0, np.int64)
+    if n and root.min() == root.max():
+        return none, none
     sizes = np.diff(np.concatenate([[0], ends]))
     of = np.repeat(np.arange(n), sizes)
     _, element = np.unique(values, return_inverse=True)
@@ -344,7 +432,7 @@ def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray, over: i
             flat[where] += count
     both = sizes[:, None] + sizes[None, :]
     linked = under * shared >= over * (both - shared)
-    np.fill_diagonal(linked, False)
+    linked &= root[:, None] != root[None, :]
     if own.min() != own.max():
         linked &= own[:, None] != own[None, :]
     # breadth first from each set not yet reached
@@ -362,13 +450,100 @@ def linked_forest(values: np.ndarray, ends: np.ndarray, own: np.ndarray, over: i
                 b.append(reached)
                 left[reached] = False
             front = reached
-    none = np.zeros(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def _changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """For each row but the first, whether it differs from the row before."""
+    values = [rows.column(c).to_numpy() for c in columns]
+    return np.any([v[1:] != v[:-1] for v in values], axis=0)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Record batches sorted by (sig, i, j) as tables that never end within such a group."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*kept, batch])
+        last = np.flatnonzero(_changes(rows, ["sig", "i", "j"])) if len(rows) > 1 else []
+        if len(last):
+            yield rows.slice(0, last[-1] + 1)
+            rows = rows.slice(last[-1] + 1)
+        kept = rows.to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def possible_forest(rows: pa.Table, over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what may link within groups (sig, i, j) of rows sorted by group,
+    block and root: of two blocks one set of each, of one block two of different roots."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own, root, ids, i, j = (rows.column(c).to_numpy() for c in ("own", "root", "set_id", "i", "j"))
+    counts, n, total = _sketches(rows.column("sketch")), rows.column("n").to_numpy().astype(np.int64), len(rows)
+    group = _changes(rows, ["sig", "i", "j"])
+    run = group | (own[1:] != own[:-1]) | ((i == j)[1:] & (root[1:] != root[:-1]))
+    ends = [np.append(np.flatnonzero(new) + 1, total) for new in (group, run)]
+    group_end, run_end = (e[np.searchsorted(e, np.arange(total), side="right")] for e in ends)
+    partners = group_end - run_end
+    upto, lo, label = np.cumsum(partners), 0, np.arange(total)
+    while lo < total:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        many = partners[lo:hi]
+        left = np.repeat(np.arange(lo, hi), many)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(run_end[lo:hi], many)
+        like = (label[left] != label[right]) & (root[left] != root[right]) & (under * np.minimum(n[left], n[right]) >= over * np.maximum(n[left], n[right]))
+        left, right, lo = left[like], right[like], hi
+        ok = may_link(counts[left], counts[right], n[left], n[right], over, under)
+        _connect(label, left[ok], right[ok])
+    below = np.flatnonzero(label != np.arange(total))
+    return ids[label[below]], ids[below]
+
+
+def _connect(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Give all rows that the pairs connect the smallest of their labels, in place."""
+    while len(left):
+        a, b = label[left], label[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(shorter := label[label], label):
+            label[:] = shorter
+
+
 def _with_components(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    rooted = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = written(nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root")))
+    firsts = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     of_set = written(rooted.join(firsts, "root").select("set_id", "root", "component_id"))
+    released(nodes, labels, rooted, firsts)
     out = rows.where("set_id is not null").join(of_set, "set_id").select("doc_id", "n_shingles", "component_id", "set_id", "root")
     return out.unionByName(rows.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_id", F.lit(None).cast("long").alias("root")))
+
+
+def first_documents(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """The rows of ``docs`` with one row left of each group of linked documents: the one
+    with the smallest id. Rows without an id can't be told apart, so all of them stay; of
+    several texts that have the smallest id of their group one stays, and texts of
+    different groups stay even if they share an id.
+
+    Texts are not moved but where rows share an id: the ids to drop, which are fewer than
+    the rows, are joined, by broadcast as long as they are small.
+    """
+    found = component_rows(docs, shingle, over, under).where("doc_id is not null")
+    first = F.col("doc_id") == F.col("component_id")
+    # of several sets of a group with the smallest id one stays
+    chosen = found.where(first & F.col("root").isNotNull()).groupBy("doc_id", "root").agg(F.min("set_id").alias("set_id"))
+    stays = written(chosen.select("doc_id", "set_id").unionByName(found.where("root is null").select("doc_id", "set_id").distinct()))
+    rows_of = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept_of = stays.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    fate = rows_of.join(kept_of, "doc_id", "left").select("doc_id", F.when(F.col("kept").isNull(), "drop").when(F.col("rows") > 1, "look").alias("fate"))
+    fate = written(fate.where("fate is not null"))
+    id_of = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    ids = lambda what: _small(fate.where(F.col("fate") == what).select(F.col("doc_id").alias("_id")))
+    out = id_of.join(_small(fate.select(F.col("doc_id").alias("_id"))), "_id", "left_anti").select(*docs.columns)
+    shared = ids("look")
+    if shared.isEmpty():
+        return out
+    several = with_set_id(id_of.join(shared, "_id", "left_semi"), shingle)
+    same = (several["_id"] == stays["doc_id"]) & several["set_id"].eqNullSafe(stays["set_id"])
+    several = several.join(stays, same, "left_semi").dropDuplicates(["_id", "set_id"])
+    return out.unionByName(several.select(*docs.columns))
