@@ -7,6 +7,8 @@ of a run is filled up with zeros; how many values count is kept outside.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: How many values of how many bits each selector packs.
@@ -24,16 +26,16 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.int8)
 
 
-def encode(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all runs, and where each run begins (one more at the end). Each word takes
-    as many of its run's next values as any selector can."""
-    pad, sizes = COUNTS[-1], np.array([len(r) for r in runs], dtype=np.int64)
+def encode(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all runs (``flat`` has their values one after the other, ``sizes`` how many
+    each has), and where each run begins (one more at the end). Each word takes as many of
+    its run's next values as any selector can."""
+    pad, sizes = COUNTS[-1], np.asarray(sizes, dtype=np.int64)
     # runs lie one after the other with zeros between, so no word reaches into the next
     begins = np.concatenate([[0], np.cumsum(sizes + pad)])
+    inside = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * pad, sizes)
     values = np.zeros(int(begins[-1]), np.uint64)
-    inside = np.arange(int(sizes.sum())) + np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    if len(inside):
-        values[inside] = np.concatenate(runs)
+    values[inside] = flat
     real = np.zeros(len(values), bool)
     real[inside] = True
     bits = _bit_lengths(values)
@@ -45,22 +47,23 @@ def encode(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         fits = (widest <= WIDTHS[s]) & real[: len(widest)]
         if not fits.any():
             break
-        selector[: len(fits)][fits] = s
-    # from a word's first value to the next word's; past the end, to the next run
+        np.copyto(selector[: len(fits)], np.int8(s), where=fits)
+    # from a word's first value to the next word's; past a run's end, to the next run that
+    # has a value, or to the end of all
+    filled = np.concatenate([begins[:-1][sizes > 0], begins[-1:]])
     after = np.arange(len(values)) + _COUNT_OF[selector]
-    over = np.flatnonzero(~real[np.minimum(after, len(values) - 1)] & real) if len(values) else after
-    after[over] = begins[np.searchsorted(begins, over, side="right")]
-    # empty runs have no word: skip from their begin to the next one that has
-    filled = begins[:-1][sizes > 0]
-    skip = np.concatenate([filled, begins[-1:]])
-    jump = dict(zip(begins.tolist(), skip[np.searchsorted(skip, begins)].tolist(), strict=True)) if (sizes == 0).any() else None
-    steps, at, starts, stop = after.tolist(), int(skip[0]), [], int(begins[-1])
+    last = np.minimum(after, max(len(values) - 1, 0))
+    over = np.flatnonzero(~real[last] & real)
+    after[over] = filled[np.searchsorted(filled, over, side="right")]
+    # the walk from word to word needs each word's step; small numbers are cheap in Python
+    step, taken, at, stop = array("I", (after - np.arange(len(values))).astype(np.uint32).tobytes()), array("I"), int(filled[0]), int(begins[-1])
+    add = taken.append
     while at < stop:
-        starts.append(at)
-        at = steps[at]
-        if jump is not None:
-            at = jump.get(at, at)
-    starts = np.array(starts, dtype=np.int64)
+        k = step[at]
+        add(k)
+        at += k
+    starts = np.cumsum(np.frombuffer(taken, np.uint32), dtype=np.int64)
+    starts += int(filled[0]) - np.diff(starts, prepend=0)
     chosen = selector[starts]
     escaped = chosen == ESCAPE
     place = np.arange(len(starts)) + np.cumsum(escaped) - escaped
@@ -68,13 +71,14 @@ def encode(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(total, np.uint64)
     words[place] = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
-        own = chosen == s
+        own = np.flatnonzero(chosen == s)
+        first = starts[own]
         if s == ESCAPE:
-            words[place[own] + 1] = values[starts[own]]
+            words[place[own] + 1] = values[first]
             continue
-        packed = np.zeros(int(own.sum()), np.uint64)
-        for k in range(COUNTS[s]):
-            packed |= values[starts[own] + k] << np.uint64(k * WIDTHS[s])
+        packed = values[first]
+        for k in range(1, COUNTS[s]):
+            packed |= values[first + k] << np.uint64(k * WIDTHS[s])
         words[place[own]] |= packed
     return words, np.concatenate([place, [total]])[np.searchsorted(starts, begins)]
 

@@ -10,15 +10,15 @@ The place of a text among all tokens is the sum of what stands before: of the pa
 before (one number for each), of the blocks before in its part, and in its block.
 
 Defined cases: null and empty texts have the end id alone; a null id comes first; equal
-ids stay in one part, one after the other; an empty table gives an empty result; extra
-columns are ignored. A very long text is a block of its own.
+ids follow one another in the order of a hash of their texts, in one part or in several;
+an empty table gives an empty result; extra columns, whatever their names, are ignored. A very long text is a block of its own.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,17 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from desense.llm import simple8b
-from desense.llm.common import text_slices
+from desense.llm import byte_words, simple8b
+from desense.llm.common import text_bytes, text_slices
 
 BLOCK_TOKENS = 32_768
-KNOWN_WORDS = 400_000
-
-#: Texts of these characters only are split here, as the vocabulary's byte-level splitter
-#: does; all others go to the library whole.
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xFFŒœ–—‘’“”…]")
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ", "0-9²³¹¼½¾"
-_SPLIT = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
+#: What a worker remembers: so many words at most, with their ids.
+KNOWN_WORDS = 1_000_000
 
 BLOCKS = (
     "part int, block int, before long, doc_ids array<long>, counts array<int>, offsets array<int>, words binary"
@@ -46,7 +41,12 @@ BLOCKS = (
 
 
 class ByteEncoder:
-    """Ids of texts by the tokenizers library, which encodes each distinct word once."""
+    """Ids of texts by the tokenizers library, which encodes each distinct word once.
+
+    Words are known by 64-bit hashes of their bytes: among ``KNOWN_WORDS`` words two have
+    one hash with a chance of about 3e-8. Texts with characters that ``byte_words`` leaves
+    out, or with what may be a special token, go to the library whole.
+    """
 
     def __init__(self, file_text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,24 +55,70 @@ class ByteEncoder:
         self.library = Tokenizer.from_str(file_text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids_of: dict[str, bytes] = {}
-
-    def _library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        plain = [bool(t) and not _OTHER.search(t) and "<|" not in t for t in texts]
-        split = [_SPLIT(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        used = set().union(*split)
-        new = used - self.ids_of.keys()
-        if len(self.ids_of) + len(new) > KNOWN_WORDS:
-            self.ids_of, new = {}, used
-        listed = list(new)
-        self.ids_of.update(zip(listed, self._library_ids(listed), strict=True))
-        whole = iter(self._library_ids([t for t, p in zip(texts, plain, strict=True) if t and not p]))
-        get = self.ids_of.__getitem__
-        found = [b"".join(map(get, ws)) if p else next(whole) if t else b"" for t, ws, p in zip(texts, split, plain, strict=True)]
-        return [np.frombuffer(b, dtype=np.uint32) for b in found]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number_of: dict[int, int] = {}
+        self.ends = np.zeros(1, np.int64)  # where the ids of each word end
+        self.ids = np.zeros(0, np.uint32)
+
+    def _library_ids(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _numbers(self, hashes: np.ndarray, word) -> np.ndarray:
+        """Numbers of the words with these (distinct) hashes; ``word(i)`` is the i-th."""
+        if len(self.number_of) + len(hashes) > KNOWN_WORDS:
+            self._forget()
+        listed, known = hashes.tolist(), self.number_of
+        new = [i for i, h in enumerate(listed) if h not in known]
+        if new:
+            coded = self._library_ids([word(i) for i in new])
+            known.update(zip([listed[i] for i in new], range(len(known), len(known) + len(new)), strict=True))
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), np.uint32)])
+        return np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that ``byte_words`` can split, and how many each has."""
+        raw, offsets = text_bytes(column)
+        starts = byte_words.word_starts(raw, offsets)
+        ends = np.append(starts[1:], len(raw))
+        coded = pa.array(byte_words.word_hashes(raw, starts, ends)).dictionary_encode()
+        of, hashes = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        first = np.zeros(len(hashes), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        at, to, data = starts[first].tolist(), ends[first].tolist(), raw.tobytes()
+        number = self._numbers(hashes, lambda i: data[at[i] : to[i]].decode())[of]
+        begin, count = self.ends[number], self.ends[number + 1] - self.ends[number]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        column = column.cast(pa.large_string()).fill_null("")
+        raw, offsets = text_bytes(column)
+        special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        plain = byte_words.plain_texts(raw, offsets) & (np.diff(np.searchsorted(special, offsets)) == 0)
+        if plain.all():
+            return self._plain(column)
+        ids, sizes = self._plain(column.filter(pa.array(plain)))
+        own = iter(np.split(ids, np.cumsum(sizes)[:-1])) if len(sizes) else iter(())
+        others = iter(self._library_ids(column.filter(pa.array(~plain)).to_pylist()))
+        runs = [next(own) if p else np.frombuffer(next(others), np.uint32) for p in plain.tolist()]
+        return np.concatenate(runs), np.array([len(r) for r in runs], dtype=np.int64)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same runs, each with ``end_id`` after its ids."""
+    sizes = sizes + 1
+    ends = np.cumsum(sizes) - 1
+    out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+    own = np.ones(len(out), bool)
+    own[ends] = False
+    out[own] = ids
+    return out, sizes
 
 
 @lru_cache(maxsize=2)
@@ -100,10 +146,9 @@ def write_token_files(docs: DataFrame, vocabulary_file: str, path: str, end_id:
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
 
         for batch in text_slices(batches):
-            found = [np.append(f, np.uint32(end_id)) for f in encoder.batch(batch.column("text").to_pylist())]
-            coded, at = simple8b.encode(found)
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                size = len(found[i])
+            found, sizes = with_ends(*encoder.batch(batch.column("text")), end_id)
+            coded, at = simple8b.encode(found, sizes)
+            for i, (doc_id, size) in enumerate(zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True)):
                 if held and held + size > block_tokens:
                     yield packed()
                     block, before, held, ids, counts, words = block + 1, before + held, 0, [], [], []
@@ -114,7 +159,10 @@ def write_token_files(docs: DataFrame, vocabulary_file: str, path: str, end_id:
         if ids:
             yield packed()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # a third key of its own for each row lets rows of one id, even equal ones, lie in several parts
+    order = ["doc_id", "_hash", "_row"]
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, BLOCKS).write.parquet(path)
 
 
