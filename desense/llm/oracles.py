@@ -55,13 +55,15 @@ GROUP BY ALL
 
 
 def op3() -> str:
-    """The base counts by list functions, then the same start and steps as grouped SQL."""
+    """The base counts by list functions, then the same starts, steps and shares of the
+    parents' estimates as grouped SQL."""
     dims, pairs = range(q.P), q.PAIRS
     xs = ", ".join(q.X)
+    params = ", ".join([f"m{i}" for i in dims] + [f"c{i}{j}" for i, j in pairs])
 
-    def factored(source: str, cov: dict) -> list[str]:
+    def factored(source: str) -> list[str]:
         """Common table expressions that end in one named ``source``_l."""
-        ctes, prev = [f"{source}_c AS (SELECT grp, n, {', '.join(f'm{i}' for i in dims)}, {', '.join(f'{cov[p]} AS c{p[0]}{p[1]}' for p in pairs)} FROM {source})"], f"{source}_c"
+        ctes, prev = [], source
         for j in dims:
             diagonal = f"c{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
             ctes.append(f"{source}_d{j} AS (SELECT *, sqrt({diagonal}) AS l{j}{j} FROM {prev})")
@@ -70,18 +72,28 @@ def op3() -> str:
             prev = f"{source}_e{j}"
         return [*ctes, f"{source}_l AS (SELECT * FROM {prev})"]
 
-    def distance(source: str, how: str = "JOIN") -> list[str]:
-        ctes, prev = [], f"(SELECT r.*, p.* EXCLUDE (grp) FROM rows_g r {how} {source}_l p ON r.grp = p.grp)"
+    def distance(rows: str, source: str) -> list[str]:
+        ctes, prev = [], f"(SELECT r.*, p.* EXCLUDE (grp) FROM {rows} r JOIN {source}_l p ON r.grp = p.grp)"
         for i in dims:
             rest = f"x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i))
             ctes.append(f"{source}_z{i} AS (SELECT *, ({rest}) / l{i}{i} AS z{i} FROM {prev})")
             prev = f"{source}_z{i}"
         return [*ctes, f"{source}_z AS (SELECT *, {' + '.join(f'z{i} * z{i}' for i in dims)} AS d2 FROM {prev})"]
 
-    start = {(i, j): f"d{i} * d{i} + {float(q.FLOORS[i] ** 2)}" if i == j else "0.0::DOUBLE" for i, j in pairs}
-    step = {
-        (i, j): f"(q{i}{j} / k - m{i} * m{j}) * {q.CONSISTENCY}::DOUBLE + {float(q.FLOORS[i] ** 2) if i == j else 0.0}::DOUBLE" for i, j in pairs
-    }
+    def moments(source: str, consistency: float) -> str:
+        means = ", ".join(f"s{i} / k AS m{i}" for i in dims)
+        cov = ", ".join(f"(q{i}{j} / k - m{i} * m{j}) * {consistency}::DOUBLE + {float(q.FLOORS[i] ** 2) if i == j else 0.0}::DOUBLE AS c{i}{j}" for i, j in pairs)
+        return f"SELECT grp, start, n, {', '.join(f'm{i}' for i in dims)}, {cov} FROM (SELECT *, {means} FROM {source})"
+
+    def drawn(own: str, parent: str) -> str:
+        mixed = ", ".join(f"(e.n * e.{c} + {q.PRIOR} * p.{c}) / (e.n + {q.PRIOR}) AS {c}" for c in params.split(", "))
+        return f"SELECT e.grp, e.n, {mixed} FROM {own} e JOIN {parent} p ON e.up = p.grp"
+
+    middle = ", ".join(f"m{i}" for i in dims)
+    by_range = ", ".join(f"d{i} * d{i} + {float(q.FLOORS[i] ** 2)}" if i == j else "0.0::DOUBLE" for i, j in pairs)
+    floors = ", ".join(f"{float(q.FLOORS[i] ** 2) if i == j else 0.0}::DOUBLE" for i, j in pairs)
+    names = [f"s{i}" for i in dims] + [f"q{i}{j}" for i, j in pairs]
+    sums = ", ".join([f"sum(x{i}) AS s{i}" for i in dims] + [f"sum(x{i} * x{j}) AS q{i}{j}" for i, j in pairs])
     ctes = [
         r"""w0 AS (SELECT *, row_number() OVER () AS rid,
   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -94,34 +106,39 @@ def op3() -> str:
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w1 LEFT JOIN rep USING (rid))""",
         "base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM st)",
-        f"""ft AS (SELECT *, count(*) OVER (PARTITION BY lang, source) >= {q.MIN_GROUP} AS own,
+        f"""rows_g AS (SELECT *, '2' || to_json({{'l': lang, 's': source}})::VARCHAR AS grp, '1' || to_json({{'l': lang}})::VARCHAR AS up,
   least(floor(ln(1 + word_chars / n_words::DOUBLE) * {q.SCALE} + 0.5), {q.CLIP})::BIGINT AS x0,
   least(floor(sqrt(n_symbols / n_words::DOUBLE) * {q.SCALE} + 0.5), {q.CLIP})::BIGINT AS x1,
   least(floor(sqrt(10 * n_dup_lines / n_words::DOUBLE) * {q.SCALE} + 0.5), {q.CLIP})::BIGINT AS x2,
   least(floor(sqrt(n_repeat_words / n_words::DOUBLE) * {q.SCALE} + 0.5), {q.CLIP})::BIGINT AS x3
   FROM base WHERE NOT base_failed)""",
-        "rows_g AS (SELECT *, CASE WHEN own THEN to_json({'l': lang, 's': source})::VARCHAR ELSE to_json({'l': lang})::VARCHAR END AS grp FROM ft)",
-        f"lg AS (SELECT grp, unnest([{', '.join(str(i) for i in dims)}]) AS dim, unnest([{xs}]) AS v FROM rows_g)",
+        f"lv AS (SELECT unnest([grp, up, '0']) AS grp, {xs} FROM rows_g)",
+        f"lg AS (SELECT grp, unnest([{', '.join(str(i) for i in dims)}]) AS dim, unnest([{xs}]) AS v FROM lv)",
         "lc AS (SELECT grp, dim, v, count(*) AS c FROM lg GROUP BY ALL)",
         "lb AS (SELECT *, sum(c) OVER (PARTITION BY grp, dim ORDER BY v) AS below, sum(c) OVER (PARTITION BY grp, dim) AS total FROM lc)",
         "lq AS (SELECT grp, dim, max(total)::BIGINT AS n, " + ", ".join(f"min(CASE WHEN 4 * below >= {k} * total THEN v END) AS q{k}" for k in (1, 2, 3)) + " FROM lb GROUP BY ALL)",
-        "s0 AS (SELECT grp, max(n) AS n, " + ", ".join(f"max(CASE WHEN dim = {i} THEN q2 END)::DOUBLE AS m{i}, (max(CASE WHEN dim = {i} THEN q3 END) - max(CASE WHEN dim = {i} THEN q1 END)) / 1.349::DOUBLE AS d{i}" for i in dims) + " FROM lq GROUP BY grp)",
-        *factored("s0", start),
+        "mid AS (SELECT grp, max(n) AS n, " + ", ".join(f"max(CASE WHEN dim = {i} THEN q2 END)::DOUBLE AS m{i}, (max(CASE WHEN dim = {i} THEN q3 END) - max(CASE WHEN dim = {i} THEN q1 END)) / 1.349::DOUBLE AS d{i}" for i in dims) + " FROM lq GROUP BY grp)",
+        f"al AS (SELECT grp, 2 AS start, n, n::DOUBLE AS k, {', '.join(f'{c}::DOUBLE AS {c}' for c in names)} FROM (SELECT grp, count(*) AS n, {sums} FROM lv GROUP BY grp))",
+        f"s0 (grp, start, n, {params}) AS (SELECT grp, 0, n, {middle}, {by_range} FROM mid UNION ALL SELECT grp, 1, n, {middle}, {floors} FROM mid UNION ALL {moments('al', 1.0)})",
+        *factored("s0"),
     ]
-    names = [f"s{i}" for i in dims] + [f"q{i}{j}" for i, j in pairs]
     for t in range(q.STEPS):
-        ctes += distance(f"s{t}")
-        sums = ", ".join([f"sum(x{i}) AS s{i}" for i in dims] + [f"sum(x{i} * x{j}) AS q{i}{j}" for i, j in pairs])
+        ctes += distance("lv", f"s{t}")
         ctes += [
-            f"b{t} AS (SELECT grp, n, least(floor(d2 * {q.BIN_SCALE}), {q.BINS}) AS bin, count(*) AS k, {sums} FROM s{t}_z GROUP BY ALL)",
-            f"a{t} AS (SELECT *, sum(k) OVER (PARTITION BY grp ORDER BY bin) - k AS before FROM b{t})",
-            f"k{t} AS (SELECT grp, max(n) AS n, sum(k)::DOUBLE AS k, {', '.join(f'sum({c})::DOUBLE AS {c}' for c in names)} FROM a{t} WHERE before < ceil(n * {q.COVERAGE}::DOUBLE) GROUP BY grp)",
-            f"s{t + 1} AS (SELECT *, {', '.join(f's{i} / k AS m{i}' for i in dims)} FROM k{t})",
-            *factored(f"s{t + 1}", step),
+            f"b{t} AS (SELECT grp, start, n, least(floor(log2(1 + d2) * {q.BIN_SCALE}), {q.BINS}) AS bin, count(*) AS k, {sums} FROM s{t}_z GROUP BY ALL)",
+            f"a{t} AS (SELECT *, sum(k) OVER (PARTITION BY grp, start ORDER BY bin) - k AS before FROM b{t})",
+            f"k{t} AS (SELECT grp, start, max(n) AS n, sum(k)::DOUBLE AS k, {', '.join(f'sum({c})::DOUBLE AS {c}' for c in names)} FROM a{t} WHERE before < ceil(n * {q.COVERAGE}::DOUBLE) GROUP BY grp, start)",
+            f"s{t + 1} AS ({moments(f'k{t}', q.CONSISTENCY)})",
+            *factored(f"s{t + 1}"),
         ]
-    last = f"s{q.STEPS}"
-    ctes += distance(last)
+    det = " * ".join(f"l{i}{i}" for i in dims)
+    ctes += [
+        f"est AS (SELECT grp, n, {params} FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {det}, start) AS place FROM s{q.STEPS}_l) WHERE place = 1)",
+        f"lng AS ({drawn('(SELECT *, $$0$$ AS up FROM est WHERE grp LIKE $$1%$$)', 'est')})",
+        f"fin AS ({drawn('(SELECT est.*, up FROM est JOIN (SELECT DISTINCT grp, up FROM rows_g) USING (grp))', 'lng')})",
+        *factored("fin"), *distance("rows_g", "fin"),
+    ]
     out = "doc_id, " + ", ".join(q.STATS)
     return f"""WITH {", ".join(ctes)}
-SELECT {out}, base_failed, n < {q.MIN_GROUP} OR d2 <= {q.CUTOFF} AS kept FROM {last}_z
+SELECT {out}, base_failed, d2 <= {q.CUTOFF} AS kept FROM fin_z
 UNION ALL SELECT {out}, base_failed, false FROM base WHERE base_failed"""

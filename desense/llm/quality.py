@@ -2,22 +2,26 @@
 
 Native throughout. The statistics are array expressions within a row, so the texts are
 never shuffled. Their transformed vectors are judged against a minimum-covariance-
-determinant (MCD) estimate per language and source: start from medians and quartile
-ranges, then concentration steps, each of which keeps the nearest ``COVERAGE`` of a
-group and re-estimates mean and covariance from them. A vector is an outlier where its
-squared Mahalanobis distance is above ``CUTOFF``.
+determinant (MCD) estimate for each language and source: from each of three starts
+(medians with quartile ranges, medians with the least deviations, plain means with plain
+covariances), concentration steps keep the nearest ``COVERAGE`` of a group and re-estimate
+mean and covariance from them; the start that ends with the least determinant counts.
+Every language, and the table as a whole, has such an estimate too. The estimate of a
+group of n rows is drawn towards its language's with a weight of ``PRIOR`` rows to n, and
+that towards the whole table's, so small groups are judged too, and no size is a switch.
+A vector is an outlier where its squared Mahalanobis distance is above ``CUTOFF``.
 
 Each step is one aggregation: distances fall into a fixed number of bins, and counts,
-sums and products are summed by (group, bin), with partial sums before the shuffle. A
-hot source is thus a few hundred rows a task. Vectors are scaled integers, so sums are
+sums and products are summed by (group, start, bin), with partial sums before the shuffle.
+A hot source is thus a few thousand rows a task. Vectors are scaled integers, so sums are
 exact and results do not depend on partitioning.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and are
-not kept. Null languages and sources are groups of their own. A (language, source) with
-under ``MIN_GROUP`` rows that pass the base rules is pooled with the others of its
-language; pools still smaller keep all of them (distance null). Groups without any
-spread are judged by the floors of the deviations. Repeated rows stay repeated; equal
-vectors are judged alike; an empty table gives an empty result. Extra columns are ignored.
+not kept. Null languages and sources are groups of their own. Groups without any spread
+are judged by the floors of the deviations. Repeated rows stay repeated; equal vectors of
+a group are judged alike; a very long text is one row like any other; an empty table gives
+an empty result. Extra columns are ignored; columns to keep may have any names but those
+of the results, which are refused.
 """
 
 from __future__ import annotations
@@ -25,23 +29,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from desense.llm.common import words, written
+from desense.llm.common import refuse_clashes, words, written
 
 WINDOW = 8
-MIN_GROUP = 100
 STEPS = 3
 COVERAGE = 0.75
 #: Makes the covariance of the nearest 75 % of a 4-variate normal consistent.
 CONSISTENCY = 1.485
-#: Squared distance; a 4-variate normal is above it once in a million.
-CUTOFF = 33.4
+#: Rows that the parent's estimate counts as.
+PRIOR = 50
+#: Squared distance; a 4-variate normal is above it once in ten million. The statistics
+#: have longer tails than a normal, so clean texts are above it more often.
+CUTOFF = 38.2
 SCALE, CLIP = 1000, 10_000
 #: Least standard deviations of the scaled features, added to each variance.
-FLOORS = (60, 100, 100, 100)
+FLOORS = (60, 100, 150, 150)
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-BINS, BIN_SCALE = 4096, 32
+#: Bins of equal width in the binary logarithm of 1 + squared distance.
+BINS, BIN_SCALE = 4096, 64
 #: Estimates of at most so many groups (about 10 MB) are broadcast, of more are shuffled.
 BROADCAST_GROUPS = 50_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -105,8 +112,11 @@ def features() -> list[Column]:
     return [F.least(F.floor(x * SCALE + 0.5), F.lit(CLIP)).cast("long").alias(c) for c, x in zip(X, raw, strict=True)]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians as means, and deviations from the quartile range (1.349 deviations)."""
+M, C, L = [f"m{i}" for i in range(P)], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
+
+
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """(grp, n, m0.., d0..): medians, and deviations by the quartile range (1.349 of them)."""
     long = rows.select("grp", F.posexplode(F.array(*X)).alias("dim", "value"))
     counts = long.groupBy("grp", "dim", "value").count()
     whole = Window.partitionBy("grp", "dim")
@@ -116,17 +126,39 @@ def _start(rows: DataFrame) -> DataFrame:
         F.max("all").alias("n"), quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3")
     )
     pick = lambda i, c: F.max(F.when(F.col("dim") == i, F.col(c)))
-    wide = per_dim.groupBy("grp").agg(
+    return per_dim.groupBy("grp").agg(
         F.max("n").alias("n"), *[pick(i, "q2").cast("double").alias(f"m{i}") for i in range(P)],
         *[((pick(i, "q3") - pick(i, "q1")) / 1.349).alias(f"d{i}") for i in range(P)],
     )
-    cov = {(i, j): F.col(f"d{i}") * F.col(f"d{i}") + float(FLOORS[i] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS}
-    return _factored(wide, cov)
 
 
-def _factored(params: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
-    """Group, count, means and the Cholesky factor of the covariance."""
-    params = params.select("grp", "n", *[f"m{i}" for i in range(P)], *[cov[i, j].alias(f"c{i}{j}") for i, j in PAIRS])
+def _moments(sums: DataFrame, consistency: float) -> DataFrame:
+    """(grp, start, n, m, c) from counts k, sums s and sums of products q."""
+    sums = sums.select("*", *[(F.col(f"s{i}") / F.col("k")).alias(f"m{i}") for i in range(P)])
+    cov = lambda i, j: (F.col(f"q{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency + (float(FLOORS[i] ** 2) if i == j else 0.0)
+    return sums.select("grp", "start", "n", *M, *[cov(i, j).alias(c) for c, (i, j) in zip(C, PAIRS, strict=True)])
+
+
+SUMS = [f"s{i}" for i in range(P)] + [f"q{i}{j}" for i, j in PAIRS]
+
+
+def _sums() -> list[Column]:
+    return [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The three starts of each group, as (grp, start, n, m, c, l)."""
+    middle = _quartiles(rows)
+    floors = {f"c{i}{j}": F.lit(float(FLOORS[i] ** 2) if i == j else 0.0) for i, j in PAIRS}
+    by_range = {f"c{i}{i}": F.col(f"d{i}") * F.col(f"d{i}") + float(FLOORS[i] ** 2) for i in range(P)}
+    diagonal = lambda start, cov: middle.select("grp", F.lit(start).alias("start"), "n", *M, *[cov.get(c, F.lit(0.0)).alias(c) for c in C])
+    whole = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"cast(sum({x}) as double)").alias(f"s{i}") for i, x in enumerate(X)], *[F.expr(f"cast(sum({X[i]} * {X[j]}) as double)").alias(f"q{i}{j}") for i, j in PAIRS])
+    plain = _moments(whole.withColumns({"start": F.lit(2), "k": F.col("n").cast("double")}), 1.0)
+    return _factored(diagonal(0, by_range).unionByName(diagonal(1, floors)).unionByName(plain))
+
+
+def _factored(params: DataFrame) -> DataFrame:
+    """With the Cholesky factor l of the covariance c."""
     for j in range(P):
         rest = F.col(f"c{j}{j}")
         for k in range(j):
@@ -137,11 +169,11 @@ def _factored(params: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFram
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return params.select("grp", "n", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+    return params
 
 
-def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    out = rows.join(params, "grp", how)
+def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
+    out = rows.join(params, "grp")
     for i in range(P):
         rest = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -154,60 +186,69 @@ def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> Da
 
 
 def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step."""
-    near = F.least(F.floor(F.col("d2") * BIN_SCALE), F.lit(BINS)).cast("int").alias("bin")
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    bins = _with_distance(rows, params).select("grp", "n", near, *X).groupBy("grp", "n", "bin").agg(F.count(F.lit(1)).alias("k"), *sums)
-    before = F.sum("k").over(Window.partitionBy("grp").orderBy("bin")) - F.col("k")
+    """One concentration step of every start."""
+    near = F.least(F.floor(F.log2(1 + F.col("d2")) * BIN_SCALE), F.lit(BINS)).cast("int").alias("bin")
+    far = _with_distance(rows, params.select("grp", "start", "n", *M, *L))
+    bins = far.select("grp", "start", "n", near, *X).groupBy("grp", "start", "n", "bin").agg(F.count(F.lit(1)).alias("k"), *_sums())
+    before = F.sum("k").over(Window.partitionBy("grp", "start").orderBy("bin")) - F.col("k")
     kept = bins.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n") * COVERAGE))
-    names = [f"s{i}" for i in range(P)] + [f"q{i}{j}" for i, j in PAIRS]
-    moments = kept.groupBy("grp").agg(F.max("n").alias("n"), F.sum("k").cast("double").alias("k"), *[F.sum(c).cast("double").alias(c) for c in names])
-    moments = moments.select("*", *[(F.col(f"s{i}") / F.col("k")).alias(f"m{i}") for i in range(P)])
-    cov = {
-        (i, j): (F.col(f"q{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY + (float(FLOORS[i] ** 2) if i == j else 0.0)
-        for i, j in PAIRS
-    }
-    return _factored(moments, cov)
+    sums = kept.groupBy("grp", "start").agg(F.max("n").alias("n"), F.sum("k").cast("double").alias("k"), *[F.sum(c).cast("double").alias(c) for c in SUMS])
+    return _factored(_moments(sums, CONSISTENCY))
 
 
 def _few(groups: DataFrame) -> DataFrame:
     """A written table of one short row a group, broadcast if it has few rows."""
+    groups = written(groups)
     return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
 
 def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Estimates for rows (grp, x0..x3): grp, n, means m and Cholesky factor l."""
-    params = _few(written(_start(rows)))
+    """Estimates for rows (grp, x0..x3): grp, n, mean m and covariance c, of the start with
+    the least determinant, of equals the first."""
+    params = _few(_starts(rows))
     for _ in range(steps):
-        params = _few(written(_concentrated(rows, params)))
-    return params
+        params = _few(_concentrated(rows, params))
+    root = F.col("l00")  # of the determinant
+    for i in range(1, P):
+        root = root * F.col(f"l{i}{i}")
+    best = F.min_by(F.struct("n", *M, *C), F.struct(root, "start")).alias("best")
+    return params.groupBy("grp").agg(best).select("grp", "best.*")
+
+
+def _drawn(own: DataFrame, parent: DataFrame) -> DataFrame:
+    """Estimates drawn towards those of their parents, which have the key ``of``."""
+    there = parent.select(F.col("grp").alias("of"), *[F.col(c).alias(f"p_{c}") for c in (*M, *C)])
+    drawn = [((F.col("n") * F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in (*M, *C)]
+    return own.join(there, "of").select("grp", "n", *drawn)
 
 
-def judged(docs: DataFrame, keep: list[str], min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], steps: int = STEPS) -> DataFrame:
     """_row (a struct of the ``keep`` columns), the counts, base_failed, kept and d2, the
     squared distance."""
     keys = {"_lang": "lang", "_source": "source"}
     named = docs.select(F.struct(*keep).alias("_row"), "text", *[F.col(c).alias(k) for k, c in keys.items()])
     stats = written(text_stats(named, ["_row", *keys]))
     out = ["_row", *STATS, "base_failed"]
-    passed = stats.where("not base_failed").select(*out, *features(), *keys)
-    sizes = _few(written(passed.groupBy(*keys).agg((F.count(F.lit(1)) >= min_group).alias("own")).withColumnsRenamed({k: f"of{k}" for k in keys})))
-    same = [F.col(k).eqNullSafe(F.col(f"of{k}")) for k in keys]
     lang = F.struct(F.col("_lang").alias("l"))
     both = F.struct(F.col("_lang").alias("l"), F.struct(F.col("_source").alias("s")).alias("of"))
-    group = F.when(F.col("own"), F.to_json(both)).otherwise(F.to_json(lang)).alias("grp")
-    grouped = passed.join(sizes, same).select(*out, *X, group)
-    vectors = written(grouped.select("grp", *X))
-    params = _few(written(mcd_estimates(vectors, steps).where(F.col("n") >= min_group)))
-    rows = _with_distance(grouped, params, "left").select(*out, "d2")  # no estimate: null
-    kept = rows.select(*out, F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"), "d2")
+    grouped = stats.where("not base_failed").select(*out, *features(), F.concat(F.lit("2"), F.to_json(both)).alias("grp"), F.concat(F.lit("1"), F.to_json(lang)).alias("of"))
+    vectors = written(grouped.select("grp", "of", *X))
+    levels = vectors.select(F.explode(F.array("grp", "of", F.lit("0"))).alias("grp"), *X)
+    found = written(mcd_estimates(levels, steps))
+    whole = found.where("grp = '0'")
+    languages = written(_drawn(found.where("grp like '1%'").withColumn("of", F.lit("0")), whole))
+    sources = found.where("grp like '2%'").join(vectors.select("grp", "of").distinct(), "grp")
+    params = _few(_factored(_drawn(sources, languages)).select("grp", *M, *L))
+    rows = _with_distance(grouped, params)
+    kept = rows.select(*out, (F.col("d2") <= CUTOFF).alias("kept"), "d2")
     failed = stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))
     return kept.unionByName(failed)
 
 
-def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), steps: int = STEPS) -> DataFrame:
     """``keep`` columns, the counts, base_failed, kept and d2."""
-    return judged(docs, list(keep), min_group, steps).select("_row.*", *STATS, "base_failed", "kept", "d2")
+    refuse_clashes(keep, [*STATS, "base_failed", "kept", "d2"])
+    return judged(docs, list(keep), steps).select("_row.*", *STATS, "base_failed", "kept", "d2")
 
 
 def passing(docs: DataFrame) -> DataFrame:
