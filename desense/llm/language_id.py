@@ -1,6 +1,6 @@
 """Language ID by compression: the language whose dictionary compresses a text best.
 
-Learning takes, per language, a bounded sample of labelled texts as a raw-content
+Learning takes, per language, a bounded sample of labelled texts, whole, as a raw-content
 zstandard dictionary. A prediction compresses the letters of the whole text, in blocks of fixed
 size, once with each dictionary, and chooses the smallest total; it is rejected where the
 margin to the second is narrow. Languages, sources and ids are never inputs of it.
@@ -8,7 +8,9 @@ margin to the second is narrow. Languages, sources and ids are never inputs of i
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and are
 rejected; ties go to the smallest language name, with score 0; without any labelled
 text every row is ``und``; with a single language it wins with score 1. Repeated rows
-stay repeated. An empty table gives an empty result.
+stay repeated, and equal texts count once in the sample. Very long texts are compressed
+block by block. An empty table gives an empty result. Columns to keep may have any names
+but those of the results, which are refused.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from desense.llm.common import text_slices
+from desense.llm.common import refuse_clashes, text_slices
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -40,23 +42,24 @@ class LanguageModel:
     dictionaries: dict[str, bytes] = field(default_factory=dict)
 
 
-def fit_language_model(labelled: DataFrame, sample_texts: int = 128, sample_chars: int = 2048) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, sample_texts: int = 64, shares: int = 16) -> LanguageModel:
     """Learn from rows (text, lang).
 
-    The bound of the sample is ``sample_texts`` different texts a language, their first
-    ``sample_chars`` characters each: those with the smallest text hashes, the same
-    at any partitioning. Hashes are chosen first, so only chosen texts are moved.
+    The bound of the sample is ``sample_texts`` different texts a language, whole: those
+    with the smallest text hashes, the same at any partitioning. Hashes are chosen first,
+    within ``shares`` shares of each language and then among what these leave, so no task
+    gets a whole language, and only chosen texts are moved.
     """
-    rows = labelled.where("lang is not null and text is not null").select(
-        "lang", F.xxhash64("text").alias("h"), F.substring("text", 1, sample_chars).alias("text")
-    )
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts)
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    hashes = rows.select("lang", "h").distinct().withColumn("share", F.pmod("h", F.lit(shares)))
+    for group in (["lang", "share"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
+        hashes = hashes.withColumn("place", place).where(F.col("place") <= sample_texts)
+    sample = rows.join(F.broadcast(hashes.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, list] = {}
     for lang, h, text in sample.collect():
         texts.setdefault(lang, []).append((h, text))
-    return LanguageModel({lang: " ".join(letters_only(t) for _, t in sorted(found)).encode() for lang, found in sorted(texts.items())})
+    return LanguageModel({lang: " ".join(letters_only(t) for _, t in sorted(found)).encode("utf-8", "surrogatepass") for lang, found in sorted(texts.items())})
 
 
 def predict_language(
@@ -69,6 +72,8 @@ def predict_language(
     ``score`` is 1 - smallest / second-smallest compressed size; below ``margin`` the
     prediction is rejected (it is still named).
     """
+    if not accepted_only:
+        refuse_clashes(keep, ["lang_pred", "score", "rejected"])
     names, contents = list(model.dictionaries), list(model.dictionaries.values())
     carried = docs.select(F.col("text").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep) if c != "text"])
     inner = {c: "_text" if c == "text" else f"_{i}" for i, c in enumerate(keep)}
