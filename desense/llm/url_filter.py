@@ -6,7 +6,7 @@ go on to the exact hash join, which removes the false positives.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no
 rule and is never listed (verdict ``allow``). Repeated rows stay repeated. An empty
-list blocks nothing. Columns of the pages other than the id and the url are ignored,
+list blocks nothing; an empty table gives an empty result. A very long url is one value. Columns of the pages other than the id and the url are ignored,
 so clashing names do no harm; extra columns of the list are ignored too.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from desense.llm.common import LOWER, UPPER
+from desense.llm.common import LOWER, UPPER, written
 
 BLOCK_BYTES = 72
 #: A larger Bloom table is joined by shuffle on the block number instead of broadcast.
@@ -107,19 +107,22 @@ def url_filter(
         .where("canonical is not null")
         .distinct()
     )
+    keys = written(keys)
     n_blocks = max(1, -(-keys.count() * bits_per_key // 512))
-    blocks = bloom_blocks(keys, n_blocks)
+    # written, so that Spark can split what a hot url makes large in the joins
+    blocks = written(bloom_blocks(keys, n_blocks))
     if n_blocks * BLOCK_BYTES <= broadcast_bytes:
         blocks = F.broadcast(blocks)
-    probed = parts.withColumn("block", _block(F.coalesce("canonical", F.lit("")), n_blocks)).join(blocks, "block", "left")
+    unlisted = parts.where("canonical is null")  # many rows may have no host: they need no probe
+    probed = parts.where("canonical is not null").withColumn("block", _block(F.col("canonical"), n_blocks)).join(blocks, "block", "left")
     inside = F.lit(True)
     for i, mask in enumerate(_lanes(F.col("canonical"))):
         inside = inside & (F.col(f"w{i}").bitwiseAND(mask) != 0)
-    probed = probed.withColumn("possible", F.coalesce(inside & F.col("canonical").isNotNull(), F.lit(False)))
+    probed = probed.withColumn("possible", F.coalesce(inside, F.lit(False)))
     out = [id_column, "host", "path", "rule", "_verdict"]
     hits = probed.where("possible").select(*out, "canonical").join(keys.withColumn("listed", F.lit(True)), "canonical", "left")
-    judged = hits.select(*out, F.coalesce("listed", F.lit(False)).alias("listed")).unionByName(
-        probed.where("not possible").select(*out, F.lit(False).alias("listed"))
-    )
+    judged = hits.select(*out, F.coalesce("listed", F.lit(False)).alias("listed"))
+    for rest in (probed.where("not possible"), unlisted):
+        judged = judged.unionByName(rest.select(*out, F.lit(False).alias("listed")))
     method = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select(id_column, "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"), "listed")
