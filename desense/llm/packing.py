@@ -1,8 +1,9 @@
 """Best-fit packing of token runs into sequences of several permitted lengths.
 
 Runs longer than the greatest length are cut into pieces of that length and a rest; the
-pieces are shared out evenly among shards by a hash, so that each shard is a bounded
-number of pieces and holds a like mix of lengths; only ids and lengths are moved. Within
+pieces are shared out evenly among shards by a hash of the row, so that each shard is a
+bounded number of pieces, whatever their ids, and holds a like mix of lengths; only ids
+and lengths are moved. Within
 a shard, longest first, a piece goes to the open bin that it leaves least room in. Where
 none fits, a bin is opened with the length whose cost for each token it can still hold
 is least, given what is left to pack. Finally each bin is downsized to the smallest
@@ -73,14 +74,15 @@ def pack(runs: DataFrame, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[in
     lengths = tuple(sorted(lengths))
     most = lengths[-1]
     n = F.col("n_tokens")
-    rows = written(runs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n_tokens")))
+    # rows get numbers, so that rows of one id go to any shard; they are written, so fixed
+    rows = written(runs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n_tokens"), F.monotonically_increasing_id().alias("_row")))
     has = (n > 0) & F.col("doc_id").isNotNull()
     last = F.ceil(n / most).cast("int") - 1
     pieces = rows.where(has).select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"), last.alias("_last"))
     size = F.when(F.col("piece") < F.col("_last"), most).otherwise(n - F.col("_last").cast("long") * most)
     total = rows.where(has).agg(F.sum(F.ceil(n / most)).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(total) // shard_pieces))
-    pieces = pieces.select("doc_id", "n_tokens", "piece", size.cast("long").alias("piece_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard"))
+    pieces = pieces.select("doc_id", "n_tokens", "piece", size.cast("long").alias("piece_tokens"), F.pmod(F.xxhash64("_row", "piece"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
