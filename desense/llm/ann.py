@@ -5,7 +5,7 @@ projection on a few random directions. A curve is cut into ``BLOCKS`` ranges of
 equal counts, by exact counts of key prefixes; a query is compared with the vectors of
 its own range and ``REACH`` neighbouring ranges on both sides. What the curves find is
 merged and ranked by exact distances of the original vectors. Ranges with many vectors
-are dealt to several tasks, so a task's work is bounded.
+or many queries are dealt to several tasks, so a task's work is bounded.
 
 The ranges are shares of the table, so recall does not fall as it grows. Vectors that
 have no structure need wide ranges: on unit vectors in 64 dimensions whose neighbours are
@@ -16,7 +16,8 @@ among anyone's nearest k, for ties go to smaller ids. All rows, copies too, can
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or are
 not of the commonest length take no part, nor do rows with a null id; rows are told
-apart by id, so repeated rows count once; with fewer than k candidates all are returned;
+apart by id, so repeated rows count once, and of several vectors with one id the smallest
+counts; with fewer than k candidates all are returned;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -35,7 +36,7 @@ from desense.llm.hilbert import hilbert_keys
 CURVES, DIRECTIONS, BITS = 16, 12, 2
 BLOCKS, REACH = 100, 1
 PREFIX_BITS = 14
-TASK_VECTORS = 20_000
+TASK_VECTORS, TASK_QUERIES = 20_000, 4_000
 
 
 @dataclass(frozen=True)
@@ -100,12 +101,12 @@ def fit_curves(rows: DataFrame, dim: int, curves: int = CURVES, directions: int
 
 def nearest(
     vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
-    curves: int = CURVES, blocks: int = BLOCKS, reach: int = REACH, task_vectors: int = TASK_VECTORS,
+    curves: int = CURVES, blocks: int = BLOCKS, reach: int = REACH, task_vectors: int = TASK_VECTORS, task_queries: int = TASK_QUERIES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query; ``is_query``
     is a condition on vec_id."""
     rows, dim = usable(vectors, id_column, vector_column)
-    rows = written(rows.dropDuplicates(["vec_id"]))
+    rows = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
     model = fit_curves(rows, dim, curves)
     order = Window.partitionBy("v").orderBy("vec_id")
     indexed = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("vec_id", "v")
@@ -142,8 +143,14 @@ def nearest(
     placed = by_range(queries).join(F.broadcast(spans.select(F.col("curve").alias("c"), "place", "low", "high")), (F.col("curve") == F.col("c")) & at)
     placed = placed.select("curve", F.explode(F.sequence(F.col("place") - reach, F.col("place") + reach)).alias("place"), "vec_id", "v")
     placed = placed.join(F.broadcast(spans.select("curve", "place", "deals")), ["curve", "place"])
+    # queries are dealt too, and candidates copied to each deal of queries
     placed = placed.select("curve", "place", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "vec_id", "v")
-    key = ["curve", "place", "deal"]
+    asked_at = written(placed.groupBy("curve", "place").agg(F.ceil(F.count(F.lit(1)) / F.countDistinct("deal") / task_queries).cast("int").alias("query_deals")))
+    asked_at = F.broadcast(asked_at)  # a row a range at most
+    placed = placed.join(asked_at, ["curve", "place"]).withColumn("query_deal", F.pmod(F.xxhash64("vec_id"), "query_deals").cast("int"))
+    candidates = candidates.join(asked_at, ["curve", "place"]).withColumn("query_deal", F.explode(F.sequence(F.lit(0), F.col("query_deals") - 1)))
+    placed, candidates = (x.select("curve", "place", "deal", "query_deal", "vec_id", "v") for x in (placed, candidates))
+    key = ["curve", "place", "deal", "query_deal"]
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
