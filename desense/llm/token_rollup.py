@@ -5,14 +5,15 @@ them back, a revised count is a delete and an insert. A batch is first summed by
 so what is stored grows with the groups, not with the documents, and totals are plain
 sums of deltas, in any order.
 
-Commits are idempotent. Each attempt writes its deltas under its own attempt name and
-only then adds one row to the commit table. Readers take, for each batch id, the first
-committed attempt alone: a replay, or an attempt that died half way, changes nothing.
+Commits are idempotent. Each attempt writes its deltas under its own attempt name, and
+only then creates the batch's commit file, which names the attempt. It can be created
+once, so the first attempt that commits counts for good, however long another runs: a
+replay, or an attempt that died half way, changes nothing.
 
 Defined cases: null source, language or version are groups of their own; null and empty
 texts count 0 tokens but one document; repeated rows count each time; an empty batch
-commits as such; groups whose totals are all zero are left out of the totals. Extra
-columns are ignored.
+commits as such; groups whose totals are all zero are left out of the totals. A very long
+text is one count. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP = ["source", "lang", "tokenizer_version"]
 _DELTAS = "batch_id long, attempt string, source string, lang string, tokenizer_version string, docs long, tokens long"
-_COMMITS = "batch_id long, attempt string"
 
 
 def signed(counted: DataFrame, sign: int) -> DataFrame:
@@ -41,26 +42,47 @@ def revised(before: DataFrame, after: DataFrame) -> DataFrame:
 
 @dataclass
 class TokenRollup:
-    """A rollup store: two append-only Parquet tables below ``path``, a shared folder."""
+    """A rollup store below ``path``, a shared folder: an append-only Parquet table of
+    deltas, and a commit file for each batch."""
 
     spark: SparkSession
     path: str
 
     def commit(self, batch_id: int, changes: DataFrame) -> None:
-        """Commit signed changes (source, lang, tokenizer_version, sign, n_tokens)."""
+        """Commit signed changes (source, lang, tokenizer_version, sign, n_tokens), unless
+        the batch is committed already."""
+        files, mark = self._commit_file(batch_id)
+        if files.exists(mark):
+            return
         attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
         changes.groupBy(*GROUP).agg(
             F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("tokens")
         ).select(
             F.lit(batch_id).cast("long").alias("batch_id"), F.lit(attempt).alias("attempt"), *GROUP, "docs", "tokens"
         ).write.mode("append").parquet(f"{self.path}/deltas")
-        self.spark.createDataFrame([(batch_id, attempt)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._commit_as(batch_id, attempt)
+
+    def _commit_file(self, batch_id: int):
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{batch_id}")
+        return mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), mark
+
+    def _commit_as(self, batch_id: int, attempt: str) -> None:
+        """Create the commit file; where another attempt has created it, that one counts."""
+        files, mark = self._commit_file(batch_id)
+        try:
+            out = files.create(mark, False)
+        except Py4JJavaError:
+            if files.exists(mark):
+                return
+            raise
+        out.write(bytearray(f"{batch_id} {attempt}".encode()))
+        out.close()
 
     def committed(self) -> DataFrame:
-        """Deltas of each batch's first committed attempt."""
-        commits = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits")
-        first = commits.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
-        return self.spark.read.schema(_DELTAS).parquet(f"{self.path}/deltas").join(first, ["batch_id", "attempt"], "left_semi")
+        """Deltas of each batch's committed attempt."""
+        parts = F.split("value", " ")
+        commits = self.spark.read.text(f"{self.path}/commits").select(parts[0].cast("long").alias("batch_id"), parts[1].alias("attempt"))
+        return self.spark.read.schema(_DELTAS).parquet(f"{self.path}/deltas").join(commits, ["batch_id", "attempt"], "left_semi")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, docs, tokens) over all committed batches."""
