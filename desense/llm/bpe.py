@@ -11,7 +11,9 @@ others by the tokenizers library's own normaliser and splitter, which define the
 
 Defined cases: null and empty texts have no ids and decode to the empty string; strings
 of special tokens in a text become those tokens, as in the library; repeated rows stay
-repeated; an empty table gives an empty result; extra columns are ignored.
+repeated; an empty table gives an empty result; a very long text is encoded whole, as one
+slice. Extra columns are ignored; columns to keep may have any names but those of the
+results, which are refused.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from desense.llm.common import text_slices
+from desense.llm.common import refuse_clashes, text_slices
 
 KNOWN_WORDS = 600_000
 
@@ -80,6 +82,7 @@ class WordCodec:
         new = used - self.ids_of.keys()
         if len(self.ids_of) + len(new) > KNOWN_WORDS:
             self.ids_of, self.text_of, new = {}, {}, used
+            self.table.forget()
         for w in self.special.keys() & new:
             self.ids_of[w], self.text_of[w] = str(self.special[w]), w
         ids, names = self.table.ids, self.table.names
@@ -109,6 +112,7 @@ def encode_decode(docs: DataFrame, vocabulary_file: str, keep: list[str]) -> Dat
     ``vocabulary_file`` is the text of a tokenizer file: its size is fixed, and every
     executor gets it with the job, whether or not it can see the driver's disk.
     """
+    refuse_clashes(keep, ["n_tokens", "ids_sha256", "decoded_sha256"])
     carried = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{c}` {carried.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_file)

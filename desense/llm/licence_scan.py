@@ -15,7 +15,8 @@ licence words by their first eight bytes and length become Python objects.
 Document frequencies cover all documents; they are one row for each licence word, so
 they are collected. Defined cases: null and empty texts have no words, no labels and
 score 0; a repeated row counts in frequencies as often as it stands there; equal IDFs go
-by word; an empty table gives an empty result; extra columns are ignored.
+by word; a very long text is scanned whole, as one slice; an empty table gives an empty
+result; extra columns, whatever their names, are ignored; null ids keep their rows.
 """
 
 from __future__ import annotations

@@ -51,6 +51,10 @@ class MergeTable:
         self.fits: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
+    def forget(self) -> None:
+        """Drop what is remembered of pairs of tokens; it can be found again."""
+        self.fits, self.edges = {}, {}
+
     @classmethod
     def from_json(cls, text: str) -> MergeTable:
         return cls(json.loads(text)["model"])

@@ -54,6 +54,37 @@ def test_language_accuracy_held_out(spark):
     assert (got.lang_pred == got.lang).mean() > 0.97 and got.rejected.mean() < 0.02
 
 
+def test_language_query_brute_force(spark):
+    """The same sizes by plain zstandard calls."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = language_id.fit_language_model(docs.where(~language_id.in_holdout(F.col("doc_id"))).select("text", "lang"))
+    rows = docs.toPandas()
+    known = {lang: sorted({t for t, d, x in zip(rows.text, rows.doc_id, rows.lang, strict=True) if x == lang and t is not None and zlib.crc32(str(d).encode()) % 5}) for lang in model.dictionaries}
+    assert all(len(known[lang]) <= 64 and len(model.dictionaries[lang]) == len(" ".join(map(language_id.letters_only, known[lang])).encode()) for lang in known if len(known[lang]) <= 64)
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, SF_DIR).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in zip(rows.doc_id, rows.text, strict=True):
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+        raw, sizes = language_id.letters_only(text or "").encode(), {}
+        if not raw.strip():
+            assert got[doc_id].lang_pred == "und"
+            continue
+        for lang, content in model.dictionaries.items():
+            coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[got[doc_id].lang_pred] == first and got[doc_id].score == pytest.approx(1 - first / second)
+
+
+def test_kept_columns_may_not_clash_with_results(spark):
+    model = language_id.fit_language_model(none(spark))
+    for refused in (lambda: language_id.predict_language(odd(spark), model, ["score"]), lambda: quality.quality_rules(none(spark), ("doc_id", "n_words")), lambda: bpe.encode_decode(none(spark), "", ["n_tokens"])):
+        with pytest.raises(ValueError, match="names of results"):
+            refused()
+
+
 def test_language_odd_rows(spark):
     model = language_id.fit_language_model(spark.createDataFrame([("abc def", "x"), ("uvw xyz", "y")], "text string, lang string"))
     got = {r.doc_id: r for r in language_id.predict_language(odd(spark), model, ["doc_id"]).collect()}
@@ -106,6 +137,39 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert got[got.doc_id < 1000].kept.mean() > 0.99 and not got[got.doc_id >= 1000].kept.any()
 
 
+@pytest.mark.parametrize("rows", [5, 50, 500])
+def test_groups_of_any_size_are_judged_by_their_own_estimate(spark, rows):
+    """A source with many symbols in every text: its own texts stay, a like one elsewhere
+    goes, and its outliers go too; a group of few rows leans on its language."""
+    rnd = np.random.default_rng(rows)
+    word = lambda: "".join(rnd.choice(list("abcdefghij"), rnd.integers(3, 8)))
+    text = lambda tail, n=60: " ".join(word() + (tail if i % 2 else "") for i in range(n))
+    docs = [(i, text(""), "en", "plain", 1.0) for i in range(300)]
+    docs += [(1000 + i, text("$"), "en", "marked", 1.0) for i in range(rows)]
+    docs += [(5000, text("$"), "en", "plain", 1.0), (5001, text("#$%&" * 4), "en", "marked", 1.0), (5002, text("#$%&" * 4), "xx", None, 1.0)]
+    got = quality.quality_rules(spark.createDataFrame(docs, DOCS)).toPandas().set_index("doc_id")
+    assert got.d2.notna().all() and not got.kept[5001]
+    own, other = got.d2[1000 : 1000 + rows - 1].median(), got.d2[5000]
+    assert own < other
+    if rows == 500:
+        assert got.kept[1000:1499].mean() > 0.99 and not got.kept[5000]
+
+
+def test_least_determinant_wins(spark):
+    """A third of the rows lies in a tight cloud far off: some start would keep it."""
+    rnd = np.random.default_rng(0)
+    x = np.concatenate([rnd.normal(0, 300, (400, 4)), rnd.normal(4000, 20, (170, 4))]).astype(int)
+    rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "grp string, x0 long, x1 long, x2 long, x3 long")
+    best = quality.mcd_estimates(rows).first()
+    assert all(abs(best[f"m{i}"]) < 200 for i in range(4))
+    ends = quality._starts(rows)
+    for _ in range(quality.STEPS):
+        ends = quality._concentrated(rows, ends)
+    dets = [r.l00 * r.l11 * r.l22 * r.l33 for r in ends.collect()]
+    chosen = quality._factored(spark.createDataFrame([best])).first()
+    assert len(dets) == 3 and chosen.l00 * chosen.l11 * chosen.l22 * chosen.l33 == pytest.approx(min(dets))
+
+
 # --- packing ---------------------------------------------------------------------------
 
 
@@ -131,7 +195,14 @@ def test_best_fit_brute_force(sizes):
     got, capacity, held = packing.best_fit(sizes, lengths)
     assert sum(held) == sum(sizes) and len(held) == len(bins) and sorted(held) == sorted(bins)
     assert all(h <= c and (c == 20 or h > lengths[lengths.index(c) - 1]) for h, c in zip(held, capacity, strict=True))
-    assert Counter(got) == Counter(got) and all(sum(s for s, b in zip(sizes, got, strict=True) if b == i) == h for i, h in enumerate(held))
+    assert all(sum(s for s, b in zip(sizes, got, strict=True) if b == i) == h for i, h in enumerate(held))
+    # bins are opened with the same lengths, and each piece leaves the same room
+    full, after = {}, []
+    for b, s, r in zip(got, sizes, want, strict=True):
+        full.setdefault(b, r + s)
+        full[b] -= s
+        after.append(full[b])
+    assert after == want
 
 
 def test_pack_whole(spark):
@@ -143,6 +214,27 @@ def test_pack_whole(spark):
     assert packing.pack(runs.limit(0)).count() == 0
 
 
+def test_pack_rows_of_one_id(spark):
+    runs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(100).cast("long").alias("n_tokens"), F.lit("x").alias("bin"))
+    shards = packing.pack(runs, shard_pieces=500).groupBy("shard").count().toPandas()
+    assert len(shards) == 10 and shards["count"].max() < 1000
+
+
+def test_pack_query_brute_force(spark):
+    """The whole query: every shard equals best fit on its pieces, and counts are those of
+    the texts."""
+    got = queries.op4_best_fit_packing(spark, SF_DIR).toPandas()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").toPandas()
+    tokens = {d: queries.token_count_of(t) for d, t in zip(docs.doc_id, docs.text, strict=True)} if hasattr(queries, "token_count_of") else {d: len((t or "").split()) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    whole = got.groupby("doc_id").piece_tokens.sum().to_dict()
+    assert whole == tokens
+    for _, part in got[got.bin.notna()].groupby("shard"):
+        part = part.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True])
+        bins, lengths, held = packing.best_fit(part.piece_tokens.tolist())
+        assert sorted(Counter(bins).values()) == sorted(part.groupby("bin").size())
+        assert sorted(lengths) == sorted(part.groupby("bin").bin_length.first()) and sorted(held) == sorted(part.groupby("bin").bin_tokens.first())
+
+
 # --- BPE -------------------------------------------------------------------------------
 
 TEXTS = [None, "", "Hello <|endoftext|>x<|startoftext|>", "it's I'VE  ok 123 é İstanbul ΣΑΣ ﬁ 漢字かな 😀 \x85 z", "don't DON'T we'LL", "a\x00b\x1fc", "word " * 3000]
@@ -284,16 +376,65 @@ def test_a_pair_at_the_threshold_shares_a_signature(n, seed, share):
         assert set(jaccard_join.signatures(a)) & set(jaccard_join.signatures(b))
 
 
+@pytest.mark.parametrize("at_once", [1, 50, 10**6])
+@pytest.mark.parametrize("batch", [7, 10**6])
+def test_possible_links_connect_what_is_linked(at_once, batch, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", at_once)
+    sets, rnd = jaccard_join.shingle_sets(pa.array([t for _, t in near_copies()[:72]])), np.random.default_rng(2)
+    rows = []
+    for sig in range(5):
+        two = sig % 2
+        for k in rnd.permutation(72)[: int(rnd.integers(2, 60))].tolist():
+            rows.append((sig, 0, two, int(rnd.integers(0, 2)) if two else 0, int(rnd.integers(0, 4)), k))
+    rows.sort()
+    cols = {c: pa.array(v, pa.int64()) for c, v in zip(("sig", "i", "j", "own", "root", "set_id"), zip(*rows, strict=True), strict=True)}
+    cols |= {"n": pa.array([len(sets[r[-1]]) for r in rows], pa.int32()), "sketch": pa.array([jaccard_join.sketch(sets[r[-1]]) for r in rows])}
+    edges = []
+    for part in jaccard_join.whole_groups(pa.table(cols).to_batches(batch)):
+        a, b = jaccard_join.possible_forest(part, 85, 100)
+        edges += zip(a.tolist(), b.tolist(), strict=True)
+    family = list(range(72))
+    for a, b in edges * 72:
+        family[a] = family[b] = min(family[a], family[b])
+    together = 0
+    for x in rows:
+        for y in rows:
+            if x[:3] == y[:3] and x[4] != y[4] and (x[1] == x[2] or x[3] != y[3]) and x[5] < y[5]:
+                both = len(np.intersect1d(sets[x[5]], sets[y[5]]))
+                if 100 * both >= 85 * (len(sets[x[5]]) + len(sets[y[5]]) - both):
+                    together += 1
+                    assert family[x[5]] == family[y[5]]
+    assert together and len(edges) < len(rows)
+
+
 @pytest.mark.parametrize("common", [1, 10**9])
 def test_forest_connects_what_is_linked(common, monkeypatch):
     monkeypatch.setattr(jaccard_join, "COMMON_HOLDERS", common)
     sets = jaccard_join.shingle_sets(pa.array([t for _, t in near_copies()[:72]]))
-    a, b = jaccard_join.linked_forest(np.concatenate(sets), np.cumsum([len(s) for s in sets]), np.zeros(72, int))
+    flat, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets])
+    a, b = jaccard_join.linked_forest(flat, ends, np.zeros(72, int), np.arange(72))
     root = list(range(72))
     for i, j in [*zip(a, b, strict=True)] * 72:
         root[i] = root[j] = min(root[i], root[j])
     want = brute_components(near_copies()[:72])
     assert root == [want[i][1] for i in range(72)]
+    assert not len(jaccard_join.linked_forest(flat, ends, np.zeros(72, int), np.zeros(72, int))[0])
+
+
+def test_components_of_a_large_family(spark, monkeypatch):
+    """One family of many near copies in chains, with blocks made small."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard_join, "BUCKET_SETS", 16)
+    rnd = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(int(rnd.integers(0, 9))):
+            w[int(rnd.integers(0, 150))] = f"z{rnd.integers(0, 6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[60:110] + [f"o{i}x{j}" for j in range(100)])) for i in range(60)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
 def test_connected_components(spark):
@@ -330,8 +471,10 @@ def test_replays_change_nothing(spark, tmp_path):
     token_rollup.signed(rows, 1).limit(0)
     rollup.commit(2, token_rollup.revised(rows.limit(1), rows.limit(1).withColumn("n_tokens", F.lit(9))))
     rollup.commit(3, token_rollup.signed(rows, 1).limit(0))
-    # an attempt that wrote its deltas but never committed
+    # an attempt that wrote its deltas but never committed, and one that comes to commit too late
     rollup.committed().withColumn("batch_id", F.lit(9).cast("long")).write.mode("append").parquet(f"{rollup.path}/deltas")
+    rollup.committed().withColumn("attempt", F.lit("0000")).write.mode("append").parquet(f"{rollup.path}/deltas")
+    rollup._commit_as(1, "0000")
     got = {r.source: (r.docs, r.tokens) for r in rollup.totals().collect()}
     assert got == {"s": (1, 9), None: (1, 0)}
 
@@ -340,11 +483,36 @@ def test_replays_change_nothing(spark, tmp_path):
 @given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 60000) | st.integers(0, 1), max_size=150), max_size=5))
 def test_simple8b_round_trip(runs):
     runs = [np.array(r, dtype=np.uint64) for r in runs]
-    words, offsets = simple8b.encode(runs)
+    words, offsets = simple8b.encode(np.concatenate([np.zeros(0, np.uint64), *runs]), np.array([len(r) for r in runs], dtype=np.int64))
     got = simple8b.decode(words, offsets, np.array([len(r) for r in runs], dtype=np.int64))
     assert np.array_equal(got, np.concatenate([np.zeros(0, np.uint64), *runs]))
 
 
+WORD_PARTS = ["a", "s", "t", "re", "ll", "d", "'", " ", "\n", "\t", "\r", "1", "é", "ß", "Ü", "!", "-", "S", " '", "×", "÷", "²", "“", "\x85", "\x00", "漢", "<|", "x" * 70]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORD_PARTS), max_size=14).map("".join), max_size=5), st.booleans())
+def test_byte_encoder_equals_library(texts, small):
+    encoder = token_files._encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    if small:
+        encoder._forget()
+    ids, sizes = encoder.batch(pa.array(texts, pa.string()))
+    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])][: len(texts)] == want
+
+
+def test_token_files_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
+    library, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = {r.doc_id: r for r in queries.op10_token_files(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
+    for doc_id, e in zip(docs.doc_id, library.encode_batch([t or "" for t in docs.text], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 0], dtype="<u4")
+        assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
