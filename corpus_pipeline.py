@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All
 but the last return the columns of ``documents``; the last returns the packing table.
+
+Defined cases: texts that are null, empty or without words go in the first stage, texts
+without a letter in the second. Rows with a null id or a repeated one are judged like all
+others by the first two stages; the third keeps all rows with a null id, and of one id a
+row for each group of near duplicates; the last has a row without a bin for a null id.
+A very long text is one row, and several pieces in the last stage. An empty table gives an
+empty result; extra columns, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -33,14 +40,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once, whatever
     else has that id; rows without an id, which can't be told apart, all stay."""
-    found = jaccard_join.component_rows(docs, SHINGLE, OVER, UNDER)
-    first = found.where("doc_id = component_id")
-    # of several sets of a group with the smallest id one stays
-    stay = written(first.groupBy("doc_id", "root").agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias("_id"), "_set"))
-    rows = jaccard_join.with_set_id(docs.where("doc_id is not null"), SHINGLE)
-    kept = rows.join(stay, (F.col("doc_id") == F.col("_id")) & F.col("set_id").eqNullSafe(F.col("_set")), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "set_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return jaccard_join.first_documents(docs, SHINGLE, OVER, UNDER)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
