@@ -31,18 +31,42 @@ def residual_rescan(redacted: DataFrame, rules: DataFrame | None = None) -> Data
     return detect_all(docs, rules).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def integrity_audit(manifest: DataFrame, files: DataFrame) -> DataFrame:
+#: Characters that a name in a manifest must not hold, or not end with.
+BAD_NAME = r"[/\\:]|[. ]$"
+MOST_MANIFEST_BYTES = 2 << 30
+
+
+def integrity_audit(manifest: DataFrame, files: DataFrame, most_bytes: int = MOST_MANIFEST_BYTES) -> DataFrame:
     """(name, verdict): manifest (name, size_bytes, sha256) against files (name, content)
-    by name without case: ok, missing, extra, size, hash or duplicate."""
+    by name without case: ok, bad_name, listed_twice, missing, extra, duplicate, size or
+    hash; and a row without a name where the manifest's total is too large."""
     key = F.lower("name")
-    m = manifest.select(key.alias("name"), F.col("size_bytes").alias("want"), "sha256")
+    bad = (F.col("name") == "") | F.col("name").rlike(BAD_NAME)
+    m = manifest.groupBy(key.alias("name")).agg(F.count(F.lit(1)).alias("times"), F.max("size_bytes").alias("want"), F.max("sha256").alias("sha256"), F.bool_or(bad).alias("bad"))
     f = files.select(key.alias("name"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
     f = f.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("hash").alias("hash"))
     verdict = (
-        F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("n") > 1, "duplicate")
+        F.when(F.col("bad"), "bad_name").when(F.col("times") > 1, "listed_twice").when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("n") > 1, "duplicate")
         .when(F.col("size") != F.col("want"), "size").when(F.col("hash") != F.col("sha256"), "hash").otherwise("ok")
     )
-    return m.join(f, "name", "full").select("name", verdict.alias("verdict"))
+    total = manifest.agg(F.sum("size_bytes").alias("total")).where(F.col("total") > most_bytes)
+    return m.join(f, "name", "full").select("name", verdict.alias("verdict")).unionByName(total.select(F.lit(None).cast("string").alias("name"), F.lit("total_too_large").alias("verdict")))
+
+
+def acceptance_summary(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """For each source and mode of redacted documents (doc_id, source, mode, text, pages,
+    elapsed_ms): documents, pages, spans by type as JSON, bytes, elapsed time, and a hash of
+    all texts' hashes in order. Hashes are 64 characters a document, so sources are to be of
+    bounded size, as test sets are."""
+    by = ["source", "mode"]
+    typed = docs.select("doc_id", *by).join(spans.select("doc_id", "entity_type"), "doc_id").groupBy(*by, "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = typed.groupBy(*by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n"))))).alias("entities"))
+    whole = docs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.col("pages").cast("long")).alias("pages"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("output_hash"),
+        F.sum(F.octet_length("text").cast("long")).alias("output_bytes"), F.sum("elapsed_ms").alias("elapsed_ms"),
+    )
+    return whole.join(counts, by, "left")
 
 
 def annotation_diff(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-4) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from desense.functions.matching import pieces
 from desense.functions.replacement import default_replacement
@@ -177,7 +177,7 @@ def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most
 def edited(text: Column, edits: Column) -> Column:
     """``text`` with sorted, disjoint edits (start_at, end_at, replacement) applied."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def apply(texts: pa.Array, changes: pa.Array) -> pa.Array:
         out = []
         for t, changed in zip(texts.to_pylist(), changes.to_pylist(), strict=True):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from desense.functions.geometry import valid_region
 from desense.functions.replacement import FIXED, GENERIC
 
 MOST_REPLACEMENT_BYTES = 4096
@@ -64,25 +65,59 @@ def revision_check(tasks: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("task_id", F.when(ok, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), (~F.coalesce(ok, F.lit(False))).alias("output_valid"), error.alias("error"))
 
 
-def upsert_regions(regions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions after edits (doc_id, region_id, text, expected), source manual, revision + 1;
-    and the edits refused because their document is at another revision."""
-    rev = regions.groupBy("doc_id").agg(F.max("revision").alias("now"))
-    rows = edits.join(rev, "doc_id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
-    good, bad = rows.where("expected = now"), rows.where("expected <> now")
-    touched = good.select("doc_id").distinct().withColumn("_bump", F.lit(1))
-    kept = regions.select("doc_id", "region_id", "source", "text", "revision").join(good.select("doc_id", "region_id"), ["doc_id", "region_id"], "left_anti")
-    kept = kept.join(touched, "doc_id", "left").withColumn("revision", F.col("revision") + F.coalesce("_bump", F.lit(0))).drop("_bump")
-    new = good.select("doc_id", "region_id", F.lit("manual").alias("source"), "text", (F.col("now") + 1).cast("int").alias("revision"))
-    return kept.unionByName(new), bad.select("doc_id", "region_id", F.lit("REVISION_CONFLICT").alias("error"))
-
-
-def remove_regions(regions: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions without the removed manual ones, and refused removals (doc_id, region_id)."""
-    found = removals.join(regions.select("doc_id", "region_id", "source"), ["doc_id", "region_id"], "left")
-    bad = found.where("source is null or source <> 'manual'").select("doc_id", "region_id", F.when(F.col("source").isNull(), "MISSING").otherwise("NOT_MANUAL").alias("error"))
-    gone = found.where("source = 'manual'").select("doc_id", "region_id")
-    return regions.join(gone, ["doc_id", "region_id"], "left_anti"), bad
+def saved(reviews: DataFrame, changed: DataFrame) -> DataFrame:
+    """Reviews (doc_id, state, revision, reviewed_revision, page_count, output_valid) after
+    the documents ``changed`` (doc_id) were saved: the revision goes up and is the reviewed
+    one, and the stored output no longer counts."""
+    hit = changed.select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    rows = reviews.join(hit, "doc_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    now = F.when(F.col("_hit"), F.col("revision") + 1).otherwise(F.col("revision")).cast("int")
+    rows = rows.withColumn("revision", now).withColumn("reviewed_revision", F.when(F.col("_hit"), F.col("revision")).otherwise(F.col("reviewed_revision")))
+    return rows.withColumn("output_valid", F.col("output_valid") & ~F.col("_hit")).drop("_hit")
+
+
+def save_decisions(spans: DataFrame, decisions: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans and reviews after decisions, and (doc_id, error) of documents whose decisions
+    are refused, all of them: no such task, not awaiting review, or ``decision_errors``."""
+    asked = decisions.select("doc_id").distinct().join(reviews.select("doc_id", "state"), "doc_id", "left")
+    closed = asked.where("state is null or state <> 'awaiting_review'").select("doc_id", F.when(F.col("state").isNull(), "TASK_MISSING").otherwise("INVALID_TASK_STATE").alias("error"))
+    allowed = decisions.join(closed, "doc_id", "left_anti")
+    errors = closed.unionByName(decision_errors(spans, allowed))
+    good = decisions.join(errors, "doc_id", "left_anti")
+    return apply_decisions(spans, good), saved(reviews, good), errors
+
+
+def _judged_edits(edits: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Edits (doc_id, expected, ..) with page_count, and an error: no such task, not awaiting
+    review, or at another revision than expected. Edits of a document are one change."""
+    rows = edits.join(reviews.select("doc_id", "state", "revision", "page_count"), "doc_id", "left")
+    error = F.when(F.col("state").isNull(), "TASK_MISSING").when(F.col("state") != "awaiting_review", "INVALID_TASK_STATE").when(F.col("expected") != F.col("revision"), "REVISION_CONFLICT")
+    return rows.withColumn("error", error).drop("state", "revision")
+
+
+def upsert_regions(regions: DataFrame, edits: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions (doc_id, region_id, page, source, text, polygon) after edits (the same without
+    source, and expected), whose source is manual; the reviews saved; and the refused edits
+    (doc_id, region_id, error), those of invalid regions too."""
+    rows = _judged_edits(edits, reviews)
+    valid = F.coalesce(valid_region(F.col("polygon"), F.col("page"), F.col("page_count")), F.lit(False))
+    rows = rows.withColumn("error", F.when(F.col("error").isNull() & ~valid, "INVALID_REGION").otherwise(F.col("error")))
+    good = rows.where("error is null")
+    columns = ["doc_id", "region_id", "page", "source", "text", "polygon"]
+    kept = regions.select(*columns).join(good.select("doc_id", "region_id"), ["doc_id", "region_id"], "left_anti").select(*columns)
+    new = good.withColumn("source", F.lit("manual")).select(*columns)
+    return kept.unionByName(new), saved(reviews, good), rows.where("error is not null").select("doc_id", "region_id", "error")
+
+
+def remove_regions(regions: DataFrame, removals: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions without the removed manual ones (doc_id, region_id, expected), the reviews
+    saved, and the refused removals; a region that is missing or not manual is one."""
+    rows = _judged_edits(removals, reviews).join(regions.select("doc_id", "region_id", "source"), ["doc_id", "region_id"], "left")
+    lost = F.when(F.col("source").isNull(), "MISSING").when(F.col("source") != "manual", "NOT_MANUAL")
+    rows = rows.withColumn("error", F.coalesce("error", lost))
+    good = rows.where("error is null")
+    left = regions.join(good.select("doc_id", "region_id"), ["doc_id", "region_id"], "left_anti")
+    return left, saved(reviews, good), rows.where("error is not null").select("doc_id", "region_id", "error")
 
 
 def first_line_of(entities: DataFrame, lines: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def assemble_tag_spans(tags: DataFrame) -> DataFrame:
     # after an E or S nothing is pending, so the next I or E opens too
     opens = F.col("k").isin("B", "S") | F.coalesce(F.lag("k").over(order).isin("E", "S"), F.lit(True))
     on = on.withColumn("n", F.sum(F.when(opens, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    suffix = F.min_by(F.substring("label", 3, 100), "pos")
+    suffix = F.min_by(F.expr("substring(label, 3)"), "pos")
     named = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])[F.col("suffix")], F.col("suffix"))
     # a B sets its own end; only I, E and S move it
     spans = on.groupBy("seq_id", "n").agg(suffix.alias("suffix"), F.min_by("start_at", "pos").alias("start_at"), F.max_by("end_at", "pos").alias("end_at"), F.min_by("score", "pos").alias("score"))

@@ -7,8 +7,10 @@ altered fails to open. Keys come from the caller and are 16, 24 or 32 bytes.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 CHUNK_BYTES = 1 << 20
 
@@ -40,19 +42,27 @@ def vault_chunks(values: DataFrame, key: bytes, chunk: int = CHUNK_BYTES) -> Dat
     """(id, n, total, last, sealed): large values in sealed chunks; an empty value has one."""
     total = F.octet_length("content").cast("long")
     count = F.greatest(F.ceil(total / chunk).cast("int"), F.lit(1))
-    rows = values.select("id", "content", total.alias("total"), count.alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("n"))
-    rows = rows.select("id", "n", "total", (F.col("n") == F.col("k") - 1).alias("last"), F.substring("content", F.col("n") * chunk + 1, F.lit(chunk)).alias("piece"))
+    # pieces are cut within the row, so no row has more than its own piece
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.substring("content", n * chunk + 1, F.lit(chunk)))
+    rows = values.select("id", total.alias("total"), count.alias("k"), F.posexplode(cut).alias("n", "piece"))
+    rows = rows.select("id", "n", "total", (F.col("n") == F.col("k") - 1).alias("last"), "piece")
     aad = _aad(F.col("id"), F.col("total"), F.col("n"), F.col("last"))
     return rows.select("id", "n", "total", "last", _sealed(F.col("piece"), key, aad).alias("sealed"))
 
 
+@F.arrow_udf(BinaryType())
+def _joined(pieces: pa.Array) -> pa.Array:
+    """The pieces of each value, one after the other; null where one is missing."""
+    return pa.array([None if p is None or None in p else b"".join(p) for p in pieces.to_pylist()], pa.binary())
+
+
 def vault_restore(chunks: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
     """(id, content), and (id, error) where a chunk is missing, extra, moved or altered.
     A value has a bounded number of chunks, so they meet in one group."""
     aad = _aad(F.col("id"), F.col("total"), F.col("n"), F.col("last"))
     rows = chunks.select("id", "n", "total", "last", _opened(F.col("sealed"), key, aad).alias("piece"))
     pieces = F.array_sort(F.collect_list(F.struct("n", "piece")))
-    content = F.aggregate(F.transform(pieces, lambda p: p["piece"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    content = _joined(F.transform(pieces, lambda p: p["piece"]))
     whole = F.bool_and(F.col("piece").isNotNull()) & (F.count_distinct("n") == F.count(F.lit(1))) & (F.count_if("last") == 1)
     whole = whole & (F.max("n") == F.count(F.lit(1)) - 1) & (F.max(F.when(F.col("last"), F.col("n"))) == F.max("n"))
     out = rows.groupBy("id").agg(F.when(whole & (F.min("total") == F.max("total")), content).alias("content"), F.max("total").alias("total"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from desense.operators import detect, redact, vault
 from desense.plans.masking import full_sql, resolved_contacts
 from desense.sources import encodings, sinks
-from desense.sources.inputs import load, oracle
+from desense.sources.inputs import load, oracle, workspace
 from desense.streaming import jobs
 
 QUERIES: dict = {}
@@ -29,12 +27,6 @@ def query(name: str, sql: str | None = None, *inputs: str):
     return register
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/desense-{uuid.uuid4().hex}"
-
-
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact texts in the five encodings by id, some with a NUL, some invalid."""
     c, k = load(spark, sf_dir, "contacts"), F.col("doc_id") % 5

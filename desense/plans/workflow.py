@@ -9,7 +9,8 @@ from desense.functions import geometry
 from desense.functions.replacement import GENERIC
 from desense.operators import audit, review, sequence, tasks
 from desense.operators.spans import default_selection
-from desense.sources.inputs import load, oracle
+from desense.sources import sinks
+from desense.sources.inputs import load, oracle, workspace
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -169,34 +170,89 @@ def revision_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.revision_check(load(spark, sf_dir, "tasks").where("task_id % 17 <> 0"), edits)
 
 
-_REGION_EDITS = """e AS (SELECT DISTINCT l_orderkey AS doc_id, (l_linenumber + 3)::INTEGER AS region_id, 'edited ' || l_linenumber AS text, (l_orderkey % 2)::INTEGER AS expected FROM lineitem),
-rev AS (SELECT doc_id, max(revision) AS now FROM regions GROUP BY 1), r AS (SELECT e.*, coalesce(now, 0) AS now FROM e LEFT JOIN rev ON rev.doc_id = e.doc_id), good AS (SELECT * FROM r WHERE expected = now)"""
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir, "tasks").where("task_id % 17 <> 0")
+    return t.select(F.col("task_id").alias("doc_id"), "state", "revision", "reviewed_revision", F.lit(2).alias("page_count"), F.lit(True).alias("output_valid"))
+
+
+_SAVED = "SELECT task_id AS doc_id, (revision + CASE WHEN hit THEN 1 ELSE 0 END)::INTEGER AS revision, (CASE WHEN hit THEN revision + 1 ELSE reviewed_revision END)::INTEGER AS reviewed_revision, NOT hit AS output_valid FROM (SELECT *, task_id IN (SELECT doc_id FROM good) AS hit FROM tasks WHERE task_id % 17 <> 0)"
+_CLOSED = """rv AS (SELECT * FROM tasks WHERE task_id % 17 <> 0), asked AS (SELECT DISTINCT doc_id FROM decisions),
+closed AS (SELECT doc_id, CASE WHEN state IS NULL THEN 'TASK_MISSING' ELSE 'INVALID_TASK_STATE' END AS error FROM asked LEFT JOIN rv ON task_id = doc_id WHERE state IS NULL OR state <> 'awaiting_review')"""
+_DECIDED = f"{_BAD}, {_CLOSED}, refused AS (SELECT * FROM closed UNION ALL SELECT * FROM bad WHERE doc_id NOT IN (SELECT doc_id FROM closed)), good AS (SELECT * FROM decisions WHERE doc_id NOT IN (SELECT doc_id FROM refused))"
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = load(spark, sf_dir, "spans").withColumn("selected", default_selection(F.col("score"))).withColumn("replacement", F.when(F.col("start_at") % 10 == 0, "earlier"))
+    return review.save_decisions(s, load(spark, sf_dir, "decisions"), _reviews(spark, sf_dir))
+
+
+@query("save_decisions", f"""WITH {_DECIDED} SELECT s.doc_id, s.entity_id, CASE WHEN g.entity_id IS NOT NULL THEN g.selected ELSE s.score >= 0.3 END AS selected,
+  CASE WHEN g.entity_id IS NOT NULL THEN g.replacement WHEN s.start_at % 10 = 0 THEN 'earlier' END AS replacement FROM spans s LEFT JOIN good g ON g.doc_id = s.doc_id AND g.entity_id = s.entity_id""", "decisions", "tasks")
+def save_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir)[0].select("doc_id", "entity_id", "selected", "replacement")
+
+
+@query("save_decisions_reviews", f"WITH {_DECIDED} {_SAVED}", "decisions", "tasks")
+def save_decisions_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir)[1].select("doc_id", "revision", "reviewed_revision", "output_valid")
+
+
+@query("save_decisions_errors", f"WITH {_DECIDED} SELECT doc_id, error FROM refused", "decisions", "tasks")
+def save_decisions_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir)[2]
+
+
+_REGION_EDITS = """e AS (SELECT DISTINCT l_orderkey AS doc_id, (l_linenumber + 3)::INTEGER AS region_id, 'edited ' || l_linenumber AS text, (l_orderkey % 2)::INTEGER AS expected,
+  (l_linenumber % 3)::INTEGER AS page, 0.1::DOUBLE + (l_linenumber % 4)::DOUBLE / 10 AS x1 FROM lineitem),
+judged AS (SELECT e.*, CASE WHEN state IS NULL THEN 'TASK_MISSING' WHEN state <> 'awaiting_review' THEN 'INVALID_TASK_STATE' WHEN expected <> revision THEN 'REVISION_CONFLICT' END AS error
+  FROM e LEFT JOIN (SELECT * FROM tasks WHERE task_id % 17 <> 0) ON task_id = doc_id)"""
+_UPSERTED = f"{_REGION_EDITS}, j AS (SELECT * EXCLUDE (error), CASE WHEN error IS NULL AND (page >= 2 OR x1 < 0.15) THEN 'INVALID_REGION' ELSE error END AS error FROM judged), good AS (SELECT * FROM j WHERE error IS NULL)"
+_REMOVED = f"{_REGION_EDITS}, j AS (SELECT judged.doc_id, judged.region_id, coalesce(error, CASE WHEN source IS NULL THEN 'MISSING' WHEN source <> 'manual' THEN 'NOT_MANUAL' END) AS error FROM judged LEFT JOIN regions x ON x.doc_id = judged.doc_id AND x.region_id = judged.region_id), good AS (SELECT * FROM j WHERE error IS NULL)"
 
 
 def _region_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("edited "), F.col("l_linenumber").cast("string"))
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") + 3).alias("region_id"), text.alias("text"), (F.col("l_orderkey") % 2).cast("int").alias("expected")).distinct()
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") + 3).alias("region_id"), text.alias("text"), (F.col("l_orderkey") % 2).cast("int").alias("expected"),
+        (F.col("l_linenumber") % 3).cast("int").alias("page"), F.lit(0.1).alias("x0"), F.lit(0.1).alias("y0"), (F.lit(0.1) + (F.col("l_linenumber") % 4).cast("double") / 10).alias("x1"), F.lit(0.2).alias("y1"),
+    ).distinct()
+    return rows.withColumn("polygon", _polygon())
+
 
+def _edited(spark: SparkSession, sf_dir: str, change) -> tuple[DataFrame, DataFrame, DataFrame]:
+    regions = load(spark, sf_dir, "regions").withColumn("polygon", _polygon())
+    return change(regions, _region_edits(spark, sf_dir), _reviews(spark, sf_dir))
 
-@query("upsert_regions", f"""WITH {_REGION_EDITS} SELECT g.doc_id, g.region_id, 'manual' AS source, text, (now + 1)::INTEGER AS revision FROM good g
-UNION ALL SELECT x.doc_id, x.region_id, source, text, (revision + CASE WHEN x.doc_id IN (SELECT doc_id FROM good) THEN 1 ELSE 0 END)::INTEGER FROM regions x WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.doc_id = x.doc_id AND g.region_id = x.region_id)""", "regions")
+
+@query("upsert_regions", f"""WITH {_UPSERTED} SELECT doc_id, region_id, page, 'manual' AS source, text, x1 AS right_x FROM good
+UNION ALL SELECT doc_id, region_id, page, source, text, x1 FROM regions x WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.doc_id = x.doc_id AND g.region_id = x.region_id)""", "regions", "tasks")
 def upsert_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.upsert_regions(load(spark, sf_dir, "regions"), _region_edits(spark, sf_dir))[0]
+    return _edited(spark, sf_dir, review.upsert_regions)[0].withColumn("right_x", F.col("polygon")[1]["x"]).drop("polygon")
+
 
+@query("upsert_regions_reviews", f"WITH {_UPSERTED} {_SAVED}", "tasks")
+def upsert_regions_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir, review.upsert_regions)[1].select("doc_id", "revision", "reviewed_revision", "output_valid")
 
-@query("upsert_regions_errors", f"WITH {_REGION_EDITS} SELECT doc_id, region_id, 'REVISION_CONFLICT' AS error FROM r WHERE expected <> now", "regions")
+
+@query("upsert_regions_errors", f"WITH {_UPSERTED} SELECT doc_id, region_id, error FROM j WHERE error IS NOT NULL", "tasks")
 def upsert_regions_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.upsert_regions(load(spark, sf_dir, "regions"), _region_edits(spark, sf_dir))[1]
+    return _edited(spark, sf_dir, review.upsert_regions)[2]
 
 
-@query("remove_regions", f"WITH {_REGION_EDITS} SELECT doc_id, region_id FROM regions x WHERE NOT (source = 'manual' AND EXISTS (SELECT 1 FROM e WHERE e.doc_id = x.doc_id AND e.region_id = x.region_id))", "regions")
+@query("remove_regions", f"WITH {_REMOVED} SELECT doc_id, region_id FROM regions x WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.doc_id = x.doc_id AND g.region_id = x.region_id)", "regions", "tasks")
 def remove_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.remove_regions(load(spark, sf_dir, "regions"), _region_edits(spark, sf_dir).select("doc_id", "region_id"))[0].select("doc_id", "region_id")
+    return _edited(spark, sf_dir, review.remove_regions)[0].select("doc_id", "region_id")
+
+
+@query("remove_regions_reviews", f"WITH {_REMOVED} {_SAVED}", "regions", "tasks")
+def remove_regions_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir, review.remove_regions)[1].select("doc_id", "revision", "reviewed_revision", "output_valid")
 
 
-@query("remove_regions_errors", f"WITH {_REGION_EDITS} SELECT e.doc_id, e.region_id, CASE WHEN source IS NULL THEN 'MISSING' ELSE 'NOT_MANUAL' END AS error FROM e LEFT JOIN regions x ON e.doc_id = x.doc_id AND e.region_id = x.region_id WHERE source IS NULL OR source <> 'manual'", "regions")
+@query("remove_regions_errors", f"WITH {_REMOVED} SELECT doc_id, region_id, error FROM j WHERE error IS NOT NULL", "regions", "tasks")
 def remove_regions_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.remove_regions(load(spark, sf_dir, "regions"), _region_edits(spark, sf_dir).select("doc_id", "region_id"))[1]
+    return _edited(spark, sf_dir, review.remove_regions)[2]
 
 
 # --- regions ---------------------------------------------------------------------------
@@ -311,10 +367,15 @@ def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audits ----------------------------------------------------------------------------
 
 
-@query("integrity_audit", """WITH f AS (SELECT lower(name) AS name, count(*) AS n, max(strlen(content)) AS size, max(sha256(content)) AS hash FROM files_seen GROUP BY 1), m AS (SELECT lower(name) AS name, size_bytes, sha256 FROM manifest)
-SELECT coalesce(m.name, f.name) AS name, CASE WHEN n IS NULL THEN 'missing' WHEN size_bytes IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' WHEN size <> size_bytes THEN 'size' WHEN hash <> sha256 THEN 'hash' ELSE 'ok' END AS verdict FROM m FULL JOIN f ON m.name = f.name""", "manifest", "files_seen")
+_LIMIT = 100_000
+
+
+@query("integrity_audit", rf"""WITH f AS (SELECT lower(name) AS name, count(*) AS n, max(strlen(content)) AS size, max(sha256(content)) AS hash FROM files_seen GROUP BY 1),
+m AS (SELECT lower(name) AS name, count(*) AS times, max(size_bytes) AS size_bytes, max(sha256) AS sha256, bool_or(name = '' OR regexp_matches(name, '[/\:]|[. ]$')) AS bad FROM manifest GROUP BY 1)
+SELECT coalesce(m.name, f.name) AS name, CASE WHEN bad THEN 'bad_name' WHEN times > 1 THEN 'listed_twice' WHEN n IS NULL THEN 'missing' WHEN size_bytes IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' WHEN size <> size_bytes THEN 'size' WHEN hash <> sha256 THEN 'hash' ELSE 'ok' END AS verdict FROM m FULL JOIN f ON m.name = f.name
+UNION ALL SELECT NULL, 'total_too_large' FROM manifest HAVING sum(size_bytes) > {_LIMIT}""", "manifest", "files_seen")
 def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.integrity_audit(load(spark, sf_dir, "manifest"), load(spark, sf_dir, "files_seen"))
+    return audit.integrity_audit(load(spark, sf_dir, "manifest"), load(spark, sf_dir, "files_seen"), _LIMIT)
 
 
 def _actual(s: DataFrame) -> DataFrame:
@@ -391,9 +452,18 @@ def storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("parts"))
 
 
-@query("acceptance_summary", "SELECT source, lang AS mode, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, min(sha256(text)) AS first_hash, max(n_chars)::BIGINT AS most FROM documents GROUP BY 1, 2")
+@query("acceptance_summary", f"""WITH c AS (SELECT doc_id, entity_type, count(*) AS n FROM spans GROUP BY ALL), p AS (SELECT doc_id, max(page) + 1 AS pages FROM lines GROUP BY 1),
+d AS (SELECT t.doc_id, o_orderpriority AS source, CASE WHEN t.doc_id % 2 = 0 THEN 'safe' ELSE 'fidelity' END AS mode, text, coalesce(pages, 0) AS pages, t.doc_id % 1000 AS elapsed_ms FROM span_texts t JOIN orders ON o_orderkey = t.doc_id LEFT JOIN p ON p.doc_id = t.doc_id),
+e AS (SELECT source, mode, '{{' || string_agg('"' || entity_type || '":' || n, ',' ORDER BY entity_type) || '}}' AS entities FROM (SELECT source, mode, entity_type, sum(n)::BIGINT AS n FROM d JOIN c ON c.doc_id = d.doc_id GROUP BY ALL) GROUP BY ALL)
+SELECT d.source, d.mode, count(*) AS docs, sum(pages)::BIGINT AS pages, any_value(entities) AS entities, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS output_hash, sum(strlen(text))::BIGINT AS output_bytes, sum(elapsed_ms)::BIGINT AS elapsed_ms
+FROM d LEFT JOIN e ON e.source = d.source AND e.mode = d.mode GROUP BY ALL""", "spans", "span_texts", "lines")
 def acceptance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").groupBy("source", F.col("lang").alias("mode")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.min(F.sha2("text", 256)).alias("first_hash"), F.max("n_chars").alias("most"))
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("source"))
+    pages = load(spark, sf_dir, "lines").groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
+    docs = load(spark, sf_dir, "span_texts").join(orders, "doc_id").join(pages, "doc_id", "left")
+    mode = F.when(F.col("doc_id") % 2 == 0, "safe").otherwise("fidelity")
+    docs = docs.select("doc_id", "source", mode.alias("mode"), "text", F.coalesce("pages", F.lit(0)).alias("pages"), (F.col("doc_id") % 1000).alias("elapsed_ms"))
+    return audit.acceptance_summary(docs, load(spark, sf_dir, "spans"))
 
 
 _LEGAL = ", ".join(f"('{a}', '{b}')" for a, bs in tasks.TRANSITIONS.items() for b in bs)
@@ -452,15 +522,17 @@ def delete_tasks_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.delete_tasks(t, t.where("task_id % 3 = 0").select("task_id"), load(spark, sf_dir, "batch_items"))[1][0].select("batch_id", "idx")
 
 
-@query("write_report", """SELECT o.task_id, '{"version":1,"id":' || o.task_id || ',"state":"' || state || '","counts":{' || coalesce(string_agg('"' || entity_type || '":' || n, ',' ORDER BY entity_type), '') || '}}' AS report
-FROM tasks o LEFT JOIN (SELECT doc_id, entity_type, count(*) AS n FROM spans WHERE score >= 0.3 GROUP BY ALL) c ON c.doc_id = o.task_id GROUP BY o.task_id, state""", "tasks", "spans")
+@query("write_report", """SELECT '{"version":1,"job_id":' || o.task_id || ',"kind":"' || CASE WHEN parent_id IS NULL THEN 'file' ELSE 'batch' END || '","state":"' || state || '","entity_counts":{' || coalesce(string_agg('"' || entity_type || '":' || n, ',' ORDER BY entity_type), '') || '}'
+  || CASE WHEN state = 'completed' THEN ',"output_path":"out/' || o.task_id || '.txt"' ELSE '' END || '}' AS report
+FROM tasks o LEFT JOIN (SELECT doc_id, entity_type, count(*) AS n FROM spans WHERE score >= 0.3 GROUP BY ALL) c ON c.doc_id = o.task_id GROUP BY o.task_id, parent_id, state""", "tasks", "spans")
 def write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One counts-only JSON report for each task; never text or values."""
-    c = load(spark, sf_dir, "spans").where(default_selection(F.col("score"))).groupBy("doc_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
-    m = c.groupBy(F.col("doc_id").alias("task_id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("counts"))
-    rows = load(spark, sf_dir, "tasks").join(m, "task_id", "left")
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    return rows.select("task_id", F.to_json(F.struct(F.lit(1).alias("version"), F.col("task_id").alias("id"), "state", F.coalesce("counts", none).alias("counts"))).alias("report"))
+    """One counts-only JSON report for each task, written and read back; never text or values."""
+    counts = load(spark, sf_dir, "spans").where(default_selection(F.col("score"))).groupBy(F.col("doc_id").alias("job_id"), "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    kind, path = F.when(F.col("parent_id").isNull(), "file").otherwise("batch"), F.when(F.col("state") == "completed", F.concat(F.lit("out/"), "task_id", F.lit(".txt")))
+    jobs = load(spark, sf_dir, "tasks").select(F.col("task_id").alias("job_id"), kind.alias("kind"), "state", path.alias("output_path"))
+    out = workspace(spark)
+    sinks.write_report(sinks.reports(jobs, counts), out)
+    return spark.read.text(out).withColumnRenamed("value", "report")
 
 
 # --- sequences -------------------------------------------------------------------------
@@ -482,7 +554,7 @@ def _viterbi_sql() -> str:
     final = "CASE " + " ".join(f"WHEN s{i} + {END[i]} = greatest({', '.join(f's{k} + {END[k]}' for k in range(4))}) THEN {i}" for i in range(4)) + " END"
     return f"""WITH RECURSIVE fw AS (SELECT seq_id, pos, {first}, 0 AS b0, 0 AS b1, 0 AS b2, 0 AS b3 FROM emissions WHERE pos = 0
   UNION ALL SELECT m.seq_id, m.pos, {nxt}, {', '.join(back(j) for j in range(4))} FROM fw JOIN emissions m ON m.seq_id = fw.seq_id AND m.pos = fw.pos + 1),
-bw AS (SELECT seq_id, pos, {final} AS tag, b0, b1, b2, b3 FROM fw WHERE pos = 9
+bw AS (SELECT seq_id, pos, {final} AS tag, b0, b1, b2, b3 FROM fw WHERE pos = (SELECT max(m.pos) FROM fw m WHERE m.seq_id = fw.seq_id)
   UNION ALL SELECT f.seq_id, f.pos, CASE bw.tag WHEN 0 THEN bw.b0 WHEN 1 THEN bw.b1 WHEN 2 THEN bw.b2 ELSE bw.b3 END, f.b0, f.b1, f.b2, f.b3 FROM bw JOIN fw f ON f.seq_id = bw.seq_id AND f.pos = bw.pos - 1)"""
 
 

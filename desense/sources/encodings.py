@@ -47,15 +47,14 @@ def encoding_of(content: Column) -> Column:
 
 def decode_corpus(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, encoding) of rows (doc_id, content), and a quarantine (doc_id,
-    error): undecodable, lossy, or with a NUL."""
+    error): undecodable, or with a NUL. A replacement character that is really there stays."""
     named = raw.where("content is not null").select("doc_id", "content", encoding_of(F.col("content")).alias("encoding"))
     body = F.when(F.col("encoding") == "utf-8-bom", F.expr("substring(content, 4)")).otherwise(F.col("content")).cast("string")
     utf8 = F.col("encoding").isin("utf-8", "utf-8-bom")
     native = named.where(utf8).withColumn("text", F.when(F.is_valid_utf8(body), body))
     other = named.where(~utf8).withColumn("text", _decoded("content", "encoding"))
     rows = native.unionByName(other)
-    lossy = F.col("text").isNull() | F.contains("text", F.lit("�"))
-    error = F.when(lossy, "UNDECODABLE").when(F.contains("text", F.lit("\0")), "NUL")
+    error = F.when(F.col("text").isNull(), "UNDECODABLE").when(F.contains("text", F.lit("\0")), "NUL")
     rows = rows.withColumn("error", error)
     none = raw.where("content is null").select("doc_id", F.lit("UNDECODABLE").alias("error"))
     return rows.where("error is null").select("doc_id", "text", "encoding"), rows.where("error is not null").select("doc_id", "error").unionByName(none)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,9 +92,11 @@ FROM {lines}""",
     "emissions": """
 SELECT vec_id AS seq_id, pos, CAST(round(e[pos * 4 + 0 + {base}], 4) AS DOUBLE) * 10 + 0.0 AS e0, CAST(round(e[pos * 4 + 1 + {base}], 4) AS DOUBLE) * 10 + 0.0 AS e1,
   CAST(round(e[pos * 4 + 2 + {base}], 4) AS DOUBLE) * 10 + 0.0 AS e2, CAST(round(e[pos * 4 + 3 + {base}], 4) AS DOUBLE) * 10 + 0.0 AS e3
-FROM (SELECT vec_id, embedding AS e, explode(sequence(0, 9)) AS pos FROM {embeddings}) t""",
+FROM (SELECT vec_id, embedding AS e, explode(sequence(0, CAST(floor(size(embedding) / 4) AS INT) - 1)) AS pos FROM {embeddings}) t""",
     "manifest": """
-SELECT 'Doc-' || CAST(doc_id AS STRING) AS name, CAST(octet_length(text) AS BIGINT) AS size_bytes, sha2(text, 256) AS sha256 FROM {documents}""",
+SELECT 'Doc-' || CAST(doc_id AS STRING) AS name, CAST(octet_length(text) AS BIGINT) AS size_bytes, sha2(text, 256) AS sha256 FROM {documents}
+UNION ALL SELECT 'DOC-' || CAST(doc_id AS STRING), CAST(octet_length(text) AS BIGINT), sha2(text, 256) FROM {documents} WHERE doc_id % 50 = 19
+UNION ALL SELECT 'dir/' || CAST(doc_id AS STRING), CAST(5 AS BIGINT), sha2(text, 256) FROM {documents} WHERE doc_id % 50 = 21""",
     "files_seen": """
 SELECT CASE WHEN doc_id % 50 = 3 THEN 'DOC-' ELSE 'Doc-' END || CAST(doc_id AS STRING) || CASE WHEN doc_id % 50 = 7 THEN '-extra' ELSE '' END AS name,
   CASE WHEN doc_id % 50 = 9 THEN text || '!' WHEN doc_id % 50 = 11 THEN lower(text) ELSE text END AS content
@@ -104,7 +107,7 @@ UNION ALL SELECT 'doc-' || CAST(doc_id AS STRING), text FROM {documents} WHERE d
 #: What differs for the oracle's dialect, as plain replacements.
 DIALECT = [
     ("explode(sequence(0, CAST(floor((char_length(text) - 1) / 13) AS INT)))", "unnest(range(0, CAST(floor((char_length(text) - 1) / 13) AS INT) + 1))::INT"),
-    ("explode(sequence(0, 9))", "unnest(range(0, 10))::INT"),
+    ("explode(sequence(0, CAST(floor(size(embedding) / 4) AS INT) - 1))", "unnest(range(0, len(embedding) // 4))::INT"),
     ("octet_length(text)", "strlen(text)"),
     ("sha2(text, 256)", "sha256(text)"),
     ("datediff(CAST(o_orderdate AS DATE), DATE '1970-01-01')", "datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"),
@@ -112,6 +115,12 @@ DIALECT = [
 ]
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/desense-{uuid.uuid4().hex}"
+
+
 def _needs(sql: str) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\{([a-z_]+)\}", sql)) if n != "base"]
 

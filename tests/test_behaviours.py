@@ -9,7 +9,7 @@ import pytest
 from compare import SF_DIR
 from pyspark.sql import functions as F
 
-from desense.operators import detect, redact, sequence, spans, tasks, vault
+from desense.operators import detect, redact, review, sequence, spans, tasks, vault
 from desense.sources import encodings, sinks
 from desense.streaming import jobs
 
@@ -109,6 +109,36 @@ def test_encodings_round_trip(spark, code):
     assert [(r.text, r.encoding) for r in good.collect()] == [("甲乙\r\n丙", code)] and not bad.count()
 
 
+def test_a_real_replacement_character_is_no_error(spark):
+    raw = spark.createDataFrame([(1, "a\ufffdb".encode()), (2, b"a\xff\xfe\x80")], "doc_id long, content binary")
+    good, bad = encodings.decode_corpus(raw)
+    assert [(r.doc_id, r.text) for r in good.collect()] == [(1, "a\ufffdb")] and [r.doc_id for r in bad.collect()] == [2]
+
+
+def test_long_tag_labels_stay_whole(spark):
+    rows = [(1, 0, "B-" + "X" * 150, 0.5, 0, 1)]
+    got = sequence.assemble_tag_spans(spark.createDataFrame(rows, "seq_id long, pos int, label string, score double, start_at int, end_at int"))
+    assert got.first().entity_type == "X" * 150
+
+
+REVIEWS = "doc_id long, state string, revision int, reviewed_revision int, page_count int, output_valid boolean"
+
+
+def test_edits_need_the_right_revision_and_drop_the_output(spark):
+    reviews = spark.createDataFrame([(1, "awaiting_review", 3, 3, 1, True), (2, "awaiting_review", 4, 4, 1, True), (3, "completed", 3, 3, 1, True)], REVIEWS)
+    box = [(0.1, 0.1), (0.4, 0.1), (0.4, 0.3)]
+    kind = "polygon array<struct<x:double,y:double>>"
+    regions = spark.createDataFrame([(1, 7, 0, "ocr", "old", box), (1, 8, 0, "manual", "m", box)], f"doc_id long, region_id int, page int, source string, text string, {kind}")
+    edits = spark.createDataFrame([(1, 7, 0, "new", box, 3), (1, 9, 1, "page", box, 3), (2, 7, 0, "late", box, 3), (3, 7, 0, "done", box, 3), (4, 7, 0, "none", box, 3)], f"doc_id long, region_id int, page int, text string, {kind}, expected int")
+    after, saved, errors = review.upsert_regions(regions, edits, reviews)
+    assert sorted((r.doc_id, r.region_id, r.source, r.text) for r in after.collect()) == [(1, 7, "manual", "new"), (1, 8, "manual", "m")]
+    assert sorted((r.doc_id, r.revision, r.reviewed_revision, r.output_valid) for r in saved.collect()) == [(1, 4, 4, False), (2, 4, 4, True), (3, 3, 3, True)]
+    assert sorted((r.doc_id, r.error) for r in errors.collect()) == [(1, "INVALID_REGION"), (2, "REVISION_CONFLICT"), (3, "INVALID_TASK_STATE"), (4, "TASK_MISSING")]
+    left, saved, errors = review.remove_regions(regions, edits.select("doc_id", F.lit(8).alias("region_id"), "expected").distinct(), reviews)
+    assert [r.region_id for r in left.collect()] == [7] and saved.where("doc_id = 1").first().revision == 4
+    assert sorted((r.doc_id, r.error) for r in errors.collect()) == [(2, "REVISION_CONFLICT"), (3, "INVALID_TASK_STATE"), (4, "TASK_MISSING")]
+
+
 def test_gbk_has_no_emoji(spark):
     docs = spark.createDataFrame([(1, "😀", "gbk")], "doc_id long, text string, encoding string")
     assert encodings.encode_corpus(docs)[1].first()["error"] == "UNENCODABLE"
