@@ -54,9 +54,13 @@ def safe_name(path: Column) -> Column:
 
 
 def ingest_admission(files: DataFrame, most: int = MOST_FILE_BYTES) -> DataFrame:
-    """files with ext and reject_code (null: accepted); only names and sizes are looked at."""
+    """files with ext and reject_code (null: accepted); only names and sizes are looked at.
+    Where the files have text_bytes, the size of their text, it must be over 0 and at most
+    8 MiB; it is null as long as the text is not known."""
     ext = safe_extension(F.col("path"))
     code = F.when(ext == "", "NO_EXTENSION").when(~ext.isin(EXTENSIONS), "UNSUPPORTED_FORMAT").when(F.coalesce("size_bytes", F.lit(0)) > most, "TOO_LARGE")
+    if "text_bytes" in files.columns:
+        code = code.when(F.col("text_bytes") == 0, "EMPTY_TEXT").when(F.col("text_bytes") > MOST_TEXT_BYTES, "TEXT_TOO_LARGE")
     return files.withColumn("ext", ext).withColumn("reject_code", code)
 
 

@@ -36,10 +36,15 @@ _FILE = r"regexp_extract(path, '[^/\\]*$')"
 _EXT = rf"lower(regexp_extract({_FILE}, '^.+\.([A-Za-z0-9]{{1,16}})$', 1))"
 
 
+_TEXT_BYTES = "CASE WHEN idx % 5 = 3 THEN 0 WHEN idx % 5 <> 4 THEN size_bytes % 12000000 END"
+
+
 @query("ingest_admission", f"""SELECT batch_id, idx, ext, CASE WHEN ext = '' THEN 'NO_EXTENSION' WHEN ext NOT IN {_in(tasks.EXTENSIONS)} THEN 'UNSUPPORTED_FORMAT'
-  WHEN coalesce(size_bytes, 0) > {tasks.MOST_FILE_BYTES} THEN 'TOO_LARGE' END AS reject_code FROM (SELECT *, {_EXT} AS ext FROM files)""", "files")
+  WHEN coalesce(size_bytes, 0) > {tasks.MOST_FILE_BYTES} THEN 'TOO_LARGE' WHEN text_bytes = 0 THEN 'EMPTY_TEXT' WHEN text_bytes > {tasks.MOST_TEXT_BYTES} THEN 'TEXT_TOO_LARGE' END AS reject_code
+FROM (SELECT *, {_EXT} AS ext, {_TEXT_BYTES} AS text_bytes FROM files)""", "files")
 def ingest_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.ingest_admission(load(spark, sf_dir, "files")).select("batch_id", "idx", "ext", "reject_code")
+    files = load(spark, sf_dir, "files").withColumn("text_bytes", F.expr(_TEXT_BYTES))
+    return tasks.ingest_admission(files).select("batch_id", "idx", "ext", "reject_code")
 
 
 def _stem(x: str) -> str:
