@@ -2,8 +2,8 @@
 
 Base labels come from fixed phrases whose words stand consecutively. Further labels
 come from licence templates; the words of all are the licence words. Phrases are looked
-up by their rarest word (highest IDF), however common that is. A mandatory key phrase of
-a template that stands in a file tells where the template would begin, give or take
+up by their rarest word (highest IDF), however common that is. The mandatory key phrases of
+a template, if all stand in a file, tell where the template would begin, give or take
 ``SLACK`` words. Of the template's words in the stretch from there the ``RAREST`` rarest
 are looked at, and the label counts if enough of their weight stands where the template
 has it. Each beginning is judged by its own stretch, so what else a file holds does not
@@ -22,6 +22,7 @@ result; extra columns, whatever their names, are ignored; null ids keep their ro
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,23 +40,33 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Label, an excerpt of the licence or its notice, and mandatory key phrases.
+_DISCLAIMER = """the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"""
+#: Label, a licence's text or its notice, and mandatory key phrases.
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
+    ("mit", """permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software. """ + _DISCLAIMER, ["permission is hereby granted free of charge"]),
     ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
+    ("apache-2", """licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0 unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language governing permissions and limitations under the license""", ["apache license version 2", "in compliance with the license"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
     ("cc-by", "creative commons attribution 4 0 international license", ["creative commons attribution 4"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"]),
+    ("unlicense", """this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. in jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain""", ["free and unencumbered software"]),
     ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-3", """this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details""", ["under the terms of the gnu general public license", "either version 3 of the license"]),
+    ("gpl-2", """this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details""", ["under the terms of the gnu general public license", "either version 2 of the license"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ["mozilla public license"]),
+    ("mpl-2", """this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/""", ["mozilla public license v 2"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd", """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. this software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed""", ["redistribution and use in source and binary forms"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
+    ("isc", """permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. the software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness""", ["permission to use copy modify"]),
+    ("zlib", """this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: the origin of this software must not be misrepresented; you must not claim that you wrote the original software""", ["alter it and redistribute it freely"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
 RAREST = 8
@@ -69,6 +80,11 @@ _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
+def plain_words(text: str) -> list[str]:
+    """Words of a template, as they are found in texts."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+
+
 @dataclass(frozen=True)
 class LicenceIndex:
     """Templates as words, and the places of their key phrases."""
@@ -78,13 +94,13 @@ class LicenceIndex:
 
     def vocabulary(self) -> list[str]:
         texts = [*self.phrases, *(t for _, t, _ in self.templates), *(p for _, _, ps in self.templates for p in ps)]
-        return sorted({w for t in texts for w in t.split()})
+        return sorted({w for t in texts for w in plain_words(t)})
 
     def keys(self) -> list[list[tuple[int, list[str]]]]:
         """For each template its key phrases with where they stand in it."""
         out = []
         for _, text, phrases in self.templates:
-            ws, own = text.split(), []
+            ws, own = plain_words(text), []
             for p in phrases:
                 ps = p.split()
                 at = next(i for i in range(len(ws)) if ws[i : i + len(ps)] == ps)
@@ -185,16 +201,17 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, number = _Finder(vocabulary), {w: i for i, w in enumerate(vocabulary)}
         rank = {w: (-idf[w], w) for w in vocabulary}
-        template_words = [[number[w] for w in text.split()] for _, text, _ in index.templates]
+        template_words = [[number[w] for w in plain_words(text)] for _, text, _ in index.templates]
         weights = [idf[w] for w in vocabulary]
         by_rank = [sorted(set(ws), key=lambda w: rank[vocabulary[w]]) for ws in template_words]
         # each phrase under its rarest word: where that stands in it, its words, and its
-        # label or its template and where it stands there
+        # label or its template, which of its key phrases it is and where it stands there
         anchored: dict[int, list[tuple]] = defaultdict(list)
-        key_phrases = [(ws, None, t, at) for t, own in enumerate(index.keys()) for at, ws in own]
-        for ws, label, t, at in [*((p.split(), label, None, 0) for p, label in index.phrases.items()), *key_phrases]:
+        keys = index.keys()
+        key_phrases = [(ws, None, (t, k), at) for t, own in enumerate(keys) for k, (at, ws) in enumerate(own)]
+        for ws, label, key, at in [*((p.split(), label, None, 0) for p, label in index.phrases.items()), *key_phrases]:
             rarest_word = min(ws, key=rank.__getitem__)
-            anchored[number[rarest_word]].append((ws.index(rarest_word), [number[w] for w in ws], label, t, at))
+            anchored[number[rarest_word]].append((ws.index(rarest_word), [number[w] for w in ws], label, key, at))
 
         def share_of(word_at: dict[int, int], t: int, begin: int) -> float:
             """Share of the weight of the template's rarest words near ``begin`` that stands
@@ -210,18 +227,19 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             return agrees / whole
 
         def judge(word_at: dict[int, int]) -> tuple:
-            places, labels, own, begins = [], set(), set(), set()
+            places, labels, own, told = [], set(), set(), defaultdict(set)
             for anchor, w in word_at.items():
-                for shift, ws, label, t, at in anchored.get(w, ()):
+                for shift, ws, label, key, at in anchored.get(w, ()):
                     start = anchor - shift
                     if all(word_at.get(start + i) == w for i, w in enumerate(ws)):
-                        if t is None:
+                        if key is None:
                             places.append(start)
                             labels.add(label)
                         else:
-                            begins |= {(t, start - at - slip) for slip in range(-SLACK, SLACK + 1)}
+                            told[key] |= {start - at - slip for slip in range(-SLACK, SLACK + 1)}
             best = 0.0
-            for t, begin in begins:
+            # a template may begin where all its key phrases tell
+            for t, begin in {(t, b) for t, k in told if not k for b in set.intersection(*(told.get((t, i), set()) for i in range(len(keys[t]))))}:
                 if (agrees := share_of(word_at, t, begin)) >= share:
                     own.add(index.templates[t][0])
                     best = max(best, agrees)
