@@ -315,6 +315,50 @@ def test_licences_of_one_file_do_not_crowd_out_each_other(spark):
     assert got[-1] == ",".join(sorted(notices))
 
 
+def test_whole_licences_and_their_like(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    whole = {label: text for label, text, _ in licence_scan.TEMPLATES if len(text) > 200}
+    texts = [gpl.format(3), gpl.format(2), gpl.format(7), "Permission is hereby granted, free of charge, to the public to enter the park.", *whole.values()]
+    got = licence_labels(spark, texts)
+    assert got[:3] == ["gpl-3", "gpl-2", ""] and got[4:] == list(whole)
+
+
+def test_licence_base_columns_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    got = {r.doc_id: r for r in queries.op7_licence_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in zip(docs.doc_id, docs.text, strict=True):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places, labels = [], set()
+        for phrase, label in licence_scan.PHRASES.items():
+            p = phrase.split()
+            own = [i for i in range(len(ws)) if ws[i : i + len(p)] == p]
+            places += own
+            labels |= {label} if own else set()
+        r = got[doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) | {""}
+
+
+@pytest.mark.parametrize("name", ["op5_bpe", "op7_licence_scan", "op2_url_filters", "op10_token_files"])
+def test_empty_tables(spark, tmp_path, name):
+    for table in ("documents", "pages"):
+        spark.read.parquet(f"{SF_DIR}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(None, "under the MIT license", "x"), (None, "under the MIT license", "x"), (3, "a b", "x"), (3, "a c", "x"), (3, "a b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumn("start", F.lit("y"))
+    got = licence_scan.scan_licences(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in got) == [(0, 4, "mit")] * 2 + [(3, 2, "")] * 3
+    vocabulary = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    token_files.write_token_files(docs, vocabulary, str(tmp_path / "t"))
+    files = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.doc_id for r in files] == [None, None, 3, 3, 3] and files[-1].start == sum(r.n_tokens for r in files[:-1])
+    assert bpe.encode_decode(docs, open(public_tokenizers.path("word_bpe_49k.json")).read(), ["doc_id", "start"]).count() == 5
+
+
 @pytest.mark.parametrize("notice", ["All rights reserved.", "Licensed under CC BY SA 4.0.", licence_scan.TEMPLATES[9][1]])
 def test_licence_of_a_hot_source_keeps_its_label(spark, notice):
     alone = licence_labels(spark, [notice])
