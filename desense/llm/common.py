@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from desense.sources.inputs import spread
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six white-space characters between words, as a body of a character class.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -23,7 +25,7 @@ _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -43,7 +45,7 @@ def written(df: DataFrame) -> DataFrame:
     there, and a lost executor costs no more than a new read."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _path_of[back] = path
     return back

@@ -17,7 +17,7 @@ Equal sets are one node, known by a hash of the whole set. Nodes that share a si
 are candidates. Each set is first paired with one other only: of the sets that are the
 smallest of a bucket, the one it shares most such buckets with. What then hangs together
 need not be compared. In buckets that still span several components, sets of different components
-are compared by sketches: how many elements fall in each of ``PARTS`` classes of hashes.
+are compared by sketches: how many elements fall in each of some classes of hashes.
 Sums of the differences bound from below how many elements differ, so pairs they rule out
 are no links. What the others hold together are families, and a family is compared as
 whole sets, block by block inside tasks. Both comparisons give out spanning forests alone,
@@ -52,10 +52,10 @@ SHINGLE = 4
 OVER, UNDER = 85, 100
 #: Bands with at most this many differences enumerate pairs out of three smaller parts.
 ENUMERATED = 12
-#: Classes of a sketch, one byte each.
-PARTS = 64
+#: Classes of a sketch, one byte each: a power of two, so many that few elements share one.
+LEAST_CLASSES, MOST_CLASSES, ELEMENTS_A_CLASS = 64, 4096, 16
 #: A block of a bucket has about so many sets at most; so many pairs are compared at a time.
-BUCKET_SETS, PAIRS_AT_ONCE = 4000, 1 << 18
+BUCKET_SETS, PAIRS_AT_ONCE, SKETCH_CELLS = 4000, 1 << 18, 1 << 24
 #: A block of a family has about so many sets and elements at most.
 BLOCK_SETS, BLOCK_ELEMENTS = 2000, 1_500_000
 #: Elements of at most so many sets of a group are counted pair by pair.
@@ -207,35 +207,67 @@ def signed_sets(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, under
     return docs.select("text").mapInArrow(run, "sig long, set_id long")
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall in each class, 255 for more."""
-    return np.minimum(np.bincount((elements & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
-
-
-def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, over: int, under: int) -> np.ndarray:
-    """Whether sets of sizes ``nx`` and ``ny`` with these sketches (one a row) may be at
-    the threshold."""
-    shared = (nx + ny - (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)) // 2
-    return under * shared >= over * (nx + ny - shared)
-
-
-def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARTS)
+def classes_of(n: int) -> int:
+    """Number of classes of the sketch of a set of size ``n``."""
+    return min(max(LEAST_CLASSES, 1 << (-(-n // ELEMENTS_A_CLASS) - 1).bit_length()), MOST_CLASSES)
 
 
-def whole_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(set_id, n, sketch, elements) of each text; n is the number of elements."""
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall in each class, 255 for more. A class is the lowest bits of a
+    hash, so halves of a sketch add up to the sketch with half the classes."""
+    classes = classes_of(len(elements))
+    return np.minimum(np.bincount((elements & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
+
+
+class Sketches:
+    """The sketches of many sets, with the classes that each pair of them has in common."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        self.raw = column.to_pylist()
+        self.classes = np.array([len(x) for x in self.raw], dtype=np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, classes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of so many classes of all sets that have as many or more, and the row of
+        each set in them."""
+        if classes not in self.tables:
+            own = np.flatnonzero(self.classes >= classes)
+            row = np.zeros(len(self.raw), np.int64)
+            row[own] = np.arange(len(own))
+            counts = np.zeros((len(own), classes), np.uint16)
+            for have in np.unique(self.classes[own]).tolist():
+                these = own[self.classes[own] == have]
+                whole = np.frombuffer(b"".join([self.raw[i] for i in these.tolist()]), np.uint8)
+                counts[row[these]] = whole.reshape(len(these), have // classes, classes).sum(1, dtype=np.uint16)
+            self.tables[classes] = row, counts
+        return self.tables[classes]
+
+    def may_link(self, left: np.ndarray, right: np.ndarray, n: np.ndarray, over: int, under: int) -> np.ndarray:
+        """Which pairs of sets, of sizes ``n``, may be at the threshold."""
+        common, ok = np.minimum(self.classes[left], self.classes[right]), np.zeros(len(left), bool)
+        for classes in np.unique(common).tolist():
+            row, counts = self.table(classes)
+            at = np.flatnonzero(common == classes)
+            step = max(1, SKETCH_CELLS // classes)
+            for part in (at[i : i + step] for i in range(0, len(at), step)):
+                x, y = counts[row[left[part]]], counts[row[right[part]]]
+                both = n[left[part]] + n[right[part]]
+                shared = (both - (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)) // 2
+                ok[part] = under * shared >= over * (both - shared)
+        return ok
+
+
+def whole_sets(docs: DataFrame, shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """(set_id, n, elements) of each text, n the number of elements; or (set_id, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = [s for s in shingle_sets(batch.column("text"), shingle) if len(s)]
-            columns = [
-                pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "sketch", "elements"])
+            last = pa.array([sketch(s) for s in sets], pa.binary()) if sketched else pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            ids, n = pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, n, last], names=["set_id", "n", "sketch" if sketched else "elements"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, n int, sketch binary, elements array<long>")
+    return docs.select("text").mapInArrow(run, f"set_id long, n int, {'sketch binary' if sketched else 'elements array<long>'}")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -280,41 +312,51 @@ def component_rows(docs: DataFrame, shingle: int = SHINGLE, over: int = OVER, un
     have in common; both are null for empty sets."""
     rows = written(shingled(docs, shingle))
     nodes = written(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id")))
+    members = _members(docs, shingle, over, under)
+    labels = _linked(docs, members, nodes, shingle, over, under)
+    released(members)
+    return _with_components(rows, nodes, labels)
+
+
+def _members(docs: DataFrame, shingle: int, over: int, under: int) -> DataFrame:
+    """(sig, set_id) of all sets that share a signature with another; a written table."""
     sigs = signed_sets(docs, shingle, over, under).repartition("sig")
     shared = sigs.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
-    members = written(sigs.join(shared.select("sig"), "sig").distinct())
-    sets = _candidate_sets(docs, members, nodes, shingle)
-    labels = _linked(members, sets, over, under)
-    return _with_components(rows, nodes, labels)
+    return written(sigs.join(shared.select("sig"), "sig").distinct())
 
 
-def _candidate_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(set_id, n, elements) of every set of ``members``, from one text each; written."""
-    wanted = written(members.select("set_id").distinct().join(nodes, "set_id"))
+def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, shingle: int, sketched: bool = False) -> DataFrame:
+    """``whole_sets`` of the sets with these ids, from one text each; a written table."""
+    wanted = written(ids.distinct().join(nodes, "set_id"))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     named = wanted.where("first_id is not null").select(F.col("first_id").alias("doc_id"))
-    # an id that several texts have brings sets that are no candidates, or that come twice
-    sets = whole_sets(_among(texts, named, "doc_id"), shingle)
+    # an id that several texts have brings sets that are not asked for, or that come twice
+    sets = whole_sets(_among(texts, named, "doc_id"), shingle, sketched)
     unnamed = wanted.where("first_id is null").select("set_id")  # only rows without an id have these
     if not unnamed.isEmpty():
-        sets = sets.unionByName(_among(whole_sets(texts.where("doc_id is null"), shingle), unnamed, "set_id"))
+        sets = sets.unionByName(_among(whole_sets(texts.where("doc_id is null"), shingle, sketched), unnamed, "set_id"))
     sets = written(sets)
-    twice = sets.groupBy("set_id").count().where("count > 1").select("set_id")
-    if not twice.isEmpty():
+    if not sets.groupBy("set_id").count().where("count > 1").isEmpty():
         sets = written(sets.dropDuplicates(["set_id"]))
     return sets
 
 
-def _linked(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+def _linked(docs: DataFrame, members: DataFrame, nodes: DataFrame, shingle: int, over: int, under: int) -> DataFrame:
     """(node, root) of all sets that link with another."""
-    likely = written(_sketched(_likely_pairs(members, sets, over, under), sets, over, under))
+    sketches = _sets_of(docs, members.select("set_id"), nodes, shingle, sketched=True)
+    likely = written(_sketched(_likely_pairs(members, sketches, over, under), sketches, over, under))
+    sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("set_id")), nodes, shingle)
     links = written(_verified(likely, sets, over, under))
+    released(sets)
     labels = connected_components(links)
     state = _open_buckets(members, labels)
     if not state.isEmpty():
-        families = connected_components(_possible_links(state, sets, over, under)).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
-        families = families.join(state.select("set_id", "root").distinct(), "set_id")
+        families = connected_components(_possible_links(state, sketches, over, under)).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
+        families = written(families.join(state.select("set_id", "root").distinct(), "set_id"))
+        released(state, labels)
+        sets = _sets_of(docs, families.select("set_id"), nodes, shingle)
         links = written(links.unionByName(_family_links(families, sets, over, under)))
+        released(sets)
         labels = connected_components(links)
     return labels
 
@@ -336,7 +378,10 @@ def _sketched(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = may_link(_sketches(batch.column("sa")), _sketches(batch.column("sb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), over, under)
+            rows = np.arange(batch.num_rows)
+            both = Sketches(pa.chunked_array([batch.column("sa"), batch.column("sb")]))
+            n = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            ok = both.may_link(rows, rows + len(rows), n, over, under)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
@@ -479,7 +524,7 @@ def possible_forest(rows: pa.Table, over: int, under: int) -> tuple[np.ndarray,
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     own, root, ids, i, j = (rows.column(c).to_numpy() for c in ("own", "root", "set_id", "i", "j"))
-    counts, n, total = _sketches(rows.column("sketch")), rows.column("n").to_numpy().astype(np.int64), len(rows)
+    sketches, n, total = Sketches(rows.column("sketch")), rows.column("n").to_numpy().astype(np.int64), len(rows)
     group = _changes(rows, ["sig", "i", "j"])
     run = group | (own[1:] != own[:-1]) | ((i == j)[1:] & (root[1:] != root[:-1]))
     ends = [np.append(np.flatnonzero(new) + 1, total) for new in (group, run)]
@@ -493,7 +538,7 @@ def possible_forest(rows: pa.Table, over: int, under: int) -> tuple[np.ndarray,
         right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(run_end[lo:hi], many)
         like = (label[left] != label[right]) & (root[left] != root[right]) & (under * np.minimum(n[left], n[right]) >= over * np.maximum(n[left], n[right]))
         left, right, lo = left[like], right[like], hi
-        ok = may_link(counts[left], counts[right], n[left], n[right], over, under)
+        ok = sketches.may_link(left, right, n, over, under)
         _connect(label, left[ok], right[ok])
     below = np.flatnonzero(label != np.arange(total))
     return ids[label[below]], ids[below]
