@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pieces(text: Column, pattern: str) -> Column:
+def pieces(text: Column, pattern: str, holds: str = "") -> Column:
     """The matches of a pattern (values) and how many code points stand before each of them
     and after the last (gaps); null without a match. The work stays in the row, and the
-    pattern is compiled once."""
+    pattern is compiled once. Where every match holds a certain text, only texts that
+    contain it are searched."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(F.rlike(text, F.lit(pattern)), F.struct(gaps.alias("gaps"), values.alias("values")))
+    found = F.rlike(text, F.lit(pattern))
+    return F.when(F.contains(text, F.lit(holds)) & found if holds else found, F.struct(gaps.alias("gaps"), values.alias("values")))

@@ -31,7 +31,7 @@ MOST_RULES, MOST_DICTIONARY_BYTES = 1000, 32 << 20
 #: Java matches these, the rule language does not allow them.
 REFUSED = r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9k]"
 SPAN = onepass.FIELDS
-BUILT_INS = [Pattern(t, p, score, BUILT_IN, i + 1, beside) for i, (t, p, score, beside) in enumerate(PATTERNS)]
+BUILT_INS = [Pattern(t, p, score, BUILT_IN, i + 1, beside, "@" if t == "EMAIL" else "") for i, (t, p, score, beside) in enumerate(PATTERNS)]
 _LINES = re.compile(r"\r?\n")
 
 

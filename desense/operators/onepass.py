@@ -36,6 +36,8 @@ class Pattern:
     source: str
     order: int
     beside_digits: bool = True
+    #: A text that every match holds, if there is one: it is looked for first.
+    holds: str = ""
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish:
     text, its spans in order of the detectors and the ``carry`` columns of the row. Rows
     without a text have null."""
     names = docs.columns
-    found = docs.select("*", *[pieces(F.col("text"), p.regex).alias(f"_p{i}") for i, p in enumerate(patterns)])
+    found = docs.select("*", *[pieces(F.col("text"), p.regex, p.holds).alias(f"_p{i}") for i, p in enumerate(patterns)])
     schema = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", found {kind}")
     from pyspark.sql.pandas.types import to_arrow_schema
 

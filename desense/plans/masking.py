@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from desense.functions.replacement import BUILT_IN, DEFAULT_SQL, LABEL_SQL, default_replacement, type_label
 from desense.operators import audit, detect, onepass, redact, spans
-from desense.sources.inputs import load, oracle
+from desense.sources.inputs import load, oracle, spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -87,12 +87,12 @@ for _kind in ("literal", "regex", "dictionary"):
     query(
         f"detect_{_kind}",
         f"WITH {detected_sql('texts', 'rule').replace('WHERE enabled', f"WHERE enabled AND kind = '{_kind}'")} SELECT {SPAN_OUT} FROM det", "texts", "rules",
-    )(lambda spark, sf_dir, k=_kind: detect.detect_rules(load(spark, sf_dir, "texts"), load(spark, sf_dir, "rules"), k))
+    )(lambda spark, sf_dir, k=_kind: detect.detect_rules(spread(load(spark, sf_dir, "texts")), load(spark, sf_dir, "rules"), k))
 
 
 @query("detect_all", f"WITH {detected_sql('texts')} SELECT {SPAN_OUT} FROM det", "texts", "rules")
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detect_all(load(spark, sf_dir, "texts"), load(spark, sf_dir, "rules"))
+    return detect.detect_all(spread(load(spark, sf_dir, "texts")), load(spark, sf_dir, "rules"))
 
 
 @query("detect_terms", f"""WITH rules AS (SELECT 1 AS rule_id, 'NAME' AS entity_type, 'dictionary' AS kind, term AS pattern, true AS enabled
@@ -116,7 +116,7 @@ def external_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_text", """SELECT doc_id, c::INTEGER AS chunk, (c * 400)::INTEGER AS base_at, substring(text, c * 400 + 1, 450) AS text
 FROM (SELECT doc_id, text, unnest(range(0, ((length(text) - 1) // 400) + 1)) AS c FROM texts WHERE length(text) > 0)""", "texts")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.chunk_text(load(spark, sf_dir, "texts"))
+    return detect.chunk_text(spread(load(spark, sf_dir, "texts")))
 
 
 @query("merge_chunk_spans", """SELECT DISTINCT doc_id, entity_type, start_at, end_at FROM (
@@ -207,7 +207,7 @@ def resolve_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("redact_documents", full_sql("texts") + f""" SELECT red.doc_id, CASE WHEN strlen(text) BETWEEN 1 AND {onepass.MOST_TEXT_BYTES} THEN redacted END AS redacted, CASE WHEN strlen(text) BETWEEN 1 AND {onepass.MOST_TEXT_BYTES} THEN n_spans ELSE 0 END AS n_spans,
   CASE WHEN coalesce(strlen(text), 0) = 0 THEN 'EMPTY_TEXT' WHEN strlen(text) > {onepass.MOST_TEXT_BYTES} THEN 'TEXT_TOO_LARGE' END AS error FROM red JOIN texts ON texts.doc_id = red.doc_id""", "texts", "rules", "policies")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.redact_texts(load(spark, sf_dir, "texts"), load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies"))
+    return redact.redact_texts(spread(load(spark, sf_dir, "texts")), load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies"))
 
 
 @query("redact_contacts", full_sql("contacts") + " SELECT doc_id, redacted, n_spans FROM red", "contacts", "rules", "policies")

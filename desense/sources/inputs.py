@@ -115,6 +115,14 @@ DIALECT = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt out to all cores if their files have fewer parts than that: a
+    small file of one row group is one task, however many cores there are. Tables of many
+    parts stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def workspace(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
