@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, oracles, packing, quality, token_files, token_rollup, url_filter
+from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, oracles, packing, quality, token_alignment, token_files, token_rollup, url_filter
 from desense.llm.common import scratch, table, words, written
 
 #: Rules and the host labels whose urls are listed.
@@ -68,6 +68,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), vocabulary, model)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts under v1, then v2 counts where they differ, then deletes of exact copies;
     the first two batches are delivered twice."""
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE = {
     "op2_url_filters": oracles.OP2,
