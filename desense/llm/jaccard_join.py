@@ -372,14 +372,14 @@ def _likely_pairs(members: DataFrame, sets: DataFrame, over: int, under: int) ->
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")).select("a", "b")
 
 
-def _sketched(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) that sketches allow to link."""
+def _sketched(pairs: DataFrame, sets: DataFrame, over: int, under: int, kind: type = Sketches) -> DataFrame:
+    """The pairs (a, b) that sketches, which ``kind`` compares, allow to link."""
     side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.arange(batch.num_rows)
-            both = Sketches(pa.chunked_array([batch.column("sa"), batch.column("sb")]))
+            both = kind(pa.chunked_array([batch.column("sa"), batch.column("sb")]))
             n = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
             ok = both.may_link(rows, rows + len(rows), n, over, under)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
@@ -396,7 +396,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(labelled.join(spans, "sig"))
 
 
-def _possible_links(state: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+def _possible_links(state: DataFrame, sets: DataFrame, over: int, under: int, kind: type = Sketches) -> DataFrame:
     """Pairs (a, b) that connect, directly or over others, all sets of different components
     that share an open bucket and that sizes and sketches allow to link.
 
@@ -411,7 +411,7 @@ def _possible_links(state: DataFrame, sets: DataFrame, over: int, under: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches):
-            a, b = possible_forest(part, over, under)
+            a, b = possible_forest(part, over, under, kind)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.sortWithinPartitions("sig", "i", "j", "own", "root").mapInArrow(run, "a long, b long").distinct()
@@ -518,13 +518,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def possible_forest(rows: pa.Table, over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
+def possible_forest(rows: pa.Table, over: int, under: int, kind: type = Sketches) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect what may link within groups (sig, i, j) of rows sorted by group,
     block and root: of two blocks one set of each, of one block two of different roots."""
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     own, root, ids, i, j = (rows.column(c).to_numpy() for c in ("own", "root", "set_id", "i", "j"))
-    sketches, n, total = Sketches(rows.column("sketch")), rows.column("n").to_numpy().astype(np.int64), len(rows)
+    sketches, n, total = kind(rows.column("sketch")), rows.column("n").to_numpy().astype(np.int64), len(rows)
     group = _changes(rows, ["sig", "i", "j"])
     run = group | (own[1:] != own[:-1]) | ((i == j)[1:] & (root[1:] != root[:-1]))
     ends = [np.append(np.flatnonzero(new) + 1, total) for new in (group, run)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, oracles, packing, quality, token_alignment, token_files, token_rollup, url_filter, whitening
+from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, minhash, oracles, packing, quality, token_alignment, token_files, token_rollup, url_filter, whitening
 from desense.llm.common import scratch, table, words, written
 
 #: Rules and the host labels whose urls are listed.
@@ -68,6 +68,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_token_alignment": op13_token_alignment,
 }
