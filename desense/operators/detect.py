@@ -24,6 +24,9 @@ PATTERNS = [
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.95, True),
     ("ID_CARD", r"[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]", 0.9, False),
 ]
+#: The same matches in time linear in the text: a local part is tried where its run of
+#: characters begins or the match before ended, and never in parts.
+LINEAR = {"EMAIL": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 BUILT_IN, CUSTOM = "built-in", "custom rule"
 MOST_RULE_BYTES, MOST_TERMS = 64 * 1024, 2000
 #: Rules of a job, and the bytes of a dictionary's terms that one scan looks for.
@@ -31,7 +34,7 @@ MOST_RULES, MOST_DICTIONARY_BYTES = 1000, 32 << 20
 #: Java matches these, the rule language does not allow them.
 REFUSED = r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9k]"
 SPAN = onepass.FIELDS
-BUILT_INS = [Pattern(t, p, score, BUILT_IN, i + 1, beside, "@" if t == "EMAIL" else "") for i, (t, p, score, beside) in enumerate(PATTERNS)]
+BUILT_INS = [Pattern(t, LINEAR.get(t, p), score, BUILT_IN, i + 1, beside, "@" if t == "EMAIL" else "") for i, (t, p, score, beside) in enumerate(PATTERNS)]
 _LINES = re.compile(r"\r?\n")
 
 
@@ -95,16 +98,17 @@ def detect_all(docs: DataFrame, rules: DataFrame | None = None, annotations: Dat
 
 def with_annotations(docs: DataFrame, status: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with what an annotation says of them, for ``onepass``: ok from
-    ``status`` (doc_id, ok), null where it is missing, and its spans as an array."""
-    ok = status.groupBy("doc_id").agg(F.bool_or("ok").alias("ok"))
+    ``status`` (doc_id, ok), null where it is missing and false where any row is not ok, and
+    its spans as an array."""
+    ok = status.groupBy("doc_id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
     found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "start_at", "end_at", F.col("score").cast("double").alias("score"), "source")).alias("spans"))
     return docs.select("doc_id", "text").join(ok, "doc_id", "left").join(found, "doc_id", "left")
 
 
 def require_annotations(docs: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents whose annotation is done, and those that must fail: annotation missing or
-    failed. ``status`` is (doc_id, ok)."""
-    good = status.where("ok").select("doc_id").distinct()
+    failed. ``status`` is (doc_id, ok); one row that is not ok fails its document."""
+    good = status.groupBy("doc_id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok")).where("ok").select("doc_id")
     return docs.join(good, "doc_id", "left_semi"), docs.join(good, "doc_id", "left_anti").withColumn("error", F.lit("MODELS_NOT_READY"))
 
 

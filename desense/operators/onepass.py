@@ -9,7 +9,7 @@ Nothing is shuffled, so all of it works on streams as on tables.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,10 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from desense.functions.matching import pieces
+from desense.functions.matching import cut, pieces
 from desense.functions.replacement import default_replacement
 
 MOST_TEXT_BYTES, MOST_SPANS = 8 * 1024 * 1024, 100_000
+#: Least score of a span that is redacted without a reviewer's say.
+SELECTED = 0.3
+#: Terms that expressions look for before a text goes to Python.
+MOST_SOUGHT = 32
 #: A span inside a task: these fields in this order.
 FIELDS = ["entity_type", "value", "start_at", "end_at", "score", "source", "detector_order"]
 SPANS = "array<struct<entity_type:string,value:string,start_at:int,end_at:int,score:double,source:string,detector_order:int>>"
@@ -92,50 +96,70 @@ def priority(span: tuple) -> tuple:
     return -span[4], -len(span[1].encode("utf-8", "surrogatepass")), span[2], span[0], span[6]
 
 
+def disjoint(order: Iterable[int], start: list[int], end: list[int]) -> list[int]:
+    """Of ranges in the given order those that overlap none taken before."""
+    starts: list[int] = []
+    taken: list[int] = []
+    for i in order:
+        at = bisect_right(starts, start[i])
+        if not (at and end[taken[at - 1]] > start[i]) and not (at < len(starts) and starts[at] < end[i]):
+            starts.insert(at, start[i])
+            taken.insert(at, i)
+    return taken
+
+
 def without_overlaps(spans: list[tuple]) -> list[tuple]:
     """Spans by priority, each if it overlaps none taken; in the order of the text. Equal
     spans of one detector are one."""
     spans = sorted(set(spans), key=lambda s: (s[2], s[3]))
     if all(a[3] <= b[2] for a, b in zip(spans, spans[1:], strict=False)):
         return spans
-    starts: list[int] = []
-    taken: list[tuple] = []
-    for s in sorted(spans, key=priority):
-        at = bisect_right(starts, s[2])
-        if not (at and taken[at - 1][3] > s[2]) and not (at < len(starts) and starts[at] < s[3]):
-            starts.insert(at, s[2])
-            taken.insert(at, s)
-    return taken
+    order = sorted(range(len(spans)), key=lambda i: priority(spans[i]))
+    return [spans[i] for i in disjoint(order, [s[2] for s in spans], [s[3] for s in spans])]
 
 
-def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish: Callable[[str, list[tuple], dict], list], kind: str, carry: list[str] = ()) -> DataFrame:
+def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish: Callable[[str, list[tuple], dict], list], kind: str, empty: Column, carry: list[str] = (), more: Column | None = None) -> DataFrame:
     """``docs`` with one more column ``found`` of type ``kind``: what ``finish`` makes of a
     text, its spans in order of the detectors and the ``carry`` columns of the row. Rows
-    without a text have null."""
-    names = docs.columns
-    found = docs.select("*", *[pieces(F.col("text"), p.regex, p.holds).alias(f"_p{i}") for i, p in enumerate(patterns)])
-    schema = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", found {kind}")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(terms)
-        for batch in batches:
-            rows = batch.column(names.index("text")).to_pylist()
-            hits = [batch.column(len(names) + i).to_pylist() for i in range(len(patterns))]
-            carried = {c: batch.column(names.index(c)).to_pylist() for c in carry}
-            out = []
-            for i, text in enumerate(rows):
-                if text is None:
-                    out.append(None)
-                    continue
-                spans = [s for p, h in zip(patterns, hits, strict=True) if h[i] for s in matches(text, h[i], p)]
-                spans += finder.spans(text)
-                out.append(finish(text, spans, {c: v[i] for c, v in carried.items()}))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(out, arrow.field("found").type)], names=[*names, "found"])
-
-    return found.mapInArrow(run, schema)
+    without a text have null.
+
+    A text goes to Python only if it has a match of some pattern, one of the terms (where
+    there are few: of many, any text may have one), or where ``more`` says so; all others
+    are ``empty``. Of the rows only what is asked for goes there, never other columns.
+    """
+    distinct = {t.term for t in terms if t.term}
+    names = [f"_p{i}" for i in range(len(patterns))]
+    rows = docs.select("*", *[cut(F.col("text"), p.regex, p.holds).alias(n) for n, p in zip(names, patterns, strict=True)])
+    rows = rows.select(*docs.columns, *[pieces(F.col(n)).alias(n) for n in names])
+    asked = [F.col(n).isNotNull() for n in names]
+    asked += [F.lit(True)] if len(distinct) > MOST_SOUGHT else [F.contains("text", F.lit(t)) for t in sorted(distinct)]
+    touched = F.lit(False) if more is None else more
+    for a in asked:
+        touched = touched | a
+    finder: list[TermFinder] = []
+
+    @F.arrow_udf(kind)
+    def found(texts: pa.Array, *columns: pa.Array) -> pa.Array:
+        if not finder:
+            finder.append(TermFinder(terms))
+        hits = [c.to_pylist() for c in columns[: len(patterns)]]
+        carried = {c: v.to_pylist() for c, v in zip(carry, columns[len(patterns) :], strict=True)}
+        out = []
+        for i, text in enumerate(texts.to_pylist()):
+            if text is None:
+                out.append(None)
+                continue
+            spans = [s for p, h in zip(patterns, hits, strict=True) if h[i] for s in matches(text, h[i], p)]
+            spans += finder[0].spans(text)
+            out.append(finish(text, spans, {c: v[i] for c, v in carried.items()}))
+        return pa.array(out, arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(StructType.fromDDL(f"found {kind}")["found"].dataType)
+    rows = rows.withColumn("_touched", F.coalesce(touched, F.lit(False)))
+    result = found(F.when(F.col("_touched"), F.col("text")), *names, *carry)
+    return rows.withColumn("found", F.when(F.col("text").isNotNull(), F.when(F.col("_touched"), result).otherwise(empty.cast(kind)))).drop("_touched", *names)
 
 
 def _structs(spans: list[tuple]) -> list[dict]:
@@ -145,12 +169,13 @@ def _structs(spans: list[tuple]) -> list[dict]:
 def all_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term]) -> DataFrame:
     """(doc_id, entity_type, value, start_at, end_at, score, source, detector_order) of every
     span, before conflicts are resolved."""
-    found = scanned(docs.select("doc_id", "text"), patterns, terms, lambda text, spans, _: _structs(list(dict.fromkeys(spans))), SPANS)
+    found = scanned(docs.select("doc_id", "text"), patterns, terms, lambda text, spans, _: _structs(list(dict.fromkeys(spans))), SPANS, F.array())
     return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
 
 
 def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most_spans: int = MOST_SPANS, annotated: bool = False) -> DataFrame:
-    """``docs`` with found: a struct of the spans that don't overlap, and an error.
+    """``docs`` with found: a struct of the selected spans, which don't overlap, and an error.
+    A span is selected after conflicts, if its score is at least ``SELECTED``.
 
     With ``annotated``, docs have the columns ok and spans, of an annotation: a document
     whose annotation is missing or failed, or has a span outside the text, fails; else its
@@ -161,8 +186,6 @@ def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most
     def finish(text: str, spans: list[tuple], row: dict) -> dict:
         given: list[tuple] = []
         if annotated:
-            if not row["ok"]:
-                return {"spans": [], "error": "MODELS_NOT_READY"}
             for s in row["spans"] or []:
                 if not 0 <= s["start_at"] < s["end_at"] <= len(text):
                     return {"spans": [], "error": "SPAN_OUTSIDE"}
@@ -171,13 +194,21 @@ def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most
         if by_rules and len(given) + len(spans) > most_spans:
             return {"spans": [], "error": "TOO_MANY_ENTITIES"}
         valid = [s for s in given + spans if 0 <= s[4] <= 1]
-        return {"spans": _structs(without_overlaps(valid)), "error": None}
+        return {"spans": _structs([s for s in without_overlaps(valid) if s[4] >= SELECTED]), "error": None}
 
-    return scanned(docs, patterns, terms, finish, f"struct<spans:{SPANS},error:string>", ["ok", "spans"] if annotated else [])
+    kind, none = f"struct<spans:{SPANS},error:string>", F.lit(None).cast("string")
+    outcome = lambda error: F.struct(F.array().cast(SPANS).alias("spans"), error.alias("error")).cast(kind)
+    if not annotated:
+        return scanned(docs, patterns, terms, finish, kind, outcome(none))
+    ready = F.coalesce("ok", F.lit(False))
+    rows = scanned(docs.withColumn("_whole", F.col("text")).withColumn("text", F.when(ready, F.col("text"))), patterns, terms, finish, kind, outcome(none), ["spans"], F.size("spans") > 0)
+    failed = F.when(~ready & F.col("_whole").isNotNull(), outcome(F.lit("MODELS_NOT_READY"))).otherwise(F.col("found"))
+    return rows.withColumn("found", failed).withColumn("text", F.col("_whole")).drop("_whole")
 
 
-def edited(text: Column, edits: Column) -> Column:
-    """``text`` with sorted, disjoint edits (start_at, end_at, replacement) applied."""
+def edited(text: Column, edits: Column, has: Column | None = None) -> Column:
+    """``text`` with sorted, disjoint edits (start_at, end_at, replacement) applied. Only
+    texts that ``has`` edits of go to Python."""
 
     @F.arrow_udf(StringType())
     def apply(texts: pa.Array, changes: pa.Array) -> pa.Array:
@@ -192,7 +223,8 @@ def edited(text: Column, edits: Column) -> Column:
             out.append(t)
         return pa.array(out, pa.string())
 
-    return apply(text, edits)
+    has = F.size(edits) > 0 if has is None else has
+    return F.when(F.coalesce(has, F.lit(False)), apply(F.when(has, text), F.when(has, edits))).otherwise(text)
 
 
 def redacted(docs: DataFrame, patterns: list[Pattern], terms: list[Term], policies: dict[str, str], most_spans: int = MOST_SPANS, annotated: bool = False) -> DataFrame:
@@ -202,11 +234,9 @@ def redacted(docs: DataFrame, patterns: list[Pattern], terms: list[Term], polici
     rows = docs.withColumn("_refused", F.when(F.coalesce(size, F.lit(0)) == 0, "EMPTY_TEXT").when(size > MOST_TEXT_BYTES, "TEXT_TOO_LARGE"))
     rows = rows.withColumn("text", F.when(F.col("_refused").isNull(), F.col("text")))
     rows = kept_spans(rows, patterns, terms, most_spans, annotated)
-    edits = replacements(F.col("found.spans"), policies)
-    error = F.coalesce("_refused", "found.error")
-    out = rows.select("doc_id", "text", edits.alias("edits"), error.alias("error"))
-    text = F.when(F.col("error").isNull(), edited(F.col("text"), F.col("edits")))
-    return out.select("doc_id", text.alias("redacted"), F.coalesce(F.array_size("edits"), F.lit(0)).alias("n_spans"), "error")
+    text = edited(F.col("text"), replacements(F.col("found.spans"), policies), F.size("found.spans") > 0)
+    out = rows.select("doc_id", text.alias("redacted"), F.coalesce(F.array_size("found.spans"), F.lit(0)).alias("n_spans"), F.coalesce("_refused", "found.error").alias("error"))
+    return out.withColumn("redacted", F.when(F.col("error").isNull(), F.col("redacted")))
 
 
 def replacements(spans: Column, policies: dict[str, str]) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from desense.functions.replacement import type_label
+from desense.operators import onepass
 
 
 def valid_entities(spans: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def validate_spans(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "start_at", "end_at").join(sizes, "doc_id").groupBy("doc_id").agg(F.bool_and(inside).alias("valid"))
 
 
-def default_selection(score: Column, threshold: float = 0.3) -> Column:
+def default_selection(score: Column, threshold: float = onepass.SELECTED) -> Column:
     return score >= threshold
 
 
@@ -40,14 +40,7 @@ def _kept_of_island(island: pa.Table) -> list[int]:
     """Rows of one overlap island by priority, each if it overlaps none taken."""
     keys = [("score", "descending"), ("_bytes", "descending"), ("start_at", "ascending"), ("entity_type", "ascending"), ("detector_order", "ascending"), ("entity_id", "ascending")]
     start, end = (island.column(c).to_pylist() for c in ("start_at", "end_at"))
-    starts, ends, kept = [], [], []
-    for i in pc.sort_indices(island, sort_keys=keys).to_pylist():
-        at = bisect_right(starts, start[i])
-        if not (at and ends[at - 1] > start[i]) and not (at < len(starts) and starts[at] < end[i]):
-            starts.insert(at, start[i])
-            ends.insert(at, end[i])
-            kept.append(i)
-    return kept
+    return onepass.disjoint(pc.sort_indices(island, sort_keys=keys).to_pylist(), start, end)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import pytest
 from compare import SF_DIR
 from pyspark.sql import functions as F
 
-from desense.operators import detect, redact, review, sequence, spans, tasks, vault
+from desense.operators import detect, onepass, redact, review, sequence, spans, tasks, vault
 from desense.sources import encodings, sinks
 from desense.streaming import jobs
 
@@ -241,3 +242,39 @@ def test_overlaps_across_buckets_count_once(spark, monkeypatch):
     found = spark.createDataFrame([(1, 2, 15), (1, 20, 21)], "doc_id long, start_at int, end_at int")
     parts = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 10, 12), (1, 2, 12, 40)], "doc_id long, frag_no int, start_at int, end_at int")
     assert sorted((r.start_at, r.frag_no) for r in redact.piece_overlap(found, parts).collect()) == [(2, 0), (2, 1), (2, 2), (20, 2)]
+
+
+def test_unsure_spans_stay_in_the_text(spark):
+    docs = spark.createDataFrame([(1, "anna met bob"), (2, "anna met bob")], "doc_id long, text string")
+    status = spark.createDataFrame([(1, True), (2, True), (2, False)], "doc_id long, ok boolean")
+    named = spark.createDataFrame([(i, "PERSON", a, b, s, "model") for i in (1, 2) for a, b, s in ((0, 4, 0.1), (9, 12, 0.9), (8, 10, 0.29))], "doc_id long, entity_type string, start_at int, end_at int, score double, source string")
+    policies = policy_rows(spark, (1, "PERSON", "[X]"))
+    out = {r.doc_id: (r.redacted, r.n_spans, r.error) for r in redact.redact_texts(docs, None, policies, status=status, annotations=named).collect()}
+    assert out == {1: ("anna met [X]", 1, None), 2: (None, 0, "MODELS_NOT_READY")}
+
+
+@pytest.mark.parametrize("make", [lambda n: "a" * n + " @", lambda n: "a" * n + "@", lambda n: "a@" + "b" * n, lambda n: "a@b." * (n // 4)], ids=["run", "run and at", "domain", "many"])
+def test_mail_search_is_linear(spark, make):
+    took = []
+    for n in (40_000, 4_000_000):
+        docs = spark.createDataFrame([(1, make(n))], "doc_id long, text string").repartition(1)
+        began = time.time()
+        assert redact.redact_texts(docs, None, policy_rows(spark, (1, "T", ""))).where("error is null").count() == 1
+        took.append(time.time() - began)
+    assert took[1] < 20
+
+
+def test_mail_matches_are_those_of_the_pattern(spark):
+    rnd = random.Random(1)
+    texts = [(i, "".join(rnd.choice("ab1._%+-@@..Z9 中\n﷐") for _ in range(rnd.randrange(1, 60)))) for i in range(4000)]
+    found = detect.detect_pattern(spark.createDataFrame(texts, "doc_id long, text string"), "EMAIL").collect()
+    want = [(i, m.start(), m.group()) for i, t in texts for m in re.finditer(detect.PATTERNS[1][1], t)]
+    assert sorted((r.doc_id, r.start_at, r.value) for r in found) == want and len(want) > 20
+
+
+def test_untouched_texts_stay_in_the_engine(spark):
+    """Python gets the text only where something was found, and no other column of the row."""
+    docs = spark.createDataFrame([(1, "a@b.cc", "z" * 9)], "doc_id long, text string, other string")
+    plan = onepass.kept_spans(docs, detect.BUILT_INS, [])._jdf.queryExecution().optimizedPlan().toString()
+    call = re.search(r"found\(.*?\)#", plan)[0]
+    assert "CASE WHEN _touched" in call and "other" not in call
