@@ -32,7 +32,6 @@ import heapq
 import itertools
 import re
 import struct
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -48,13 +47,15 @@ from tokenizers import Tokenizer
 from desense.llm.common import released, text_slices, written
 
 #: Radix parts (a power of two) and bytes of text in a block, about.
-PARTS, BLOCK_BYTES = 32, 16 << 20
+PARTS, BLOCK_BYTES = 16, 4 << 20
 #: Runs that are merged at a time, and entries of a frame.
 FAN_IN, FRAME = 64, 1 << 16
 #: Runs of a part that meet one copy of its counts.
 RUNS_A_TABLE = 256
 #: Distinct pieces, and bytes of them, that a worker remembers.
-MOST_PIECES, MOST_PIECE_BYTES = 400_000, 64 << 20
+MOST_PIECES, MOST_PIECE_BYTES = 200_000, 32 << 20
+#: Links of a group that are written out one by one.
+MOST_LINKS = 4096
 #: A piece ends after a character that is no white space where a space follows.
 PIECE = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
 
@@ -69,21 +70,6 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def grouped(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
-    """Ids of A and B in each group, for (id, end) of the tokens of one piece. Tokens
-    without bytes belong to the group that ends with or after them."""
-    both = {end for _, end in a} & {end for _, end in b}
-    out, i, j = [], 0, 0
-    for end in sorted(both):
-        left, right = i, j
-        while i < len(a) and a[i][1] <= end:
-            i += 1
-        while j < len(b) and b[j][1] <= end:
-            j += 1
-        out.append(([x for x, _ in a[left:i]], [x for x, _ in b[right:j]]))
-    return out
-
-
 class Aligner:
     """Both tokenizers, and what they make of each distinct piece: a number for it, with
     sizes, the groups as text, and its pairs ``a << 32 | b`` with how often each is linked."""
@@ -94,82 +80,103 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = SentencePieceProcessor(model_proto=piece_model)
-        self.byte_of = byte_of_char()
-        space = [i for i in range(self.b.get_piece_size()) if self.b.id_to_piece(i) == "▁"]
-        self.space = space[0] if space else None
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.space = pieces.index("▁")
+        byte_of = byte_of_char()
+        tokens = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        self.a_bytes = [bytes(byte_of.get(c, 63) for c in t) for t in tokens]
+        self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)]
+        self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: A's ids with a comma, with a bar, B's with a comma, with a semicolon
+        self.spelled = np.array([f"{i}{end}" for side, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(side))], object)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.bytes = 0
-        self.sizes: list[tuple[int, int, int, int, bool]] = []
         self.texts: list[str] = []
-        self.pairs: list[int] = []
-        self.times: list[int] = []
-        self.starts: list[int] = [0]
-
-    def b_bytes(self, i: int) -> bytes:
-        piece = self.b.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
-
-    def b_ids(self, piece: str) -> list[int]:
-        """B's ids of a piece that follows the text before without a space of B's own."""
-        if piece == " " and self.space is not None:
-            return [self.space]
-        return self.b.encode(piece[1:])
+        self.sizes = np.zeros((0, 5), np.int64)
+        self.pairs = self.times = np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        """Number the pieces, which are new and begin with a space."""
-        encoded = self.a.encode_batch(pieces, add_special_tokens=False)
-        for piece, e in zip(pieces, encoded, strict=True):
-            raw, ok = piece.encode(), True
-            a_bytes = [bytes(self.byte_of[c] for c in t) for t in e.tokens]
-            ids = self.b_ids(piece)
-            b_bytes = [self.b_bytes(i) for i in ids]
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                ok, groups = False, []
-            else:
-                ends = [np.cumsum([len(x) for x in side]).tolist() for side in (a_bytes, b_bytes)]
-                groups = grouped(list(zip(e.ids, ends[0], strict=True)), list(zip(ids, ends[1], strict=True)))
-            links: Counter[int] = Counter()
-            for left, right in groups:
-                for x, n in Counter(left).items():
-                    for y, m in Counter(right).items():
-                        links[x << 32 | y] += n * m
-            self.number[piece] = len(self.sizes)
-            self.bytes += len(raw)
-            self.sizes.append((len(e.ids), len(ids), len(groups), sum(links.values()), ok))
-            self.texts.append(";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups))
-            self.pairs.extend(links)
-            self.times.extend(links.values())
-            self.starts.append(len(self.pairs))
+        """Number the pieces, which are new and begin with a space: the one that B adds."""
+        a_of, b_of = ([x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces]))
+        b_of = [[self.space] if p == " " else ids for p, ids in zip(pieces, b_of, strict=True)]
+        good, raw = np.ones(len(pieces), bool), [p.encode() for p in pieces]
+        for side, known in ((a_of, self.a_bytes), (b_of, self.b_bytes)):
+            if b"".join(map(known.__getitem__, itertools.chain.from_iterable(side))) != b"".join(raw):
+                good &= np.array([b"".join(map(known.__getitem__, ids)) == r for ids, r in zip(side, raw, strict=True)])
+        counts = np.array([[len(x) for x in a_of], [len(x) for x in b_of]], np.int64) * good
+        a, b = (np.fromiter(itertools.chain.from_iterable(itertools.compress(side, good)), np.int64, n) for side, n in zip((a_of, b_of), counts.sum(1).tolist(), strict=True))
+        # tokens of both cover the same bytes, so ends can be compared all over
+        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        a_cut, b_cut = (np.isin(x, y, assume_unique=True, kind="sort") for x, y in ((a_end, b_end), (b_end, a_end)))
+        a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+        left, right = np.bincount(a_group), np.bincount(b_group)
+        a_piece = np.repeat(np.arange(len(pieces)), counts[0])
+        group_piece = a_piece[a_cut]
+        many = left * right
+        piece, pair, times = _linked(a, b, a_piece, a_group, left, right)
+        sizes = [*counts, np.bincount(group_piece, minlength=len(pieces)), np.bincount(group_piece, many, len(pieces)).astype(np.int64), good]
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        n = len(self.a_bytes)
+        spelled = self.spelled[np.concatenate([a + n * a_cut, b + 2 * n + len(self.b_bytes) * b_cut])[order]].tolist()
+        ends = np.cumsum(counts.sum(0)).tolist()
+        self.texts += ["".join(spelled[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+        self.number.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
+        self.bytes += sum(map(len, raw))
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).T])
+        self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(np.bincount(piece, minlength=len(pieces)))])
+        self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """n_a, n_b, n_groups and n_links of each text, its digest, and its links as arrays
-        (pair, number of the text, how often)."""
+        (pair, number of the text, how often), texts in order."""
         if len(self.number) > MOST_PIECES or self.bytes > MOST_PIECE_BYTES:
             self.forget()
         cut = [PIECE.findall(" " + t) if t else [] for t in texts]
         if new := list(dict.fromkeys(p for pieces in cut for p in pieces if p not in self.number)):
             self.learn(new)
-        number = self.number
+        number, sizes = self.number, self.sizes
         held = [np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces)) for pieces in cut]
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 5)
         sums, digests, kept = np.zeros((len(texts), 4), np.int64), [], []
         for i, pieces in enumerate(held):
             good = len(pieces) > 0 and sizes[pieces, 4].all()
             if good:
                 sums[i] = sizes[pieces, :4].sum(0)
-            digests.append(hashlib.sha256(";".join([self.texts[p] for p in pieces.tolist()]).encode()).hexdigest() if good else "")
+            digests.append(hashlib.sha256("".join(map(self.texts.__getitem__, pieces.tolist()))[:-1].encode()).hexdigest() if good else "")
             kept.append(pieces if good else pieces[:0])
         of = np.repeat(np.arange(len(texts)), [len(p) for p in kept])
-        piece = np.concatenate([np.zeros(0, np.int64), *kept])
-        both, times = np.unique(of * np.int64(max(len(sizes), 1)) + piece, return_counts=True)
+        both, times = np.unique(of * max(len(sizes), 1) + np.concatenate([np.zeros(0, np.int64), *kept]), return_counts=True)
         of, piece = np.divmod(both, max(len(sizes), 1))
-        starts = np.array(self.starts, np.int64)
-        many = starts[piece + 1] - starts[piece]
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[piece], many)
-        return sums, digests, (np.array(self.pairs, np.int64)[at], np.repeat(of, many), np.array(self.times, np.int64)[at] * np.repeat(times, many))
+        many = self.starts[piece + 1] - self.starts[piece]
+        at = _ragged(self.starts[piece], many)
+        return sums, digests, (self.pairs[at], np.repeat(of, many), self.times[at] * np.repeat(times, many))
+
+
+def _ragged(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each start so many numbers from it on."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - starts, many)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, a_piece: np.ndarray, a_group: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, pair, how often) of the links of all groups, pieces in order. Groups with many
+    links give each distinct pair once, others as often as it stands there."""
+    starts = np.cumsum(right) - right
+    big = left * right > MOST_LINKS
+    many = np.where(big, 0, right)[a_group]
+    piece, pair = np.repeat(a_piece, many), np.repeat(a, many) << 32 | b[_ragged(starts[a_group], many)]
+    times = np.ones(len(pair), np.int64)
+    for g in np.flatnonzero(big).tolist():
+        at = int(np.searchsorted(a_group, g))
+        (x, n), (y, m) = (np.unique(ids, return_counts=True) for ids in (a[at : at + left[g]], b[starts[g] : starts[g] + right[g]]))
+        own = ((x << 32)[:, None] | y).reshape(-1)
+        piece, pair, times = np.concatenate([piece, np.full(len(own), a_piece[at])]), np.concatenate([pair, own]), np.concatenate([times, np.outer(n, m).reshape(-1)])
+    if big.any():
+        order = np.argsort(piece, kind="stable")
+        piece, pair, times = piece[order], pair[order], times[order]
+    return piece, pair, times
 
 
 @lru_cache(maxsize=1)
