@@ -7,35 +7,84 @@ from pyspark.sql import functions as F
 
 from desense.functions.geometry import valid_region
 from desense.functions.replacement import FIXED, GENERIC
+from desense.operators.redact import resolve_replacement
 
 MOST_REPLACEMENT_BYTES = 4096
 BUILT_IN_TYPES = [*FIXED, "ORGANIZATION", "PHONE", "ID_CARD", "BANK_CARD"]
 
 
+def _reviewed(spans: DataFrame | None, decisions: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Spans (kind 0), decisions (1) and reviews (2) as rows of one table, brought together
+    by document once, each row with what its document and its entity have: _error of the
+    document's decisions (null where it has none, or they are good), _asked whether it has
+    any, and of the one decision of the entity _sel and _rep, where it is good.
+
+    One exchange: both windows keep to a document, which the rows are dealt by."""
+    nothing = F.lit(None)
+    as_rows = lambda df, kind, s, r, d: df.select("doc_id", (F.col("entity_id") if kind < 2 else nothing.cast("string")).alias("entity_id"), F.lit(kind).alias("_kind"), s.alias("_s"), d.alias("_d"), r.alias("_r"))
+    whole = lambda df: F.struct(*df.columns)
+    span_type = F.lit(None).cast(spans.select(whole(spans).alias("s")).schema["s"].dataType)
+    review_type = nothing.cast("struct<state:string>") if reviews is None else nothing.cast(reviews.select(whole(reviews).alias("r")).schema["r"].dataType)
+    kind = decisions.select(F.struct("selected", "replacement").alias("d")).schema["d"].dataType
+    rows = as_rows(spans, 0, whole(spans), review_type, nothing.cast(kind))
+    rows = rows.unionByName(as_rows(decisions, 1, span_type, review_type, F.struct("selected", "replacement")))
+    if reviews is not None:
+        rows = rows.unionByName(as_rows(reviews, 2, span_type, whole(reviews), nothing.cast(kind)))
+    rows = rows.repartition("doc_id")
+    entity, doc = Window.partitionBy("doc_id", "entity_id"), Window.partitionBy("doc_id")
+    decided = F.col("_kind") == 1
+    known = F.col("doc_id").isNotNull() & F.col("entity_id").isNotNull()
+    rows = rows.select(
+        "*", F.count_if(decided).over(entity).alias("_n"), (known & (F.count_if(F.col("_kind") == 0).over(entity) > 0)).alias("_known"),
+        F.max(F.when(decided, F.struct("_d.selected", "_d.replacement"))).over(entity).alias("_own"),
+    )
+    wrong = F.when(F.col("_n") > 1, "DUPLICATE").when(~F.col("_known"), "FOREIGN").when(F.octet_length("_d.replacement") > MOST_REPLACEMENT_BYTES, "TOO_LONG")
+    rows = rows.select("*", F.max(decided).over(doc).alias("_asked"), F.min(F.when(decided, wrong)).over(doc).alias("_error"))
+    if reviews is not None:
+        state = F.max(F.when(F.col("doc_id").isNotNull(), F.col("_r.state"))).over(doc)
+        closed = F.when(state.isNull(), "TASK_MISSING").when(state != "awaiting_review", "INVALID_TASK_STATE")
+        rows = rows.withColumn("_error", F.when(F.col("_asked"), F.coalesce(closed, "_error")))
+    good = F.col("_known") & (F.col("_n") == 1) & F.col("_error").isNull()
+    return rows.select("doc_id", "_kind", "_s", "_r", "_asked", "_error", good.alias("_good"), F.col("_own.selected").alias("_sel"), F.col("_own.replacement").alias("_rep"))
+
+
+def _decided(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The spans of ``_reviewed`` rows, with decided: whether a good decision is theirs."""
+    pick = lambda new, old: F.when(F.col("_good"), F.col(new)).otherwise(F.col(f"_s.{old}")).alias(old)
+    new = {"selected": pick("_sel", "selected"), "replacement": pick("_rep", "replacement")}
+    return rows.where("_kind = 0").select(*[new.get(c, F.col(f"_s.{c}")) for c in columns], F.col("_good").alias("decided"))
+
+
+def _errors(rows: DataFrame) -> DataFrame:
+    return rows.where("_asked and _error is not null").groupBy("doc_id").agg(F.first("_error").alias("error"))
+
+
 def decision_errors(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     """(doc_id, error) of documents whose decisions are refused: an id twice, an id that is
     not the document's, or a replacement over 4096 bytes."""
-    twice = decisions.groupBy("doc_id", "entity_id").count().where("count > 1").select("doc_id", F.lit("DUPLICATE").alias("error"))
-    foreign = decisions.join(spans, ["doc_id", "entity_id"], "left_anti").select("doc_id", F.lit("FOREIGN").alias("error"))
-    long = decisions.where(F.octet_length("replacement") > MOST_REPLACEMENT_BYTES).select("doc_id", F.lit("TOO_LONG").alias("error"))
-    return twice.unionByName(foreign).unionByName(long).groupBy("doc_id").agg(F.min("error").alias("error"))
+    return _errors(_reviewed(spans.select("doc_id", "entity_id"), decisions))
+
+
+def decided_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
+    """As ``apply_decisions``, with decided: whether a decision set the span."""
+    return _decided(_reviewed(spans, decisions), spans.columns)
 
 
 def apply_decisions(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     """Spans with selected and replacement after review. A matched decision sets both, so a
     null replacement clears an earlier one; refused documents keep what they had."""
-    bad = decision_errors(spans, decisions)
-    d = decisions.join(bad, "doc_id", "left_anti").select("doc_id", "entity_id", F.col("selected").alias("_sel"), F.col("replacement").alias("_rep"), F.lit(True).alias("_hit"))
-    rows = spans.join(d, ["doc_id", "entity_id"], "left")
-    pick = lambda new, old: F.when(F.col("_hit"), F.col(new)).otherwise(F.col(old))
-    return rows.withColumn("selected", pick("_sel", "selected")).withColumn("replacement", pick("_rep", "replacement")).drop("_sel", "_rep", "_hit")
+    return decided_spans(spans, decisions).drop("decided")
 
 
-def propagate_to_regions(regions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Linked regions take their entity's decision and replacement; others stay."""
-    e = entities.select("doc_id", "entity_id", F.col("selected").alias("_sel"), F.col("replacement").alias("_rep"), F.lit(True).alias("_hit"))
+def propagate_to_regions(regions: DataFrame, decided: DataFrame, policies: DataFrame) -> DataFrame:
+    """Regions (doc_id, region_id, entity_id, selected, replacement) linked to an entity that
+    was decided take its decision and what it is replaced with: its own replacement, its
+    type's policy or the default. All other regions, those marked by hand too, stay.
+    ``decided`` is (doc_id, entity_id, entity_type, value, selected, replacement)."""
+    e = resolve_replacement(decided, policies).select("doc_id", "entity_id", F.col("selected").alias("_sel"), F.col("replacement").alias("_rep"), F.lit(True).alias("_hit"))
     rows = regions.join(e, ["doc_id", "entity_id"], "left")
-    return rows.select("doc_id", "region_id", F.when(F.col("_hit"), F.col("_sel")).otherwise(False).alias("selected"), F.col("_rep").alias("replacement"))
+    pick = lambda new, old: F.when(F.col("_hit"), F.col(new)).otherwise(F.col(old)).alias(old)
+    return rows.select("doc_id", "region_id", pick("_sel", "selected"), pick("_rep", "replacement"))
 
 
 def upsert_policies(policies: DataFrame, edits: DataFrame) -> DataFrame:
@@ -70,7 +119,10 @@ def saved(reviews: DataFrame, changed: DataFrame) -> DataFrame:
     the documents ``changed`` (doc_id) were saved: the revision goes up and is the reviewed
     one, and the stored output no longer counts."""
     hit = changed.select("doc_id").distinct().withColumn("_hit", F.lit(True))
-    rows = reviews.join(hit, "doc_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    return _after_save(reviews.join(hit, "doc_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))))
+
+
+def _after_save(rows: DataFrame) -> DataFrame:
     now = F.when(F.col("_hit"), F.col("revision") + 1).otherwise(F.col("revision")).cast("int")
     rows = rows.withColumn("revision", now).withColumn("reviewed_revision", F.when(F.col("_hit"), F.col("revision")).otherwise(F.col("reviewed_revision")))
     return rows.withColumn("output_valid", F.col("output_valid") & ~F.col("_hit")).drop("_hit")
@@ -79,12 +131,10 @@ def saved(reviews: DataFrame, changed: DataFrame) -> DataFrame:
 def save_decisions(spans: DataFrame, decisions: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans and reviews after decisions, and (doc_id, error) of documents whose decisions
     are refused, all of them: no such task, not awaiting review, or ``decision_errors``."""
-    asked = decisions.select("doc_id").distinct().join(reviews.select("doc_id", "state"), "doc_id", "left")
-    closed = asked.where("state is null or state <> 'awaiting_review'").select("doc_id", F.when(F.col("state").isNull(), "TASK_MISSING").otherwise("INVALID_TASK_STATE").alias("error"))
-    allowed = decisions.join(closed, "doc_id", "left_anti")
-    errors = closed.unionByName(decision_errors(spans, allowed))
-    good = decisions.join(errors, "doc_id", "left_anti")
-    return apply_decisions(spans, good), saved(reviews, good), errors
+    rows = _reviewed(spans, decisions, reviews)
+    hit = F.coalesce(F.col("_asked") & F.col("_error").isNull() & F.col("doc_id").isNotNull(), F.lit(False))
+    after = _after_save(rows.where("_kind = 2").select("_r.*", hit.alias("_hit")))
+    return _decided(rows, spans.columns).drop("decided"), after, _errors(rows)
 
 
 def _judged_edits(edits: DataFrame, reviews: DataFrame) -> DataFrame:

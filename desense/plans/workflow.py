@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from desense.functions import geometry
-from desense.functions.replacement import GENERIC
+from desense.functions.replacement import DEFAULT_SQL, GENERIC
 from desense.operators import audit, review, sequence, tasks
 from desense.operators.spans import default_selection
 from desense.sources import sinks
@@ -105,22 +105,34 @@ def decision_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.decision_errors(load(spark, sf_dir, "spans"), load(spark, sf_dir, "decisions"))
 
 
-def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "spans").withColumn("selected", default_selection(F.col("score"))).withColumn("replacement", F.when(F.col("start_at") % 10 == 0, "earlier"))
-    return review.apply_decisions(s, load(spark, sf_dir, "decisions")).select("doc_id", "entity_id", "selected", "replacement")
+def _spans_with_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "spans").withColumn("selected", default_selection(F.col("score"))).withColumn("replacement", F.when(F.col("start_at") % 10 == 0, "earlier"))
 
 
 @query("apply_decisions", f"WITH {_APPLIED} SELECT doc_id, entity_id, selected, replacement FROM ent", "decisions")
 def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reviewed(spark, sf_dir)
+    return review.apply_decisions(_spans_with_choice(spark, sf_dir), load(spark, sf_dir, "decisions")).select("doc_id", "entity_id", "selected", "replacement")
 
 
-@query("propagate_to_regions", f"WITH {_APPLIED} SELECT doc_id, start_at::INTEGER AS region_id, selected, replacement FROM ent UNION ALL SELECT doc_id, -1, false, NULL FROM spans", "decisions")
+_MARKED = "doc_id % 3 <> 0 AS selected, CASE WHEN doc_id % 4 = 1 THEN 'mine' END AS replacement"
+
+
+@query("propagate_to_regions", f"""WITH {_APPLIED}, val AS (SELECT g.doc_id, g.entity_id, g.selected, s.entity_type, s.start_at, coalesce(g.replacement, p.replacement, {DEFAULT_SQL.replace('entity_type', 's.entity_type')}) AS replacement
+  FROM good g JOIN (SELECT s.*, substring(t.text, start_at + 1, end_at - start_at) AS value FROM spans s JOIN span_texts t ON t.doc_id = s.doc_id) s ON s.doc_id = g.doc_id AND s.entity_id = g.entity_id LEFT JOIN policies p ON p.entity_type = s.entity_type),
+reg AS (SELECT doc_id, entity_id, start_at AS region_id, {_MARKED} FROM spans UNION ALL SELECT DISTINCT doc_id, NULL, -1, {_MARKED} FROM spans)
+SELECT r.doc_id, r.region_id::INTEGER AS region_id, CASE WHEN v.entity_id IS NOT NULL THEN v.selected ELSE r.selected END AS selected, CASE WHEN v.entity_id IS NOT NULL THEN v.replacement ELSE r.replacement END AS replacement
+FROM reg r LEFT JOIN val v ON v.doc_id = r.doc_id AND v.entity_id = r.entity_id""", "decisions", "span_texts", "policies")
 def propagate_to_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions linked to spans, and one of each document that was marked by hand; all have
+    a decision of their own."""
     s = load(spark, sf_dir, "spans")
-    linked = s.select("doc_id", "entity_id", F.col("start_at").alias("region_id"))
-    manual = s.select("doc_id", F.lit(None).cast("string").alias("entity_id"), F.lit(-1).alias("region_id"))
-    return review.propagate_to_regions(linked.unionByName(manual), _reviewed(spark, sf_dir))
+    own = [F.expr(x).alias(n) for x, n in (part.rsplit(" AS ", 1) for part in _MARKED.split(", "))]
+    linked = s.select("doc_id", "entity_id", F.col("start_at").alias("region_id"), *own)
+    manual = s.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("entity_id"), F.lit(-1).alias("region_id"), *own)
+    value = F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at"))
+    decided = review.decided_spans(_spans_with_choice(spark, sf_dir), load(spark, sf_dir, "decisions")).where("decided")
+    decided = decided.join(load(spark, sf_dir, "span_texts"), "doc_id").withColumn("value", value)
+    return review.propagate_to_regions(linked.unionByName(manual), decided, load(spark, sf_dir, "policies"))
 
 
 _EDITS = """edits AS (SELECT CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN 'PHONE' WHEN 2 THEN ' ' ELSE p_type END AS entity_type,
@@ -187,8 +199,7 @@ _DECIDED = f"{_BAD}, {_CLOSED}, refused AS (SELECT * FROM closed UNION ALL SELEC
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = load(spark, sf_dir, "spans").withColumn("selected", default_selection(F.col("score"))).withColumn("replacement", F.when(F.col("start_at") % 10 == 0, "earlier"))
-    return review.save_decisions(s, load(spark, sf_dir, "decisions"), _reviews(spark, sf_dir))
+    return review.save_decisions(_spans_with_choice(spark, sf_dir), load(spark, sf_dir, "decisions"), _reviews(spark, sf_dir))
 
 
 @query("save_decisions", f"""WITH {_DECIDED} SELECT s.doc_id, s.entity_id, CASE WHEN g.entity_id IS NOT NULL THEN g.selected ELSE s.score >= 0.3 END AS selected,

@@ -278,3 +278,32 @@ def test_untouched_texts_stay_in_the_engine(spark):
     plan = onepass.kept_spans(docs, detect.BUILT_INS, [])._jdf.queryExecution().optimizedPlan().toString()
     call = re.search(r"found\(.*?\)#", plan)[0]
     assert "CASE WHEN _touched" in call and "other" not in call
+
+
+def test_saving_decisions_scans_each_input_once(spark, tmp_path):
+    s = span_rows(spark, [(0, 3, 0.9), (4, 6, 0.1)]).withColumn("selected", F.lit(True)).withColumn("replacement", F.lit("old"))
+    s.write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(1, "e0000", False, None), (1, "e0001", True, "new"), (2, "e0000", True, None)], "doc_id long, entity_id string, selected boolean, replacement string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(1, "awaiting_review", 3, 3, 1, True), (2, "awaiting_review", 1, 1, 1, True)], REVIEWS).write.parquet(str(tmp_path / "r"))
+    tables = [spark.read.parquet(str(tmp_path / n)) for n in "sdr"]
+    after, reviews, errors = review.save_decisions(*tables)
+    assert sorted((r.entity_id, r.selected, r.replacement) for r in after.collect()) == [("e0000", False, None), ("e0001", True, "new")]
+    assert sorted((r.doc_id, r.revision, r.output_valid) for r in reviews.collect()) == [(1, 4, False), (2, 1, True)]
+    assert [(r.doc_id, r.error) for r in errors.collect()] == [(2, "FOREIGN")]
+    for out, scans in ((after, 3), (reviews, 3), (errors, 3), (review.apply_decisions(*tables[:2]), 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan") <= scans and plan.count("Exchange ") <= 2 and "Join" not in plan
+
+
+def test_regions_take_what_was_decided_and_keep_their_own(spark):
+    regions = spark.createDataFrame([(1, 1, "a", False, None), (1, 2, None, True, "mine"), (1, 3, "b", True, "own")], "doc_id long, region_id int, entity_id string, selected boolean, replacement string")
+    decided = spark.createDataFrame([(1, "a", "PHONE", "13812345678", True, None)], "doc_id long, entity_id string, entity_type string, value string, selected boolean, replacement string")
+    out = review.propagate_to_regions(regions, decided, policy_rows(spark, (1, "EMAIL", "-")))
+    assert sorted((r.region_id, r.selected, r.replacement) for r in out.collect()) == [(1, True, "138****5678"), (2, True, "mine"), (3, True, "own")]
+
+
+def test_decisions_without_ids_are_foreign(spark):
+    s = spark.createDataFrame([(1, None, True, None), (None, "a", True, None)], "doc_id long, entity_id string, selected boolean, replacement string")
+    d = s.withColumn("replacement", F.lit("n"))
+    assert sorted((str(r.doc_id), r.error) for r in review.decision_errors(s, d).collect()) == [("1", "FOREIGN"), ("None", "FOREIGN")]
+    assert {r.replacement for r in review.apply_decisions(s, d).collect()} == {None}
