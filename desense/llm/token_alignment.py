@@ -51,7 +51,7 @@ PARTS, BLOCK_BYTES = 16, 4 << 20
 #: Runs that are merged at a time, and entries of a frame.
 FAN_IN, FRAME = 64, 1 << 16
 #: Runs of a part that meet one copy of its counts.
-RUNS_A_TABLE = 256
+RUNS_A_TABLE = 64
 #: Distinct pieces, and bytes of them, that a worker remembers.
 MOST_PIECES, MOST_PIECE_BYTES = 200_000, 32 << 20
 #: Links of a group that are written out one by one.
