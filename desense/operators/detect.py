@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from desense.operators import onepass
+from desense.operators import onepass, terms
 from desense.operators.onepass import MOST_SPANS, Pattern, Term
 
 #: Type, pattern, score, whether a digit may stand next to it.
@@ -44,23 +44,30 @@ def dictionary_terms(pattern: str) -> list[str]:
     return list(dict.fromkeys(t for t in map(str.strip, _LINES.split(pattern)) if t))
 
 
-def compiled_rules(rules: DataFrame | None, kind: str | None = None) -> tuple[list[Pattern], list[Term]]:
-    """Patterns and terms of the enabled rules. They become part of the plan, so the table
-    must be small: more than ``MOST_RULES`` rules are refused."""
+def compiled_rules(rules: DataFrame | None, kind: str | None = None) -> tuple[list[Pattern], list[Term], DataFrame | None]:
+    """Patterns and terms of the enabled rules, and a table of terms. Few rules become part
+    of the plan; where there are more than ``MOST_RULES``, or terms of more than
+    ``MOST_DICTIONARY_BYTES``, literals and dictionaries stay a table (``rule_terms``), and
+    regular expressions, each of which is a search of its own, are refused beyond it."""
     if rules is None:
-        return [], []
+        return [], [], None
     on = rules.where("enabled") if kind is None else rules.where(F.col("enabled") & (F.col("kind") == kind))
-    rows = on.select("rule_id", "entity_type", "kind", "pattern").limit(MOST_RULES + 1).collect()
+    on = on.select("rule_id", "entity_type", "kind", "pattern")
+    n, size = on.agg(F.count(F.lit(1)), F.sum(F.when(F.col("kind") != "regex", F.octet_length("pattern")))).first()
+    table = None
+    if n > MOST_RULES or (size or 0) > MOST_DICTIONARY_BYTES:
+        table, on = rule_terms(on.where("kind <> 'regex'").withColumn("enabled", F.lit(True))), on.where("kind = 'regex'")
+    rows = on.limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; a large dictionary is one table of terms (detect_terms)")
-    patterns, terms = [], []
+        raise ValueError(f"more than {MOST_RULES} regular expressions")
+    patterns, found = [], []
     for r in sorted(rows):
         if r["kind"] == "regex":
             patterns.append(Pattern(r["entity_type"], "(?Ud)" + r["pattern"], 1.0, CUSTOM, 100 + r["rule_id"]))
         else:
             own = dictionary_terms(r["pattern"]) if r["kind"] == "dictionary" else [r["pattern"]]
-            terms += [Term(r["entity_type"], t, CUSTOM, 100 + r["rule_id"]) for t in own]
-    return patterns, terms
+            found += [Term(r["entity_type"], t, CUSTOM, 100 + r["rule_id"]) for t in own]
+    return patterns, found, table
 
 
 def detect_pattern(docs: DataFrame, name: str) -> DataFrame:
@@ -70,27 +77,36 @@ def detect_pattern(docs: DataFrame, name: str) -> DataFrame:
 
 def detect_rules(docs: DataFrame, rules: DataFrame, kind: str | None = None) -> DataFrame:
     """Spans of the enabled rules; each dictionary term is matched on its own."""
-    return onepass.all_spans(docs, *compiled_rules(rules, kind))
+    return _all_spans(docs, [], rules, kind)
 
 
-def detect_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans of a large dictionary (entity_type, term): all its terms are looked for in one
-    walk over each text; of overlapping hits of one term the leftmost stay. Terms of over
-    ``MOST_DICTIONARY_BYTES`` are dealt to several scans by a hash, each for a bounded part."""
-    terms = terms.where("term <> ''").select("entity_type", "term").distinct()
-    size = terms.agg(F.sum(F.octet_length("term") + 64).alias("n")).first()["n"] or 0
-    scans, found = max(1, -(-int(size) // MOST_DICTIONARY_BYTES)), None
-    for i in range(scans):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(scans)) == i)
-        hits = onepass.all_spans(docs, [], [Term(t, x, CUSTOM, 100) for t, x in sorted(map(tuple, part.collect()))])
-        found = hits if found is None else found.unionByName(hits)
-    return found
+def _all_spans(docs: DataFrame, built_in: list[Pattern], rules: DataFrame | None, kind: str | None = None) -> DataFrame:
+    patterns, few, table = compiled_rules(rules, kind)
+    found = onepass.all_spans(docs, built_in + patterns, few)
+    return found if table is None else found.unionByName(detect_terms(docs, table).select(*found.columns))
+
+
+def detect_terms(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Spans of a dictionary of any size, a table (entity_type, term), with detector_order
+    where it is not to be 100: places of seeds joined with the terms (``terms``). Of
+    overlapping hits of one term the leftmost stay; rows of ``docs`` that are equal count
+    once."""
+    order = F.col("detector_order").cast("int") if "detector_order" in dictionary.columns else F.lit(100)
+    known = dictionary.where("term <> ''").select("entity_type", "term", order.alias("detector_order")).distinct()
+    hits = terms.term_hits(docs, known)
+    return hits.select("doc_id", "entity_type", "value", "start_at", "end_at", F.lit(1.0).alias("score"), F.lit(CUSTOM).alias("source"), "detector_order")
+
+
+def rule_terms(rules: DataFrame) -> DataFrame:
+    """(entity_type, term, detector_order) of the enabled literal and dictionary rules."""
+    lines = F.filter(F.transform(F.split("pattern", r"\r?\n"), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
+    own = F.when(F.col("kind") == "dictionary", lines).when(F.col("kind") == "literal", F.array("pattern"))
+    return rules.where("enabled").select("entity_type", F.explode(own).alias("term"), (F.col("rule_id") + 100).cast("int").alias("detector_order"))
 
 
 def detect_all(docs: DataFrame, rules: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
     """All detectors in one scan, and spans from outside (detector order 0) where given."""
-    patterns, terms = compiled_rules(rules)
-    spans = onepass.all_spans(docs, BUILT_INS + patterns, terms)
+    spans = _all_spans(docs, BUILT_INS, rules)
     if annotations is not None:
         spans = spans.unionByName(annotations.withColumn("detector_order", F.lit(0)).select("doc_id", *SPAN))
     return spans

@@ -133,9 +133,9 @@ def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish:
     rows = rows.select(*docs.columns, *[pieces(F.col(n)).alias(n) for n in names])
     asked = [F.col(n).isNotNull() for n in names]
     asked += [F.lit(True)] if len(distinct) > MOST_SOUGHT else [F.contains("text", F.lit(t)) for t in sorted(distinct)]
-    touched = F.lit(False) if more is None else more
-    for a in asked:
-        touched = touched | a
+    touched = F.lit(False)
+    for a in asked if more is None else [more, *asked]:
+        touched = touched | F.coalesce(a, F.lit(False))
     finder: list[TermFinder] = []
 
     @F.arrow_udf(kind)
@@ -157,7 +157,7 @@ def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(StructType.fromDDL(f"found {kind}")["found"].dataType)
-    rows = rows.withColumn("_touched", F.coalesce(touched, F.lit(False)))
+    rows = rows.withColumn("_touched", touched)
     result = found(F.when(F.col("_touched"), F.col("text")), *names, *carry)
     return rows.withColumn("found", F.when(F.col("text").isNotNull(), F.when(F.col("_touched"), result).otherwise(empty.cast(kind)))).drop("_touched", *names)
 
@@ -173,14 +173,15 @@ def all_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term]) -> Da
     return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
 
 
-def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most_spans: int = MOST_SPANS, annotated: bool = False) -> DataFrame:
+def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most_spans: int = MOST_SPANS, annotated: bool = False, listed: bool = False) -> DataFrame:
     """``docs`` with found: a struct of the selected spans, which don't overlap, and an error.
     A span is selected after conflicts, if its score is at least ``SELECTED``.
 
     With ``annotated``, docs have the columns ok and spans, of an annotation: a document
     whose annotation is missing or failed, or has a span outside the text, fails; else its
-    spans come first among the candidates. A document fails too where rules add matches
-    beyond ``most_spans`` spans. What fails has no spans.
+    spans come first among the candidates. With ``listed``, the column listed has spans that
+    were found elsewhere (``SPANS``). A document fails too where rules add matches beyond
+    ``most_spans`` spans. What fails has no spans.
     """
 
     def finish(text: str, spans: list[tuple], row: dict) -> dict:
@@ -190,6 +191,9 @@ def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most
                 if not 0 <= s["start_at"] < s["end_at"] <= len(text):
                     return {"spans": [], "error": "SPAN_OUTSIDE"}
                 given.append((s["entity_type"], text[s["start_at"] : s["end_at"]], s["start_at"], s["end_at"], s["score"], s["source"], 0))
+        if listed:
+            found = [tuple(s[f] for f in FIELDS) for s in row["listed"] or []]
+            spans = spans + [s for s in found if text[s[2] : s[3]] == s[1]]
         by_rules = sum(s[6] >= 100 for s in spans)
         if by_rules and len(given) + len(spans) > most_spans:
             return {"spans": [], "error": "TOO_MANY_ENTITIES"}
@@ -198,10 +202,12 @@ def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most
 
     kind, none = f"struct<spans:{SPANS},error:string>", F.lit(None).cast("string")
     outcome = lambda error: F.struct(F.array().cast(SPANS).alias("spans"), error.alias("error")).cast(kind)
+    carry = ["listed"] if listed else []
+    more = F.size("listed") > 0 if listed else F.lit(False)
     if not annotated:
-        return scanned(docs, patterns, terms, finish, kind, outcome(none))
+        return scanned(docs, patterns, terms, finish, kind, outcome(none), carry, more)
     ready = F.coalesce("ok", F.lit(False))
-    rows = scanned(docs.withColumn("_whole", F.col("text")).withColumn("text", F.when(ready, F.col("text"))), patterns, terms, finish, kind, outcome(none), ["spans"], F.size("spans") > 0)
+    rows = scanned(docs.withColumn("_whole", F.col("text")).withColumn("text", F.when(ready, F.col("text"))), patterns, terms, finish, kind, outcome(none), ["spans", *carry], F.coalesce(F.size("spans") > 0, F.lit(False)) | F.coalesce(more, F.lit(False)))
     failed = F.when(~ready & F.col("_whole").isNotNull(), outcome(F.lit("MODELS_NOT_READY"))).otherwise(F.col("found"))
     return rows.withColumn("found", failed).withColumn("text", F.col("_whole")).drop("_whole")
 
@@ -227,13 +233,13 @@ def edited(text: Column, edits: Column, has: Column | None = None) -> Column:
     return F.when(F.coalesce(has, F.lit(False)), apply(F.when(has, text), F.when(has, edits))).otherwise(text)
 
 
-def redacted(docs: DataFrame, patterns: list[Pattern], terms: list[Term], policies: dict[str, str], most_spans: int = MOST_SPANS, annotated: bool = False) -> DataFrame:
+def redacted(docs: DataFrame, patterns: list[Pattern], terms: list[Term], policies: dict[str, str], most_spans: int = MOST_SPANS, annotated: bool = False, listed: bool = False) -> DataFrame:
     """(doc_id, redacted, n_spans, error) of every document: one scan, no shuffle. A text
     that is null, empty or over 8 MiB fails; what fails has no redacted text."""
     size = F.octet_length("text")
     rows = docs.withColumn("_refused", F.when(F.coalesce(size, F.lit(0)) == 0, "EMPTY_TEXT").when(size > MOST_TEXT_BYTES, "TEXT_TOO_LARGE"))
     rows = rows.withColumn("text", F.when(F.col("_refused").isNull(), F.col("text")))
-    rows = kept_spans(rows, patterns, terms, most_spans, annotated)
+    rows = kept_spans(rows, patterns, terms, most_spans, annotated, listed)
     text = edited(F.col("text"), replacements(F.col("found.spans"), policies), F.size("found.spans") > 0)
     out = rows.select("doc_id", text.alias("redacted"), F.coalesce(F.array_size("found.spans"), F.lit(0)).alias("n_spans"), F.coalesce("_refused", "found.error").alias("error"))
     return out.withColumn("redacted", F.when(F.col("error").isNull(), F.col("redacted")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from desense.functions.replacement import default_replacement
 from desense.operators import onepass
-from desense.operators.detect import BUILT_INS, MOST_SPANS, compiled_rules, with_annotations
+from desense.operators.detect import BUILT_INS, MOST_SPANS, compiled_rules, detect_terms, with_annotations
 
 MOST_POLICIES = 1000
 #: Code points of a text that one bucket of offsets holds, for overlaps.
@@ -39,10 +39,13 @@ def redact_texts(docs: DataFrame, rules: DataFrame | None, policies: DataFrame,
     """(doc_id, redacted, n_spans, error): detection, conflicts and redaction of whole
     documents in one scan without a shuffle. Given ``status`` (doc_id, ok) of an annotation
     and its spans, documents whose annotation is missing or failed fail, and no text of
-    theirs comes out; that takes a join by id."""
-    patterns, terms = compiled_rules(rules)
+    theirs comes out; that takes a join by id, as do rules that are too many for a plan."""
+    patterns, few, table = compiled_rules(rules)
     rows = docs.select("doc_id", "text") if status is None else with_annotations(docs, status, annotations)
-    return onepass.redacted(rows, BUILT_INS + patterns, terms, policy_map(policies), most_spans, status is not None)
+    if table is not None:
+        hits = detect_terms(docs, table).groupBy("doc_id").agg(F.collect_list(F.struct(*onepass.FIELDS)).alias("listed"))
+        rows = rows.join(hits, "doc_id", "left")
+    return onepass.redacted(rows, BUILT_INS + patterns, few, policy_map(policies), most_spans, status is not None, table is not None)
 
 
 def redact_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -307,3 +307,43 @@ def test_decisions_without_ids_are_foreign(spark):
     d = s.withColumn("replacement", F.lit("n"))
     assert sorted((str(r.doc_id), r.error) for r in review.decision_errors(s, d).collect()) == [("1", "FOREIGN"), ("None", "FOREIGN")]
     assert {r.replacement for r in review.apply_decisions(s, d).collect()} == {None}
+
+
+def brute_terms(texts, known):
+    found = set()
+    for i, t in texts:
+        for kind, term in known:
+            at = (t or "").find(term)
+            while at >= 0:
+                found.add((i, kind, term, at, at + len(term)))
+                at = t.find(term, at + len(term))
+    return found
+
+
+def test_seed_index_finds_every_term(spark):
+    rnd = random.Random(7)
+    letters = "ab中é😀 "
+    texts = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 400)))) for i in range(60)] + [(60, None), (61, ""), (62, "x" * 500 + "a" * 300)]
+    known = {("T", "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 12)))) for _ in range(300)}
+    known |= {("U", texts[3][1][5:200]), ("U", texts[9][1][:130]), ("T", "aa"), ("U", "aa"), ("T", "a" * 120), ("T", "x" * 300 + "b"), ("T", texts[5][1])}
+    known = {(k, t) for k, t in known if t}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    terms_table = spark.createDataFrame([*known, ("T", ""), ("T", None)], "entity_type string, term string")
+    found = detect.detect_terms(docs, terms_table).collect()
+    got = [(r.doc_id, r.entity_type, r.value, r.start_at, r.end_at) for r in found]
+    assert len(got) == len(set(got)) and set(got) == brute_terms(texts, known)
+    assert detect.detect_terms(docs, terms_table.limit(0)).count() == 0 and detect.detect_terms(docs.limit(0), terms_table).count() == 0
+
+
+def test_rules_beyond_the_plan_are_a_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta 13812345678"), (2, "gamma"), (3, None)], "doc_id long, text string")
+    rules = rule_rows(spark, ("literal", "alpha"), ("dictionary", "beta\r\n gamma \n"), ("regex", "g[a-z]"), *[("literal", f"none {i}") for i in range(20)])
+    policies = policy_rows(spark, (1, "T", "#"))
+    want = sorted(map(tuple, redact.redact_texts(docs, rules, policies).collect()))
+    spans_of = lambda: sorted(map(tuple, detect.detect_all(docs, rules).collect()))
+    few = spans_of()
+    monkeypatch.setattr(detect, "MOST_RULES", 5)
+    assert sorted(map(tuple, redact.redact_texts(docs, rules, policies).collect())) == want and spans_of() == few
+    assert want[0][1] == "# # 138****5678" and want[1][1] == "#"
+    with pytest.raises(ValueError):
+        detect.detect_rules(docs, rule_rows(spark, *[("regex", f"a{i}") for i in range(6)]))
