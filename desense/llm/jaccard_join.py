@@ -98,7 +98,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     del inside, at, values
     hashes = _mix(hashes ^ (lengths.astype(np.uint64) << np.uint64(40)))
     run = np.zeros(len(hashes), np.uint64)
-    for k in range(shingle):
+    for k in range(min(shingle, len(hashes))):
         run[: len(hashes) - k] += _mix(hashes[k:] + _ODD[1]) * np.uint64(2 * (k + 1) * (k + 7) + 1)
     run = _mix(run)
     sets = []

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -221,18 +222,10 @@ def test_pack_rows_of_one_id(spark):
 
 
 def test_pack_query_brute_force(spark):
-    """The whole query: every shard equals best fit on its pieces, and counts are those of
-    the texts."""
+    """The whole query: counts are those of the texts, and every step is a best fit."""
     got = queries.op4_best_fit_packing(spark, SF_DIR).toPandas()
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").toPandas()
-    tokens = {d: queries.token_count_of(t) for d, t in zip(docs.doc_id, docs.text, strict=True)} if hasattr(queries, "token_count_of") else {d: len((t or "").split()) for d, t in zip(docs.doc_id, docs.text, strict=True)}
-    whole = got.groupby("doc_id").piece_tokens.sum().to_dict()
-    assert whole == tokens
-    for _, part in got[got.bin.notna()].groupby("shard"):
-        part = part.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True])
-        bins, lengths, held = packing.best_fit(part.piece_tokens.tolist())
-        assert sorted(Counter(bins).values()) == sorted(part.groupby("bin").size())
-        assert sorted(lengths) == sorted(part.groupby("bin").bin_length.first()) and sorted(held) == sorted(part.groupby("bin").bin_tokens.first())
+    check_packing(got, {d: len((t or "").split()) for d, t in zip(docs.doc_id, docs.text, strict=True)})
 
 
 # --- BPE -------------------------------------------------------------------------------
@@ -558,20 +551,45 @@ def test_token_files(spark, tmp_path):
 # --- pipeline --------------------------------------------------------------------------
 
 
-def test_pipeline_brute_force(spark):
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+@pytest.mark.parametrize("sf_dir", [SF_DIR, "/root/testdata/sf0.01"])
+def test_pipeline_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = written(docs)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, written(stage(spark, kept, SF_DIR))
+        before, kept = kept, written(stage(spark, kept, sf_dir))
         assert kept.columns == docs.columns and kept.exceptAll(before).isEmpty(), name
         if name == "near_duplicates":
-            want = brute_components([(r.doc_id, r.text) for r in before.collect()])
-            assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({c for _, c in want.values()})
-    got = corpus_pipeline.run(spark, SF_DIR).toPandas()
-    sizes = {r.doc_id: len(r.text.split()) for r in kept.collect()}
+            texts = [(r.doc_id, r.text) for r in before.collect()]
+            kept_ids = sorted(r.doc_id for r in kept.select("doc_id").collect())
+            firsts = lambda words, over: sorted({c for _, c in brute.components(texts, words, over, 100).values()})
+            assert kept_ids == firsts(5, 80)
+            if sf_dir != SF_DIR:  # enough documents to tell the stage's parameters from others
+                assert kept_ids != firsts(4, 85) and kept_ids != firsts(5, 85) and kept_ids != firsts(5, 75)
+    got = corpus_pipeline.run(spark, sf_dir).toPandas()
+    check_packing(got, {r.doc_id: len(r.text.split()) for r in kept.collect()})
+
+
+def check_packing(got, sizes):
+    """Of a packing, by what best fit means: every piece goes to the open bin it leaves least
+    room in, and a bin is opened only where no open one has the room."""
     assert got.groupby("doc_id").piece_tokens.sum().to_dict() == sizes
-    held = got.groupby(["shard", "bin"]).agg(t=("piece_tokens", "sum"), c=("bin_length", "first"))
-    assert (held.t <= held.c).all()
+    for _, shard in got[got.bin.notna()].groupby("shard"):
+        shard = shard.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True])
+        held = shard.groupby("bin").piece_tokens.sum()
+        final = shard.groupby("bin").bin_length.first()
+        assert (shard.groupby("bin").bin_tokens.first() == held).all()
+        assert (final == [min(n for n in packing.LENGTHS if n >= h) for h in held]).all()
+        left, room = int(shard.piece_tokens.sum()), {}
+        for size, where, place in zip(shard.piece_tokens.tolist(), shard.bin.tolist(), shard.place.tolist(), strict=True):
+            fitting = [r for r in room.values() if r >= size]
+            if where in room:
+                assert fitting and room[where] == min(fitting)
+            else:
+                assert not fitting and place == 0
+                costs = {n: packing.sequence_cost(n) / min(n, left) for n in packing.LENGTHS if n >= size}
+                room[where] = min(costs, key=lambda n: (costs[n], n))
+            room[where] -= size
+            left -= size
 
 
 def test_near_duplicates_of_five_words_and_four_fifths(spark):
