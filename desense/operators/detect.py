@@ -12,8 +12,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from desense.operators import onepass, terms
 from desense.operators.onepass import MOST_SPANS, Pattern, Term
@@ -31,6 +33,8 @@ BUILT_IN, CUSTOM = "built-in", "custom rule"
 MOST_RULE_BYTES, MOST_TERMS = 64 * 1024, 2000
 #: Rules of a job, and the bytes of a dictionary's terms that one scan looks for.
 MOST_RULES, MOST_DICTIONARY_BYTES = 1000, 32 << 20
+#: Windows of one text that leave a task at a time.
+CHUNKS_AT_ONCE = 4096
 #: Java matches these, the rule language does not allow them.
 REFUSED = r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9k]"
 SPAN = onepass.FIELDS
@@ -165,9 +169,22 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 
 def chunk_text(docs: DataFrame, stride: int = 400, width: int = 450) -> DataFrame:
-    """Overlapping windows: (doc_id, chunk, base_at, text)."""
-    rows = docs.where(F.length("text") > 0).select("doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(stride))).alias("chunk", "base_at"))
-    return rows.select("doc_id", "chunk", "base_at", F.substring("text", F.col("base_at") + 1, F.lit(width)).alias("text"))
+    """Overlapping windows: (doc_id, chunk, base_at, text), cut from a text in one walk.
+    Null and empty texts have none."""
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("chunk int, base_at int, text string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column("text")[i].as_py() or ""
+                for lo in range(0, len(text), stride * CHUNKS_AT_ONCE):
+                    starts = range(lo, min(len(text), lo + stride * CHUNKS_AT_ONCE), stride)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("doc_id").take(pa.array([i] * len(starts))), pa.array([at // stride for at in starts], pa.int32()),
+                        pa.array(list(starts), pa.int32()), pa.array([text[at : at + width] for at in starts]),
+                    ], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def merge_chunk_spans(spans: DataFrame) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from desense.functions.geometry import valid_region
 from desense.functions.replacement import FIXED, GENERIC
 from desense.operators.redact import resolve_replacement
 
 MOST_REPLACEMENT_BYTES = 4096
+#: Cells of a page's grid on each side.
+GRID = 32
 BUILT_IN_TYPES = [*FIXED, "ORGANIZATION", "PHONE", "ID_CARD", "BANK_CARD"]
 
 
@@ -170,20 +177,83 @@ def remove_regions(regions: DataFrame, removals: DataFrame, reviews: DataFrame)
     return left, saved(reviews, good), rows.where("error is not null").select("doc_id", "region_id", "error")
 
 
+class _Lines:
+    """Lines of one document that began, but for those that another with a smaller number
+    outlasts: their numbers rise, and so do their ends."""
+
+    def __init__(self):
+        self.numbers: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, number: int, end: int) -> None:
+        at = bisect_left(self.numbers, number)
+        if at and self.ends[at - 1] >= end:
+            return
+        upto = max(at, bisect_right(self.ends, end))
+        self.numbers[at:upto], self.ends[at:upto] = [number], [end]
+
+    def first(self, end: int) -> int | None:
+        """The smallest number of those that last until ``end``."""
+        at = bisect_left(self.ends, end)
+        return self.numbers[at] if at < len(self.ends) else None
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines and entities sorted by document and start, lines first, the entities with
+    their line."""
+    doc, lines = None, _Lines()
+    for batch in batches:
+        found, rows = [], []
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "_kind", "start_at", "end_at", "line_no")]
+        for i, (d, kind, _, end, number) in enumerate(zip(*columns, strict=True)):
+            if d != doc:
+                doc, lines = d, _Lines()
+            if kind == 0:
+                lines.add(number, end)
+            else:
+                rows.append(i)
+                found.append(lines.first(end))
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("entity_id").take(at), pa.array(found, pa.int32())], names=["doc_id", "entity_id", "line_no"])
+
+
 def first_line_of(entities: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each entity with the first line that holds it fully, null where none does."""
-    held = entities.join(lines.withColumnsRenamed({"start_at": "l_start", "end_at": "l_end"}), "doc_id").where((F.col("start_at") >= F.col("l_start")) & (F.col("end_at") <= F.col("l_end")))
-    first = held.groupBy("doc_id", "entity_id").agg(F.min("line_no").alias("line_no"))
-    return entities.select("doc_id", "entity_id").join(first, ["doc_id", "entity_id"], "left")
-
-
-def best_hit(regions: DataFrame, hits: DataFrame, iou) -> DataFrame:
-    """For each region the hit on its page with the greatest overlap ratio; ties take the
-    last hit; without any overlap the region itself (hit_id null)."""
-    rows = regions.join(hits, ["doc_id", "page"], "left").withColumn("ratio", iou)
-    best = F.max_by(F.struct("hit_id", "ratio"), F.struct("ratio", "hit_id")).alias("b")
-    out = rows.groupBy("doc_id", "page", "region_id").agg(best)
-    return out.select("doc_id", "page", "region_id", F.when(F.col("b.ratio") > 0, F.col("b.hit_id")).alias("hit_id"))
+    """Each entity with the first line that holds it fully, null where none does. One sweep
+    over both by document and start, which never pairs them; an entity with a null end or
+    document has none."""
+    marks = lines.select("doc_id", F.lit(0).alias("_kind"), "start_at", "end_at", F.col("line_no").cast("int").alias("line_no"), F.lit(None).cast(entities.schema["entity_id"].dataType).alias("entity_id"))
+    marks = marks.where("doc_id is not null and start_at is not null and end_at is not null and line_no is not null")
+    own = entities.select("doc_id", F.lit(1).alias("_kind"), "start_at", "end_at", F.lit(None).cast("int").alias("line_no"), "entity_id")
+    placed = F.col("doc_id").isNotNull() & F.col("start_at").isNotNull() & F.col("end_at").isNotNull()
+    rows = marks.unionByName(own.where(placed)).repartition("doc_id").sortWithinPartitions("doc_id", "start_at", "_kind")
+    schema = StructType([entities.schema["doc_id"], entities.schema["entity_id"], StructField("line_no", IntegerType())])
+    return rows.mapInArrow(_swept, schema).unionByName(own.where(~placed).select("doc_id", "entity_id", "line_no"))
+
+
+def best_hit(regions: DataFrame, hits: DataFrame, iou: Column, region_box: tuple, hit_box: tuple) -> DataFrame:
+    """For each region the hit of its text on its page with the greatest overlap ratio; ties
+    take the last hit; without any overlap, or for a region without text, the region itself
+    (hit_id null).
+
+    ``region_box`` and ``hit_box`` are columns (x0, y0, x1, y1) in parts of a page. Both
+    sides are dealt to the cells of a grid that they touch, and a pair counts in the first
+    cell they have in common, so what lies apart on a page does not meet.
+    """
+    cell = lambda v: F.least(F.greatest(F.floor(v * GRID), F.lit(0)), F.lit(GRID - 1)).cast("int")
+    across = lambda a, b: F.sequence(cell(a), F.greatest(cell(a), cell(b)))
+
+    def dealt(df: DataFrame, box: tuple) -> DataFrame:
+        df = df.where(box[0].isNotNull() & box[1].isNotNull() & box[2].isNotNull() & box[3].isNotNull())
+        df = df.withColumns({"_x": F.explode(across(box[0], box[2]))})
+        return df.withColumn("_y", F.explode(across(box[1], box[3])))
+
+    key = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    own = dealt(regions.where(F.coalesce(key, F.lit("")) != "").withColumn("_text", key), region_box)
+    met = own.join(dealt(hits.withColumn("_text", key).drop("text"), hit_box), ["doc_id", "page", "_text", "_x", "_y"])
+    once = (F.col("_x") == F.greatest(cell(region_box[0]), cell(hit_box[0]))) & (F.col("_y") == F.greatest(cell(region_box[1]), cell(hit_box[1])))
+    met = met.where(once).withColumn("ratio", iou).where("ratio > 0")
+    best = met.groupBy("doc_id", "page", "region_id").agg(F.max_by("hit_id", F.struct("ratio", "hit_id")).alias("hit_id"))
+    return regions.select("doc_id", "page", "region_id").join(best, ["doc_id", "page", "region_id"], "left")
 
 
 def reading_order(lines: DataFrame) -> DataFrame:

@@ -299,11 +299,24 @@ def iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", "line_id", "hit_id", F.round(_iou(), 9).alias("ratio"))
 
 
-@query("region_best_hit", f"""WITH {_HITS}, r AS (SELECT l.doc_id, l.page, line_id AS region_id, hit_id, {_IOU} AS ratio FROM lines l LEFT JOIN hits h ON h.doc_id = l.doc_id AND h.page = l.page)
+#: Places where texts were found: some lines, some of them twice, some under another text.
+_FOUND = """hits AS (SELECT doc_id, page, line_id * 2 + twice AS hit_id, CASE WHEN line_id % 5 = 2 THEN 'other' ELSE ' ' || text END AS text, x0 + 0.002 * line_id + 0.003 * twice AS hx0, y0 AS hy0, x1 + 0.002 * line_id + 0.003 * twice AS hx1, y1 AS hy1
+  FROM lines CROSS JOIN (VALUES (0), (1)) t(twice) WHERE line_id % 3 <> 0 AND (twice = 0 OR line_id % 2 = 0))"""
+_KEY = r"regexp_replace({}.text, '^\s+|\s+$', '', 'g')"
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = load(spark, sf_dir, "lines").where("line_id % 3 <> 0").withColumn("twice", F.explode(F.when(F.col("line_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    by = F.lit(0.002) * F.col("line_id") + F.lit(0.003) * F.col("twice")
+    text = F.when(F.col("line_id") % 5 == 2, "other").otherwise(F.concat(F.lit(" "), "text"))
+    return h.select("doc_id", "page", (F.col("line_id") * 2 + F.col("twice")).alias("hit_id"), text.alias("text"), (F.col("x0") + by).alias("hx0"), F.col("y0").alias("hy0"), (F.col("x1") + by).alias("hx1"), F.col("y1").alias("hy1"))
+
+
+@query("region_best_hit", f"""WITH {_FOUND}, r AS (SELECT l.doc_id, l.page, line_id AS region_id, hit_id, {_IOU} AS ratio FROM lines l LEFT JOIN hits h ON h.doc_id = l.doc_id AND h.page = l.page AND {_KEY.format('h')} = {_KEY.format('l')} AND {_KEY.format('l')} <> '')
 SELECT doc_id, page, region_id, CASE WHEN max(ratio) > 0 THEN arg_max(hit_id, (ratio, hit_id)) END AS hit_id FROM r GROUP BY ALL""", "lines")
 def region_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = load(spark, sf_dir, "lines").withColumnRenamed("line_id", "region_id")
-    return review.best_hit(regions, _hits(spark, sf_dir), _iou())
+    return review.best_hit(regions, _found(spark, sf_dir), _iou(), tuple(F.col(c) for c in _BOX), tuple(F.col(f"h{c}") for c in _BOX))
 
 
 @query("validate_regions", "SELECT doc_id, region_id, page < 1 AND least(x0, y0, x1, y1) >= 0 AND greatest(x0, y0, x1, y1) <= 1 AND abs(2 * (x1 - x0) * (y1 - y0)) >= 1e-8 AS valid FROM regions", "regions")
@@ -468,10 +481,13 @@ def storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("parts"))
 
 
+_WORDS = ", ".join(f"coalesce(sum(('0x' || substring(sha256(text), {8 * k + 1}, 8))::BIGINT), 0)::BIGINT" for k in range(8))
+
+
 @query("acceptance_summary", f"""WITH c AS (SELECT doc_id, entity_type, count(*) AS n FROM spans GROUP BY ALL), p AS (SELECT doc_id, max(page) + 1 AS pages FROM lines GROUP BY 1),
 d AS (SELECT t.doc_id, o_orderpriority AS source, CASE WHEN t.doc_id % 2 = 0 THEN 'safe' ELSE 'fidelity' END AS mode, text, coalesce(pages, 0) AS pages, t.doc_id % 1000 AS elapsed_ms FROM span_texts t JOIN orders ON o_orderkey = t.doc_id LEFT JOIN p ON p.doc_id = t.doc_id),
 e AS (SELECT source, mode, '{{' || string_agg('"' || entity_type || '":' || n, ',' ORDER BY entity_type) || '}}' AS entities FROM (SELECT source, mode, entity_type, sum(n)::BIGINT AS n FROM d JOIN c ON c.doc_id = d.doc_id GROUP BY ALL) GROUP BY ALL)
-SELECT d.source, d.mode, count(*) AS docs, sum(pages)::BIGINT AS pages, any_value(entities) AS entities, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS output_hash, sum(strlen(text))::BIGINT AS output_bytes, sum(elapsed_ms)::BIGINT AS elapsed_ms
+SELECT d.source, d.mode, count(*) AS docs, sum(pages)::BIGINT AS pages, any_value(entities) AS entities, sha256(concat_ws(',', count(text), {_WORDS})) AS output_hash, sum(strlen(text))::BIGINT AS output_bytes, sum(elapsed_ms)::BIGINT AS elapsed_ms
 FROM d LEFT JOIN e ON e.source = d.source AND e.mode = d.mode GROUP BY ALL""", "spans", "span_texts", "lines")
 def acceptance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("source"))

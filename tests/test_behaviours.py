@@ -10,7 +10,8 @@ import pytest
 from compare import SF_DIR
 from pyspark.sql import functions as F
 
-from desense.operators import detect, onepass, redact, review, sequence, spans, tasks, vault
+from desense.functions import geometry
+from desense.operators import audit, detect, onepass, redact, review, sequence, spans, tasks, vault
 from desense.sources import encodings, sinks
 from desense.streaming import jobs
 
@@ -347,3 +348,59 @@ def test_rules_beyond_the_plan_are_a_table(spark, monkeypatch):
     assert want[0][1] == "# # 138****5678" and want[1][1] == "#"
     with pytest.raises(ValueError):
         detect.detect_rules(docs, rule_rows(spark, *[("regex", f"a{i}") for i in range(6)]))
+
+
+def test_long_texts_are_cut_in_one_walk(spark):
+    docs = spark.createDataFrame([(1, "ab😀" * 2_000_000), (2, None), (3, ""), (4, "x" * 401)], "doc_id long, text string").repartition(1)
+    began = time.time()
+    found = detect.chunk_text(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size")).collect()
+    assert {r.doc_id: (r.n, r.size) for r in found} == {1: (15_000, 15_000 * 450 - 50), 4: (2, 402)}
+    marks = spark.createDataFrame([(1, "T", 3 * i, 3 * i + 2) for i in range(1000)], "doc_id long, entity_type string, start_at int, end_at int")
+    parts = redact.redact_segments(docs.where("doc_id <> 4"), marks).collect()
+    assert "".join(r.text for r in sorted(parts, key=lambda r: r.seg_start)) == "ab😀" * 2_000_000 and len(parts) == 2000
+    assert time.time() - began < 60
+
+
+def test_first_line_of_many(spark):
+    rnd = random.Random(2)
+    lines = [(d, n, a := rnd.randrange(60), a + rnd.randrange(25)) for d in range(6) for n in range(30)]
+    entities = [(d, f"e{i}", a := rnd.randrange(60), a + rnd.randrange(12)) for d in range(7) for i in range(60)] + [(1, "none", None, 3), (None, "x", 1, 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    got = review.first_line_of(spark.createDataFrame(entities, "doc_id long, entity_id string, start_at int, end_at int"), spark.createDataFrame(lines, "doc_id long, line_no int, start_at int, end_at int")).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(d, e): min((n for ld, n, x, y in lines if None not in (d, a) and ld == d and x <= a and b <= y), default=None) for d, e, a, b in entities}
+    assert {(r.doc_id, r.entity_id): r.line_no for r in got} == want and len(got) == len(entities)
+
+
+def test_lines_of_a_long_document_are_swept(spark):
+    began = time.time()
+    marks = spark.range(100_000)
+    lines = marks.select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line_no"), (F.col("id") * 10).cast("int").alias("start_at"), (F.col("id") * 10 + 10).cast("int").alias("end_at"))
+    own = marks.select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("entity_id"), (F.col("id") * 10 + 3).cast("int").alias("start_at"), (F.col("id") * 10 + 7).cast("int").alias("end_at"))
+    assert review.first_line_of(own, lines).where("cast(entity_id as int) = line_no").count() == 100_000
+    assert time.time() - began < 30
+
+
+def test_hits_of_a_crowded_page(spark):
+    began, rnd = time.time(), random.Random(3)
+    box = lambda: (x := rnd.random(), y := rnd.random(), x + rnd.random() / 50, y + rnd.random() / 50)
+    hits = [(1, 0, i, rnd.choice("ab"), *box()) for i in range(20_000)]
+    regions = [(1, 0, i, rnd.choice(["a ", "b", "c", " ", None]), *box()) for i in range(200)] + [(1, 0, 999, "a", 0.0, 0.0, 1.0, 1.0)]
+    h = spark.createDataFrame(hits, "doc_id long, page int, hit_id int, text string, hx0 double, hy0 double, hx1 double, hy1 double")
+    r = spark.createDataFrame(regions, "doc_id long, page int, region_id int, text string, x0 double, y0 double, x1 double, y1 double")
+    boxes = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"h{c}") for c in ("x0", "y0", "x1", "y1"))
+    got = {x.region_id: x.hit_id for x in review.best_hit(r, h, geometry.overlap_ratio(*boxes), *boxes).collect()}
+
+    def ratio(a, b):
+        w, t = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0), max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+        return w * t / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * t)
+
+    for _, _, i, text, *own in regions:
+        best = max(((ratio(own, x[4:]), x[2]) for x in hits if text and x[3] == text.strip()), default=(0, None))
+        assert got[i] == (best[1] if best[0] > 0 else None)
+    assert time.time() - began < 60
+
+
+def test_digest_of_texts_is_one_of_a_multiset(spark):
+    of = lambda *t: spark.createDataFrame([(x,) for x in t], "text string").repartition(3).agg(audit.text_digest(F.col("text"))).first()[0]
+    assert of("a", "b", "b", None) == of("b", "a", "b") != of("a", "b") and of("ab") != of("a", "b") and len({of("a", "a"), of("a"), of(None)}) == 3
