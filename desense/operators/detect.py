@@ -38,6 +38,8 @@ CHUNKS_AT_ONCE = 4096
 #: Java matches these, the rule language does not allow them.
 REFUSED = r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9k]"
 SPAN = onepass.FIELDS
+#: Spans of an annotation of a document.
+ANNOTATION = "array<struct<entity_type:string,start_at:int,end_at:int,score:double,source:string>>"
 BUILT_INS = [Pattern(t, LINEAR.get(t, p), score, BUILT_IN, i + 1, beside, "@" if t == "EMAIL" else "") for i, (t, p, score, beside) in enumerate(PATTERNS)]
 _LINES = re.compile(r"\r?\n")
 
@@ -132,21 +134,65 @@ def require_annotations(docs: DataFrame, status: DataFrame) -> tuple[DataFrame,
     return docs.join(good, "doc_id", "left_semi"), docs.join(good, "doc_id", "left_anti").withColumn("error", F.lit("MODELS_NOT_READY"))
 
 
-def register_detector(docs: DataFrame, detector: Callable, order: int = 0) -> DataFrame:
-    """Spans of a user's detector, a function on iterators of pandas frames: (doc_id, text)
-    in, (doc_id, entity_type, start_at, end_at, score) out, for the rows of one frame in
-    one. If it raises, the job fails."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def with_detector(docs: DataFrame, detector: Callable) -> DataFrame:
+    """``docs`` (doc_id, text) with ok and spans, as an annotation has them, of a user's
+    detector: a function on iterators of pandas frames, (doc_id, text) in, (doc_id,
+    entity_type, start_at, end_at, score) out, for the rows of one frame in one.
+
+    It fails by document: where it raises on a frame, or gives out what is no span of it, the
+    halves of the frame are tried, and a row that fails alone is not ok. Rows are
+    told apart by their place, whatever their ids; the detector sees places as ids.
+    """
+    schema = StructType([*docs.select("doc_id", "text").schema.fields, *StructType.fromDDL(f"ok boolean, spans {ANNOTATION}, failure string").fields])
+
+    def tried(frame: pd.DataFrame) -> dict[int, list[dict]]:
+        texts, found = dict(zip(frame["doc_id"], frame["text"], strict=True)), {}
+        for hits in detector(iter([frame])):
+            for r in hits.to_dict("records"):
+                text, a, b = texts[r["doc_id"]], int(r["start_at"]), int(r["end_at"])
+                if not (0 <= a < b <= len(text) and 0 <= float(r["score"]) <= 1 and isinstance(r["entity_type"], str)):
+                    raise ValueError(f"no span of its text: {a} to {b}, score {r['score']}")
+                found.setdefault(r["doc_id"], []).append({"entity_type": r["entity_type"], "start_at": a, "end_at": b, "score": float(r["score"]), "source": "model"})
+        return found
+
+    def judged(frame: pd.DataFrame) -> Iterator[tuple]:
+        """(place, spans, failure) of every row."""
+        try:
+            found = tried(frame.copy())
+            yield from ((p, found.get(p, []), None) for p in frame["doc_id"])
+        except Exception as failure:  # noqa: BLE001  whatever a user's code raises
+            if len(frame) == 1:
+                yield frame["doc_id"].iloc[0], None, f"{type(failure).__name__}: {failure}"[:500]
+            else:
+                half = len(frame) // 2
+                yield from judged(frame.iloc[:half])
+                yield from judged(frame.iloc[half:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            own = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+            own = own[own["text"].notna()]
+            out = {p: (s, f) for p, s, f in (judged(own) if len(own) else ())}
+            spans = [out.get(p, ([], None))[0] for p in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns, pa.array([s is not None for s in spans]), pa.array([s or [] for s in spans], span_type), pa.array([out.get(p, ([], None))[1] for p in range(len(texts))], pa.string()),
+            ], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    span_type = to_arrow_type(schema["spans"].dataType)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = dict(zip(frame["doc_id"], frame["text"], strict=True))
-            for hits in detector(iter([frame])):
-                value = [texts[d][a:b] for d, a, b in zip(hits["doc_id"], hits["start_at"], hits["end_at"], strict=True)]
-                yield hits.assign(value=value)[["doc_id", "entity_type", "value", "start_at", "end_at", "score"]]
 
-    found = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, entity_type string, value string, start_at int, end_at int, score double")
-    return found.select("*", F.lit("model").alias("source"), F.lit(order).alias("detector_order"))
+def register_detector(docs: DataFrame, detector: Callable, order: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Spans of a user's detector (``with_detector``), and the documents (doc_id, error,
+    failure) on which it failed, which have no spans."""
+    judged = with_detector(docs, detector)
+    found = judged.where("ok").select("doc_id", "text", F.explode("spans").alias("s"))
+    value = F.substring("text", F.col("s.start_at") + 1, F.col("s.end_at") - F.col("s.start_at"))
+    found = found.select("doc_id", "s.entity_type", value.alias("value"), "s.start_at", "s.end_at", "s.score", "s.source", F.lit(order).alias("detector_order"))
+    return found, judged.where("not ok").select("doc_id", F.lit("MODELS_NOT_READY").alias("error"), "failure")
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:

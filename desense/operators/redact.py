@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from desense.functions.replacement import default_replacement
 from desense.operators import onepass
-from desense.operators.detect import BUILT_INS, MOST_SPANS, compiled_rules, detect_terms, with_annotations
+from desense.operators.detect import BUILT_INS, MOST_SPANS, compiled_rules, detect_terms, with_annotations, with_detector
 
 MOST_POLICIES = 1000
 #: Code points of a text that one bucket of offsets holds, for overlaps.
@@ -39,17 +39,24 @@ def policy_map(policies: DataFrame) -> dict[str, str]:
     return {r["entity_type"]: r["replacement"] for r in rows if r["replacement"] is not None}
 
 
-def redact_texts(docs: DataFrame, rules: DataFrame | None, policies: DataFrame, most_spans: int = MOST_SPANS, status: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
+def redact_texts(docs: DataFrame, rules: DataFrame | None, policies: DataFrame, most_spans: int = MOST_SPANS, status: DataFrame | None = None, annotations: DataFrame | None = None, detector: Callable | None = None) -> DataFrame:
     """(doc_id, redacted, n_spans, error): detection, conflicts and redaction of whole
-    documents in one scan without a shuffle. Given ``status`` (doc_id, ok) of an annotation
+    documents in one scan without a shuffle. A user's ``detector`` (``with_detector``) adds
+    its spans on the way; a document on which it fails fails alone. Or given ``status`` (doc_id, ok) of an annotation
     and its spans, documents whose annotation is missing or failed fail, and no text of
     theirs comes out; that takes a join by id, as do rules that are too many for a plan."""
     patterns, few, table = compiled_rules(rules)
-    rows = docs.select("doc_id", "text") if status is None else with_annotations(docs, status, annotations)
+    if detector is not None and status is not None:
+        raise ValueError("a detector or an annotation, not both")
+    rows = docs.select("doc_id", "text")
+    if detector is not None:
+        rows = with_detector(rows, detector).drop("failure")
+    elif status is not None:
+        rows = with_annotations(docs, status, annotations)
     if table is not None:
         hits = detect_terms(docs, table).groupBy("doc_id").agg(F.collect_list(F.struct(*onepass.FIELDS)).alias("listed"))
         rows = rows.join(hits, "doc_id", "left")
-    return onepass.redacted(rows, BUILT_INS + patterns, few, policy_map(policies), most_spans, status is not None, table is not None)
+    return onepass.redacted(rows, BUILT_INS + patterns, few, policy_map(policies), most_spans, status is not None or detector is not None, table is not None)
 
 
 def redact_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -210,25 +210,25 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: An annotation of some contacts, which is too unsure of some.
-_NAMED = "SELECT doc_id, 'PERSON' AS entity_type, substring(text, 3, 18) AS value, 2 AS start_at, 20 AS end_at, CASE WHEN doc_id % 3 = 0 THEN 0.1 ELSE 0.9 END::DOUBLE AS score, 'model' AS source, 0 AS detector_order FROM contacts WHERE doc_id % 2 = 0"
+NAMED = "SELECT doc_id, 'PERSON' AS entity_type, substring(text, 3, 18) AS value, 2 AS start_at, 20 AS end_at, CASE WHEN doc_id % 3 = 0 THEN 0.1 ELSE 0.9 END::DOUBLE AS score, 'model' AS source, 0 AS detector_order FROM contacts WHERE doc_id % 2 = 0"
 _MOST = 4
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("doc_id") % 3 == 0, 0.1).otherwise(0.9)
     return load(spark, sf_dir, "contacts").where("doc_id % 2 = 0").select("doc_id", F.lit("PERSON").alias("entity_type"), F.substring("text", 3, 18).alias("value"), F.lit(2).alias("start_at"), F.lit(20).alias("end_at"), score.alias("score"), F.lit("model").alias("source"))
 
 
-@query("redact_contacts", f"""WITH RECURSIVE {detected_sql('contacts', out='found')}, det AS (SELECT {SPAN_OUT} FROM found UNION ALL {_NAMED}), ident AS ({IDENTIFIED}), {resolved_sql('ident')}, {REPLACED}, {redacted_sql('contacts', 'rep')}
+@query("redact_contacts", f"""WITH RECURSIVE {detected_sql('contacts', out='found')}, det AS (SELECT {SPAN_OUT} FROM found UNION ALL {NAMED}), ident AS ({IDENTIFIED}), {resolved_sql('ident')}, {REPLACED}, {redacted_sql('contacts', 'rep')}
 SELECT doc_id, redacted, n_spans FROM red""", "contacts", "rules", "policies")
 def redact_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From spans in a table: detection, annotations, conflicts, selection, replacements and
     texts joined by id."""
-    docs, found = resolved_contacts(spark, sf_dir, _named(spark, sf_dir))
+    docs, found = resolved_contacts(spark, sf_dir, named(spark, sf_dir))
     return redact.redact_documents(docs, found).select("doc_id", "redacted", "n_spans")
 
 
-@query("redact_fail_closed", f"""WITH RECURSIVE {detected_sql('contacts', out='found')}, det AS (SELECT {SPAN_OUT} FROM found UNION ALL {_NAMED}), ident AS ({IDENTIFIED}), {resolved_sql('ident')}, {REPLACED}, {redacted_sql('contacts', 'rep')},
+@query("redact_fail_closed", f"""WITH RECURSIVE {detected_sql('contacts', out='found')}, det AS (SELECT {SPAN_OUT} FROM found UNION ALL {NAMED}), ident AS ({IDENTIFIED}), {resolved_sql('ident')}, {REPLACED}, {redacted_sql('contacts', 'rep')},
 n AS (SELECT doc_id, count(*) AS n FROM det GROUP BY 1),
 o AS (SELECT red.*, CASE WHEN red.doc_id % 7 IN (3, 5) THEN 'MODELS_NOT_READY' WHEN n > {_MOST} THEN 'TOO_MANY_ENTITIES' END AS error FROM red JOIN n ON n.doc_id = red.doc_id)
 SELECT doc_id, CASE WHEN error IS NULL THEN redacted END AS redacted, CASE WHEN error IS NULL THEN n_spans ELSE 0 END AS n_spans, error FROM o""", "contacts", "rules", "policies")
@@ -237,7 +237,7 @@ def redact_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     some have more spans than are allowed. None of these has a redacted text."""
     docs = load(spark, sf_dir, "contacts")
     status = docs.where("doc_id % 7 <> 5").select("doc_id", (F.col("doc_id") % 7 != 3).alias("ok"))
-    return redact.redact_texts(docs, load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies"), _MOST, status, _named(spark, sf_dir))
+    return redact.redact_texts(docs, load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies"), _MOST, status, named(spark, sf_dir))
 
 
 @query("redact_overlap_error", """WITH o AS (SELECT doc_id, bool_or(start_at < prev) AS bad, count(*)::INTEGER AS n FROM (SELECT *, lag(end_at) OVER (PARTITION BY doc_id ORDER BY start_at, end_at) AS prev FROM spans) GROUP BY doc_id)

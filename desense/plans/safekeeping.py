@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from desense.operators import detect, redact, vault
-from desense.plans.masking import full_sql, resolved_contacts
+from desense.operators import detect, redact, tasks, vault
+from desense.plans.masking import IDENTIFIED, NAMED, REPLACED, SPAN_OUT, detected_sql, full_sql, named, redacted_sql, resolved_contacts, resolved_sql
 from desense.sources import encodings, sinks
 from desense.sources.inputs import load, oracle, workspace
+from desense.sources.store import Store
 from desense.streaming import jobs
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 KEY = b"0123456789abcdef0123456789abcdef"
-CARD = [("BANK_CARD", "[0-9]{16}"), ("IPV4", "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}")]
 
 
 def query(name: str, sql: str | None = None, *inputs: str):
@@ -125,18 +125,75 @@ def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def _row_policies(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    return {r["entity_type"]: r["replacement"] for r in load(spark, sf_dir, "policies").collect()}
+@query("stream_redact", full_sql("contacts") + " SELECT doc_id, redacted, n_spans, NULL::VARCHAR AS error FROM red", "contacts", "rules", "policies")
+def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch's rules on a stream."""
+    docs = _stream(spark, load(spark, sf_dir, "contacts"))
+    return _drained(jobs.stream_redact(docs, load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies")), "append")
 
 
-_TWO_RULES = "rules AS (SELECT * FROM (VALUES (1, 'card', 'BANK_CARD', 'regex', '[0-9]{16}', true), (2, 'address', 'IPV4', 'regex', '" + CARD[1][1] + "', true)) v(rule_id, name, entity_type, kind, pattern, enabled))"
-_STREAM_SQL = full_sql("contacts").replace("WITH RECURSIVE ", f"WITH RECURSIVE {_TWO_RULES}, ")
+def _in_steps(spark: SparkSession, path: str, rows: DataFrame, ts: str, first: int, last: int, steps: int = 4) -> DataFrame:
+    """Rows of the given steps of time, written one after another below ``path``, as a file
+    stream that reads them in that order."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = [float("-inf"), *rows.select(at.alias("us")).approxQuantile("us", [i / steps for i in range(1, steps)], 0.001), float("inf")]
+    for lo, hi in list(zip(cuts, cuts[1:], strict=False))[first:last]:
+        rows.where((at > lo) & (at <= hi)).repartition(2).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("stream_redact", _STREAM_SQL + " SELECT doc_id, redacted FROM red", "contacts", "policies")
-def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _stream(spark, load(spark, sf_dir, "contacts"))
-    return _drained(jobs.stream_redact(docs, CARD, _row_policies(spark, sf_dir)), "append")
+def _into(stream: DataFrame, sink, path: str) -> None:
+    """Run a stream into a sink of micro-batches, from its checkpoint on."""
+    stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stream_live_jobs", f"""WITH snap AS (SELECT job_id, arg_max(state, seq) AS state, max(seq)::BIGINT AS seq, min(CASE WHEN state IN {tuple(tasks.TERMINAL)} THEN ts END) AS finished_at FROM state_log GROUP BY 1)
+SELECT job_id, state, seq FROM snap WHERE finished_at IS NULL UNION ALL (SELECT job_id, state, seq FROM snap WHERE finished_at IS NOT NULL ORDER BY finished_at DESC, job_id DESC LIMIT 20)""", "state_log")
+def stream_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs kept by the stream over several micro-batches and a restart half way; nothing is
+    late, and finished jobs are held, so they equal the log's."""
+    path = workspace(spark)
+    store, log = Store(spark, f"{path}-jobs"), load(spark, sf_dir, "state_log")
+    for first, last in ((0, 2), (2, 4)):
+        updates = _in_steps(spark, path, log, "ts", first, last)
+        _into(jobs.live_jobs(updates, "36500 days"), jobs.upsert_jobs(store, 20), path)
+    return store.read("jobs").select("job_id", "state", "seq")
+
+
+@query("stream_live_progress", """SELECT batch_id, count_if(state = 'completed')::BIGINT AS done, count(*) AS total, sum(CASE state WHEN 'completed' THEN 100 WHEN 'awaiting_review' THEN 55 ELSE 0 END)::BIGINT AS percent_sum FROM batch_items GROUP BY 1""", "batch_items")
+def stream_live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of batches whose items come in several micro-batches, with a restart; every
+    item was analyzing before."""
+    path = workspace(spark)
+    store, items = Store(spark, f"{path}-progress"), load(spark, sf_dir, "batch_items")
+    rows = items.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy("batch_id"))).select("batch_id", "idx", "items", F.explode(F.array(F.struct(F.lit("analyzing").alias("state"), F.lit(0).alias("at")), F.struct(F.col("state"), F.lit(50).alias("at")))).alias("s"))
+    rows = rows.select("batch_id", "idx", "items", "s.state", F.timestamp_seconds(F.col("s.at") + F.col("idx")).alias("ts"))
+    for first, last in ((0, 1), (1, 4)):
+        updates = _in_steps(spark, path, rows, "ts", first, last)
+        _into(jobs.live_progress(updates, "36500 days"), jobs.upsert_progress(store), path)
+    return store.read("progress")
+
+
+_WAITED = "doc_id % 7 IN (3, 5) OR doc_id % 11 = 6"
+
+
+@query("stream_redact_annotated", f"""WITH RECURSIVE {detected_sql('contacts', out='found')}, det AS (SELECT {SPAN_OUT} FROM found UNION ALL {NAMED}), ident AS ({IDENTIFIED}), {resolved_sql('ident')}, {REPLACED}, {redacted_sql('contacts', 'rep')}
+SELECT doc_id, CASE WHEN {_WAITED} THEN NULL ELSE redacted END AS redacted, CASE WHEN {_WAITED} THEN 0 ELSE n_spans END::INTEGER AS n_spans, CASE WHEN {_WAITED} THEN 'MODELS_NOT_READY' END AS error FROM red""", "contacts", "rules", "policies")
+def stream_redact_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and annotations as two streams: some annotations failed, some are missing,
+    some come half an hour late, and some twice."""
+    docs = load(spark, sf_dir, "contacts").withColumn("arrived_at", F.timestamp_seconds(F.col("doc_id") * 10 + 10**9))
+    late = F.when(F.col("doc_id") % 11 == 6, 1800).otherwise(F.col("doc_id") % 60)
+    spans = named(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "start_at", "end_at", "score", "source")).cast(detect.ANNOTATION).alias("spans"))
+    notes = docs.where("doc_id % 7 <> 5").join(spans, "doc_id", "left").select("doc_id", (F.col("doc_id") % 7 != 3).alias("ok"), "spans", F.timestamp_seconds(F.col("doc_id") * 10 + late + 10**9).alias("annotated_at"))
+    notes = notes.withColumn("n", F.explode(F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("n")
+    # a last row of each stream, after all others, so that all are waited for to the end
+    end = docs.agg((F.max("doc_id") * 10 + 10**9 + 10**6).alias("end")).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("end").alias("text"), F.timestamp_seconds("end").alias("at"))
+    docs = docs.unionByName(end.withColumnRenamed("at", "arrived_at"))
+    notes = notes.unionByName(end.select("doc_id", F.lit(True).alias("ok"), F.lit(None).cast(detect.ANNOTATION).alias("spans"), F.col("at").alias("annotated_at")))
+    path = workspace(spark)
+    a, b = _in_steps(spark, f"{path}-d", docs, "arrived_at", 0, 4), _in_steps(spark, f"{path}-n", notes, "annotated_at", 0, 4)
+    return _drained(jobs.stream_redact_annotated(a, b, load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies")), "append").where("doc_id >= 0")
 
 
 @query("stream_job_status", "SELECT job_id, arg_max(state, seq) AS state, max(seq) AS seq FROM state_log GROUP BY 1", "state_log")
@@ -149,25 +206,43 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(jobs.stream_progress(_stream(spark, load(spark, sf_dir, "batch_items"))), "complete")
 
 
-@query("stream_entity_counts", _STREAM_SQL + " SELECT entity_type, count(*) AS n FROM det GROUP BY 1", "contacts", "policies")
+@query("stream_entity_counts", f"WITH {detected_sql('contacts')} SELECT entity_type, count(*) AS n FROM det GROUP BY 1", "contacts", "rules")
 def stream_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(jobs.stream_entity_counts(_stream(spark, load(spark, sf_dir, "contacts")), CARD), "complete")
+    return _drained(jobs.stream_entity_counts(_stream(spark, load(spark, sf_dir, "contacts")), load(spark, sf_dir, "rules")), "complete")
 
 
 def _name_detector(frames):
-    """A user's detector: the eighteen characters of a customer's name."""
+    """A user's detector: the eighteen characters of a customer's name. It can't stand a
+    smile."""
     import pandas as pd
 
     for f in frames:
+        if f["text"].str.contains("😀").any():
+            raise RuntimeError("no smiles")
         at = f["text"].str.find("Customer#")
         hit = f[at >= 0]
         start = at[at >= 0].astype("int32")
         yield pd.DataFrame({"doc_id": hit["doc_id"], "entity_type": "PERSON", "start_at": start, "end_at": start + 18, "score": 0.8})
 
 
-@query("register_detector", "SELECT doc_id, 'PERSON' AS entity_type, substring(text, strpos(text, 'Customer#'), 18) AS value, (strpos(text, 'Customer#') - 1)::INTEGER AS start_at, (strpos(text, 'Customer#') + 17)::INTEGER AS end_at, 0.8::DOUBLE AS score, 'model' AS source, 0::INTEGER AS detector_order FROM contacts WHERE contains(text, 'Customer#')", "contacts")
+_MODEL = "SELECT doc_id, 'PERSON' AS entity_type, substring(text, strpos(text, 'Customer#'), 18) AS value, (strpos(text, 'Customer#') - 1)::INTEGER AS start_at, (strpos(text, 'Customer#') + 17)::INTEGER AS end_at, 0.8::DOUBLE AS score, 'model' AS source, 0::INTEGER AS detector_order FROM contacts WHERE contains(text, 'Customer#') AND NOT contains(text, '😀')"
+
+
+@query("register_detector", _MODEL, "contacts")
 def register_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.register_detector(load(spark, sf_dir, "contacts"), _name_detector)
+    return detect.register_detector(load(spark, sf_dir, "contacts"), _name_detector)[0]
+
+
+@query("detector_failures", "SELECT doc_id, 'MODELS_NOT_READY' AS error, 'RuntimeError: no smiles' AS failure FROM contacts WHERE contains(text, '😀')", "contacts")
+def detector_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.register_detector(load(spark, sf_dir, "contacts"), _name_detector)[1]
+
+
+@query("redact_with_detector", f"""WITH RECURSIVE {detected_sql('contacts', out='found')}, det AS (SELECT {SPAN_OUT} FROM found UNION ALL {_MODEL}), ident AS ({IDENTIFIED}), {resolved_sql('ident')}, {REPLACED}, {redacted_sql('contacts', 'rep')}
+SELECT red.doc_id, CASE WHEN contains(text, '😀') THEN NULL ELSE redacted END AS redacted, CASE WHEN contains(text, '😀') THEN 0 ELSE n_spans END::INTEGER AS n_spans, CASE WHEN contains(text, '😀') THEN 'MODELS_NOT_READY' END AS error FROM red JOIN contacts c ON c.doc_id = red.doc_id""", "contacts", "rules", "policies")
+def redact_with_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's detector in the redaction's pass; where it raises, that document fails."""
+    return redact.redact_texts(load(spark, sf_dir, "contacts"), load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies"), detector=_name_detector)
 
 
 @query("validate_rules", """SELECT p_partkey AS rule_id, CASE p_partkey % 6 WHEN 1 THEN 'BLANK' WHEN 2 THEN 'REFUSED_CONSTRUCT' WHEN 3 THEN 'MATCHES_EMPTY' WHEN 4 THEN 'DOES_NOT_COMPILE' WHEN 5 THEN 'TERMS' END AS error FROM part""")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from desense.functions import geometry
 from desense.functions.replacement import DEFAULT_SQL, GENERIC
-from desense.operators import audit, review, sequence, tasks
+from desense.operators import audit, edits, review, sequence, tasks
 from desense.operators.spans import default_selection
 from desense.sources import sinks
 from desense.sources.inputs import load, oracle, workspace
+from desense.sources.store import Conflict, Store
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -173,6 +174,32 @@ def save_rules_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.save_rules(old, load(spark, sf_dir, "policies"), new)[1]
 
 
+def _rule_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Rules and policies as saved edits left them: one writer came first, another, who saw
+    what the first saw, was refused."""
+    store = Store(spark, workspace(spark))
+    old, new = _rules(spark, sf_dir)
+    store.commit(0, rules=old, policies=load(spark, sf_dir, "policies"))
+    edits.save_rules(store, 1, new)
+    try:
+        edits.delete_rules(store, 1, old.select("rule_id"))
+    except Conflict:
+        return store
+    raise AssertionError("two writers of one version")
+
+
+@query("stored_rules", f"WITH {_RULES} SELECT rule_id, entity_type, pattern, 2 AS version FROM old WHERE rule_id NOT IN (SELECT rule_id FROM new) UNION ALL SELECT *, 2 FROM new UNION ALL SELECT *, 1 FROM old")
+def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions of the rules."""
+    store = _rule_store(spark, sf_dir)
+    return store.read("rules", 2).withColumn("version", F.lit(2)).unionByName(store.read("rules", 1).withColumn("version", F.lit(1)))
+
+
+@query("stored_policies", f"WITH {_RULES} SELECT * FROM policies UNION ALL SELECT DISTINCT entity_type, '{GENERIC}' FROM new WHERE entity_type NOT IN {_in(review.BUILT_IN_TYPES)} AND entity_type NOT IN (SELECT entity_type FROM policies)", "policies")
+def stored_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_store(spark, sf_dir).read("policies")
+
+
 @query("delete_rules", f"WITH {_RULES} SELECT * FROM old WHERE rule_id NOT IN (SELECT rule_id FROM new)")
 def delete_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _rules(spark, sf_dir)
@@ -208,6 +235,17 @@ def save_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir)[0].select("doc_id", "entity_id", "selected", "replacement")
 
 
+@query("stored_decisions", f"""WITH {_DECIDED}, n AS (SELECT doc_id, count(*) AS n, count_if(g IS NOT NULL) AS hits FROM (SELECT s.doc_id, g.entity_id AS g FROM spans s LEFT JOIN good g ON g.doc_id = s.doc_id AND g.entity_id = s.entity_id) GROUP BY 1)
+SELECT n.doc_id, n.n AS spans, r.revision, r.output_valid FROM n JOIN ({_SAVED}) r ON r.doc_id = n.doc_id""", "decisions", "tasks")
+def stored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and reviews after decisions were saved in the store, in one version."""
+    store = Store(spark, workspace(spark))
+    store.commit(0, spans=_spans_with_choice(spark, sf_dir), reviews=_reviews(spark, sf_dir))
+    edits.save_decisions(store, 1, load(spark, sf_dir, "decisions"))
+    spans = store.read("spans").groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"))
+    return spans.join(store.read("reviews"), "doc_id").select("doc_id", "spans", "revision", "output_valid")
+
+
 @query("save_decisions_reviews", f"WITH {_DECIDED} {_SAVED}", "decisions", "tasks")
 def save_decisions_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir)[1].select("doc_id", "revision", "reviewed_revision", "output_valid")

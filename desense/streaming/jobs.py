@@ -2,39 +2,183 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from desense.operators import onepass
-from desense.operators.detect import BUILT_INS, CUSTOM
+from desense.operators import detect, onepass, redact, tasks
+from desense.operators.tasks import TERMINAL
+from desense.sources.store import Store
 
 #: Percent done at each stage of a job.
 STAGE_PERCENT = {"analyzing": 10, "awaiting_review": 55, "processing": 90, "completed": 100}
 
-def row_patterns(rules: list[tuple[str, str]]) -> list[onepass.Pattern]:
-    """The built-in patterns and those of ``rules``, which are (type, pattern)."""
-    return BUILT_INS + [onepass.Pattern(t, p, 1.0, CUSTOM, 101 + i) for i, (t, p) in enumerate(rules)]
+#: States in which a job has finished.
+FINISHED = tuple(TERMINAL)
+
+
+def stream_redact(docs: DataFrame, rules: DataFrame | None = None, policies: DataFrame | None = None) -> DataFrame:
+    """(doc_id, redacted, n_spans, error) of a stream of documents: what ``redact_texts``
+    makes of the same rows, with all its rules; stateless. ``rules`` and ``policies`` are
+    tables, read when the stream starts."""
+    return redact.redact_texts(docs, rules, policies if policies is not None else _no_policies(docs))
+
 
+def _no_policies(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], "entity_type string, replacement string")
 
-def stream_redact(docs: DataFrame, rules: list[tuple[str, str]] = (), policies: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, redacted) of a stream (or table) of documents; stateless. What fails has no
-    redacted text; empty texts stay empty."""
-    found = onepass.kept_spans(docs.select("doc_id", "text"), row_patterns(rules), [])
-    text = onepass.edited(F.col("text"), onepass.replacements(F.col("found.spans"), policies or {}))
-    return found.select("doc_id", F.when(F.col("found.error").isNull(), text).alias("redacted"))
+
+def stream_redact_annotated(docs: DataFrame, annotations: DataFrame, rules: DataFrame | None = None, policies: DataFrame | None = None, wait: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """(doc_id, redacted, n_spans, error) of documents (doc_id, text, arrived_at) that wait
+    for their annotation (doc_id, ok, spans, annotated_at), another stream.
+
+    An annotation counts if it is of the time from ``wait`` before its document to ``wait``
+    after it; the first of a document counts. A document whose annotation failed, has spans
+    outside the text or is not there when the watermark has passed the time fails, without
+    a redacted text. ``late`` bounds how much out of order rows of a stream come, and
+    with ``wait`` what the state holds; documents that come later than that are dropped, as
+    rows of a stream are, and have no output.
+    """
+    patterns, few, table = detect.compiled_rules(rules)
+    if table is not None:
+        raise ValueError("too many rules for a stream")
+    d = docs.select("doc_id", "text", "arrived_at").withWatermark("arrived_at", late)
+    a = annotations.select(F.col("doc_id").alias("_id"), "ok", "spans", "annotated_at").withWatermark("annotated_at", late).dropDuplicatesWithinWatermark(["_id"])
+    near = F.expr(f"_id = doc_id AND annotated_at BETWEEN arrived_at - INTERVAL {wait} AND arrived_at + INTERVAL {wait}")
+    rows = d.join(a, near, "left").select("doc_id", "text", "ok", "spans")
+    known = redact.policy_map(policies) if policies is not None else {}
+    return onepass.redacted(rows, detect.BUILT_INS + patterns, few, known, annotated=True)
 
 
 def stream_job_status(updates: DataFrame) -> DataFrame:
-    """State of each job: its latest update wins. For update or complete mode."""
+    """State of each job: its latest update wins. For update or complete mode, over jobs
+    whose number is bounded; ``live_jobs`` forgets finished ones."""
     return updates.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
+def live_jobs(updates: DataFrame, hold: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(job_id, state, seq, finished_at) of jobs that updates (job_id, state, seq, ts) change,
+    in update mode. A job's latest update wins; finished_at is when it first finished.
+
+    A finished job leaves the state once the watermark is ``hold`` past its last update, so
+    the state holds running jobs and those that finished of late. Updates without a time are
+    left out.
+    """
+    keep = pd.Timedelta(hold)
+
+    def latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        was, seq, finished, last = state.get if state.exists else (None, -1, None, 0)
+        for frame in frames:
+            at = frame["us"]
+            done = at[frame["state"].isin(FINISHED)]
+            finished = min([x for x in (finished, *(done.min(),) * bool(len(done))) if x is not None], default=None)
+            top = frame["seq"].idxmax()
+            if frame["seq"][top] > seq:
+                was, seq = frame["state"][top], int(frame["seq"][top])
+            last = max(last, int(at.max()))
+        state.update((was, seq, None if finished is None else int(finished), last))
+        if finished is not None:
+            due = last // 1000 + int(keep.total_seconds() * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": [key[0]], "state": [was], "seq": [seq], "finished": pd.array([finished], "Int64")})
+
+    kind = updates.schema["job_id"].dataType.simpleString()
+    rows = _timed(updates, late, "job_id", "state", F.col("seq").cast("long").alias("seq"))
+    found = rows.groupBy("job_id").applyInPandasWithState(
+        latest, f"job_id {kind}, state string, seq long, finished long", "state string, seq long, finished long, last long", "update", GroupStateTimeout.EventTimeTimeout,
+    )
+    return found.select("job_id", "state", "seq", F.timestamp_micros("finished").alias("finished_at"))
+
+
+def _timed(rows: DataFrame, late: str, *columns) -> DataFrame:
+    """Rows with a time, with a watermark, and the time in microseconds as ``us``."""
+    ts = F.col("ts").cast("timestamp")
+    return rows.where("ts is not null").select(*columns, ts.alias("ts"), F.unix_micros(ts).alias("us")).withWatermark("ts", late)
+
+
+def live_progress(items: DataFrame, hold: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(batch_id, done, total, percent_sum) of batches that updates of their items (batch_id,
+    idx, state, items, ts) change, in update mode; ``items`` is how many a batch has. The
+    last update of an item counts, by time. A batch whose items are all done leaves the state
+    once the watermark is ``hold`` past its last update. A batch's items are one state row,
+    as batches are bounded."""
+    keep = pd.Timedelta(hold)
+
+    def counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = {i: (t, s) for i, t, s in zip(*state.get[:3], strict=True)} if state.exists else {}
+        total = state.get[3] if state.exists else 0
+        for frame in frames:
+            for i, t, s in zip(frame["idx"].tolist(), frame["us"].tolist(), frame["state"].tolist(), strict=True):
+                if i not in known or (t, s) >= known[i]:
+                    known[i] = t, s
+            total = max(total, int(frame["items"].max()))
+        order = sorted(known)
+        state.update((order, [known[i][0] for i in order], [known[i][1] for i in order], total))
+        done = sum(s == "completed" for _, s in known.values())
+        if done >= total:
+            due = max(t for t, _ in known.values()) // 1000 + int(keep.total_seconds() * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"batch_id": [key[0]], "done": [done], "total": [total], "percent_sum": [sum(STAGE_PERCENT.get(s, 0) for _, s in known.values())]})
+
+    kind = items.schema["batch_id"].dataType.simpleString()
+    rows = _timed(items, late, "batch_id", F.col("idx").cast("int").alias("idx"), "state", F.col("items").cast("long").alias("items"))
+    return rows.groupBy("batch_id").applyInPandasWithState(
+        counted, f"batch_id {kind}, done long, total long, percent_sum long", "idx array<int>, at array<long>, state array<string>, total long", "update", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def upsert_jobs(store: Store, most: int = 256) -> Callable[[DataFrame, int], None]:
+    """A sink of ``live_jobs``: table ``jobs`` of the store has all running jobs and the
+    ``most`` that finished last. Each micro-batch is one version, which notes it, so one
+    that comes again after a restart changes nothing."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if not _new(store, batch):
+            return
+        if store.version():
+            rows = rows.unionByName(store.read("jobs"))
+        jobs = rows.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"), F.min("finished_at").alias("finished_at"))
+        store.commit(store.version(), str(batch), jobs=tasks.retained_jobs(jobs, most))
+
+    return write
+
+
+def upsert_progress(store: Store) -> Callable[[DataFrame, int], None]:
+    """A sink of ``live_progress``: table ``progress`` of the store, a row a batch."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if not _new(store, batch):
+            return
+        if store.version():
+            rows = rows.unionByName(store.read("progress").join(rows.select("batch_id"), "batch_id", "left_anti"))
+        store.commit(store.version(), str(batch), progress=rows)
+
+    return write
+
+
+def _new(store: Store, batch: int) -> bool:
+    note = store.manifest()["note"]
+    return note is None or batch > int(note)
+
+
 def stream_progress(items: DataFrame) -> DataFrame:
     """Done and total of each batch, and the mean percent of its items' stages."""
     percent = F.coalesce(F.create_map(*[F.lit(x) for kv in STAGE_PERCENT.items() for x in kv])[F.col("state")], F.lit(0))
     return items.groupBy("batch_id").agg(F.count_if(F.col("state") == "completed").alias("done"), F.count(F.lit(1)).alias("total"), F.sum(percent.cast("long")).alias("percent_sum"))
 
 
-def stream_entity_counts(docs: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:
+def stream_entity_counts(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Running counts of matches by type."""
-    return onepass.all_spans(docs, row_patterns(rules), []).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    patterns, few, table = detect.compiled_rules(rules)
+    if table is not None:
+        raise ValueError("too many rules for a stream")
+    return onepass.all_spans(docs, detect.BUILT_INS + patterns, few).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))

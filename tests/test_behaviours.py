@@ -167,8 +167,8 @@ def test_never_over_an_existing_result(spark, tmp_path):
 
 def test_row_redaction_equals_batch(spark):
     docs = spark.createDataFrame([(1, "电话13812345678 a@b.cc"), (2, None), (3, "")], "doc_id long, text string")
-    got = {r.doc_id: r.redacted for r in jobs.stream_redact(docs).collect()}
-    assert got == {1: "电话138****5678 ***@***", 2: None, 3: ""}
+    got = {r.doc_id: (r.redacted, r.error) for r in jobs.stream_redact(docs).collect()}
+    assert got == {1: ("电话138****5678 ***@***", None), 2: (None, "EMPTY_TEXT"), 3: (None, "EMPTY_TEXT")}
 
 
 def rule_rows(spark, *rows):
