@@ -1,13 +1,16 @@
 """License scans: phrases at their places, and templates by a positional rare-token index.
 
 Base labels come from fixed phrases whose words stand consecutively. Further labels
-come from licence templates; the words of all are the licence words. Phrases are looked
-up by their rarest word (highest IDF), however common that is. The mandatory key phrases of
-a template, if all stand in a file, tell where the template would begin, give or take
-``SLACK`` words. Of the template's words in the stretch from there the ``RAREST`` rarest
-are looked at, and the label counts if enough of their weight stands where the template
-has it. Each beginning is judged by its own stretch, so what else a file holds does not
-change it.
+come from licence templates; the words of all are the licence words, and each has its
+postings: in which template and where it stands. In each neighbourhood of ``WINDOW``
+words of a file its licence words are looked up, by falling IDF, as long as one of their
+templates has had fewer than ``RAREST`` words there, so that none crowds out another. What
+is looked up votes for where its template would begin; two words must agree, give or take
+``SLACK``, or as many as the template has. At such a beginning the mandatory key phrases are
+verified where the template has them, and the label counts if of the weight (IDF) of all
+the template's words at least ``SHARE`` stands in the template's order in the stretch that
+follows, up to twice the template long. So a score says how much of the template a file
+has: words may be missing or come between, and what else a file holds does not change it.
 
 Words are found by vectorised steps over the bytes of many texts; only words that are
 licence words by their first eight bytes and length become Python objects.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,7 +60,9 @@ TEMPLATES = [
     ("unlicense", """this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. in jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain""", ["free and unencumbered software"]),
     ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-3", """this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version.""", ["under the terms of the gnu general public license", "either version 3 of the license"]),
     ("gpl-3", """this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details""", ["under the terms of the gnu general public license", "either version 3 of the license"]),
+    ("gpl-2", """this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version.""", ["under the terms of the gnu general public license", "either version 2 of the license"]),
     ("gpl-2", """this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details""", ["under the terms of the gnu general public license", "either version 2 of the license"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
@@ -69,8 +75,8 @@ TEMPLATES = [
     ("zlib", """this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: the origin of this software must not be misrepresented; you must not claim that you wrote the original software""", ["alter it and redistribute it freely"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
-RAREST = 8
-SHARE = 0.5
+RAREST, WINDOW = 4, 16
+SHARE = 0.6
 SLACK = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -201,9 +207,13 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, number = _Finder(vocabulary), {w: i for i, w in enumerate(vocabulary)}
         rank = {w: (-idf[w], w) for w in vocabulary}
+        falling = {number[w]: i for i, w in enumerate(sorted(vocabulary, key=rank.__getitem__))}
         template_words = [[number[w] for w in plain_words(text)] for _, text, _ in index.templates]
         weights = [idf[w] for w in vocabulary]
-        by_rank = [sorted(set(ws), key=lambda w: rank[vocabulary[w]]) for ws in template_words]
+        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, ws in enumerate(template_words):
+            for at, w in enumerate(ws):
+                postings[w].append((t, at))
         # each phrase under its rarest word: where that stands in it, its words, and its
         # label or its template, which of its key phrases it is and where it stands there
         anchored: dict[int, list[tuple]] = defaultdict(list)
@@ -213,18 +223,43 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             rarest_word = min(ws, key=rank.__getitem__)
             anchored[number[rarest_word]].append((ws.index(rarest_word), [number[w] for w in ws], label, key, at))
 
-        def share_of(word_at: dict[int, int], t: int, begin: int) -> float:
-            """Share of the weight of the template's rarest words near ``begin`` that stands
-            where the template has it."""
+        def beginnings(word_at: dict[int, int], asked: set[int]) -> dict[int, dict[int, set[int]]]:
+            """Where the rarest words of each neighbourhood tell that a template of ``asked``
+            begins: template, place, and the words that say so."""
+            near: dict[int, list[int]] = defaultdict(list)
+            for place in word_at:
+                near[place // WINDOW].append(place)
+            votes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+            for places in near.values():
+                used: Counter[int] = Counter()
+                for w in sorted({word_at[p] for p in places}, key=falling.__getitem__):
+                    own = {t for t, _ in postings[w] if t in asked and used[t] < rarest}
+                    used.update(own)
+                    for t, at in postings[w] if own else ():
+                        if t in own:
+                            for p in places:
+                                if word_at[p] == w:
+                                    votes[t][p - at].add(w)
+            return votes
+
+        def share_of(places_of: dict[int, list[int]], t: int, begin: int) -> float:
+            """Share of the template's weight that stands in its order in the stretch from
+            ``begin``: the heaviest chain of places that rise with the template's."""
             ws = template_words[t]
-            near = {w for at in range(begin - SLACK, begin + len(ws) + SLACK) if (w := word_at.get(at)) is not None}
-            looked_up = set([w for w in by_rank[t] if w in near][:rarest])
-            whole = agrees = 0.0
-            for at, w in enumerate(ws):
-                if w in looked_up:
-                    whole += weights[w]
-                    agrees += weights[w] if word_at.get(begin + at) == w else 0.0
-            return agrees / whole
+            best = [0.0] * (len(ws) + 1)  # a tree of maxima over the template's places
+            low, high = begin - SLACK, begin + 2 * len(ws) + SLACK
+            met = [(p, -at, w) for at, w in enumerate(ws) for p in places_of.get(w, [])[bisect_left(places_of.get(w, []), low) : bisect_right(places_of.get(w, []), high)]]
+            for _, at, w in sorted(met):
+                i, top = -at, 0.0
+                while i:
+                    top, i = max(top, best[i]), i & (i - 1)
+                top, i = top + weights[w], 1 - at
+                while i <= len(ws):
+                    best[i], i = max(best[i], top), i + (i & -i)
+            i, top = len(ws), 0.0
+            while i:
+                top, i = max(top, best[i]), i & (i - 1)
+            return top / sum(weights[w] for w in ws)
 
         def judge(word_at: dict[int, int]) -> tuple:
             places, labels, own, told = [], set(), set(), defaultdict(set)
@@ -236,13 +271,26 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                             places.append(start)
                             labels.add(label)
                         else:
-                            told[key] |= {start - at - slip for slip in range(-SLACK, SLACK + 1)}
+                            told[key].add(start - at)
             best = 0.0
-            # a template may begin where all its key phrases tell
-            for t, begin in {(t, b) for t, k in told if not k for b in set.intersection(*(told.get((t, i), set()) for i in range(len(keys[t]))))}:
-                if (agrees := share_of(word_at, t, begin)) >= share:
-                    own.add(index.templates[t][0])
-                    best = max(best, agrees)
+            # a template without all its key phrases can't be verified anywhere
+            asked = {t for t, k in told if not k and all((t, i) in told for i in range(len(keys[t])))}
+            places_of: dict[int, list[int]] = defaultdict(list)
+            for p in sorted(word_at) if asked else ():
+                places_of[word_at[p]].append(p)
+            for t, votes in beginnings(word_at, asked).items() if asked else ():
+                needed, size = min(2, len(set(template_words[t]))), len(template_words[t])
+                first = sorted(told[t, 0])
+                for begin in votes:
+                    # the first key phrase stands where the template has it, the others after it, up to twice as far
+                    if not any(abs(b - begin) <= SLACK for b in first[bisect_left(first, begin - SLACK) : bisect_right(first, begin + SLACK)]):
+                        continue
+                    if not all(any(begin - SLACK <= b <= begin + size for b in told[t, k]) for k in range(1, len(keys[t]))):
+                        continue
+                    agreeing = set().union(*(votes[b] for b in range(begin - SLACK, begin + SLACK + 1) if b in votes))
+                    if len(agreeing) >= needed and (agrees := share_of(places_of, t, begin)) >= share:
+                        own.add(index.templates[t][0])
+                        best = max(best, agrees)
             score = 1.0 if labels else min(1.0, best)
             return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own)), score
 

@@ -316,6 +316,38 @@ def test_whole_licences_and_their_like(spark):
     assert got[:3] == ["gpl-3", "gpl-2", ""] and got[4:] == list(whole)
 
 
+def licence_scores(spark, *texts):
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, "nothing here") for i in range(100))], "doc_id long, text string")
+    return {r.doc_id: (r.labels, r.score) for r in licence_scan.scan_licences(docs).collect() if r.doc_id < 1000}
+
+
+def test_a_few_words_of_a_licence_are_none(spark):
+    got = licence_scores(
+        spark, "he wrote: subject to mozilla public license discussions are boring",
+        "Redistribution and use in source and binary forms is forbidden to everyone, whoever they are",
+        "permission is hereby granted free of charge", "the gnu affero general public license", "alter it and redistribute it freely",
+    )
+    assert {labels for labels, _ in got.values()} == {""} and {score for _, score in got.values()} == {0.0}
+
+
+def test_partial_reordered_and_interleaved_licences(spark):
+    whole = {(label, len(text)): text for label, text, _ in licence_scan.TEMPLATES}
+    mit, free, bsd = (max((t for (n, _), t in whole.items() if n == label), key=len).split() for label in ("mit", "unlicense", "bsd"))
+    numbered = " ".join(f"{w} {i}" if i % 8 == 7 else w for i, w in enumerate(mit))
+    lines = lambda ws: [" ".join(ws[i : i + 9]) for i in range(0, len(ws), 9)]
+    both = " ".join(x for pair in zip(lines(free), lines(bsd), strict=False) for x in pair)
+    at = int(len(free) * 0.7)
+    got = licence_scores(spark, " ".join(mit), numbered, " ".join(free[:at]), " ".join(free[len(free) // 2 :] + free[: len(free) // 2]), both, " ".join(mit + ["word"] * 40 + bsd))
+    assert got[0][0] == "mit" and got[0][1] > 0.999
+    assert "mit" in got[1][0] and got[1][1] > 0.9
+    assert 0.6 < got[2][1] < 0.85 and got[2][0] == "unlicense"
+    assert got[3][1] < 0.6  # neither half is enough
+    assert "unlicense" in got[4][0] and got[5][0] == "bsd,mit"
+    # the less of a template a file holds, the lower its score
+    scores = licence_scores(spark, *(" ".join(free[: int(len(free) * k / 10)]) for k in range(1, 11)))
+    assert [scores[k][1] for k in range(10)] == sorted(scores[k][1] for k in range(10)) and scores[2][1] == 0 and scores[9][1] > 0.999
+
+
 def test_licence_base_columns_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
     got = {r.doc_id: r for r in queries.op7_licence_scan(spark, "/root/testdata/sf0.01").collect()}
