@@ -13,14 +13,19 @@ empty result; extra columns, whatever their names, are carried to the last stage
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from desense.llm import jaccard_join, language_id, packing, quality
-from desense.llm.common import table, words, written
+from desense.llm import jaccard_join, language_id, packing, quality, token_files
+from desense.llm.common import table, written
 
 #: Near duplicates: words in a shingle, and the similarity as a ratio of whole numbers.
 SHINGLE, OVER, UNDER = 5, 80, 100
+#: The vocabulary whose tokens are packed.
+VOCABULARY = "byte_bpe_50k.json"
 #: Packing is greedy, which SQL cannot express; tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
@@ -44,8 +49,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document lies in the training sequences, by its number of words."""
-    return packing.pack(docs.select("doc_id", F.size(words(F.col("text"))).alias("n_tokens")))
+    """Where each document lies in the training sequences, by its number of tokens."""
+    vocabulary = Path(public_tokenizers.path(VOCABULARY)).read_text(encoding="utf-8")
+    return packing.pack(token_files.token_counts(docs, vocabulary))
 
 
 STAGES = [

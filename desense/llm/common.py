@@ -30,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, the folder that driver and
-    executors share, or where that is unset below the warehouse, which they share too.
-    In a single JVM without either, any folder of the machine is shared."""
+    executors share; a cluster must name it. In a single JVM without one, any folder of the
+    machine is shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_scratch[app] = _own_scratch.get(app) or tempfile.mkdtemp(prefix="spark-scratch-")
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/desense-{uuid.uuid4().hex}"
 
 

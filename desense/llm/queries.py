@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from desense.llm import ann, bpe, jaccard_join, language_id, licence_scan, minhash, oracles, packing, quality, token_alignment, token_files, token_rollup, url_filter, whitening
-from desense.llm.common import scratch, table, words, written
+from desense.llm.common import scratch, table, written
 
 #: Rules and the host labels whose urls are listed.
 URL_RULES = [
@@ -40,8 +40,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", F.size(words(F.col("text"))).alias("n_tokens")))
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    return packing.pack(token_files.token_counts(table(spark, sf_dir, "documents"), vocabulary))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

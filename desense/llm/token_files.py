@@ -127,6 +127,20 @@ def _encoder(file_text: str) -> ByteEncoder:
     return ByteEncoder(file_text)
 
 
+def token_counts(docs: DataFrame, vocabulary_file: str) -> DataFrame:
+    """(doc_id, n_tokens) of every row of ``docs`` (doc_id, text), without special tokens; 0
+    for null and empty texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value)
+        for batch in text_slices(batches):
+            _, sizes = encoder.batch(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def write_token_files(docs: DataFrame, vocabulary_file: str, path: str, end_id: int = 0, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write the blocks of ``docs`` (doc_id, text) to ``path``, a folder all can reach."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_file)

@@ -225,7 +225,7 @@ def test_pack_query_brute_force(spark):
     """The whole query: counts are those of the texts, and every step is a best fit."""
     got = queries.op4_best_fit_packing(spark, SF_DIR).toPandas()
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").toPandas()
-    check_packing(got, {d: len((t or "").split()) for d, t in zip(docs.doc_id, docs.text, strict=True)})
+    check_packing(got, token_sizes(zip(docs.doc_id, docs.text, strict=True)))
 
 
 # --- BPE -------------------------------------------------------------------------------
@@ -598,7 +598,12 @@ def test_pipeline_brute_force(spark, sf_dir):
             if sf_dir != SF_DIR:  # enough documents to tell the stage's parameters from others
                 assert kept_ids != firsts(4, 85) and kept_ids != firsts(5, 85) and kept_ids != firsts(5, 75)
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
-    check_packing(got, {r.doc_id: len(r.text.split()) for r in kept.collect()})
+    check_packing(got, token_sizes((r.doc_id, r.text) for r in kept.collect()))
+
+
+def token_sizes(docs):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return {d: len(library.encode(t or "", add_special_tokens=False).ids) for d, t in docs}
 
 
 def check_packing(got, sizes):
