@@ -124,8 +124,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, which a
+    cluster must name, or in a single JVM without one below the warehouse."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/desense-{uuid.uuid4().hex}"
 
 
