@@ -235,7 +235,8 @@ def chunk_text(docs: DataFrame, stride: int = 400, width: int = 450) -> DataFram
 
 def merge_chunk_spans(spans: DataFrame) -> DataFrame:
     """Chunk-local spans (doc_id, chunk, base_at, entity_type, start_at, end_at, score) in
-    document offsets, each (type, start, end) once, from the earliest chunk."""
+    document offsets, each (type, start, end) once, from the earliest chunk, of which the
+    highest score counts."""
     shifted = spans.withColumn("start_at", F.col("start_at") + F.col("base_at")).withColumn("end_at", F.col("end_at") + F.col("base_at"))
-    first = F.min_by(F.struct("score", "chunk"), "chunk").alias("f")
+    first = F.min_by(F.struct("score", "chunk"), F.struct("chunk", -F.col("score"))).alias("f")
     return shifted.groupBy("doc_id", "entity_type", "start_at", "end_at").agg(first).select("doc_id", "entity_type", "start_at", "end_at", "f.score", "f.chunk")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from desense.functions.replacement import default_replacement
 from desense.operators import onepass
@@ -125,14 +126,47 @@ def piece_overlap(spans: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def redact_fragments(fragments: DataFrame, spans: DataFrame, separator: str = "") -> DataFrame:
     """Every fragment with its redacted text. A replacement stands where the span starts;
-    what continues in later fragments is deleted; untouched fragments pass unchanged."""
-    placed = fragment_offsets(fragments, separator)
-    hits = piece_overlap(spans.select("doc_id", "start_at", "end_at", "replacement"), placed)
-    local = hits.select(
-        "doc_id", "frag_no", (F.greatest("start_at", "p_start") - F.col("p_start")).alias("start_at"),
-        (F.least("end_at", "p_end") - F.col("p_start")).alias("end_at"),
-        F.when(F.col("start_at") >= F.col("p_start"), F.col("replacement")).otherwise("").alias("replacement"),
-    )
-    edits = local.groupBy("doc_id", "frag_no").agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "replacement"))).alias("edits"))
-    rows = fragments.select("doc_id", "frag_no", "text").join(edits, ["doc_id", "frag_no"], "left")
-    return rows.select("doc_id", "frag_no", F.when(F.col("edits").isNull(), F.col("text")).otherwise(onepass.edited(F.col("text"), F.col("edits"))).alias("redacted"))
+    what continues in later fragments is deleted; untouched fragments pass unchanged.
+
+    Spans, which must be disjoint, and fragments come together by document once; a task walks
+    over a document's fragments in order and holds its spans and one batch."""
+    number = fragments.schema["frag_no"].dataType
+    schema = StructType([fragments.schema["doc_id"], fragments.schema["frag_no"], StructField("redacted", StringType())])
+    none = F.lit(None)
+    marks = spans.select("doc_id", F.lit(0).alias("_kind"), F.col("start_at").cast("long").alias("_at"), F.col("end_at").cast("long").alias("_end"), none.cast(number).alias("frag_no"), F.col("replacement").alias("text"))
+    parts = fragments.select("doc_id", F.lit(1).alias("_kind"), F.col("frag_no").cast("long").alias("_at"), none.cast("long").alias("_end"), "frag_no", "text")
+    rows = marks.unionByName(parts).repartition("doc_id").sortWithinPartitions("doc_id", "_kind", "_at", "_end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, first, offset = object(), [], 0, 0
+        for batch in batches:
+            out, texts = [], []
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "_kind", "_at", "_end", "text")]
+            for i, (d, kind, at, end, text) in enumerate(zip(*columns, strict=True)):
+                if d != doc:
+                    doc, held, first, offset = d, [], 0, 0
+                if kind == 0:
+                    held.append((at, end, text or ""))
+                    continue
+                if text is not None:
+                    begin, offset = offset, offset + len(text) + len(separator)
+                    while first < len(held) and held[first][1] <= begin:
+                        first += 1
+                    text = _without(text, begin, held, first)
+                out.append(i)
+                texts.append(text)
+            at = pa.array(out, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("frag_no").take(at), pa.array(texts, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _without(text: str, begin: int, spans: list[tuple[int, int, str]], first: int) -> str:
+    """A fragment that begins at ``begin``, with the spans from ``first`` on applied."""
+    parts, at = [], 0
+    for start, end, replacement in itertools.islice(spans, first, None):
+        if start >= begin + len(text):
+            break
+        parts += (text[at : max(start - begin, at)], replacement if start >= begin else "")
+        at = min(end - begin, len(text))
+    return "".join([*parts, text[at:]])

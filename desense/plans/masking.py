@@ -118,13 +118,15 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.chunk_text(spread(load(spark, sf_dir, "texts")))
 
 
-@query("merge_chunk_spans", """SELECT DISTINCT doc_id, entity_type, start_at, end_at FROM (
-  SELECT doc_id, entity_type, start_at, end_at, unnest([0, 1]) AS chunk FROM spans)""", "spans")
+@query("merge_chunk_spans", """SELECT doc_id, entity_type, start_at, end_at, arg_min(score, (chunk, -score)) AS score, min(chunk) AS chunk FROM (
+  SELECT doc_id, entity_type, start_at, end_at, score / (1 + chunk) AS score, chunk FROM (SELECT *, unnest([0, 1, 2]) AS chunk FROM spans) WHERE chunk > 0 OR start_at % 3 <> 0) GROUP BY ALL""", "spans")
 def merge_chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same spans seen from two overlapping chunks come out once."""
-    s = load(spark, sf_dir, "spans").withColumn("chunk", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("base_at", F.col("chunk") * 20)
+    """The same spans seen from three overlapping chunks, with falling scores, some not by
+    the first, come out once, as the earliest saw them."""
+    s = load(spark, sf_dir, "spans").withColumn("chunk", F.explode(F.array(F.lit(2), F.lit(0), F.lit(1)))).withColumn("base_at", F.col("chunk") * 20)
+    s = s.where("chunk > 0 or start_at % 3 <> 0").withColumn("score", F.col("score") / (F.col("chunk") + 1))
     local = s.withColumn("start_at", F.col("start_at") - F.col("base_at")).withColumn("end_at", F.col("end_at") - F.col("base_at"))
-    return detect.merge_chunk_spans(local).select("doc_id", "entity_type", "start_at", "end_at")
+    return detect.merge_chunk_spans(local)
 
 
 @query("valid_entities", "SELECT entity_id, doc_id FROM spans WHERE score BETWEEN 0 AND 1 AND NOT isnan(score) AND start_at < end_at", "spans")

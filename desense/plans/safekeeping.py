@@ -51,12 +51,27 @@ def decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.decode_corpus(_raw(spark, sf_dir))[1]
 
 
-@query("encode_corpus", "SELECT doc_id, true AS same FROM contacts WHERE doc_id % 31 <> 0 AND doc_id % 37 <> 0", "contacts")
+#: A unit of UTF-16 as hexadecimal digits.
+_UNIT = {"le": "printf('%02X%02X', {0} % 256, {0} // 256)", "be": "printf('%04X', {0})"}
+
+
+def _utf16(order: str) -> str:
+    unit = _UNIT[order].format
+    return f"CASE WHEN u < 65536 THEN {unit('u')} ELSE {unit('(55296 + (u - 65536) // 1024)')} || {unit('(56320 + (u - 65536) % 1024)')} END"
+
+
+@query("encode_corpus", f"""WITH t AS (SELECT doc_id, doc_id % 5 AS k, CASE WHEN doc_id % 5 = 4 THEN replace(text, '😀', '') ELSE text END AS text FROM contacts WHERE doc_id % 31 <> 0 AND doc_id % 37 <> 0),
+c AS (SELECT doc_id, k, unnest(range(1, length(text) + 1)) AS i, unicode(substring(text, i, 1)) AS u FROM t),
+h AS (SELECT doc_id, string_agg({_utf16('le')}, '' ORDER BY i) AS le, string_agg({_utf16('be')}, '' ORDER BY i) AS be, sum(CASE WHEN u < 128 THEN 1 ELSE 2 END) AS gbk FROM c GROUP BY 1)
+SELECT t.doc_id, true AS same, CASE k WHEN 0 THEN 'FFFE' || le WHEN 1 THEN 'FEFF' || be WHEN 2 THEN 'EFBBBF' || hex(encode(text)) WHEN 3 THEN hex(encode(text)) END AS bytes,
+  CASE k WHEN 4 THEN gbk WHEN 3 THEN strlen(text) WHEN 2 THEN strlen(text) + 3 ELSE strlen(le) // 2 + 2 END::INTEGER AS n FROM t JOIN h ON h.doc_id = t.doc_id""", "contacts")
 def encode_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded texts, written again in their own encoding, give the same bytes."""
+    """Decoded texts, written again in their own encoding, give the same bytes, which are
+    those of the encoding; GBK's are counted."""
     raw = _raw(spark, sf_dir)
     again, _ = encodings.encode_corpus(encodings.decode_corpus(raw)[0])
-    return again.withColumnRenamed("content", "b").join(raw, "doc_id").select("doc_id", (F.col("b") == F.col("content")).alias("same"))
+    rows = again.withColumnRenamed("content", "b").join(raw, "doc_id")
+    return rows.select("doc_id", (F.col("b") == F.col("content")).alias("same"), F.when(F.col("doc_id") % 5 != 4, F.hex("b")).alias("bytes"), F.octet_length("b").alias("n"))
 
 
 @query("write_redacted", full_sql("contacts") + " SELECT doc_id, redacted FROM red", "contacts", "rules", "policies")
@@ -71,10 +86,18 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "contacts").select(F.col("doc_id").alias("id"), F.lit("original").alias("part"), F.col("text").cast("binary").alias("content"))
 
 
-@query("vault_seal", "SELECT doc_id AS id, 'original' AS part, strlen(text) + 28 AS n FROM contacts", "contacts")
+@query("vault_seal", "SELECT doc_id AS id, 'original' AS part, strlen(text) + 28 AS n, text AS opened, true AS fresh, true AS bound FROM contacts", "contacts")
 def vault_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sealed bytes are never the same twice; their length is (12 of nonce, 16 of tag)."""
-    return vault.vault_seal(_values(spark, sf_dir), KEY).select("id", "part", F.octet_length("sealed").cast("long").alias("n"))
+    """Sealed bytes have 12 of nonce and 16 of tag; AES-GCM opens them with the row's own id
+    and part and no other; sealed again they are others."""
+    values = _values(spark, sf_dir)
+    path = workspace(spark)
+    vault.vault_seal(values, KEY).write.parquet(path)
+    sealed, again = spark.read.parquet(path), vault.vault_seal(values, KEY).withColumnRenamed("sealed", "again")
+    opens = lambda aad: F.call_function("try_aes_decrypt", "sealed", F.lit(KEY), F.lit("GCM"), F.lit("DEFAULT"), aad)
+    own, other = vault._aad(F.col("id"), F.col("part")), vault._aad(F.col("id") + 1, F.col("part"))
+    rows = sealed.join(again, ["id", "part"])
+    return rows.select("id", "part", F.octet_length("sealed").cast("long").alias("n"), opens(own).cast("string").alias("opened"), (F.col("sealed") != F.col("again")).alias("fresh"), opens(other).isNull().alias("bound"))
 
 
 @query("vault_open", "SELECT doc_id AS id, text FROM contacts WHERE doc_id % 13 <> 0", "contacts")

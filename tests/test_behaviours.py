@@ -404,3 +404,35 @@ def test_hits_of_a_crowded_page(spark):
 def test_digest_of_texts_is_one_of_a_multiset(spark):
     of = lambda *t: spark.createDataFrame([(x,) for x in t], "text string").repartition(3).agg(audit.text_digest(F.col("text"))).first()[0]
     assert of("a", "b", "b", None) == of("b", "a", "b") != of("a", "b") and of("ab") != of("a", "b") and len({of("a", "a"), of("a"), of(None)}) == 3
+
+
+def test_fragments_and_spans_meet_once(spark, tmp_path):
+    rnd = random.Random(8)
+    parts, marks, want = [], [], {}
+    for d in range(5):
+        texts = ["".join(rnd.choice("ab😀中") for _ in range(rnd.randrange(6))) for _ in range(9)]
+        whole, at = "-".join(texts), 0
+        while at < len(whole):
+            end = at + rnd.randrange(1, 9)
+            if rnd.random() < 0.6 and end <= len(whole):
+                marks.append((d, at, end, f"<{at}>"))
+            at = end
+        cut = list(whole)
+        for _, a, b, r in [m for m in marks if m[0] == d]:
+            cut[a:b] = [""] * (b - a)
+        lo = 0
+        for n, t in enumerate(texts):
+            own = [m for m in marks if m[0] == d]
+            out = "".join("".join(r for _, a, _, r in own if a == lo + i) + cut[lo + i] for i in range(len(t)))
+            want[d, n], lo = out, lo + len(t) + 1
+            parts.append((d, n, t))
+    spark.createDataFrame(parts, "doc_id long, frag_no int, text string").write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame(marks, "doc_id long, start_at int, end_at int, replacement string").write.parquet(str(tmp_path / "m"))
+    out = redact.redact_fragments(spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "m")), "-")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2 and plan.count("Exchange ") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    assert {(r.doc_id, r.frag_no): r.redacted for r in out.collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nulls = redact.redact_fragments(spark.createDataFrame([(1, 0, None), (1, 1, "abc")], "doc_id long, frag_no int, text string"), spark.createDataFrame([(1, 1, 2, None)], "doc_id long, start_at int, end_at int, replacement string"))
+    assert {r.frag_no: r.redacted for r in nulls.collect()} == {0: None, 1: "ac"}
