@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from desense.functions.linear import needs_linear, to_linear
 from desense.operators import onepass, terms
 from desense.operators.onepass import MOST_SPANS, Pattern, Term
 
@@ -69,7 +70,8 @@ def compiled_rules(rules: DataFrame | None, kind: str | None = None) -> tuple[li
     patterns, found = [], []
     for r in sorted(rows):
         if r["kind"] == "regex":
-            patterns.append(Pattern(r["entity_type"], "(?Ud)" + r["pattern"], 1.0, CUSTOM, 100 + r["rule_id"]))
+            own = to_linear(r["pattern"]) if needs_linear(r["pattern"]) else None
+            patterns.append(Pattern(r["entity_type"], "(?Ud)" + r["pattern"], 1.0, CUSTOM, 100 + r["rule_id"], linear=own))
         else:
             own = dictionary_terms(r["pattern"]) if r["kind"] == "dictionary" else [r["pattern"]]
             found += [Term(r["entity_type"], t, CUSTOM, 100 + r["rule_id"]) for t in own]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from desense.functions.linear import marked
 from desense.functions.matching import cut, pieces
 from desense.functions.replacement import default_replacement
 
@@ -42,6 +43,8 @@ class Pattern:
     beside_digits: bool = True
     #: A text that every match holds, if there is one: it is looked for first.
     holds: str = ""
+    #: The same for ``linear.marked``, where that has to search; every text goes to Python.
+    linear: str | None = None
 
 
 @dataclass(frozen=True)
@@ -127,12 +130,14 @@ def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish:
     there are few: of many, any text may have one), or where ``more`` says so; all others
     are ``empty``. Of the rows only what is asked for goes there, never other columns.
     """
+    all_patterns, patterns = patterns, [p for p in patterns if p.linear is None]
+    searched = [p for p in all_patterns if p.linear is not None]
     distinct = {t.term for t in terms if t.term}
     names = [f"_p{i}" for i in range(len(patterns))]
     rows = docs.select("*", *[cut(F.col("text"), p.regex, p.holds).alias(n) for n, p in zip(names, patterns, strict=True)])
     rows = rows.select(*docs.columns, *[pieces(F.col(n)).alias(n) for n in names])
     asked = [F.col(n).isNotNull() for n in names]
-    asked += [F.lit(True)] if len(distinct) > MOST_SOUGHT else [F.contains("text", F.lit(t)) for t in sorted(distinct)]
+    asked += [F.lit(True)] if searched or len(distinct) > MOST_SOUGHT else [F.contains("text", F.lit(t)) for t in sorted(distinct)]
     touched = F.lit(False)
     for a in asked if more is None else [more, *asked]:
         touched = touched | F.coalesce(a, F.lit(False))
@@ -143,6 +148,7 @@ def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish:
         if not finder:
             finder.append(TermFinder(terms))
         hits = [c.to_pylist() for c in columns[: len(patterns)]]
+        more = [marked(texts, p.linear) for p in searched]
         carried = {c: v.to_pylist() for c, v in zip(carry, columns[len(patterns) :], strict=True)}
         out = []
         for i, text in enumerate(texts.to_pylist()):
@@ -150,6 +156,7 @@ def scanned(docs: DataFrame, patterns: list[Pattern], terms: list[Term], finish:
                 out.append(None)
                 continue
             spans = [s for p, h in zip(patterns, hits, strict=True) if h[i] for s in matches(text, h[i], p)]
+            spans += [s for p, h in zip(searched, more, strict=True) for s in matches(text, {"gaps": map(len, h[i][::2]), "values": h[i][1::2]}, p)]
             spans += finder[0].spans(text)
             out.append(finish(text, spans, {c: v[i] for c, v in carried.items()}))
         return pa.array(out, arrow)
