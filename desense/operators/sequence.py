@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Entity types of tag suffixes.
 TYPES = {"PER": "PERSON", "ORG": "ORGANIZATION", "LOC": "LOCATION"}
@@ -16,37 +22,74 @@ def softmax(values: Column, at: Column) -> Column:
     return F.exp(F.get(values, at) - most) / total
 
 
+def best_paths(values: np.ndarray, sizes: np.ndarray, start: np.ndarray, end: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Best tags of several sequences, whose rows stand one after another in ``values``: all
+    take their steps together, longest first, so that those still going are the first."""
+    begins, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+    at, left = begins[order], sizes[order]
+    score, back = values[at] + start, [np.zeros((len(sizes), len(start)), np.int16)]
+    for t in range(1, int(left[0]) if len(left) else 0):
+        m = int(np.searchsorted(-left, -t))
+        via = score[:m, :, None] + moves
+        back.append(via.argmax(1).astype(np.int16))
+        score[:m] = via.max(1) + values[at[:m] + t]
+    tags = np.zeros(len(values), np.int32)
+    now = (score + end).argmax(1)
+    for t in range(len(back) - 1, -1, -1):
+        m = int(np.searchsorted(-left, -t))
+        tags[at[:m] + t] = now[:m]
+        if t:
+            now[:m] = back[t][np.arange(m), now[:m]]
+    return tags
+
+
 def decode_tag_path(emissions: DataFrame, start: list[float], end: list[float], transitions: list[list[float]]) -> DataFrame:
     """(seq_id, pos, tag): the best path over rows (seq_id, pos, values). Ties keep the
     lowest index. Sequences with a null, NaN or infinite value, or of another width, have
-    no path (one row, pos and tag null). A sequence is folded within its row."""
+    no path (one row, pos and tag null). Sequences come together once, and a task holds
+    those of a batch; time is linear in their rows."""
     k = len(start)
-    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("pos", "values"))), lambda p: p["values"])
-    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    bad = F.bool_or(F.coalesce(F.size("values") != k, F.lit(True)) | F.exists("values", odd))
-    seqs = emissions.groupBy("seq_id").agg(steps.alias("v"), F.coalesce(bad, F.lit(True)).alias("bad"))
-    into = [arr(row[j] for row in transitions) for j in range(k)]  # column j of the matrix
-    kind = "struct<score:array<double>,back:array<array<int>>>"
-
-    def step(state: Column, e: Column) -> Column:
-        best, back = [], []
-        for j in range(k):
-            via = F.zip_with(state["score"], into[j], lambda a, b: a + b)
-            best.append(F.array_max(via) + F.get(e, F.lit(j)))
-            back.append((F.array_position(via, F.array_max(via)) - 1).cast("int"))
-        return F.struct(F.array(*best).alias("score"), F.concat(state["back"], F.array(F.array(*back))).alias("back"))
-
-    first = F.zip_with(F.get("v", F.lit(0)), arr(start), lambda a, b: a + b)
-    init = F.struct(first.alias("score"), F.array().cast("array<array<int>>").alias("back")).cast(kind)
-    folded = seqs.where("not bad").select("seq_id", F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), init, step).alias("f"))
-    total = F.zip_with("f.score", arr(end), lambda a, b: a + b)
-    last = (F.array_position(total, F.array_max(total)) - 1).cast("int")
-    folded = folded.select("seq_id", "f.back", last.alias("last"))
-    path = F.aggregate(F.reverse("back"), F.array("last"), lambda p, b: F.concat(F.array(F.get(b, F.get(p, F.lit(0)))), p))
-    good = folded.select("seq_id", F.posexplode(path).alias("pos", "tag"))
-    none = seqs.where("bad").select("seq_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("tag"))
-    return good.unionByName(none)
+    matrices = np.array(start, float), np.array(end, float), np.array(transitions, float).reshape(k, k)
+    schema = StructType([emissions.schema["seq_id"], StructField("pos", IntegerType()), StructField("tag", IntegerType())])
+
+    def decoded(rows: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        column = rows.column("values").combine_chunks()
+        whole = pc.fill_null(pc.equal(pc.list_value_length(column), k), False).to_numpy(zero_copy_only=False)
+        flat = column.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+        values = np.full((len(rows), k), np.nan)
+        values[whole] = flat
+        sizes = np.diff(np.append(begins, len(rows)))
+        good = np.logical_and.reduceat(np.isfinite(values).all(1), begins) if len(begins) else np.zeros(0, bool)
+        own = np.repeat(good, sizes)
+        tags = best_paths(values[own], sizes[good], *matrices)
+        at = np.concatenate([np.flatnonzero(own), begins[~good]])
+        pos = np.concatenate([np.arange(len(rows))[own] - np.repeat(begins[good], sizes[good]), np.full((~good).sum(), -1)])
+        none = pos < 0
+        return pa.RecordBatch.from_arrays([
+            rows.column("seq_id").combine_chunks().take(pa.array(at)), pa.array(pos, pa.int32(), mask=none), pa.array(np.concatenate([tags, np.zeros(none.sum(), np.int32)]), pa.int32(), mask=none),
+        ], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*held, batch])
+            begins = _begins(rows)
+            cut = int(begins[-1]) if len(begins) else 0
+            if cut:
+                yield decoded(rows.slice(0, cut), begins[:-1])
+            held = rows.slice(cut).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield decoded(rows, _begins(rows))
+
+    rows = emissions.select("seq_id", "pos", F.col("values").cast("array<double>").alias("values"))
+    return rows.repartition("seq_id").sortWithinPartitions("seq_id", "pos").select("seq_id", "values").mapInArrow(run, schema)
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Where the sequences of sorted rows begin."""
+    ids = rows.column("seq_id").to_pylist()
+    return np.array([i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]], np.int64)
 
 
 def assemble_tag_spans(tags: DataFrame) -> DataFrame:

@@ -436,3 +436,29 @@ def test_fragments_and_spans_meet_once(spark, tmp_path):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     nulls = redact.redact_fragments(spark.createDataFrame([(1, 0, None), (1, 1, "abc")], "doc_id long, frag_no int, text string"), spark.createDataFrame([(1, 1, 2, None)], "doc_id long, start_at int, end_at int, replacement string"))
     assert {r.frag_no: r.redacted for r in nulls.collect()} == {0: None, 1: "ac"}
+
+
+def test_tag_paths_of_many_sequences(spark):
+    import itertools
+
+    rnd = random.Random(6)
+    k, start, end = 3, [0.5, 0.0, -1.0], [0.0, 0.25, 0.5]
+    moves = [[rnd.choice([0.0, 0.5, -1.0]) for _ in range(k)] for _ in range(k)]
+    seqs = {i: [[rnd.choice([0.0, 1.0, 0.5]) for _ in range(k)] for _ in range(rnd.randrange(1, 7))] for i in range(40)}
+    rows = [(i, p, v) for i, s in seqs.items() for p, v in enumerate(s)] + [(100, 0, [1.0, None, 2.0]), (101, 0, [1.0, 2.0]), (101, 1, [1.0, 2.0, 3.0]), (102, 0, None), (103, 0, [1.0, float("inf"), 2.0])]
+    e = spark.createDataFrame(rows, "seq_id long, pos int, values array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    got = sequence.decode_tag_path(e, start, end, moves).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    value = lambda s, p: start[p[0]] + sum(s[i][t] for i, t in enumerate(p)) + sum(moves[a][b] for a, b in zip(p, p[1:], strict=False)) + end[p[-1]]
+    for i, s in seqs.items():
+        path = [r.tag for r in sorted((r for r in got if r.seq_id == i), key=lambda r: r.pos)]
+        assert len(path) == len(s) and value(s, path) == max(value(s, p) for p in itertools.product(range(k), repeat=len(s)))
+    assert sorted(r.seq_id for r in got if r.pos is None) == [100, 101, 102, 103]
+
+
+def test_long_sequences_take_linear_time(spark):
+    began = time.time()
+    e = spark.range(200_000).select(F.lit(1).alias("seq_id"), F.col("id").cast("int").alias("pos"), F.array(F.rand(1), F.rand(2)).alias("values"))
+    assert sequence.decode_tag_path(e, [0.0, 0.0], [0.0, 0.0], [[0.0, -0.1], [-0.1, 0.0]]).count() == 200_000
+    assert time.time() - began < 40
