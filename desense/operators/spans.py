@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from desense.functions.replacement import type_label
 from desense.operators import onepass
@@ -102,14 +103,37 @@ def offset_units(text: Column, at: Column) -> tuple[Column, Column]:
     return F.octet_length(head), (F.octet_length(F.encode(head, "UTF-16BE")) / 2).cast("int")
 
 
+def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans (doc_id, start_at, end_at, ..) with value, the text they cover, and their ends
+    in UTF-8 bytes (start_byte, end_byte) and UTF-16 units (start_utf16, end_utf16). A
+    document's spans go to its text once, whose characters are measured once; offsets beyond
+    the text count as its end, and spans without a text are left out."""
+    own = [c for c in spans.columns if c not in ("doc_id", "value")]
+    rows = docs.select("doc_id", "text").where("text is not null").join(spans.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_spans")), "doc_id")
+    made = StructType.fromDDL("value string, start_byte int, end_byte int, start_utf16 int, end_utf16 int")
+    schema = StructType([docs.schema["doc_id"], *(spans.schema[c] for c in own), *made.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, marks = batch.column("text")[i].as_py(), batch.column("_spans").slice(i, 1).flatten()
+                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                widths = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1 + (code > 0xFFFF)
+                byte, unit = (np.concatenate([[0], np.cumsum(w)]).astype(np.int32) for w in widths)
+                fields = dict(zip(own, marks.flatten(), strict=True))
+                start, end = (np.clip(fields[c].fill_null(0).to_numpy(zero_copy_only=False), 0, len(code)) for c in ("start_at", "end_at"))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(pa.array([i] * len(marks))), *(fields[c] for c in own),
+                    pa.array([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.string()), pa.array(byte[start]), pa.array(byte[end]), pa.array(unit[start]), pa.array(unit[end]),
+                ], names=schema.names)
+
+    return rows.select("doc_id", "text", "_spans").mapInArrow(run, schema)
+
+
 def entity_view(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Label, sliced text and UTF-16 display span of each entity."""
-    rows = spans.drop("value").join(docs.select("doc_id", "text"), "doc_id")
-    value = F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at"))
-    return rows.select(
-        "doc_id", "entity_type", type_label(F.col("entity_type")).alias("label"), value.alias("value"),
-        offset_units(F.col("text"), F.col("start_at"))[1].alias("display_start"), offset_units(F.col("text"), F.col("end_at"))[1].alias("display_end"),
-    )
+    rows = located(spans.select("doc_id", "entity_type", "start_at", "end_at"), docs)
+    return rows.select("doc_id", "entity_type", type_label(F.col("entity_type")).alias("label"), "value", F.col("start_utf16").alias("display_start"), F.col("end_utf16").alias("display_end"))
 
 
 def entity_search(views: DataFrame, query: str) -> DataFrame:

@@ -166,9 +166,7 @@ def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT det.*, left(text, start_at) AS h FROM det JOIN contacts c ON c.doc_id = det.doc_id)""", "contacts")
 def offset_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "contacts")
-    found = detect.detect_all(docs).join(docs, "doc_id")
-    b, u = spans.offset_units(F.col("text"), F.col("start_at"))
-    return found.select("doc_id", "entity_type", "start_at", b.alias("start_byte"), u.alias("start_utf16"))
+    return spans.located(detect.detect_all(docs), docs).select("doc_id", "entity_type", "start_at", "start_byte", "start_utf16")
 
 
 _VIEW = f"""WITH {detected_sql('contacts', 'built-in')}, view AS (SELECT det.doc_id, entity_type, {LABEL_SQL} AS label, value,

@@ -462,3 +462,14 @@ def test_long_sequences_take_linear_time(spark):
     e = spark.range(200_000).select(F.lit(1).alias("seq_id"), F.col("id").cast("int").alias("pos"), F.array(F.rand(1), F.rand(2)).alias("values"))
     assert sequence.decode_tag_path(e, [0.0, 0.0], [0.0, 0.0], [[0.0, -0.1], [-0.1, 0.0]]).count() == 200_000
     assert time.time() - began < 40
+
+
+def test_offsets_of_many_spans_of_a_long_text(spark):
+    began = time.time()
+    docs = spark.createDataFrame([(1, "aé中😀" * 500_000), (2, None)], "doc_id long, text string")
+    marks = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 40 + 2).cast("int").alias("start_at"), (F.col("id") * 40 + 4).cast("int").alias("end_at")).unionByName(spark.createDataFrame([(2, 0, 1)], "doc_id long, start_at int, end_at int"))
+    found = spans.located(marks, docs)
+    n = F.col("start_at") - 2
+    right = (F.col("value") == "中😀") & (F.col("start_byte") == n / 4 * 10 + 3) & (F.col("end_byte") == n / 4 * 10 + 10) & (F.col("start_utf16") == n / 4 * 5 + 2) & (F.col("end_utf16") == n / 4 * 5 + 5)
+    assert found.where(right).count() == found.count() == 50_000
+    assert time.time() - began < 40
