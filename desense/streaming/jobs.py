@@ -77,12 +77,13 @@ def live_jobs(updates: DataFrame, hold: str = "1 hour", late: str = "10 minutes"
         for frame in frames:
             at = frame["us"]
             done = at[frame["state"].isin(FINISHED)]
-            finished = min([x for x in (finished, *(done.min(),) * bool(len(done))) if x is not None], default=None)
+            if len(done):
+                finished = int(done.min()) if finished is None else min(finished, int(done.min()))
             top = frame["seq"].idxmax()
             if frame["seq"][top] > seq:
                 was, seq = frame["state"][top], int(frame["seq"][top])
             last = max(last, int(at.max()))
-        state.update((was, seq, None if finished is None else int(finished), last))
+        state.update((was, seq, finished, last))
         if finished is not None:
             due = last // 1000 + int(keep.total_seconds() * 1000)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
