@@ -40,6 +40,10 @@ BLOCKS = (
 )
 
 
+#: Words that a task remembers which counts tokens only, and bytes of text it turns at a time.
+COUNTED_WORDS, COUNTED_BYTES = 250_000, 1 << 20
+
+
 class ByteEncoder:
     """Ids of texts by the tokenizers library, which encodes each distinct word once.
 
@@ -48,7 +52,8 @@ class ByteEncoder:
     out, or with what may be a special token, go to the library whole.
     """
 
-    def __init__(self, file_text: str):
+    def __init__(self, file_text: str, known_words: int = KNOWN_WORDS):
+        self.known_words = known_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +72,7 @@ class ByteEncoder:
 
     def _numbers(self, hashes: np.ndarray, word) -> np.ndarray:
         """Numbers of the words with these (distinct) hashes; ``word(i)`` is the i-th."""
-        if len(self.number_of) + len(hashes) > KNOWN_WORDS:
+        if len(self.number_of) + len(hashes) > self.known_words:
             self._forget()
         listed, known = hashes.tolist(), self.number_of
         new = [i for i, h in enumerate(listed) if h not in known]
@@ -129,12 +134,13 @@ def _encoder(file_text: str) -> ByteEncoder:
 
 def token_counts(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """(doc_id, n_tokens) of every row of ``docs`` (doc_id, text), without special tokens; 0
-    for null and empty texts."""
+    for null and empty texts. A task's encoder goes with it, so that what a worker does next
+    has the memory."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
-        for batch in text_slices(batches):
+        encoder = ByteEncoder(shared.value, COUNTED_WORDS)
+        for batch in text_slices(batches, most=COUNTED_BYTES):
             _, sizes = encoder.batch(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
