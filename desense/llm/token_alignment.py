@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -46,8 +47,8 @@ from tokenizers import Tokenizer
 
 from desense.llm.common import released, text_slices, written
 
-#: Radix parts (a power of two) and bytes of text in a block, about.
-PARTS, BLOCK_BYTES = 16, 4 << 20
+#: Radix parts (a power of two), and bytes of text in a block and turned at a time, about.
+PARTS, BLOCK_BYTES, SLICE_BYTES = 16, 4 << 20, 1 << 20
 #: Runs that are merged at a time, and entries of a frame.
 FAN_IN, FRAME = 64, 1 << 16
 #: Runs of a part that meet one copy of its counts.
@@ -75,6 +76,7 @@ class Aligner:
     sizes, the groups as text, and its pairs ``a << 32 | b`` with how often each is linked."""
 
     def __init__(self, byte_file: str, piece_model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its cores
         self.a = Tokenizer.from_str(byte_file)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -325,7 +327,7 @@ def runs_of_blocks(docs: DataFrame, byte_file: str, piece_model: bytes) -> DataF
                 pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()),
             ], names=["block", "part", "n_runs", "pairs", "records"])
 
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE_BYTES):
             own_sums, own_digests, (pair, doc, times) = aligner.batch(batch.column("text").to_pylist())
             links.append((pair, doc + len(ids), times))
             ids += batch.column("doc_id").to_pylist()

@@ -85,9 +85,8 @@ def test_odd_texts(spark, monkeypatch, size):
     """Small blocks, merges of two runs and small frames, or one block for each task."""
     monkeypatch.setattr(token_alignment, "BLOCK_BYTES", size)
     if size == 1:
-        for name, value in (("FAN_IN", 2), ("FRAME", 3), ("RUNS_A_TABLE", 2), ("MOST_PIECES", 5), ("MOST_LINKS", 2)):
+        for name, value in (("SLICE_BYTES", 10), ("FAN_IN", 2), ("FRAME", 3), ("RUNS_A_TABLE", 2), ("MOST_PIECES", 5), ("MOST_LINKS", 2)):
             monkeypatch.setattr(token_alignment, name, value)
-        monkeypatch.setattr("desense.llm.common.text_slices.__defaults__", ("text", 10))
     docs = spark.createDataFrame([(None if i == 4 else i % 9, t) for i, t in enumerate(ODD)], "doc_id long, text string").withColumn("part", F.lit("x")).withColumn("block", F.lit(1))
     assert rows_of(align(docs.repartition(3))) == Counter((None if i == 4 else i % 9, *row) for i, row in enumerate(brute(ODD)))
     assert align(docs.limit(0)).collect() == []
