@@ -41,7 +41,7 @@ BLOCKS = (
 
 
 #: Words that a task remembers which counts tokens only, and bytes of text it turns at a time.
-COUNTED_WORDS, COUNTED_BYTES = 250_000, 1 << 20
+COUNTED_WORDS, COUNTED_BYTES = 500_000, 1 << 20
 
 
 class ByteEncoder:
