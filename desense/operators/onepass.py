@@ -177,7 +177,8 @@ def all_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term]) -> Da
     """(doc_id, entity_type, value, start_at, end_at, score, source, detector_order) of every
     span, before conflicts are resolved."""
     found = scanned(docs.select("doc_id", "text"), patterns, terms, lambda text, spans, _: _structs(list(dict.fromkeys(spans))), SPANS, F.array())
-    return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
+    # explode would have its arrays filtered by size first, which searches every text again
+    return found.select("doc_id", F.explode_outer("found").alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
 def kept_spans(docs: DataFrame, patterns: list[Pattern], terms: list[Term], most_spans: int = MOST_SPANS, annotated: bool = False, listed: bool = False) -> DataFrame:
