@@ -240,12 +240,11 @@ def _name_detector(frames):
     import pandas as pd
 
     for f in frames:
-        if f["text"].str.contains("😀").any():
+        texts = f["text"].tolist()
+        if any("😀" in t for t in texts):
             raise RuntimeError("no smiles")
-        at = f["text"].str.find("Customer#")
-        hit = f[at >= 0]
-        start = at[at >= 0].astype("int32")
-        yield pd.DataFrame({"doc_id": hit["doc_id"], "entity_type": "PERSON", "start_at": start, "end_at": start + 18, "score": 0.8})
+        hits = [(d, at) for d, at in ((d, t.find("Customer#")) for d, t in zip(f["doc_id"].tolist(), texts, strict=True)) if at >= 0]
+        yield pd.DataFrame([(d, "PERSON", at, at + 18, 0.8) for d, at in hits], columns=["doc_id", "entity_type", "start_at", "end_at", "score"])
 
 
 _MODEL = "SELECT doc_id, 'PERSON' AS entity_type, substring(text, strpos(text, 'Customer#'), 18) AS value, (strpos(text, 'Customer#') - 1)::INTEGER AS start_at, (strpos(text, 'Customer#') + 17)::INTEGER AS end_at, 0.8::DOUBLE AS score, 'model' AS source, 0::INTEGER AS detector_order FROM contacts WHERE contains(text, 'Customer#') AND NOT contains(text, '😀')"

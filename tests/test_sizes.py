@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from desense.operators import detect, redact
+from desense.sources import inputs
 
 
 def plan_of(df) -> str:
@@ -21,3 +22,37 @@ def test_places_and_terms_of_a_dictionary_are_not_broadcast(spark):
     many = spark.range(1001).select((F.col("id") + 1).cast("int").alias("rule_id"), F.lit("NAME").alias("entity_type"), F.lit("literal").alias("kind"), F.concat(F.lit("Customer#"), F.col("id").cast("string")).alias("pattern"), F.lit(True).alias("enabled"))
     policies = spark.createDataFrame([], "entity_type string, replacement string")
     assert "Broadcast" not in plan_of(redact.redact_texts(docs, many, policies))
+
+
+def test_contacts_of_one_row_group_are_searched_by_all_cores(spark, tmp_path):
+    import duckdb
+
+    rows = "SELECT i AS c_custkey, 'Customer#' || lpad(i::VARCHAR, 9, '0') AS c_name, rpad('x', 4000, md5(i::VARCHAR)) AS c_mktsegment FROM range(20000) t(i)"
+    duckdb.execute(f"COPY ({rows}) TO '{tmp_path}/customer.parquet' (ROW_GROUP_SIZE 1000000, COMPRESSION uncompressed)")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # many parts of the file, one of which has the rows
+    try:
+        parts = inputs.load(spark, str(tmp_path), "contacts").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert len(parts) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 20000
+
+
+def test_a_detector_is_not_asked_what_is_known(spark):
+    """Of sixteen rows with one that fails, a frame whose first half is good is not tried
+    whole again in its second half."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def detector(frames):
+        import pandas as pd
+
+        for f in frames:
+            calls.add(1)
+            if 15 in f["doc_id"].tolist():
+                raise ValueError("no")
+            yield pd.DataFrame({"doc_id": f["doc_id"], "entity_type": "A", "start_at": 0, "end_at": 1, "score": 1.0})
+
+    docs = spark.range(16).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    rows = detect.with_detector(docs, detector).collect()
+    assert [r.doc_id for r in rows if not r.ok] == [15] and sum(len(r.spans) for r in rows) == 15
+    assert calls.value == 1 + 4 + 1  # the whole, the first half at each of four steps, and the row itself
