@@ -5,18 +5,22 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from desense.functions.geometry import valid_region
 from desense.functions.replacement import FIXED, GENERIC
 from desense.operators.redact import resolve_replacement
 
 MOST_REPLACEMENT_BYTES = 4096
-#: Cells of a page's grid on each side.
-GRID = 32
+#: Hits of one text on a page that are compared with each region; of more only those near it.
+FEW_HITS = 64
+#: Pairs that leave a task at a time.
+PAIRS_AT_ONCE = 1 << 16
 BUILT_IN_TYPES = [*FIXED, "ORGANIZATION", "PHONE", "ID_CARD", "BANK_CARD"]
 
 
@@ -230,30 +234,103 @@ def first_line_of(entities: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.mapInArrow(_swept, schema).unionByName(own.where(~placed).select("doc_id", "entity_id", "line_no"))
 
 
+def _near(b: list[np.ndarray], own: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows ``own`` (regions) and hits whose boxes ``b`` touch; the hits of a region
+    are ``count`` rows from ``first`` on."""
+    few = count <= FEW_HITS
+    r = np.repeat(own[few], count[few])
+    h = np.repeat(first[few], count[few]) + np.arange(len(r)) - np.repeat(np.cumsum(count[few]) - count[few], count[few])
+    left, right = [r], [h]
+    for at in np.unique(first[~few]).tolist():
+        mine = ~few & (first == at)
+        hits = np.arange(at, at + count[mine][0])
+        hits = hits[np.argsort(b[0][hits], kind="stable")]
+        x, wide = b[0][hits], max(float((b[2][hits] - b[0][hits]).max()), 0.0)
+        # a little more than what touches, as the difference is rounded
+        los = np.searchsorted(x, b[0][own[mine]] - wide - 1e-6, side="left")
+        his = np.searchsorted(x, b[2][own[mine]], side="right")
+        for i, lo, hi in zip(own[mine].tolist(), los.tolist(), his.tolist(), strict=True):
+            close = hits[lo:hi]
+            close = close[(b[2][close] >= b[0][i]) & (b[1][close] <= b[3][i]) & (b[3][close] >= b[1][i])]
+            left.append(np.full(len(close), i))
+            right.append(close)
+    r, h = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+    met = (b[0][h] <= b[2][r]) & (b[2][h] >= b[0][r]) & (b[1][h] <= b[3][r]) & (b[3][h] >= b[1][r])
+    return r[met], h[met]
+
+
 def best_hit(regions: DataFrame, hits: DataFrame, iou: Column, region_box: tuple, hit_box: tuple) -> DataFrame:
     """For each region the hit of its text on its page with the greatest overlap ratio; ties
     take the last hit; without any overlap, or for a region without text, the region itself
     (hit_id null).
 
-    ``region_box`` and ``hit_box`` are columns (x0, y0, x1, y1) in parts of a page. Both
-    sides are dealt to the cells of a grid that they touch, and a pair counts in the first
-    cell they have in common, so what lies apart on a page does not meet.
+    ``region_box`` and ``hit_box`` are columns (x0, y0, x1, y1) in parts of a page. Regions and
+    hits come together by document once, each row once, and are walked over by page and text,
+    hits first; a task holds the hits of one text on one page. Where these are many, they are
+    sorted by place, and what lies apart does not meet.
     """
-    cell = lambda v: F.least(F.greatest(F.floor(v * GRID), F.lit(0)), F.lit(GRID - 1)).cast("int")
-    across = lambda a, b: F.sequence(cell(a), F.greatest(cell(a), cell(b)))
-
-    def dealt(df: DataFrame, box: tuple) -> DataFrame:
-        df = df.where(box[0].isNotNull() & box[1].isNotNull() & box[2].isNotNull() & box[3].isNotNull())
-        df = df.withColumns({"_x": F.explode(across(box[0], box[2]))})
-        return df.withColumn("_y", F.explode(across(box[1], box[3])))
-
     key = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    own = dealt(regions.where(F.coalesce(key, F.lit("")) != "").withColumn("_text", key), region_box)
-    met = own.join(dealt(hits.withColumn("_text", key).drop("text"), hit_box), ["doc_id", "page", "_text", "_x", "_y"])
-    once = (F.col("_x") == F.greatest(cell(region_box[0]), cell(hit_box[0]))) & (F.col("_y") == F.greatest(cell(region_box[1]), cell(hit_box[1])))
-    met = met.where(once).withColumn("ratio", iou).where("ratio > 0")
-    best = met.groupBy("doc_id", "page", "region_id").agg(F.max_by("hit_id", F.struct("ratio", "hit_id")).alias("hit_id"))
-    return regions.select("doc_id", "page", "region_id").join(best, ["doc_id", "page", "region_id"], "left")
+    placed = lambda box: box[0].isNotNull() & box[1].isNotNull() & box[2].isNotNull() & box[3].isNotNull()
+    own = regions.withColumn("_text", F.when(key != "", key)).withColumn("_kind", F.lit(1)).drop("text")
+    found = hits.withColumn("_text", key).where((F.col("_text") != "") & F.col("doc_id").isNotNull() & F.col("page").isNotNull() & placed(hit_box)).withColumn("_kind", F.lit(0)).drop("text")
+    common = ["doc_id", "page", "_text", "_kind"]
+    of_region, of_hit = ([c for c in df.columns if c not in common] for df in (own, found))
+    rows = own.unionByName(found, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions(*common)
+    rows = rows.withColumns({f"_b{i}": F.when(F.col("_kind") == 0, hit_box[i]).otherwise(region_box[i]).cast("double") for i in range(4)})
+    kept = ["doc_id", "page", *of_region]
+    schema = StructType([*(StructField(f.name, f.dataType) for f in (own.schema[c] for c in kept)), *(StructField(c, found.schema[c].dataType) for c in of_hit), StructField("_n", LongType())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every region with each hit near it, or with none, numbered."""
+        held, seen = None, 0
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+            n = len(rows)
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            same = np.ones(n - 1, bool)
+            for c in common[:3]:
+                column = rows.column(c)
+                same &= pc.fill_null(pc.equal(column.slice(1), column.slice(0, n - 1)), False).to_numpy()
+            new[1:] = ~same
+            group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+            kind = rows.column("_kind").to_numpy()
+            count = np.bincount(group, weights=kind == 0, minlength=len(begins)).astype(np.int64)
+            own = np.flatnonzero(kind == 1)
+            b = [rows.column(f"_b{i}").to_numpy() for i in range(4)]
+            r, h = _near(b, own, begins[group[own]], count[group[own]])
+            alone = np.setdiff1d(own, r)
+            r, h = np.concatenate([r, alone]), np.concatenate([h, np.full(len(alone), -1)])
+            order = np.argsort(r, kind="stable")
+            for at in range(0, len(r), PAIRS_AT_ONCE):
+                r_at, h_at = r[order[at : at + PAIRS_AT_ONCE]], h[order[at : at + PAIRS_AT_ONCE]]
+                left, right = rows.select(kept).take(pa.array(r_at)), rows.select(of_hit).take(pa.array(h_at, mask=h_at < 0))
+                yield from pa.Table.from_arrays([*left.columns, *right.columns, pa.chunked_array([pa.array(r_at + seen)])], names=schema.names).combine_chunks().to_batches()
+            seen += n
+            held = rows.slice(int(begins[-1]), int(count[-1])) if count[-1] else None
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the rows of each region, which follow each other, the best."""
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+            if not len(rows):
+                continue
+            order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("_n", "ratio", "hit_id")], null_placement="at_start").to_numpy()
+            number = rows.column("_n").to_numpy()[order]
+            last = order[np.append(number[1:] != number[:-1], True)]
+            held = rows.take(pa.array(last[-1:]))
+            yield from rows.take(pa.array(last[:-1])).select(out.names).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.select(out.names).to_batches()
+
+    pairs = rows.mapInArrow(meet, schema).withColumn("ratio", iou.cast(DoubleType()))
+    good = lambda c: F.when(F.col("ratio") > 0, F.col(c)).alias(c)
+    out = StructType([StructField(c, schema[c].dataType) for c in ("doc_id", "page", "region_id", "hit_id")])
+    return pairs.select("_n", "doc_id", "page", "region_id", good("hit_id"), good("ratio")).mapInArrow(best, out)
 
 
 def reading_order(lines: DataFrame) -> DataFrame:

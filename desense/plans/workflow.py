@@ -353,7 +353,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("region_best_hit", f"""WITH {_FOUND}, r AS (SELECT l.doc_id, l.page, line_id AS region_id, hit_id, {_IOU} AS ratio FROM lines l LEFT JOIN hits h ON h.doc_id = l.doc_id AND h.page = l.page AND {_KEY.format('h')} = {_KEY.format('l')} AND {_KEY.format('l')} <> '')
 SELECT doc_id, page, region_id, CASE WHEN max(ratio) > 0 THEN arg_max(hit_id, (ratio, hit_id)) END AS hit_id FROM r GROUP BY ALL""", "lines")
 def region_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = load(spark, sf_dir, "lines").withColumnRenamed("line_id", "region_id")
+    regions = load(spark, sf_dir, "lines").select("doc_id", "page", F.col("line_id").alias("region_id"), "text", *_BOX)
     return review.best_hit(regions, _found(spark, sf_dir), _iou(), tuple(F.col(c) for c in _BOX), tuple(F.col(f"h{c}") for c in _BOX))
 
 

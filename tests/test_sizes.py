@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from desense.operators import detect, redact
+from desense.functions import geometry
+from desense.operators import detect, redact, review
 from desense.sources import inputs
 
 
@@ -56,3 +59,29 @@ def test_a_detector_is_not_asked_what_is_known(spark):
     rows = detect.with_detector(docs, detector).collect()
     assert [r.doc_id for r in rows if not r.ok] == [15] and sum(len(r.spans) for r in rows) == 15
     assert calls.value == 1 + 4 + 1  # the whole, the first half at each of four steps, and the row itself
+
+
+def test_hits_and_regions_are_shuffled_once_each(spark):
+    """No copies for cells of a page; batches cut groups anywhere."""
+    rnd = random.Random(5)
+    box = lambda: (x := rnd.random(), y := rnd.random(), x + rnd.random() / 3, y + rnd.random() / 3)
+    hits = [(rnd.choice([1, 2, None]), rnd.choice([0, 1]), i, rnd.choice(["a", " a", "b", "", None]), *box()) for i in range(700)] + [(1, 0, 999, "a", None, 0.0, 1.0, 1.0)]
+    regions = [(rnd.choice([1, 2, 3, None]), rnd.choice([0, 1]), i, rnd.choice(["a ", "b", "c", " ", None]), *box()) for i in range(300)] + [(1, 0, 999, "a", None, 0.0, 1.0, 1.0)]
+    h = spark.createDataFrame(hits, "doc_id long, page int, hit_id int, text string, hx0 double, hy0 double, hx1 double, hy1 double")
+    r = spark.createDataFrame(regions, "doc_id long, page int, region_id int, text string, x0 double, y0 double, x1 double, y1 double")
+    boxes = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"h{c}") for c in ("x0", "y0", "x1", "y1"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = review.best_hit(r, h, geometry.overlap_ratio(*boxes), *boxes)
+        assert "Generate" not in plan_of(found) and plan_of(found).count("Exchange") == 1
+        got = {x.region_id: x.hit_id for x in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def ratio(a, b):
+        w, t = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0), max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+        return w * t / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * t)
+
+    for d, page, i, text, *own in regions:
+        best = max(((ratio(own, x[4:]), x[2]) for x in hits if d and None not in (own[0], x[4]) and x[:2] == (d, page) and text and text.strip() and (x[3] or "").strip() == text.strip()), default=(0, None))
+        assert got[i] == (best[1] if best[0] > 0 else None)
