@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,6 +17,9 @@ from desense.sources.store import Store
 #: Percent done at each stage of a job.
 STAGE_PERCENT = {"analyzing": 10, "awaiting_review": 55, "processing": 90, "completed": 100}
 
+#: Parts of a stream's keyed state. A part is one state row and one call in a micro-batch, as
+#: a call costs a millisecond, however few rows it has.
+STATE_PARTS = 2048
 #: States in which a job has finished.
 FINISHED = tuple(TERMINAL)
 
@@ -65,36 +69,58 @@ def live_jobs(updates: DataFrame, hold: str = "1 hour", late: str = "10 minutes"
 
     A finished job leaves the state once the watermark is ``hold`` past its last update, so
     the state holds running jobs and those that finished of late. Updates without a time are
-    left out.
+    left out. Jobs of a part (``STATE_PARTS``) are one state row.
     """
-    keep = pd.Timedelta(hold)
+    keep = int(pd.Timedelta(hold).total_seconds() * 1000)
 
-    def latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        was, seq, finished, last = state.get if state.exists else (None, -1, None, 0)
+    def latest(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {j: [s, q, f, t] for j, s, q, f, t in zip(*state.get, strict=True)} if state.exists else {}
+        changed: dict = {}
         for frame in frames:
-            at = frame["us"]
-            done = at[frame["state"].isin(FINISHED)]
-            if len(done):
-                finished = int(done.min()) if finished is None else min(finished, int(done.min()))
-            top = frame["seq"].idxmax()
-            if frame["seq"][top] > seq:
-                was, seq = frame["state"][top], int(frame["seq"][top])
-            last = max(last, int(at.max()))
-        state.update((was, seq, finished, last))
-        if finished is not None:
-            due = last // 1000 + int(keep.total_seconds() * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [was], "seq": [seq], "finished": pd.array([finished], "Int64")})
-
-    kind = updates.schema["job_id"].dataType.simpleString()
-    rows = _timed(updates, late, "job_id", "state", F.col("seq").cast("long").alias("seq"))
-    found = rows.groupBy("job_id").applyInPandasWithState(
-        latest, f"job_id {kind}, state string, seq long, finished long", "state string, seq long, finished long, last long", "update", GroupStateTimeout.EventTimeTimeout,
+            for job, s, q, us in zip(*(frame[c].tolist() for c in ("job_id", "state", "seq", "us")), strict=True):
+                job, s = _text(job), _text(s)
+                own = known.setdefault(job, [None, -1, None, 0])
+                if s in FINISHED:
+                    own[2] = us if own[2] is None else min(own[2], us)
+                if q > own[1]:
+                    own[0], own[1] = s, int(q)
+                own[3] = max(own[3], us)
+                changed[job] = own
+        due = {j: own[3] // 1000 + keep for j, own in known.items() if own[2] is not None}
+        _forget(state, known, due, changed, lambda: ([*known], *map(list, zip(*known.values(), strict=True))))
+        if changed:
+            was, seq, finished, _ = zip(*changed.values(), strict=True)
+            yield pd.DataFrame({"job_id": [*changed], "state": was, "seq": seq, "finished": pd.array(finished, "Int64")})
+
+    kind = updates.schema["job_id"].dataType
+    rows = _timed(updates, late, _part("job_id"), F.col("job_id").cast("string").alias("job_id"), "state", F.col("seq").cast("long").alias("seq"))
+    found = rows.groupBy("_part").applyInPandasWithState(
+        latest, "job_id string, state string, seq long, finished long", "job array<string>, state array<string>, seq array<long>, finished array<long>, last array<long>", "update", GroupStateTimeout.EventTimeTimeout,
     )
-    return found.select("job_id", "state", "seq", F.timestamp_micros("finished").alias("finished_at"))
+    return found.select(F.col("job_id").cast(kind).alias("job_id"), "state", "seq", F.timestamp_micros("finished").alias("finished_at"))
+
+
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(STATE_PARTS)).cast("int").alias("_part")
+
+
+def _text(value) -> str | None:
+    """A string of a pandas column, which may have other things for null."""
+    return value if isinstance(value, str) else None
+
+
+def _forget(state: GroupState, known: dict, due: dict, changed: dict, packed: Callable[[], tuple]) -> None:
+    """Leave out of ``known`` what is due and not changed just now, store the rest, and set
+    the timer to what is due next."""
+    now = state.getCurrentWatermarkMs()
+    for key in [k for k, t in due.items() if t <= now and k not in changed]:
+        del known[key], due[key]
+    if not known:
+        state.remove()
+        return
+    state.update(packed())
+    if due:
+        state.setTimeoutTimestamp(max(min(due.values()), now + 1))
 
 
 def _timed(rows: DataFrame, late: str, *columns) -> DataFrame:
@@ -107,34 +133,44 @@ def live_progress(items: DataFrame, hold: str = "1 hour", late: str = "10 minute
     """(batch_id, done, total, percent_sum) of batches that updates of their items (batch_id,
     idx, state, items, ts) change, in update mode; ``items`` is how many a batch has. The
     last update of an item counts, by time. A batch whose items are all done leaves the state
-    once the watermark is ``hold`` past its last update. A batch's items are one state row,
-    as batches are bounded."""
-    keep = pd.Timedelta(hold)
-
-    def counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = {i: (t, s) for i, t, s in zip(*state.get[:3], strict=True)} if state.exists else {}
-        total = state.get[3] if state.exists else 0
+    once the watermark is ``hold`` past its last update. Batches of a part (``STATE_PARTS``)
+    are one state row, with their items."""
+    keep = int(pd.Timedelta(hold).total_seconds() * 1000)
+
+    def counted(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        if state.exists:
+            batches, totals, sizes, idx, at, codes, names = state.get
+            items = zip(idx, zip(at, (names[c] for c in codes), strict=True), strict=True)
+            known = {b: [n, dict(islice(items, size))] for b, n, size in zip(batches, totals, sizes, strict=True)}
+        changed: dict = {}
         for frame in frames:
-            for i, t, s in zip(frame["idx"].tolist(), frame["us"].tolist(), frame["state"].tolist(), strict=True):
-                if i not in known or (t, s) >= known[i]:
-                    known[i] = t, s
-            total = max(total, int(frame["items"].max()))
-        order = sorted(known)
-        state.update((order, [known[i][0] for i in order], [known[i][1] for i in order], total))
-        done = sum(s == "completed" for _, s in known.values())
-        if done >= total:
-            due = max(t for t, _ in known.values()) // 1000 + int(keep.total_seconds() * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"batch_id": [key[0]], "done": [done], "total": [total], "percent_sum": [sum(STAGE_PERCENT.get(s, 0) for _, s in known.values())]})
-
-    kind = items.schema["batch_id"].dataType.simpleString()
-    rows = _timed(items, late, "batch_id", F.col("idx").cast("int").alias("idx"), "state", F.col("items").cast("long").alias("items"))
-    return rows.groupBy("batch_id").applyInPandasWithState(
-        counted, f"batch_id {kind}, done long, total long, percent_sum long", "idx array<int>, at array<long>, state array<string>, total long", "update", GroupStateTimeout.EventTimeTimeout,
+            for batch, i, t, s, n in zip(*(frame[c].tolist() for c in ("batch_id", "idx", "us", "state", "items")), strict=True):
+                batch, s = _text(batch), _text(s) or ""
+                own = known.setdefault(batch, [0, {}])
+                own[0] = max(own[0], n)
+                if i not in own[1] or (t, s) >= own[1][i]:
+                    own[1][i] = t, s
+                changed[batch] = own
+        due = {b: max(t for t, _ in own.values()) // 1000 + keep for b, (n, own) in known.items() if sum(s == "completed" for _, s in own.values()) >= n}
+
+        def packed() -> tuple:
+            names: dict[str, int] = {}
+            items = [(i, t, names.setdefault(s, len(names))) for _, own in known.values() for i, (t, s) in own.items()]
+            return [*known], [int(n) for n, _ in known.values()], [len(own) for _, own in known.values()], *map(list, zip(*items, strict=True)), [*names]
+
+        _forget(state, known, due, changed, packed)
+        if changed:
+            states = [[s for _, s in own.values()] for _, own in changed.values()]
+            yield pd.DataFrame({"batch_id": [*changed], "done": [s.count("completed") for s in states], "total": [int(n) for n, _ in changed.values()], "percent_sum": [sum(STAGE_PERCENT.get(x, 0) for x in s) for s in states]})
+
+    kind = items.schema["batch_id"].dataType
+    rows = _timed(items, late, _part("batch_id"), F.col("batch_id").cast("string").alias("batch_id"), F.col("idx").cast("int").alias("idx"), "state", F.col("items").cast("long").alias("items"))
+    found = rows.groupBy("_part").applyInPandasWithState(
+        counted, "batch_id string, done long, total long, percent_sum long",
+        "batch array<string>, total array<long>, size array<int>, idx array<int>, at array<long>, code array<int>, state array<string>", "update", GroupStateTimeout.EventTimeTimeout,
     )
+    return found.select(F.col("batch_id").cast(kind).alias("batch_id"), "done", "total", "percent_sum")
 
 
 def upsert_jobs(store: Store, most: int = 256) -> Callable[[DataFrame, int], None]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from desense.functions import geometry
 from desense.operators import detect, redact, review
 from desense.sources import inputs
+from desense.streaming import jobs
 
 
 def plan_of(df) -> str:
@@ -85,3 +87,38 @@ def test_hits_and_regions_are_shuffled_once_each(spark):
     for d, page, i, text, *own in regions:
         best = max(((ratio(own, x[4:]), x[2]) for x in hits if d and None not in (own[0], x[4]) and x[:2] == (d, page) and text and text.strip() and (x[3] or "").strip() == text.strip()), default=(0, None))
         assert got[i] == (best[1] if best[0] > 0 else None)
+
+
+def test_a_stream_calls_python_by_parts_of_its_keys(spark, tmp_path):
+    """So many keys are few state rows; what was done leaves a row, what runs stays in it."""
+    n = 3000
+    start = datetime.datetime(2024, 1, 1)
+    kept, was = {}, jobs.STATE_PARTS
+    jobs.STATE_PARTS = 16
+
+    def sink(rows, _):
+        kept.update({r[0]: tuple(r)[1:] for r in rows.collect()})
+
+    def run(make, path, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+        query = stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    try:
+        big = 1 << 60  # keys that no double holds
+        progress = lambda s: jobs.live_progress(s, "1 minute", "1 minute")
+        schema = "batch_id long, idx int, state string, items long, ts timestamp"
+        sizes = run(progress, tmp_path / "p", [(big + k, i, "completed" if k % 2 else "analyzing", 2, start) for k in range(n) for i in range(2)] + [(None, 0, "analyzing", 1, start)], schema)
+        assert max(sizes) <= 16 and len(kept) == n + 1 and kept[big + 1] == (2, 2, 200) and kept[big] == (0, 2, 20) and kept[None] == (0, 1, 10)
+        run(progress, tmp_path / "p", [(None, 0, "completed", 1, start + datetime.timedelta(hours=1))], schema)
+        kept.clear()
+        run(progress, tmp_path / "p", [(big + k, 0, "completed", 2, start + datetime.timedelta(hours=1, minutes=1)) for k in range(2)], schema)
+        assert kept == {big: (1, 2, 110), big + 1: (1, 2, 100)}  # the second one was done and forgotten
+        kept.clear()
+        schema = "job_id long, state string, seq long, ts timestamp"
+        sizes = run(lambda s: jobs.live_jobs(s), tmp_path / "j", [(big + k, s, i, start) for k in range(n) for i, s in enumerate(("queued", "failed"))], schema)
+        assert max(sizes) <= 16 and len(kept) == n and kept[big + 7] == ("failed", 1, start)
+    finally:
+        jobs.STATE_PARTS = was
