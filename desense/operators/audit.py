@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from desense.operators.detect import detect_all
 
@@ -62,19 +67,53 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.count(text).cast("string"), *sums), 256)
 
 
+def ordered_hash(texts: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, output_hash): for each group the SHA-256 of the hexadecimal SHA-256 of all its
+    texts, in order, one after another; of none where all texts are null: null.
+
+    Such a hash is one sequence for a group by its nature. Spark sorts the hashes, on disk where
+    they are many, and a task passes them through one after another and holds a batch."""
+    rows = texts.select(*by, F.sha2("text", 256).alias("_hash")).repartition(*by).sortWithinPartitions(*by, "_hash")
+    schema = StructType([*(texts.schema[c] for c in by), StructField("output_hash", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, some = None, None, False
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, digest.hexdigest() if some else None), strict=True))], schema=arrow)
+
+        for batch in batches:
+            for *own, text in zip(*(batch.column(c).to_pylist() for c in (*by, "_hash")), strict=True):
+                if own != key:
+                    if key is not None:
+                        yield done()
+                    key, digest, some = own, hashlib.sha256(), False
+                if text is not None:
+                    digest.update(text.encode())
+                    some = True
+        if key is not None:
+            yield done()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(run, schema)
+
+
 def acceptance_summary(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """For each source and mode of redacted documents (doc_id, source, mode, text, pages,
-    elapsed_ms): documents, pages, spans by type as JSON, bytes, elapsed time, and a digest
-    of all texts, in whatever order (``text_digest``)."""
+    elapsed_ms): documents, pages, spans by type as JSON, bytes, elapsed time, and a hash of
+    all texts' hashes in order (``ordered_hash``)."""
     by = ["source", "mode"]
     typed = docs.select("doc_id", *by).join(spans.select("doc_id", "entity_type"), "doc_id").groupBy(*by, "entity_type").agg(F.count(F.lit(1)).alias("n"))
     counts = typed.groupBy(*by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n"))))).alias("entities"))
     whole = docs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.col("pages").cast("long")).alias("pages"),
-        text_digest(F.col("text")).alias("output_hash"),
         F.sum(F.octet_length("text").cast("long")).alias("output_bytes"), F.sum("elapsed_ms").alias("elapsed_ms"),
     )
-    return whole.join(counts, by, "left")
+    hashes = ordered_hash(docs, by)
+    same = [whole[c].eqNullSafe(hashes[c]) for c in by]
+    return whole.join(hashes, same[0] & same[1]).select(*[whole[c] for c in whole.columns], "output_hash").join(counts, by, "left")
 
 
 def annotation_diff(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-4) -> DataFrame:
