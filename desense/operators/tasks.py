@@ -70,9 +70,23 @@ def batch_admission(files: DataFrame, most_files: int = 20, most_bytes: int = 50
     return files.groupBy("batch_id").agg(n.alias("n"), size.alias("total_bytes")).withColumn("verdict", verdict)
 
 
+#: Parts that rows without a task are dealt to in a join by task.
+LOOSE_PARTS = 4096
+
+
+def _dealt(rows: DataFrame, tasks: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``tasks`` by task_id. Rows without a task meet none, and would all
+    be of one join partition, so a second key deals them out; it follows from the task where
+    there is one. (A constant there would be folded into a filter, and be no key.)"""
+    own = F.xxhash64(*[c for c, t in rows.dtypes if c != "task_id" and not t.startswith("map")]) if len(rows.columns) > 1 else (F.rand(7) * (1 << 30)).cast("long")
+    part = lambda h: F.pmod(h, F.lit(LOOSE_PARTS)).cast("int")
+    rows = rows.withColumn("_loose", F.when(F.col("task_id").isNull(), part(own)).otherwise(part(F.xxhash64("task_id"))))
+    return rows.join(tasks.withColumn("_loose", part(F.xxhash64("task_id"))), ["task_id", "_loose"], how).drop("_loose")
+
+
 def refresh_items(items: DataFrame, tasks: DataFrame) -> DataFrame:
     """Items take their task's state; a missing task fails them, items without task stay."""
-    rows = items.join(tasks.select("task_id", F.col("state").alias("now")), "task_id", "left")
+    rows = _dealt(items, tasks.select("task_id", F.col("state").alias("now")), "left")
     lost = F.col("task_id").isNotNull() & F.col("now").isNull()
     return rows.select(
         "batch_id", "idx", F.when(lost, "failed").otherwise(F.coalesce("now", "state")).alias("state"), F.when(lost, "TASK_MISSING").alias("error"),
@@ -80,7 +94,7 @@ def refresh_items(items: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def batch_summary(items: DataFrame, tasks: DataFrame) -> DataFrame:
-    rows = items.join(tasks.select("task_id", "reviewed_revision"), "task_id", "left")
+    rows = _dealt(items, tasks.select("task_id", "reviewed_revision"), "left")
     has = F.col("task_id").isNotNull() & F.col("reviewed_revision").isNotNull()
     return rows.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(has & (F.col("reviewed_revision") > 0)).alias("reviewed"),
@@ -165,7 +179,7 @@ def delete_tasks(tasks: DataFrame, ids: DataFrame, *owned: DataFrame) -> tuple[D
     asked = tasks.join(ids, "task_id", "left_semi")
     busy = asked.where("state in ('queued', 'analyzing', 'processing')")
     gone = asked.join(busy.select("task_id"), "task_id", "left_anti").select("task_id")
-    return tasks.join(gone, "task_id", "left_anti"), [o.join(gone, "task_id", "left_anti") for o in owned], busy.select("task_id", F.lit("INVALID_TASK_STATE").alias("error"))
+    return tasks.join(gone, "task_id", "left_anti"), [_dealt(o, gone, "left_anti") for o in owned], busy.select("task_id", F.lit("INVALID_TASK_STATE").alias("error"))
 
 
 TASK_SCHEMA = "task_id long, state string, revision int, reviewed_revision int, created_at long, page_count int, _corrupt_record string"

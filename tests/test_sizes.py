@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
 from desense.functions import geometry
-from desense.operators import detect, redact, review
+from desense.operators import audit, detect, redact, review, tasks
 from desense.sources import inputs
 from desense.streaming import jobs
 
@@ -122,3 +123,36 @@ def test_a_stream_calls_python_by_parts_of_its_keys(spark, tmp_path):
         assert max(sizes) <= 16 and len(kept) == n and kept[big + 7] == ("failed", 1, start)
     finally:
         jobs.STATE_PARTS = was
+
+
+def test_rows_without_a_task_are_not_one_partition(spark):
+    items = spark.range(4000).select((F.col("id") % 50).alias("batch_id"), F.col("id").alias("idx"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("task_id"), F.lit("failed").alias("state"))
+    known = spark.range(0, 4000, 8).select(F.col("id").alias("task_id"), F.lit("completed").alias("state"), F.lit(1).alias("reviewed_revision"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        of = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        assert of(tasks.refresh_items(items, known))[-1] < 1500
+        left = tasks.delete_tasks(known, known.select("task_id"), items)[1][0]
+        assert of(left)[-1] < 1500 and left.count() == 3500 and sorted(left.columns) == sorted(items.columns)
+        bare = tasks.delete_tasks(known, known.select("task_id"), items.select("task_id"))[1][0]
+        assert of(bare)[-1] < 1500 and bare.count() == 3500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = tasks.refresh_items(items, known).groupBy("state", "error").count().collect()
+    assert {(r.state, r.error): r["count"] for r in got} == {("completed", None): 500, ("failed", "TASK_MISSING"): 500, ("failed", None): 3000}
+
+
+def test_hash_of_all_hashes_in_order(spark):
+    texts = {"a": ["x", "y", "y", None], "b": ["y"], "c": [None], None: ["z", "w"]}
+    rows = spark.createDataFrame([(s, 1, t) for s, ts in texts.items() for t in ts], "source string, mode int, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.source: r.output_hash for r in audit.ordered_hash(rows, ["source", "mode"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {s: hashed("".join(sorted(hashed(t) for t in ts if t is not None))) if any(ts) else None for s, ts in texts.items()}
