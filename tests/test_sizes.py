@@ -156,3 +156,23 @@ def test_hash_of_all_hashes_in_order(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {s: hashed("".join(sorted(hashed(t) for t in ts if t is not None))) if any(ts) else None for s, ts in texts.items()}
+
+
+def _given_to_python(monkeypatch, df, make):
+    """What ``make`` gives to mapInArrow: all rows as one batch, and what comes out of it."""
+    given = []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, f, *_: given.append((self, f)) or self)
+        make()
+    rows, f = given[-1]
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    return batch, list(f(iter([batch])))
+
+
+def test_segments_of_many_texts_leave_a_task_together(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a😀bcd").alias("text"))
+    marks = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("start_at"), F.lit(3).alias("end_at"), F.lit("T").alias("entity_type"))
+    batch, out = _given_to_python(monkeypatch, docs, lambda: redact.redact_segments(docs, marks))
+    assert len(out) == 1 and batch.num_rows == 300
+    got = sorted(zip(*(c.to_pylist() for c in out[0].columns), strict=True), key=lambda r: r[:2])
+    assert len(got) == 600 and got[:4] == [(0, 0, 1, None, "a"), (0, 1, 3, "T", "😀b"), (0, 3, 5, None, "cd"), (1, 0, 5, None, "a😀bcd")]
