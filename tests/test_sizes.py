@@ -9,7 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from desense.functions import geometry
-from desense.operators import audit, detect, redact, review, tasks
+from desense.operators import audit, detect, redact, review, spans, tasks
 from desense.sources import inputs
 from desense.streaming import jobs
 
@@ -176,3 +176,15 @@ def test_segments_of_many_texts_leave_a_task_together(spark, monkeypatch):
     assert len(out) == 1 and batch.num_rows == 300
     got = sorted(zip(*(c.to_pylist() for c in out[0].columns), strict=True), key=lambda r: r[:2])
     assert len(got) == 600 and got[:4] == [(0, 0, 1, None, "a"), (0, 1, 3, "T", "😀b"), (0, 3, 5, None, "cd"), (1, 0, 5, None, "a😀bcd")]
+
+
+def test_places_of_many_texts_leave_a_task_together(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("é😀中"), F.col("id").cast("string")).alias("text"))
+    marks = docs.select("doc_id", F.lit(1).alias("start_at"), F.lit(3).alias("end_at")).unionByName(docs.select("doc_id", F.lit(2).alias("start_at"), F.lit(99).alias("end_at")))
+    _, out = _given_to_python(monkeypatch, docs, lambda: spans.located(marks, docs))
+    assert len(out) == 1
+    got = {r.pop("doc_id") * 10 + r["start_at"]: r for r in out[0].to_pylist()}
+    assert len(got) == 600
+    for i in range(300):
+        n = len(str(i))
+        assert list(got[i * 10 + 1].values()) == [1, 3, "😀中", 2, 9, 1, 4] and list(got[i * 10 + 2].values()) == [2, 99, f"中{i}", 6, 9 + n, 3, 4 + n]
