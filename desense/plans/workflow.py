@@ -10,7 +10,7 @@ from desense.functions.replacement import DEFAULT_SQL, GENERIC
 from desense.operators import audit, edits, review, sequence, tasks
 from desense.operators.spans import default_selection
 from desense.sources import sinks
-from desense.sources.inputs import load, oracle, workspace
+from desense.sources.inputs import dealt, load, oracle, workspace
 from desense.sources.store import Conflict, Store
 
 QUERIES: dict = {}
@@ -266,15 +266,17 @@ _REMOVED = f"{_REGION_EDITS}, j AS (SELECT judged.doc_id, judged.region_id, coal
 
 def _region_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("edited "), F.col("l_linenumber").cast("string"))
-    rows = load(spark, sf_dir, "lineitem").select(
+    items = load(spark, sf_dir, "lineitem")
+    rows = items.select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") + 3).alias("region_id"), text.alias("text"), (F.col("l_orderkey") % 2).cast("int").alias("expected"),
         (F.col("l_linenumber") % 3).cast("int").alias("page"), F.lit(0.1).alias("x0"), F.lit(0.1).alias("y0"), (F.lit(0.1) + (F.col("l_linenumber") % 4).cast("double") / 10).alias("x1"), F.lit(0.2).alias("y1"),
-    ).distinct()
+    )
+    rows = dealt(rows, items, "doc_id").distinct()
     return rows.withColumn("polygon", _polygon())
 
 
 def _edited(spark: SparkSession, sf_dir: str, change) -> tuple[DataFrame, DataFrame, DataFrame]:
-    regions = load(spark, sf_dir, "regions").withColumn("polygon", _polygon())
+    regions = dealt(load(spark, sf_dir, "regions"), load(spark, sf_dir, "lineitem"), "doc_id", "region_id").withColumn("polygon", _polygon())
     return change(regions, _region_edits(spark, sf_dir), _reviews(spark, sf_dir))
 
 
@@ -399,7 +401,8 @@ c AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page ORDER BY cy, x0, line_i
 
 @query("reading_order", f"WITH {_BANDS} SELECT doc_id, page, line_id, place FROM o", "lines")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.reading_order(load(spark, sf_dir, "lines")).select("doc_id", "page", "line_id", "place")
+    lines = dealt(load(spark, sf_dir, "lines"), load(spark, sf_dir, "lineitem"), "doc_id", "page")
+    return review.reading_order(lines).select("doc_id", "page", "line_id", "place")
 
 
 _ASSEMBLED = """seq AS (SELECT doc_id, line_id AS line_no, text FROM lines),

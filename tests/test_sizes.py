@@ -5,11 +5,16 @@ from __future__ import annotations
 import datetime
 import hashlib
 import random
+import re
 
+import pyarrow as pa
+import pytest
+from compare import SF_DIR
 from pyspark.sql import functions as F
 
-from desense.functions import geometry
-from desense.operators import audit, detect, redact, review, spans, tasks
+from desense.functions import geometry, replacement
+from desense.operators import audit, detect, onepass, redact, review, spans, tasks
+from desense.plans import registry
 from desense.sources import inputs
 from desense.streaming import jobs
 
@@ -188,3 +193,34 @@ def test_places_of_many_texts_leave_a_task_together(spark, monkeypatch):
     for i in range(300):
         n = len(str(i))
         assert list(got[i * 10 + 1].values()) == [1, 3, "😀中", 2, 9, 1, 4] and list(got[i * 10 + 2].values()) == [2, 99, f"中{i}", 6, 9 + n, 3, 4 + n]
+
+
+def test_a_text_goes_to_python_once(spark):
+    """Bounded parts of a batch; the same replacements as the table's."""
+    docs = spark.createDataFrame([(1, "电话13812345678，邮箱a@b.cc"), (2, "x"), (3, "")], "doc_id long, text string")
+    policies = spark.createDataFrame([("EMAIL", "")], "entity_type string, replacement string")
+    out = redact.redact_texts(docs, None, policies)
+    assert plan_of(out).count("ArrowEvalPython") == 1
+    assert {r.doc_id: (r.redacted, r.n_spans, r.error) for r in out.collect()} == {1: ("电话138****5678，邮箱", 2, None), 2: ("x", 0, None), 3: (None, 0, "EMPTY_TEXT")}
+    texts = pa.array(["x" * 700_000, None, "y" * 700_000, "z" * 3_000_000, *["w"] * 3000])
+    parts = list(onepass.runs(texts))
+    assert parts[:3] == [(0, 2), (2, 1), (3, 1)] and [n for _, n in parts[3:]] == [1024, 1024, 952] and list(onepass.runs(texts[:0])) == []
+
+
+def test_a_replacement_in_a_task_is_that_of_the_table(spark):
+    cases = [(t, v) for t in [*replacement.LABELS, "OTHER", None] for v in ("13812345678", "138", "北京大学", "某社", "")]
+    rows = spark.createDataFrame(cases, "t string, v string").select("t", "v", replacement.default_replacement(F.col("t"), F.col("v")).alias("r")).collect()
+    assert all(r.r == replacement.default_of(r.t, r.v) for r in rows) and len(rows) == len(cases)
+
+
+@pytest.mark.parametrize("name", ["upsert_regions", "upsert_regions_reviews", "remove_regions", "reading_order", "external_annotations"])
+def test_shuffles_have_parts_by_the_rows_of_the_table(spark, monkeypatch, name):
+    """However few parts the session has, a task holds a bounded number of rows."""
+    monkeypatch.setattr(inputs, "ROWS_A_PART", 100, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan_of(registry.QUERIES[name](spark, SF_DIR)))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert parts == {-(-spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count() // 100)}
