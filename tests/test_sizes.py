@@ -195,6 +195,42 @@ def test_places_of_many_texts_leave_a_task_together(spark, monkeypatch):
         assert list(got[i * 10 + 1].values()) == [1, 3, "😀中", 2, 9, 1, 4] and list(got[i * 10 + 2].values()) == [2, 99, f"中{i}", 6, 9 + n, 3, 4 + n]
 
 
+def test_spans_of_many_texts_leave_a_task_together(spark, monkeypatch):
+    """As rows, in as many batches as the texts have runs; before that only lengths go in."""
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("😀\uFDD0 13812345678，"), F.col("id").cast("string"), F.lit("@b.cc"))).when(F.col("id") % 3 == 1, F.lit("none"))
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    batch, out = _given_to_python(monkeypatch, docs, lambda: detect.detect_all(docs))
+    assert {str(c.type) for c in batch.columns[2:]} == {"list<element: int32>"} and len(out) == 3
+    assert [t for t, i in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True) if i % 3] == [None] * 1666
+    got = sorted(tuple(r.values())[:5] for b in out for r in b.to_pylist())
+    want = [s for i in range(0, 2500, 3) for s in ((i, "EMAIL", f"{i}@b.cc", 15, 20 + len(str(i))), (i, "PHONE", "13812345678", 3, 14))]
+    assert got == want
+
+
+def test_ids_of_spans_are_made_after_the_shuffle(spark):
+    rows = [(i % 40, t, "x" * n, i % 7, i % 7 + n, s, "r", 1) for i in range(600) for t, n, s in (("A", 1 + i % 5, 0.5), ("B", 2, 0.4 + i % 3 / 10))]
+    found = spark.createDataFrame(rows, "doc_id long, entity_type string, value string, start_at int, end_at int, score double, source string, detector_order int")
+    kept = spans.resolve_conflicts(found)
+    plan = plan_of(kept)
+    assert plan.count("Exchange") == 1 and "sha2" in plan.split("Exchange")[0] and "sha2" not in plan.split("Exchange")[1]
+    assert sorted(kept.collect()) == sorted(spans.resolve_conflicts(spans.with_entity_id(found)).collect()) and kept.count() > 40
+
+
+def test_spans_and_texts_meet_without_a_broadcast(spark):
+    text = F.when(F.col("id") % 5 > 0, F.concat(F.lit("a😀bcd"), F.col("id").cast("string")))
+    docs = spark.range(2500).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    marks = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("start_at"), F.lit(3).alias("end_at"), F.when(F.col("doc_id") % 3 > 0, F.lit("[T]")).alias("replacement"))
+    marks = marks.unionByName(docs.where("doc_id % 4 = 0").select("doc_id", F.lit(4).alias("start_at"), F.lit(5).alias("end_at"), F.lit("[U]").alias("replacement")))
+    out = redact.redact_documents(docs, marks)
+    assert "Broadcast" not in plan_of(out)
+    got = {r.doc_id: (r.redacted, r.n_spans, r.error) for r in out.collect()}
+    assert len(got) == 2500
+    for i, (redacted, n, error) in got.items():
+        first = "a😀b" if i % 2 else "a" + ("[T]" if i % 3 else "")
+        want = None if i % 5 == 0 else first + ("cd" if i % 2 else "c[U]" if i % 4 == 0 else "cd") + str(i)
+        assert (redacted, n, error) == (want, 0 if i % 2 else 1 + (i % 4 == 0), None), i
+
+
 def test_a_text_goes_to_python_once(spark):
     """Bounded parts of a batch; the same replacements as the table's."""
     docs = spark.createDataFrame([(1, "电话13812345678，邮箱a@b.cc"), (2, "x"), (3, "")], "doc_id long, text string")
