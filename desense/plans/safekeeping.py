@@ -155,14 +155,23 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(jobs.stream_redact(docs, load(spark, sf_dir, "rules"), load(spark, sf_dir, "policies")), "append")
 
 
-def _in_steps(spark: SparkSession, path: str, rows: DataFrame, ts: str, first: int, last: int, steps: int = 4) -> DataFrame:
-    """Rows of the given steps of time, written one after another below ``path``, as a file
-    stream that reads them in that order."""
+def _in_steps(spark: SparkSession, path: str, rows: DataFrame, ts: str, first: int, last: int, steps: int = 4, files: int = 2) -> DataFrame:
+    """Rows of the given steps of time, written one after another below ``path``, each to so
+    many files, as a file stream that reads them in that order."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     cuts = [float("-inf"), *rows.select(at.alias("us")).approxQuantile("us", [i / steps for i in range(1, steps)], 0.001), float("inf")]
     for lo, hi in list(zip(cuts, cuts[1:], strict=False))[first:last]:
-        rows.where((at > lo) & (at <= hi)).repartition(2).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        rows.where((at > lo) & (at <= hi)).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+#: Rows of a file of a step, about.
+_ROWS_A_FILE = 1 << 21
+
+
+def _files(kept: DataFrame, steps: int = 4) -> int:
+    """How many files the rows of a stored table need in each step."""
+    return max(2, -(-kept.count() // steps // _ROWS_A_FILE))
 
 
 def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -173,8 +182,10 @@ def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def _into(stream: DataFrame, sink, path: str) -> None:
-    """Run a stream into a sink of micro-batches, from its checkpoint on."""
-    stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    """Run a stream into a sink of micro-batches, from its checkpoint on, with its state on
+    disk."""
+    with jobs.state_on_disk(stream.sparkSession):
+        stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
 
 
 @query("stream_live_jobs", f"""WITH snap AS (SELECT job_id, arg_max(state, seq) AS state, max(seq)::BIGINT AS seq, min(CASE WHEN state IN {tuple(tasks.TERMINAL)} THEN ts END) AS finished_at FROM state_log GROUP BY 1)
@@ -185,7 +196,7 @@ def stream_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark)
     store, log = Store(spark, f"{path}-jobs"), _kept(spark, load(spark, sf_dir, "state_log"))
     for first, last in ((0, 2), (2, 4)):
-        updates = _in_steps(spark, path, log, "ts", first, last)
+        updates = _in_steps(spark, path, log, "ts", first, last, files=_files(log))
         _into(jobs.live_jobs(updates, "36500 days"), jobs.upsert_jobs(store, 20), path)
     return store.read("jobs").select("job_id", "state", "seq")
 
@@ -200,7 +211,7 @@ def stream_live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("batch_id", "idx", "items", "s.state", F.timestamp_seconds(F.col("s.at") + F.col("idx")).alias("ts"))
     rows = _kept(spark, rows)
     for first, last in ((0, 1), (1, 4)):
-        updates = _in_steps(spark, path, rows, "ts", first, last)
+        updates = _in_steps(spark, path, rows, "ts", first, last, files=_files(rows))
         _into(jobs.live_progress(updates, "36500 days"), jobs.upsert_progress(store), path)
     return store.read("progress")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,10 +22,33 @@ STAGE_PERCENT = {"analyzing": 10, "awaiting_review": 55, "processing": 90, "comp
 #: Parts of a stream's keyed state. A part is one state row and one call in a micro-batch, as
 #: a call costs a millisecond, however few rows it has.
 STATE_PARTS = 2048
+#: Updates of a part that are merged into its items at a time, at least.
+ROWS_AT_ONCE = 1 << 17
+#: Settings of a stream whose state is in files of the executors' own disks. Spark's default
+#: holds several versions of all state in the executors' heaps. The memory is an executor's,
+#: for all its parts together.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 #: States in which a job has finished.
 FINISHED = tuple(TERMINAL)
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within it keep their state on disk (``STATE_ON_DISK``)."""
+    was = {k: spark.conf.get(k, None) for k in STATE_ON_DISK}
+    try:
+        for k, v in STATE_ON_DISK.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def stream_redact(docs: DataFrame, rules: DataFrame | None = None, policies: DataFrame | None = None) -> DataFrame:
     """(doc_id, redacted, n_spans, error) of a stream of documents: what ``redact_texts``
     makes of the same rows, with all its rules; stateless. ``rules`` and ``policies`` are
@@ -134,45 +159,97 @@ def live_progress(items: DataFrame, hold: str = "1 hour", late: str = "10 minute
     idx, state, items, ts) change, in update mode; ``items`` is how many a batch has. The
     last update of an item counts, by time. A batch whose items are all done leaves the state
     once the watermark is ``hold`` past its last update. Batches of a part (``STATE_PARTS``)
-    are one state row, with their items."""
+    are one state row, with their items as compressed columns. The state has every item of
+    the batches that run or are held: start it in ``state_on_disk``."""
     keep = int(pd.Timedelta(hold).total_seconds() * 1000)
 
     def counted(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        if state.exists:
-            batches, totals, sizes, idx, at, codes, names = state.get
-            items = zip(idx, zip(at, (names[c] for c in codes), strict=True), strict=True)
-            known = {b: [n, dict(islice(items, size))] for b, n, size in zip(batches, totals, sizes, strict=True)}
-        changed: dict = {}
-        for frame in frames:
-            for batch, i, t, s, n in zip(*(frame[c].tolist() for c in ("batch_id", "idx", "us", "state", "items")), strict=True):
-                batch, s = _text(batch), _text(s) or ""
-                own = known.setdefault(batch, [0, {}])
-                own[0] = max(own[0], n)
-                if i not in own[1] or (t, s) >= own[1][i]:
-                    own[1][i] = t, s
-                changed[batch] = own
-        due = {b: max(t for t, _ in own.values()) // 1000 + keep for b, (n, own) in known.items() if sum(s == "completed" for _, s in own.values()) >= n}
-
-        def packed() -> tuple:
-            names: dict[str, int] = {}
-            items = [(i, t, names.setdefault(s, len(names))) for _, own in known.values() for i, (t, s) in own.items()]
-            return [*known], [int(n) for n, _ in known.values()], [len(own) for _, own in known.values()], *map(list, zip(*items, strict=True)), [*names]
-
-        _forget(state, known, due, changed, packed)
-        if changed:
-            states = [[s for _, s in own.values()] for _, own in changed.values()]
-            yield pd.DataFrame({"batch_id": [*changed], "done": [s.count("completed") for s in states], "total": [int(n) for n, _ in changed.values()], "percent_sum": [sum(STAGE_PERCENT.get(x, 0) for x in s) for s in states]})
+        (keys, total), (batch, idx, us, code), names = (*map(_unpacked, state.get[:2]), state.get[2]) if state.exists else _NO_ITEMS
+        changed = np.zeros(len(keys), bool)
+        for rows in _gathered(frames, max(ROWS_AT_ONCE, len(idx))):
+            keys, of = _with_keys(keys, rows["batch_id"])
+            total, changed = (np.append(x, np.zeros(len(keys) - len(x), x.dtype)) for x in (total, changed))
+            np.maximum.at(total, of, rows["items"].fillna(0).to_numpy(np.int64))
+            changed[of] = True
+            names, code, new = _with_names(names, code, rows["state"])
+            batch, idx, us, code = _last_updates(*(np.append(x, y) for x, y in ((batch, of), (idx, rows["idx"].fillna(_NO_IDX).to_numpy(np.int64)), (us, rows["us"].to_numpy(np.int64)), (code, new))))
+        first = np.flatnonzero(np.append(True, batch[1:] != batch[:-1]))  # a batch's first item: all have one
+        done, percent = (np.add.reduceat(np.array(x, np.int64)[code], first) for x in ([n == "completed" for n in names], [STAGE_PERCENT.get(n, 0) for n in names]))
+        ended, due, now = done >= total, np.maximum.reduceat(us, first) // 1000 + keep, state.getCurrentWatermarkMs()
+        stay = ~ended | (due > now) | changed
+        if not stay.any():
+            state.remove()
+        else:
+            held = stay[batch]
+            place = np.cumsum(stay) - 1
+            state.update((_packed(key=pa.array(keys[stay], pa.string()), total=total[stay]), _packed(batch=place[batch[held]], idx=idx[held], us=us[held], code=code[held]), [*names]))
+            if (stay & ended).any():
+                state.setTimeoutTimestamp(max(int(due[stay & ended].min()), now + 1))
+        if changed.any():
+            yield pd.DataFrame({"batch_id": keys[changed], "done": done[changed], "total": total[changed], "percent_sum": percent[changed]})
 
     kind = items.schema["batch_id"].dataType
     rows = _timed(items, late, _part("batch_id"), F.col("batch_id").cast("string").alias("batch_id"), F.col("idx").cast("int").alias("idx"), "state", F.col("items").cast("long").alias("items"))
     found = rows.groupBy("_part").applyInPandasWithState(
-        counted, "batch_id string, done long, total long, percent_sum long",
-        "batch array<string>, total array<long>, size array<int>, idx array<int>, at array<long>, code array<int>, state array<string>", "update", GroupStateTimeout.EventTimeTimeout,
+        counted, "batch_id string, done long, total long, percent_sum long", "batches binary, items binary, states array<string>", "update", GroupStateTimeout.EventTimeTimeout,
     )
     return found.select(F.col("batch_id").cast(kind).alias("batch_id"), "done", "total", "percent_sum")
 
 
+#: Stands for an item's missing number, as no int is so large.
+_NO_IDX = 1 << 40
+#: A part's batches (key, total), its items (place of the batch, number, time, place of the
+#: state), by batch and number, and the names of states, in order.
+_NO_ITEMS = (np.empty(0, object), np.empty(0, np.int64)), (np.empty(0, np.int64),) * 4, []
+
+
+def _packed(**columns) -> bytes:
+    rows, out = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    with pa.ipc.open_stream(data) as stream:
+        return [c.to_numpy() for c in stream.read_all().columns]
+
+
+def _gathered(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of frames, about ``most`` at a time."""
+    rows: list = []
+    for frame in frames:
+        rows += [frame] if len(frame) else []
+        if sum(map(len, rows)) >= most:
+            yield pd.concat(rows, ignore_index=True)
+            rows = []
+    if rows:
+        yield pd.concat(rows, ignore_index=True)
+
+
+def _with_keys(keys: np.ndarray, new: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and then those that are new, each once, and the places of ``new`` in them."""
+    places, every = pd.factorize(np.append(keys, new.to_numpy(object)), use_na_sentinel=False)
+    return np.where(pd.isna(every), None, every), places[len(keys):]
+
+
+def _with_names(names: list[str], code: np.ndarray, new: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names with those that are new, in order, and the places in them of what ``code`` and
+    ``new`` name; a missing name is an empty one."""
+    places, found = pd.factorize(new.fillna("").to_numpy(object))
+    every = sorted({*names, *found})
+    at = {n: i for i, n in enumerate(every)}
+    return every, *(np.array([at[n] for n in some], np.int64)[of] for some, of in ((names, code), (found, places)))
+
+
+def _last_updates(batch: np.ndarray, idx: np.ndarray, us: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
+    """The last update of each item, by batch and number."""
+    order = np.lexsort((code, us, idx, batch))
+    b, i = batch[order], idx[order]
+    order = order[np.append((b[1:] != b[:-1]) | (i[1:] != i[:-1]), True)]
+    return [x[order] for x in (batch, idx, us, code)]
+
+
 def upsert_jobs(store: Store, most: int = 256) -> Callable[[DataFrame, int], None]:
     """A sink of ``live_jobs``: table ``jobs`` of the store has all running jobs and the
     ``most`` that finished last. Each micro-batch is one version, which notes it, so one
@@ -190,13 +267,15 @@ def upsert_jobs(store: Store, most: int = 256) -> Callable[[DataFrame, int], Non
 
 
 def upsert_progress(store: Store) -> Callable[[DataFrame, int], None]:
-    """A sink of ``live_progress``: table ``progress`` of the store, a row a batch."""
+    """A sink of ``live_progress``: table ``progress`` of the store, a row a batch. A micro-batch's
+    rows are used once, as the state would be gone through again for another use."""
 
     def write(rows: DataFrame, batch: int) -> None:
         if not _new(store, batch):
             return
         if store.version():
-            rows = rows.unionByName(store.read("progress").join(rows.select("batch_id"), "batch_id", "left_anti"))
+            both = rows.withColumn("_new", F.lit(True)).unionByName(store.read("progress").withColumn("_new", F.lit(False)))
+            rows = both.groupBy("batch_id").agg(*(F.max_by(c, "_new").alias(c) for c in rows.columns if c != "batch_id"))
         store.commit(store.version(), str(batch), progress=rows)
 
     return write

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from desense.operators import detect
+from desense.plans import safekeeping
 from desense.sources.store import Store
 from desense.streaming import jobs
 
@@ -81,6 +83,64 @@ def test_progress_ends_with_its_batch(spark, tmp_path):
     assert got == {k: (3, 3, 300) for k in range(5)} | {99: (0, 2, 55)}
 
 
+ITEM = "batch_id long, idx int, state string, items long, ts timestamp"
+
+
+def test_progress_of_odd_updates(spark, tmp_path, monkeypatch):
+    """Items that come again, late, twice at a time, or without a batch, number, state or
+    count, a few at a time, equal a plain count."""
+    monkeypatch.setattr(jobs, "ROWS_AT_ONCE", 16)
+    r = random.Random(3)
+    store = Store(spark, str(tmp_path / "s"))
+    feed = Feed(spark, tmp_path / "in", ITEM, lambda s: jobs.live_progress(s, "36500 days", "1000 days"), jobs.upsert_progress(store))
+    last, total = {}, {}
+    for _ in range(3):
+        rows = [(r.choice([*range(6), None]), r.choice([0, 1, 2, None]), r.choice(["completed", "analyzing", "other", None]), r.choice([3, 5, None]), r.choice([at(r.randrange(9)), None])) for _ in range(150)]
+        feed.run(rows)
+        for b, i, s, n, t in rows:
+            if t is not None:
+                last[b, i] = max(last.get((b, i), (t, "")), (t, s or ""))
+                total[b] = max(total.get(b, 0), n or 0)
+        states = {b: [s for (c, _), (_, s) in last.items() if c == b] for b in total}
+        want = [(b, s.count("completed"), total[b], sum(jobs.STAGE_PERCENT.get(x, 0) for x in s)) for b, s in states.items()]
+        assert sorted(map(tuple, store.read("progress").collect()), key=str) == sorted(want, key=str)
+
+
+def test_state_of_live_streams_is_on_disk(spark, tmp_path):
+    """Not in the executors' heaps: the checkpoint has files of a store on disk alone."""
+    was = {k: spark.conf.get(k, None) for k in jobs.STATE_ON_DISK}
+    make = {
+        "progress": (ITEM, [(1, 0, "completed", 1, at(0))], jobs.live_progress, jobs.upsert_progress),
+        "jobs": (UPDATE, [(1, "completed", 1, at(0))], jobs.live_jobs, jobs.upsert_jobs),
+    }
+    for name, (schema, rows, live, sink) in make.items():
+        path, store = str(tmp_path / name), Store(spark, str(tmp_path / f"{name}-s"))
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        safekeeping._into(live(spark.readStream.schema(schema).parquet(path)), sink(store), path)
+        kinds = {f.suffix for f in (tmp_path / f"{name}-state" / "state" / "0" / "0").iterdir()}
+        assert ".zip" in kinds and ".delta" not in kinds and store.read(name).count() == 1
+    assert {k: spark.conf.get(k, None) for k in jobs.STATE_ON_DISK} == was
+
+
+@pytest.mark.parametrize("sink, schema", [(jobs.upsert_progress, "batch_id long, done long, total long, percent_sum long"), (jobs.upsert_jobs, "job_id long, state string, seq long, finished_at timestamp")], ids=["progress", "jobs"])
+def test_a_micro_batch_is_made_once(spark, tmp_path, sink, schema):
+    """A sink that uses its rows twice has the state gone through twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        made.add(1)
+        return x
+
+    write, names = sink(Store(spark, str(tmp_path / "s"))), [f.split()[0] for f in schema.split(", ")]
+    for n in range(2):
+        rows = spark.range(10).select(seen("id").alias(names[0]), *(F.lit(None).alias(c) for c in names[1:]))
+        rows = spark.createDataFrame([], schema).unionByName(rows)
+        rows = spark._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False)  # as a micro-batch is
+        write(type(spark.range(0))(rows, spark), n)
+    assert made.value == 20
+
+
 @pytest.mark.parametrize("note, error", [
     ((True, [("PERSON", 0, 4, 0.9, "model")], 2), None), ((True, [("PERSON", 0, 4, 0.1, "model")], 2), "low"), ((False, [], 2), "MODELS_NOT_READY"), (None, "MODELS_NOT_READY"), ((True, [], 90), "MODELS_NOT_READY"), ((True, [("PERSON", 0, 99, 0.9, "model")], 2), "SPAN_OUTSIDE"),
 ], ids=["there", "unsure", "failed", "missing", "late", "outside"])
